@@ -69,3 +69,155 @@ def attempted_summary(spark: SparkSession, sf: str) -> DataFrame:
     rec = scoring.score_records(gold, preds, fx.FIXTURE_SPEC)
     return rec.agg(F.count(F.lit(1)).cast("bigint").alias("n_records"), F.avg("f1_overall").alias("f1_overall"),
                    F.avg("f1_populated").alias("f1_populated"), F.avg("f1_na").alias("f1_na"))
+
+
+# ----------------------------------------------------------------- curation
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quarry.functions.records import parse_object  # noqa: E402
+from quarry.functions.text import parse_numeric  # noqa: E402
+from quarry.operators import curation  # noqa: E402
+
+
+def _normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return curation.normalise_records(fx.variant_records(spark, sf))
+
+
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    reasons, clean = fx.decisions(spark, sf)
+    return curation.manifest(_normalised(spark, sf), reasons, clean)
+
+
+@register("variant_counts")
+def variant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """P10 + A9: records per schema variant, zero rows included."""
+    return curation.count_rows_by(_normalised(spark, sf), "variant", curation.VARIANTS)
+
+
+@register("normalised_fields")
+def normalised_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """P11 + J9: canonical keys after renaming, first occurrence wins (long form)."""
+    recs = fx.variant_records(spark, sf).select("orig_index", parse_object(F.col("body")).alias("m"))
+    recs = recs.withColumn("variant", curation.detect_variant(F.col("m")))
+    ent = recs.select("orig_index", F.inline(curation.renamed_entries(F.col("m"), F.col("variant"))))
+    return ent.select("orig_index", F.col("pos").cast("bigint").alias("pos"), "key", "source_key",
+                      F.when(F.col("value").rlike(r"^\s*[\{\[]"), F.lit(None).cast("string"))
+                      .otherwise(F.col("value")).alias("value"))
+
+
+@register("field_presence")
+def field_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw key presence counts and the all-records flag."""
+    return curation.field_presence(fx.variant_records(spark, sf))
+
+
+@register("field_coverage")
+def field_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """The 12 canonical indicators' coverage after normalising."""
+    return curation.coverage(_normalised(spark, sf))
+
+
+@register("gold_manifest")
+def gold_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 + P13 + P14 + U2: manifest rows for clean and quarantined records."""
+    return _manifest(spark, sf)
+
+
+@register("quarantine_breakdown")
+def quarantine_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: quarantined records per reason code."""
+    m = _manifest(spark, sf).where(F.col("bucket") == "QUARANTINE")
+    return m.groupBy("notes").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("clean_subkeys")
+def clean_subkeys(spark: SparkSession, sf: str) -> DataFrame:
+    """P12 + S6: indicator sub-keys left in the clean bucket after stripping."""
+    norm = _normalised(spark, sf)
+    clean, _ = curation.split_buckets(norm, _manifest(spark, sf))
+    m = parse_object(F.col("body"))
+    ind = clean.select("orig_index", F.explode(F.map_filter(m, lambda k, v: k.isin(list(curation.LCA_INDICATORS))))
+                       .alias("indicator", "raw"))
+    return ind.select("orig_index", "indicator", F.explode(F.map_keys(parse_object(F.col("raw")))).alias("subkey"))
+
+
+@register("bre_agg_records")
+def bre_agg_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose GWP-TOTAL.A1 is the aggregated-stage marker AGG."""
+    m = parse_object(F.col("body"))
+    a1 = parse_object(m[F.lit("GWP-TOTAL")])[F.lit("A1")]
+    df = _normalised(spark, sf).where(F.coalesce(a1 == "AGG", F.lit(False)))
+    return df.select("orig_index", "file_name",
+                     F.coalesce(m[F.lit("GWP-TOTAL")], F.lit("{}")).alias("gwp_total"),
+                     F.coalesce(m[F.lit("FRESH WATER")], F.lit("{}")).alias("fresh_water"))
+
+
+@register("record_listing")
+def record_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Index, name and a 70-character preview of GWP-TOTAL (EMPTY when absent)."""
+    m = parse_object(F.col("body"))
+    g = m[F.lit("GWP-TOTAL")]
+    preview = F.when(g.isNull() | g.rlike(r"^\s*\{\s*\}\s*$") | (g == ""), F.lit("EMPTY")).otherwise(F.substring(g, 1, 70))
+    return _normalised(spark, sf).select("orig_index", "file_name", preview.alias("gwp_preview"))
+
+
+@register("record_file_names")
+def record_file_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct non-empty file names of a record set."""
+    return fx.variant_records(spark, sf).where(F.col("file_name") != "").select("file_name").distinct()
+
+
+@register("contamination")
+def contamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with sentence-like or padded keys."""
+    bad = curation.contaminated_keys(parse_object(F.col("body")))
+    return (fx.variant_records(spark, sf).select("orig_index", F.size(bad).cast("bigint").alias("n_bad_keys"))
+            .where(F.col("n_bad_keys") > 0))
+
+
+@register("fill_ratio")
+def fill_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of populated (non-N/A) leaves per normalised record."""
+    return curation.fill_ratio(_normalised(spark, sf))
+
+
+@register("multi_product")
+def multi_product(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents holding more than one product."""
+    m = parse_object(F.col("body"))
+    df = _normalised(spark, sf).select("file_name", m[F.lit("Product Name")].alias("product"))
+    return df.groupBy("file_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
+                                       F.countDistinct("product").cast("bigint").alias("n_products")) \
+        .where(F.col("n_products") > 1)
+
+
+@register("operator_rollup")
+def operator_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Records per programme operator, spelling variants folded."""
+    m = parse_object(F.col("body"))
+    op = F.upper(F.trim(m[F.lit("EPD Certification Body /Publisher/Program operator")]))
+    return _normalised(spark, sf).groupBy(op.alias("operator")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("standard_version")
+def standard_version(spark: SparkSession, sf: str) -> DataFrame:
+    """EN 15804 amendment (+A1 / +A2) detected from the standard list."""
+    m = parse_object(F.col("body"))
+    std = F.coalesce(F.from_json(m[F.lit("Standard List")], "array<string>"), F.array().cast("array<string>"))
+    version = (F.when(F.exists(std, lambda s: s.rlike(r"15804\s*\+\s*A2")), F.lit("A2"))
+               .when(F.exists(std, lambda s: s.rlike(r"15804\s*\+\s*A1")), F.lit("A1"))
+               .otherwise(F.lit("unknown")))
+    return _normalised(spark, sf).groupBy(version.alias("version")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("sum_consistency")
+def sum_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    """A1-A3 against A1 + A2 + A3 within tolerance."""
+    return curation.sum_consistency(_normalised(spark, sf))
+
+
+@register("sci_notation")
+def sci_notation(spark: SparkSession, sf: str) -> DataFrame:
+    """Scientific-notation sanity classes of indicator values."""
+    return curation.notation_classes(_normalised(spark, sf))

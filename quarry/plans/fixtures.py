@@ -138,3 +138,91 @@ def pred_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                         main.alias("body"))),
     )
     return df.select(F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
+# ------------------------------------------------------------- curation views
+
+def _part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part: variant, names and indicator texts used by ``variant_record``."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    a1a3 = F.when(F.pmod(k, F.lit(11)) == 0, price + F.lit(1)).otherwise(price)
+    a1a3_text = F.when(F.pmod(k, F.lit(13)) == 0,
+                       F.concat((price / F.lit(100)).cast("decimal(18,4)").cast("string"), F.lit(" E+02"))) \
+        .otherwise(a1a3.cast("string"))
+    return p.select(
+        k.alias("orig_index"),
+        F.when(F.pmod(k, F.lit(10)) == 0, F.lit("epd_intl"))
+        .when(F.pmod(k, F.lit(10)).isin(1, 2), F.lit("bre")).otherwise(F.lit("canonical")).alias("variant"),
+        F.concat(F.lit("EPD-"), F.lpad(F.pmod(k, F.lit(500)).cast("string"), 4, "0"), F.lit(".pdf")).alias("file_name"),
+        F.col("p_name").alias("product"),
+        F.concat(F.lit("DOC-"), k.cast("string")).alias("doc_no"),
+        F.when(F.pmod(k, F.lit(4)) == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("operator"),
+        F.when(F.pmod(k, F.lit(2)) == 0, F.array(F.lit("EN 15804+A2")))
+        .otherwise(F.array(F.lit("EN 15804+A1"), F.lit("ISO 14025"))).alias("standards"),
+        (price * F.lit(Decimal("0.5"))).cast("string").alias("a1"),
+        (price * F.lit(Decimal("0.2"))).cast("string").alias("a2"),
+        (price * F.lit(Decimal("0.3"))).cast("string").alias("a3"),
+        a1a3_text.alias("a1a3"),
+        F.col("p_size").cast("string").alias("fw"),
+        (F.pmod(k, F.lit(37)) == 0).alias("collide"),
+        (F.pmod(k, F.lit(53)) == 0).alias("contaminated"),
+    )
+
+
+CONTAMINATION_KEY = "Please extract all of the fields listed below from the document"
+
+
+def variant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``variant_record``: part rows as canonical / epd_intl / bre JSON records."""
+    f = _part_facts(spark, sf_dir)
+    opt = {"ignoreNullFields": "true"}
+    c = F.col
+    gwp = F.struct(c("a1").alias("A1"), c("a2").alias("A2"), c("a3").alias("A3"), c("a1a3").alias("A1-A3"),
+                   F.lit("kg CO2e").alias("Unit"), F.lit("Global warming").alias("Description"))
+    gwp_bre = F.struct(F.lit("AGG").alias("A1"), c("a1a3").alias("A1-A3"), F.lit("kg CO2e").alias("Unit"))
+    fw = F.struct(c("fw").alias("A1-A3"), F.lit("m3").alias("Unit"), F.lit("FW").alias("Indicator Name"))
+    contam = F.when(c("contaminated"), F.lit("x"))
+    pad = F.when(c("contaminated"), F.lit("N/A"))
+    canonical = F.to_json(F.struct(
+        c("file_name").alias("file_name"), c("product").alias("Product Name"),
+        c("doc_no").alias("EPD Document No"),
+        c("operator").alias("EPD Certification Body /Publisher/Program operator"),
+        c("standards").alias("Standard List"), gwp.alias("GWP-TOTAL"), fw.alias("FRESH WATER"),
+        contam.alias(CONTAMINATION_KEY), pad.alias("C2 ")), opt)
+    epd_intl = F.to_json(F.struct(
+        c("file_name").alias("file_name"), c("product").alias("Name of products"),
+        F.when(c("collide"), F.upper("product")).alias("Epd product name"),
+        c("doc_no").alias("EPD Document No"),
+        c("operator").alias("EPD Certification Body /Publisher/Program operator"),
+        c("standards").alias("Standard List"),
+        gwp.alias("Embodied Carbon (GWP Total)"), fw.alias("Freshwater Use (FW)"),
+        contam.alias(CONTAMINATION_KEY), pad.alias("C2 ")), opt)
+    bre = F.to_json(F.struct(
+        c("file_name").alias("file_name"), c("product").alias("Name of Product"),
+        F.when(c("collide"), F.upper("product")).alias("Product Name"),
+        c("doc_no").alias("EPD Number"), c("operator").alias("EPD Program Operator"),
+        c("standards").alias("Standard List"),
+        gwp_bre.alias("GWP Total / Global Warming"), fw.alias("Net use of fresh water(FW)"),
+        contam.alias(CONTAMINATION_KEY), pad.alias("C2 ")), opt)
+    body = (F.when(c("variant") == "epd_intl", epd_intl).when(c("variant") == "bre", bre).otherwise(canonical))
+    return f.select("orig_index", "file_name", body.alias("body"))
+
+
+REASON_TEXT = {  # decision fixture: reason by part key % 7 (codes 0-3)
+    0: "UNVERIFIED: record flagged for cross-check",
+    1: "CONTAMINATED: prompt instruction text leaked as JSON keys",
+    2: "DUPLICATE: redundant second extraction pass",
+    3: "EMPTY: indicator matrix entirely N/A",
+}
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``decision``: (quarantine reasons by key % 7 in 0-3, clean ids for 4-5); 6 is UNKNOWN."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k.alias("orig_index"), F.pmod(k, F.lit(7)).alias("code"))
+    reason = F.create_map(*[x for code, txt in REASON_TEXT.items() for x in (F.lit(code), F.lit(txt))])
+    reasons = p.where(F.col("code") <= 3).select("orig_index", reason[F.col("code")].alias("reason"))
+    clean = p.where(F.col("code").isin(4, 5)).select("orig_index")
+    return reasons, clean

@@ -1,6 +1,7 @@
 """All oracle SQL strings (DuckDB dialect) keyed like ``catalog.QUERIES``."""
 
-from quarry.plans import oracle_scoring
+from quarry.plans import oracle_curation, oracle_scoring
 
 ORACLE_SQL: dict[str, str] = {}
-ORACLE_SQL.update(oracle_scoring.SQL)
+for _group in (oracle_scoring, oracle_curation):
+    ORACLE_SQL.update(_group.SQL)
