@@ -221,3 +221,132 @@ def sum_consistency(spark: SparkSession, sf: str) -> DataFrame:
 def sci_notation(spark: SparkSession, sf: str) -> DataFrame:
     """Scientific-notation sanity classes of indicator values."""
     return curation.notation_classes(_normalised(spark, sf))
+
+
+# ------------------------------------------------------------------- corpus
+
+from quarry.operators import convert, corpus  # noqa: E402
+
+
+def _profile(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.profile(fx.doc_facts(spark, sf))
+
+
+@register("doc_profile")
+def doc_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """P17-P21 + M7: audit row per document."""
+    return _profile(spark, sf)
+
+
+@register("corpus_summary")
+def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """native/scanned/tagged/non-English/failed and tier counts."""
+    return corpus.corpus_summary(_profile(spark, sf))
+
+
+@register("tier_listing")
+def tier_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """O1: documents per tier, most pages first."""
+    return corpus.tier_listing(_profile(spark, sf))
+
+
+@register("gold_name_match")
+def gold_name_match(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 + P15: exact, else normalised, gold file-name match per document."""
+    return corpus.match_names(_profile(spark, sf), fx.audit_gold_names(spark, sf))
+
+
+@register("match_counts")
+def match_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Matched and unmatched document counts."""
+    m = corpus.match_names(_profile(spark, sf), fx.audit_gold_names(spark, sf))
+    return m.agg(F.count_if(F.col("gold_standard_match") != "").cast("bigint").alias("n_matched"),
+                 F.count_if(F.col("gold_standard_match") == "").cast("bigint").alias("n_unmatched"))
+
+
+@register("sidecar_resolve")
+def sidecar_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 + P16: prioritised stem candidates resolved against existing sidecars."""
+    return corpus.resolve_stems(fx.resolver_gold_names(spark, sf), fx.sidecar_stems(spark, sf))
+
+
+@register("usable_sidecars")
+def usable_sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    """Usable sidecar per gold record, or the reason it is skipped."""
+    side = fx.sidecar_stems(spark, sf)
+    return corpus.usable_sidecars(corpus.resolve_stems(fx.resolver_gold_names(spark, sf), side), side)
+
+
+@register("resume_remaining")
+def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents still to process, given those a previous run finished (incl. failures)."""
+    docs = fx.doc_facts(spark, sf)
+    done = docs.where(F.pmod("doc_id", F.lit(4)) == 0)
+    return corpus.remaining(docs.select("filename"), done)
+
+
+@register("run_outcomes")
+def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Succeeded and failed conversions."""
+    p = _profile(spark, sf)
+    return p.agg(F.count_if("docling_success").cast("bigint").alias("n_ok"),
+                 F.count_if(~F.col("docling_success")).cast("bigint").alias("n_failed"))
+
+
+@register("page_stats")
+def page_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages per document (1,800-character pages) and characters per page."""
+    d = fx.table(spark, sf, "documents")
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(fx.PAGE_CHARS))).cast("int")
+    pages = F.transform(F.sequence(F.lit(0), n - 1),
+                        lambda i: F.substring(F.col("text"), i * fx.PAGE_CHARS + 1, fx.PAGE_CHARS))
+    total = F.aggregate(pages, F.lit(0), lambda acc, p: acc + F.length(p))
+    return d.select("doc_id", n.alias("n_pages"), total.alias("text_length"),
+                    (total / n).alias("chars_per_page"))
+
+
+@register("silent_failures")
+def silent_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversions whose stripped text is under 100 characters."""
+    from quarry.functions.text import py_strip
+    d = fx.table(spark, sf, "documents").select("doc_id", F.length(py_strip(F.col("text"))).alias("stripped_len"))
+    return d.where(F.col("stripped_len") < 100)
+
+
+@register("doc_routing")
+def doc_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Up-front route per document from its profile."""
+    p = _profile(spark, sf)
+    route = (F.when(p.native_vs_scanned == "scanned", F.lit("vision"))
+             .when(p.complexity_tier.isin("Hard", "Medium"), F.lit("layout")).otherwise(F.lit("text")))
+    return p.groupBy(route.alias("route")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("stratified_sample")
+def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic hash-ranked quota per tier (the limit is the feature)."""
+    from pyspark.sql import Window
+    p = _profile(spark, sf).withColumn("doc_id", F.regexp_extract("filename", r"(\d+)", 1).cast("bigint"))
+    h = F.pmod(F.col("doc_id") * F.lit(2654435761), F.lit(4294967296))
+    w = Window.partitionBy("complexity_tier").orderBy(h, F.col("doc_id"))
+    return (p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+            .select("complexity_tier", "filename", F.col("rank").cast("bigint").alias("rank")))
+
+
+@register("html_sidecars")
+def html_sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    """N5 + F1: HTML pages -> sidecar rows (per-partition converter, per-row errors)."""
+    pages = fx.table(spark, sf, "pages")
+    side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
+                                     "name", "html")
+    return side.select(F.col("filename").alias("page_id"), "success", F.length("text").alias("text_length"),
+                       F.size("tables").alias("table_count"), "page_count", "error")
+
+
+@register("html_table_stats")
+def html_table_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Table count and table text length of converted pages."""
+    pages = fx.table(spark, sf, "pages")
+    side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
+                                     "name", "html")
+    return corpus.table_stats(side)

@@ -226,3 +226,63 @@ def decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reasons = p.where(F.col("code") <= 3).select("orig_index", reason[F.col("code")].alias("reason"))
     clean = p.where(F.col("code").isin(4, 5)).select("orig_index")
     return reasons, clean
+
+
+# --------------------------------------------------------------- corpus views
+
+PAGE_CHARS = 1800
+READ_FAIL_MOD, DOCLING_FAIL_MOD, TAGGED_MOD = 97, 23, 3
+
+
+def doc_file_name(doc_id: Column) -> Column:
+    return F.concat(F.lit("DOC-"), F.lpad(doc_id.cast("string"), 6, "0"), F.lit(".pdf"))
+
+
+def doc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_profile`` inputs: per document the facts a converter would report."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    read_ok = F.pmod(k, F.lit(READ_FAIL_MOD)) != 0
+    success = F.pmod(k, F.lit(DOCLING_FAIL_MOD)) != 0
+    pages = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / F.lit(PAGE_CHARS)))
+    return d.select(
+        "doc_id", doc_file_name(k).alias("filename"), "text", F.col("lang").alias("detected_lang"),
+        read_ok.alias("read_ok"), F.when(read_ok, pages).otherwise(F.lit(0)).alias("page_count"),
+        (read_ok & (F.pmod(k, F.lit(TAGGED_MOD)) == 0)).alias("tagged"),
+        success.alias("docling_success"),
+        F.when(success, F.pmod(F.col("n_chars"), F.lit(9))).otherwise(F.lit(0)).alias("table_count"),
+        F.when(success, F.lit("")).otherwise(F.lit("Pipeline StandardPdfPipeline failed")).alias("docling_error"),
+        F.when(read_ok, F.lit("")).otherwise(F.lit("cannot open broken document")).alias("pymupdf_error"),
+    )
+
+
+def audit_gold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold file names for labelled documents, spelled exactly, lower-cased or spaced."""
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    fn = doc_file_name(F.col("doc_id"))
+    name = (F.when(F.pmod("doc_id", F.lit(4)) == 0, fn).when(F.pmod("doc_id", F.lit(4)) == 1, F.lower(fn))
+            .when(F.pmod("doc_id", F.lit(4)) == 2, F.replace(fn, F.lit("-"), F.lit(" - "))))
+    return lab.select(name.alias("gold_name")).where(F.col("gold_name").isNotNull())
+
+
+def sidecar_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars per document: even ids keep the padded name, odd ids a bare number."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    k = F.col("doc_id")
+    ok = F.pmod(k, F.lit(DOCLING_FAIL_MOD)) != 0
+    stem = F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.lit("DOC-"), F.lpad(k.cast("string"), 6, "0"))) \
+        .otherwise(k.cast("string"))
+    return d.select(stem.alias("stem"), ok.alias("success"),
+                    F.when(ok, F.lit("")).otherwise(F.lit("Pipeline StandardPdfPipeline failed")).alias("error"))
+
+
+def resolver_gold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold names for stem resolution: exact, with a colon, or zero-padded bare number."""
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    pad = F.lpad(F.col("doc_id").cast("string"), 6, "0")
+    m = F.pmod("doc_id", F.lit(3))
+    name = (F.when(m == 0, F.concat(F.lit("DOC-"), pad, F.lit(".pdf")))
+            .when(m == 1, F.concat(F.lit("DOC-"), F.substring(pad, 1, 3), F.lit(":"), F.substring(pad, 4, 3),
+                                   F.lit(".pdf")))
+            .otherwise(F.concat(pad, F.lit(".pdf"))))
+    return lab.select(name.alias("gold_name"))
