@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from quarry.operators import scoring
 from quarry.plans import fixtures as fx
@@ -350,3 +350,86 @@ def html_table_stats(spark: SparkSession, sf: str) -> DataFrame:
     side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
                                      "name", "html")
     return corpus.table_stats(side)
+
+
+# --------------------------------------------------------- prompts/responses
+
+from quarry.operators import prompts  # noqa: E402
+
+
+def _fixture_fields(spark: SparkSession, sf: str) -> Column:
+    ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
+    return ff.select(prompts.field_block(ordered)).scalar()
+
+
+@register("flat_fields")
+def flat_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered distinct flat field names over the gold corpus."""
+    return prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
+
+
+@register("document_prompts")
+def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Extraction prompt per document (length and SHA-256 of the text)."""
+    docs = fx.table(spark, sf, "documents")
+    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
+    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
+    return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
+
+
+@register("chat_messages")
+def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat message list per document as JSON text."""
+    docs = fx.table(spark, sf, "documents")
+    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
+    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
+    return docs.select("doc_id", F.to_json(prompts.chat_messages(p)).alias("messages"))
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    """``response`` fixture: orders as JSON, wrapped by key % 5 (bare, fenced with/without
+    tag, prose around, truncated); fenced bodies with key % 3 = 0 carry junk inside."""
+    o = fx.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    body = F.to_json(F.struct(k.alias("order"), F.col("o_orderstatus").alias("status"),
+                              F.col("o_orderpriority").alias("priority")))
+    m = F.pmod(k, F.lit(5))
+    junk = F.when(F.pmod(k, F.lit(3)) == 0, F.lit(" x")).otherwise(F.lit(""))
+    text = (F.when(m == 0, body)
+            .when(m == 1, F.concat(F.lit("```json\n"), body, junk, F.lit("\n```")))
+            .when(m == 2, F.concat(F.lit("```\n"), body, F.lit("\n```")))
+            .when(m == 3, F.concat(F.lit("Here is the result: "), body, F.lit(" Hope this helps.")))
+            .otherwise(F.substring(body, F.lit(1), F.length(body) - 5)))
+    return o.select("o_orderkey", text.alias("raw_text"))
+
+
+@register("response_parse")
+def response_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """P24 + P25 + T6: JSON extracted from raw responses; failures become ``{}``."""
+    r = prompts.parse_responses(_responses(spark, sf))
+    m = parse_object(F.col("parsed"))
+    return r.select("o_orderkey", fx.order_file_name(F.col("o_orderkey")).alias("file_name"), "rule",
+                    F.size(m).cast("bigint").alias("n_keys"), m[F.lit("status")].alias("status"))
+
+
+@register("stub_extraction")
+def stub_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """F2 + P24: a deterministic stand-in model run over document prompts, then parsed."""
+    docs = fx.table(spark, sf, "documents")
+    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
+    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
+
+    def make_model():
+        import json
+
+        def model(prompt: str) -> str:
+            body = prompt.split("EPD DOCUMENT:\n", 1)[-1]
+            words = body.split()
+            return "```json\n" + json.dumps({"Order Status": words[0] if words else "N/A",
+                                              "n_words": str(len(words))}) + "\n```"
+        return model
+
+    raw = prompts.run_extractor(docs.select("doc_id", p.alias("prompt")), "prompt", "doc_id", make_model)
+    parsed = prompts.parse_responses(raw)
+    return parsed.select(F.col("key").alias("doc_id"), "rule", "parsed")
