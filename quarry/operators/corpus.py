@@ -54,16 +54,17 @@ def complexity_tier(scan: Column, success: Column, language: Column, pages: Colu
             .otherwise(F.lit("Simple")))
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """M7 audit rows from per-document facts.
 
     Expects ``filename, text, page_count, tagged, detected_lang, read_ok,
-    docling_success, table_count, docling_error, pymupdf_error``.
+    docling_success, table_count, docling_error, pymupdf_error``; ``keep``
+    names extra columns to pass through.
     """
     text_len = F.when(F.col("read_ok"), F.length("text")).otherwise(F.lit(0))
     cpp = text_len / F.greatest(F.col("page_count"), F.lit(1))
     out = docs.select(
-        "filename", F.col("page_count").cast("int").alias("page_count"), text_len.cast("int").alias("text_length"),
+        *keep, "filename", F.col("page_count").cast("int").alias("page_count"), text_len.cast("int").alias("text_length"),
         cpp.alias("chars_per_page"),
         native_vs_scanned(cpp, F.col("read_ok")).alias("native_vs_scanned"),
         F.col("tagged"),

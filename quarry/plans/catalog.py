@@ -433,3 +433,126 @@ def stub_extraction(spark: SparkSession, sf: str) -> DataFrame:
     raw = prompts.run_extractor(docs.select("doc_id", p.alias("prompt")), "prompt", "doc_id", make_model)
     parsed = prompts.parse_responses(raw)
     return parsed.select(F.col("key").alias("doc_id"), "rule", "parsed")
+
+
+# ------------------------------------------------------------------- ledger
+
+from quarry.operators import ledger  # noqa: E402
+
+
+@register("cascade_routing")
+def cascade_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted tier, correctness, cost and latency per document at threshold 0.7."""
+    c = ledger.cascade(fx.attempts(spark, sf), 0.7)
+    return c.select("doc", F.col("accepted_tier").cast("int").alias("accepted_tier"), "correct",
+                    F.col("cost").cast("double").alias("cost"), F.col("latency").cast("double").alias("latency"))
+
+
+def _sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.threshold_sweep(fx.attempts(spark, sf), steps=10, budget=0.03)
+
+
+@register("threshold_sweep")
+def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Cascade outcome per confidence threshold, with the budget test."""
+    return _sweep(spark, sf)
+
+
+@register("pareto_frontier")
+def pareto_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Sweep points that strictly improve accuracy over every cheaper point."""
+    s = _sweep(spark, sf)
+    return ledger.pareto_frontier(s, "cost_per_doc", "accuracy", "threshold").select(
+        "threshold", "cost_per_doc", "accuracy")
+
+
+@register("latency_percentiles")
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """p50 / p95 latency per event type."""
+    return ledger.latency_percentiles(fx.table(spark, sf, "events"), "event_type", "value")
+
+
+@register("self_consistency")
+def self_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    """Majority answer and agreement over each user's samples."""
+    return ledger.majority_vote(fx.table(spark, sf, "events"), "user_id", "event_type")
+
+
+@register("semantic_entropy")
+def semantic_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Entropy of normalised answer clusters per user."""
+    return ledger.semantic_entropy(fx.table(spark, sf, "events"), "user_id", "event_type")
+
+
+def _calib_input(spark: SparkSession, sf: str) -> DataFrame:
+    lab = fx.table(spark, sf, "labels")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "n_chars")
+    return lab.join(docs, "doc_id").select(
+        F.least(F.col("n_chars") / F.lit(5000.0), F.lit(0.999)).alias("conf"), (F.col("quality") == 1).alias("ok"))
+
+
+@register("calibration_bins")
+def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Reliability bins of confidence against labelled quality."""
+    return ledger.calibration_bins(_calib_input(spark, sf), "conf", "ok")
+
+
+@register("calibration_ece")
+def calibration_ece(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected calibration error."""
+    return ledger.expected_calibration_error(ledger.calibration_bins(_calib_input(spark, sf), "conf", "ok"))
+
+
+@register("doc_costs")
+def doc_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Token cost per document in the cloud, locally, and routed by tier."""
+    from decimal import Decimal
+    prof = corpus.profile(fx.doc_facts(spark, sf), keep=("doc_id", "n_chars"))
+    tokens = F.ceil(F.col("n_chars") / F.lit(4)).cast("bigint")
+    cloud = tokens * F.lit(Decimal("0.000003"))
+    local = tokens * F.lit(Decimal("0.0000002"))
+    return prof.select("doc_id", tokens.alias("tokens"), cloud.cast("double").alias("cloud_cost"),
+                       local.cast("double").alias("local_cost"),
+                       F.when(F.col("complexity_tier") == "Hard", cloud).otherwise(local).cast("double")
+                       .alias("routed_cost"))
+
+
+@register("mean_logprob")
+def mean_logprob(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean log-probability (and its exp) of each token array."""
+    e = fx.table(spark, sf, "embeddings")
+    m = ledger.mean_logprob(F.col("embedding"))
+    return e.select("vec_id", m.alias("mean_logprob"), F.exp(m).alias("confidence"))
+
+
+@register("mode_delta")
+def mode_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document, quality in native mode minus text mode."""
+    a = fx.attempts(spark, sf).withColumn("mode", F.when(F.pmod("event_id", F.lit(2)) == 0, "text")
+                                           .otherwise("native"))
+    q = a.groupBy("user_id").agg(
+        (F.count_if((F.col("mode") == "native") & F.col("correct")) / F.count_if(F.col("mode") == "native"))
+        .alias("native_quality"),
+        (F.count_if((F.col("mode") == "text") & F.col("correct")) / F.count_if(F.col("mode") == "text"))
+        .alias("text_quality"))
+    return q.withColumn("delta", F.col("native_quality") - F.col("text_quality"))
+
+
+@register("energy_totals")
+def energy_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Energy per run, the router's share and the net of it."""
+    a = fx.attempts(spark, sf)
+    return a.groupBy("user_id").agg(
+        F.sum("latency").cast("double").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("event_type") == "view", F.col("latency"))), F.lit(0)).cast("double")
+        .alias("router"),
+        (F.sum("latency") - F.coalesce(F.sum(F.when(F.col("event_type") == "view", F.col("latency"))), F.lit(0)))
+        .cast("double").alias("net"))
+
+
+@register("run_ledger")
+def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 + S9 + P26: one ledger row per model (short name), quality, cost and latency."""
+    a = fx.attempts(spark, sf)
+    model = prompts.short_model_name(F.concat(F.lit("org/"), F.initcap("event_type"), F.lit("-7B-Instruct")))
+    return ledger.ledger_rows(a.withColumn("model", model), "model", "correct", "price", "latency")

@@ -246,7 +246,7 @@ def doc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     success = F.pmod(k, F.lit(DOCLING_FAIL_MOD)) != 0
     pages = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / F.lit(PAGE_CHARS)))
     return d.select(
-        "doc_id", doc_file_name(k).alias("filename"), "text", F.col("lang").alias("detected_lang"),
+        "doc_id", "n_chars", doc_file_name(k).alias("filename"), "text", F.col("lang").alias("detected_lang"),
         read_ok.alias("read_ok"), F.when(read_ok, pages).otherwise(F.lit(0)).alias("page_count"),
         (read_ok & (F.pmod(k, F.lit(TAGGED_MOD)) == 0)).alias("tagged"),
         success.alias("docling_success"),
@@ -286,3 +286,25 @@ def resolver_gold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.lit(".pdf")))
             .otherwise(F.concat(pad, F.lit(".pdf"))))
     return lab.select(name.alias("gold_name"))
+
+
+# ---------------------------------------------------------------- ledger views
+
+TIER_PRICES = {1: "0.0001", 2: "0.0005", 3: "0.0020", 4: "0.0100", 5: "0.0500"}  # USD per attempt, by tier
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``attempt``: events as model attempts — five consecutive events form one document's
+    tier ladder; confidence = value / (value + 50); correctness from the props payload."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    tier = F.pmod(k, F.lit(5)) + 1
+    price = F.create_map(*[x for t, p in TIER_PRICES.items() for x in (F.lit(t), F.lit(Decimal(p)))])
+    pk = F.get_json_object("props", "$.k").cast("int")
+    return e.select(
+        "event_id", "user_id", "event_type",
+        F.floor(k / F.lit(5)).alias("doc"), tier.cast("int").alias("tier"),
+        (F.col("value") / (F.col("value") + F.lit(50.0))).alias("confidence"),
+        (F.pmod(pk, F.lit(3)) != 0).alias("correct"),
+        price[tier].cast("decimal(10,4)").alias("price"),
+        F.col("value").cast("decimal(18,2)").alias("latency"))
