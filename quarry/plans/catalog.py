@@ -556,3 +556,202 @@ def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
     a = fx.attempts(spark, sf)
     model = prompts.short_model_name(F.concat(F.lit("org/"), F.initcap("event_type"), F.lit("-7B-Instruct")))
     return ledger.ledger_rows(a.withColumn("model", model), "model", "correct", "price", "latency")
+
+
+# ---------------------------------------------------------- chunks/retrieval
+
+from quarry.functions.text import is_na, normalise_string  # noqa: E402
+from quarry.operators import chunking, language  # noqa: E402
+
+CHUNK_SOURCE_BREAK = "\n\n\n\nPage 1 of 9\n"
+
+
+def _chunk_source(spark: SparkSession, sf: str) -> DataFrame:
+    """``chunk_source``: document text with page markers and newline runs inserted."""
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", F.regexp_replace("text", "\n", CHUNK_SOURCE_BREAK).alias("text"))
+
+
+@register("clean_text")
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Page markers removed, newline runs collapsed, stripped."""
+    c = chunking.clean_text(F.col("text"))
+    return _chunk_source(spark, sf).select("doc_id", F.length(c).alias("clean_chars"), F.sha2(c, 256).alias("clean_sha"))
+
+
+@register("text_chunks")
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """1,000-character chunks with 15 % overlap over whole documents."""
+    ch = chunking.overlapping_chunks(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return ch.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "start",
+                     F.length("chunk").alias("chunk_chars"), F.sha2(F.col("chunk"), 256).alias("chunk_sha"))
+
+
+@register("page_chunks")
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """20-page ranges of 1,800-character pages."""
+    ch = chunking.page_groups(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return ch.select("doc_id", "group_idx", "first_page", "last_page", F.length("chunk").alias("chunk_chars"))
+
+
+@register("table_prose_chunks")
+def table_prose_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """D3: tables as their own chunks beside prose chunks of converted pages."""
+    pages = fx.table(spark, sf, "pages")
+    side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
+                                     "name", "html")
+    ch = chunking.table_and_prose_chunks(side)
+    return ch.select("filename", "chunk_type", "chunk_idx", F.length("chunk").alias("chunk_chars"))
+
+
+@register("retrieval_topk")
+def retrieval_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label, the five vectors closest (cosine) to the label centroid."""
+    e = fx.table(spark, sf, "embeddings")
+    cents = chunking.centroids(e, "label", "embedding")
+    top = chunking.top_k_by_query(e, cents, "label", "embedding", "centroid", "vec_id", k=5)
+    return top.select("label", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("fuzzy_names")
+def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Levenshtein similarity and token Jaccard of predicted vs gold names."""
+    p = fx.table(spark, sf, "part")
+    k = F.col("p_partkey")
+    pred = (F.when(F.pmod(k, F.lit(3)) == 0, F.regexp_replace("p_name", "e", "a"))
+            .when(F.pmod(k, F.lit(3)) == 1, F.upper("p_name")).otherwise(F.col("p_name")))
+    g, q = F.col("p_name"), pred
+    lev = F.levenshtein(g, q)
+    sim = F.lit(1.0) - lev / F.greatest(F.length(g), F.length(q))
+    tg = F.array_distinct(F.split(F.lower(g), " "))
+    tq = F.array_distinct(F.split(F.lower(q), " "))
+    jac = F.size(F.array_intersect(tg, tq)) / F.size(F.array_union(tg, tq))
+    return p.select(k.alias("p_partkey"), lev.cast("bigint").alias("distance"), sim.alias("lev_sim"),
+                    jac.alias("jaccard"))
+
+
+@register("few_shot")
+def few_shot(spark: SparkSession, sf: str) -> DataFrame:
+    """Two example documents per document, never the document itself.
+
+    The k + 1 smallest example ids are a bounded set (size k + 1), so each
+    document picks from them without pairing against every example.
+    """
+    lab = fx.table(spark, sf, "labels")
+    k = 2
+    pool = lab.where(F.col("quality") == 1).select("doc_id").orderBy("doc_id").limit(k + 1)
+    pool_ids = pool.select(F.array_sort(F.collect_list("doc_id"))).scalar()
+    picks = F.slice(F.array_remove(pool_ids, F.col("doc_id")), 1, k)
+    return lab.select("doc_id", F.posexplode(picks).alias("pos", "example_id")).select(
+        "doc_id", "example_id", (F.col("pos") + 1).cast("bigint").alias("rank"))
+
+
+@register("leaf_count")
+def leaf_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Scorable leaves per gold record."""
+    from quarry.functions.records import empty_map
+    g = fx.gold_records(spark, sf)
+    leaves = scoring.raw_leaves(parse_object(F.col("body")), empty_map(), fx.FIXTURE_SPEC)
+    return g.select("orig_index", F.size(leaves).cast("bigint").alias("n_leaves"))
+
+
+def _leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.field_scores(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC)
+
+
+@register("true_prf")
+def true_prf(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision over extracted values, recall over populated gold, per category."""
+    lv = _leaves(spark, sf)
+    extracted = (F.col("pred_value") != "MISSING") & ~is_na(F.col("pred_value")) & (F.col("pred_value") != "[]")
+    correct = extracted & ~F.col("gold_is_na") & (F.col("match") == 1.0)
+    out = lv.groupBy("category").agg(
+        F.count_if(extracted).cast("bigint").alias("n_extracted"),
+        F.count_if(correct).cast("bigint").alias("n_correct"),
+        F.count_if(~F.col("gold_is_na")).cast("bigint").alias("n_gold"))
+    p = F.when(F.col("n_extracted") > 0, F.col("n_correct") / F.col("n_extracted")).otherwise(F.lit(0.0))
+    r = F.when(F.col("n_gold") > 0, F.col("n_correct") / F.col("n_gold")).otherwise(F.lit(0.0))
+    out = out.select("*", p.alias("precision"), r.alias("recall"))
+    return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                       F.lit(2.0) * F.col("precision") * F.col("recall")
+                                       / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
+
+
+@register("failure_taxonomy")
+def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf outcomes rolled up by error type and category."""
+    lv = _leaves(spark, sf)
+    pred_na = is_na(F.col("pred_value"))
+    kind = (F.when(F.col("match") == 1.0, F.lit("ok"))
+            .when(F.col("pred_value").isin("MISSING", "[]"), F.lit("missing"))
+            .when(F.col("gold_is_na") & ~pred_na, F.lit("hallucinated"))
+            .when(~F.col("gold_is_na") & pred_na, F.lit("false_na"))
+            .otherwise(F.lit("wrong_value")))
+    return lv.groupBy("category", kind.alias("error_type")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("unit_outliers")
+def unit_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Per (indicator, unit) median and MAD; values beyond 5 MAD are outliers."""
+    from quarry.functions.text import parse_numeric
+    g = fx.gold_records(spark, sf)
+    from quarry.functions.records import empty_map
+    lv = g.select(F.inline(scoring.raw_leaves(parse_object(F.col("body")), empty_map(), fx.FIXTURE_SPEC)))
+    units = lv.where(F.col("category") == "lca_unit").select(
+        F.split_part("field", F.lit("."), F.lit(1)).alias("indicator"), F.col("gold_value").alias("unit")).distinct()
+    nums = lv.where(F.col("category") == "lca_numeric").select(
+        F.split_part("field", F.lit("."), F.lit(1)).alias("indicator"), parse_numeric(F.col("gold_value")).alias("x")) \
+        .where(F.col("x").isNotNull())
+    acc = 1_000_000
+    med = nums.groupBy("indicator").agg(F.percentile_approx("x", 0.5, acc).alias("median"))
+    dev = nums.join(med, "indicator").withColumn("d", F.abs(F.col("x") - F.col("median")))
+    mad = dev.groupBy("indicator", "median").agg(F.percentile_approx("d", 0.5, acc).alias("mad"))
+    flagged = dev.join(mad.select("indicator", "mad"), "indicator").groupBy("indicator").agg(
+        F.count_if(F.col("d") > F.lit(5.0) * F.col("mad")).cast("bigint").alias("n_outliers"))
+    return mad.join(flagged, "indicator").join(units, "indicator").select(
+        "indicator", "unit", "median", "mad", "n_outliers")
+
+
+@register("language_detect")
+def language_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """trigram profiles learned from even documents, applied to odd ones."""
+    d = fx.table(spark, sf, "documents")
+    prof = language.train_profiles(d.where(F.pmod("doc_id", F.lit(2)) == 0), "doc_id", "text", "lang")
+    test = d.where(F.pmod("doc_id", F.lit(2)) == 1)
+    det = language.detect(test, prof, "doc_id", "text")
+    return test.select(F.col("doc_id").alias("id"), "lang").join(det, "id", "left").select(
+        F.col("id").alias("doc_id"), "lang", "detected")
+
+
+@register("train_eval_split")
+def train_eval_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic 80/20 split by conversation id, one row per message."""
+    c = fx.table(spark, sf, "conversations")
+    split = F.when(F.pmod("conv_id", F.lit(100)) < 80, F.lit("train")).otherwise(F.lit("eval"))
+    return c.select("conv_id", "turn", split.alias("split"), "role", F.length("text").alias("n_chars"))
+
+
+@register("chat_export")
+def chat_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat-format JSON lines, one per message, tagged with the split."""
+    c = fx.table(spark, sf, "conversations")
+    split = F.when(F.pmod("conv_id", F.lit(100)) < 80, F.lit("train")).otherwise(F.lit("eval"))
+    return c.select(split.alias("split"), F.to_json(F.struct(
+        "conv_id", "turn", "role", F.col("text").alias("content"))).alias("line"))
+
+
+@register("schema_chunked_prompts")
+def schema_chunked_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat fields split into groups of two; one prompt per document and group."""
+    ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
+    grp = F.floor((F.col("rank") - 1) / 2)
+    blocks = ff.groupBy(grp.alias("g")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field).alias("fields"))
+    block_arr = blocks.select(F.array_sort(F.collect_list(F.struct(
+        F.col("g").alias("g"), prompts.field_block(F.col("fields")).alias("block"))))).scalar()
+    docs = fx.table(spark, sf, "documents")
+    ex = docs.select("doc_id", "text", F.inline(block_arr))
+    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
+    p = prompts.build_prompt(F.col("block"), F.col("text"), no_tables)
+    return ex.select("doc_id", F.col("g").cast("bigint").alias("field_group"), F.length(p).alias("prompt_chars"),
+                     F.sha2(p, 256).alias("prompt_sha"))
