@@ -755,3 +755,26 @@ def schema_chunked_prompts(spark: SparkSession, sf: str) -> DataFrame:
     p = prompts.build_prompt(F.col("block"), F.col("text"), no_tables)
     return ex.select("doc_id", F.col("g").cast("bigint").alias("field_group"), F.length(p).alias("prompt_chars"),
                      F.sha2(p, 256).alias("prompt_sha"))
+
+
+# ---------------------------------------------------------------- streaming
+
+from quarry.session import shared_dir  # noqa: E402
+from quarry.streaming import incremental  # noqa: E402
+
+
+@register("incremental_profile")
+def incremental_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 + ST2: documents profiled as a resumable availableNow stream, then read back.
+
+    Output lands in a fresh folder under the session's shared checkpoint dir.
+    """
+    base = shared_dir(spark, "incremental-profile")
+    schema = fx.table(spark, sf, "documents").schema.simpleString()[len("struct<"):-1].replace(":", " ")
+
+    def transform(batch: DataFrame) -> DataFrame:
+        return corpus.profile(fx.doc_facts_from(batch))
+
+    incremental.process_new(spark, sf, schema, f"{base}/checkpoint", f"{base}/out", transform,
+                            glob="documents.parquet")
+    return spark.read.parquet(f"{base}/out").drop("batch_id")

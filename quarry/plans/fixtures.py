@@ -240,7 +240,11 @@ def doc_file_name(doc_id: Column) -> Column:
 
 def doc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_profile`` inputs: per document the facts a converter would report."""
-    d = table(spark, sf_dir, "documents")
+    return doc_facts_from(table(spark, sf_dir, "documents"))
+
+
+def doc_facts_from(d: DataFrame) -> DataFrame:
+    """``doc_facts`` over any DataFrame of ``documents`` rows (batch or micro-batch)."""
     k = F.col("doc_id")
     read_ok = F.pmod(k, F.lit(READ_FAIL_MOD)) != 0
     success = F.pmod(k, F.lit(DOCLING_FAIL_MOD)) != 0
