@@ -107,9 +107,18 @@ def _fold(s: Column) -> Column:
 _CLEAN_ASCII = r"^[!-~]+( [!-~]+)*$"
 
 
-def normalise_string(c: Column) -> Column:
-    """NFKD -> drop non-ASCII -> lower -> collapse whitespace (Python split/join)."""
-    return bind(c, lambda s: F.when(s.rlike(_CLEAN_ASCII) | (s == ""), F.lower(s)).otherwise(_fold(s)))
+def _normalise(s: Column) -> Column:
+    return F.when(s.rlike(_CLEAN_ASCII) | (s == ""), F.lower(s)).otherwise(_fold(s))
+
+
+def normalise_string(c: Column, bound: bool = True) -> Column:
+    """NFKD -> drop non-ASCII -> lower -> collapse whitespace (Python split/join).
+
+    ``bound`` evaluates ``c`` once through a lambda — needed inside higher-order
+    functions; row-level projections pass ``bound=False`` and stay in codegen,
+    where Spark removes the repeated sub-expressions itself.
+    """
+    return bind(c, _normalise) if bound else _normalise(c)
 
 
 def is_na(c: Column) -> Column:
@@ -136,9 +145,12 @@ def parse_numeric(c: Column) -> Column:
             .when(maybe & c.rlike(NUMERIC_GATE), unsigned_nan.try_cast("double")))
 
 
-def numeric_close(p: Column, g: Column, rtol: float = NUMERIC_RTOL, atol: float = NUMERIC_ATOL) -> Column:
+def numeric_close(p: Column, g: Column, rtol: float = NUMERIC_RTOL, atol: float = NUMERIC_ATOL,
+                  bound: bool = True) -> Column:
     """``|p - g| <= atol + rtol*|g|`` with Python NaN semantics (NaN never close)."""
-    return bind(F.abs(p - g), lambda d: (d <= F.lit(atol) + F.lit(rtol) * F.abs(g)) & ~F.isnan(d))
+    def close(d: Column) -> Column:
+        return (d <= F.lit(atol) + F.lit(rtol) * F.abs(g)) & ~F.isnan(d)
+    return bind(F.abs(p - g), close) if bound else close(F.abs(p - g))
 
 
 def match_numeric(pred: Column, gold: Column, rtol: float = NUMERIC_RTOL,
