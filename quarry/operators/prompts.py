@@ -54,9 +54,18 @@ def flat_fields(gold: DataFrame, indicators: tuple[str, ...] = LCA_INDICATORS,
                         F.row_number().over(w).cast("bigint").alias("rank"))
 
 
-def field_block(fields: Column) -> Column:
-    """The ``{ "field": "..." }`` block from an ordered array of names."""
-    lines = F.transform(fields, lambda f: F.concat(F.lit('  "'), f, F.lit('": "..."')))
+def field_block(fields: Column, descriptions: Column | None = None) -> Column:
+    """The ``{ "field": "..." }`` block from an ordered array of names.
+
+    D38: with a ``descriptions`` map, each line carries ``  // description``.
+    """
+    def line(f: Column) -> Column:
+        base = F.concat(F.lit('  "'), f, F.lit('": "..."'))
+        if descriptions is None:
+            return base
+        d = descriptions[f]
+        return F.when(d.isNull(), base).otherwise(F.concat(base, F.lit("  // "), d))
+    lines = F.transform(fields, line)
     return F.concat(F.lit("{\n"), F.array_join(lines, "\n"), F.lit("\n}\n\n"))
 
 

@@ -413,3 +413,36 @@ __all__ = [
     "pair_records", "raw_leaves", "typed_match", "leaf_scores", "schema_valid", "slice_stats", "f1_from_stats", "score_records",
     "field_scores", "summary_row", "score_report", "scores_export", "list_f1", "py_strip",
 ]
+
+
+def flatten_leaves(body_map: Column, spec: ScoringSpec = ScoringSpec()) -> Column:
+    """All leaf paths of one record (``field`` or ``indicator.stage``) -> raw value text."""
+    entries = F.filter(F.map_entries(body_map), lambda e: ~e.key.isin(list(spec.skip_fields)))
+
+    def expand(e: Column) -> Column:
+        inner = parse_object(e.value)
+        nested = F.transform(F.map_entries(inner), lambda s: F.struct(
+            F.concat(e.key, F.lit("."), s.key).alias("key"), s.value.alias("value")))
+        return F.when(e.key.isin(list(spec.indicators)) & inner.isNotNull(), nested).otherwise(
+            F.array(F.struct(e.key.alias("key"), e.value.alias("value"))))
+
+    return F.map_from_entries(F.flatten(F.transform(entries, expand)))
+
+
+def pass_divergence(preds: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
+    """Documents extracted twice — share of leaf paths whose values differ
+    between the latest pass and the one before it (a one-to-one join, not all pairs)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("file_name").orderBy(F.col("seq").desc())
+    ranked = preds.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
+    last = ranked.where(F.col("_r") == 1).select("file_name", flatten_leaves(parse_object(F.col("body")), spec)
+                                                  .alias("a"))
+    prev = ranked.where(F.col("_r") == 2).select("file_name", flatten_leaves(parse_object(F.col("body")), spec)
+                                                  .alias("b"))
+    j = last.join(prev, "file_name")
+    keys = F.array_union(F.map_keys("a"), F.map_keys("b"))
+    diff = F.filter(keys, lambda k: ~(F.map_contains_key("a", k) & F.map_contains_key("b", k)
+                                      & F.col("a")[k].eqNullSafe(F.col("b")[k])))
+    return j.select("file_name", F.size(keys).cast("bigint").alias("n_paths"),
+                    F.size(diff).cast("bigint").alias("n_diff"),
+                    (F.size(diff) / F.size(keys)).alias("divergence"))

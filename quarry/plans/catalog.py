@@ -778,3 +778,57 @@ def incremental_profile(spark: SparkSession, sf: str) -> DataFrame:
     incremental.process_new(spark, sf, schema, f"{base}/checkpoint", f"{base}/out", transform,
                             glob="documents.parquet")
     return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+# ------------------------------------------------------------ more D rows
+
+@register("pass_divergence")
+def pass_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Divergence between the two extraction passes of the same document."""
+    return scoring.pass_divergence(fx.pred_records(spark, sf), fx.FIXTURE_SPEC)
+
+
+STRICT_SPEC = scoring.ScoringSpec(indicators=fx.FIXTURE_SPEC.indicators, list_fields=fx.FIXTURE_SPEC.list_fields,
+                                  rtol=0.0, atol=0.001)
+
+
+@register("score_summary_strict")
+def score_summary_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary under the alternative tolerance (absolute 0.001, no relative term)."""
+    rec = scoring.score_records(fx.gold_records(spark, sf), fx.pred_records(spark, sf), STRICT_SPEC)
+    return scoring.summary_row(rec, "fixture-model-strict")
+
+
+FIELD_DESCRIPTIONS = {"Order Status": "single-letter order state", "Order Priority": "priority class",
+                      "Return Flags": "list of return flags"}
+
+
+@register("described_prompts")
+def described_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts whose field lines carry a description from a small field dimension."""
+    import json as _json
+    ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
+    desc = F.from_json(F.lit(_json.dumps(FIELD_DESCRIPTIONS)), "map<string,string>")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
+    block = ff.select(prompts.field_block(ordered, desc)).scalar()
+    docs = fx.table(spark, sf, "documents")
+    p = prompts.build_prompt(block, F.col("text"), F.array().cast("array<struct<index:int,markdown:string>>"))
+    return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
+
+
+@register("incremental_summary")
+def incremental_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """ST3: one ledger row per event type and micro-batch, appended replay-safely."""
+    base = shared_dir(spark, "incremental-summary")
+    schema = fx.table(spark, sf, "events").schema.simpleString()[len("struct<"):-1].replace(":", " ")
+
+    def summarise(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                               F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+                                               .alias("value_total"))
+
+    incremental.append_summary(spark, sf, schema, f"{base}/checkpoint", f"{base}/ledger", summarise,
+                               glob="events.parquet")
+    led = spark.read.parquet(f"{base}/ledger")
+    return led.groupBy("event_type").agg(F.sum("n").cast("bigint").alias("n"),
+                                         F.sum("value_total").alias("value_total"))

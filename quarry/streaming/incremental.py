@@ -40,6 +40,7 @@ def process_new(spark: SparkSession, source: str, schema: str, checkpoint: str,
 
 
 def append_summary(spark: SparkSession, source: str, schema: str, checkpoint: str, ledger: str,
-                   summarise: Callable[[DataFrame], DataFrame], fmt: str = "parquet") -> None:
-    """ST3: one summary row per micro-batch appended to the ledger (replay-safe)."""
-    process_new(spark, source, schema, checkpoint, ledger, summarise, fmt)
+                   summarise: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
+                   glob: str | None = None) -> None:
+    """ST3: summary rows per micro-batch appended to the ledger (replay-safe)."""
+    process_new(spark, source, schema, checkpoint, ledger, summarise, fmt, glob=glob)
