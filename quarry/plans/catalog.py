@@ -832,3 +832,15 @@ def incremental_summary(spark: SparkSession, sf: str) -> DataFrame:
     led = spark.read.parquet(f"{base}/ledger")
     return led.groupBy("event_type").agg(F.sum("n").cast("bigint").alias("n"),
                                          F.sum("value_total").alias("value_total"))
+
+
+@register("exact_duplicates")
+def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose text repeats an earlier one; the first id is kept.
+
+    Grouped by a SHA-256 of the text (partial aggregation, so a hot text is
+    never gathered into one task), then joined back on the hash.
+    """
+    d = fx.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"))
+    return d.join(first, "h").where(F.col("doc_id") != F.col("first_doc_id")).select("doc_id", "first_doc_id")

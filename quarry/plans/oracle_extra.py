@@ -46,6 +46,9 @@ SELECT file_name, CAST(n_last + 1 - has_status AS BIGINT) AS n_paths,
 FROM agg""",
     "described_prompts": f"""
 SELECT doc_id, CAST(length({PROMPT}) AS INTEGER) AS prompt_chars, sha256({PROMPT}) AS prompt_sha FROM documents""",
+    "exact_duplicates": """
+WITH f AS (SELECT sha256(text) AS h, min(doc_id) AS first_doc_id FROM documents GROUP BY 1)
+SELECT d.doc_id, f.first_doc_id FROM documents d JOIN f ON sha256(d.text) = f.h WHERE d.doc_id <> f.first_doc_id""",
     "incremental_summary": """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_total
 FROM events GROUP BY event_type""",
