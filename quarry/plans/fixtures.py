@@ -56,8 +56,15 @@ def line_cells(lineitem: DataFrame) -> DataFrame:
     """
     aggs = [F.max(F.when(F.col("l_linenumber") == ln, F.col(src))).alias(f"{name}_{ln}")
             for name, src, _ in MEASURES for ln in LINES]
-    return (lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"))
-            .agg(*aggs, F.array_sort(F.collect_set("l_returnflag")).alias("flags")))
+    # Return flags are single letters: a deterministic bit-mask aggregate (unlike
+    # collect_set) keeps the subtree reusable when gold and predictions share it.
+    bit = F.pow(F.lit(2), F.ascii("l_returnflag") - F.lit(65)).cast("bigint")
+    mask = F.bit_or(bit).alias("flag_mask")
+    cells = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*aggs, mask)
+    letters = F.filter(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.when(
+        F.col("flag_mask").bitwiseAND(F.pow(F.lit(2), i).cast("bigint")) != 0, F.chr(i + 65))),
+        lambda x: x.isNotNull())
+    return cells.withColumn("flags", letters).drop("flag_mask")
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
