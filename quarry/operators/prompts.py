@@ -107,9 +107,24 @@ def extract_json(text: Column) -> tuple[Column, Column]:
 
 
 def parse_responses(responses: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """P24 + P25 + S11: parsed record (``{}`` on failure) beside the raw text."""
-    parsed, rule = extract_json(F.col(text_col))
-    return responses.withColumn("rule", rule).withColumn("parsed", F.coalesce(parsed, F.lit("{}")))
+    """P24 + P25 + S11: parsed record (``{}`` on failure) beside the raw text.
+
+    The two candidates and their strict checks are staged as columns so each
+    regex and JSON parse runs once per row.
+    """
+    staged = (responses
+              .withColumn("_fenced", F.regexp_extract(F.col(text_col), FENCE_PATTERN, 1))
+              .withColumn("_braces", F.regexp_extract(F.col(text_col), BRACES_PATTERN, 0)))
+    checked = (staged
+               .withColumn("_ok1", (F.col("_fenced") != "") & strict_json_object(F.col("_fenced")))
+               .withColumn("_ok2", ~F.col("_ok1") & (F.col("_braces") != "") & strict_json_object(F.col("_braces"))))
+    out = checked.select(
+        *responses.columns,
+        F.when(F.col("_ok1"), F.lit("fenced")).when(F.col("_ok2"), F.lit("braces")).otherwise(F.lit("none"))
+        .alias("rule"),
+        F.when(F.col("_ok1"), F.col("_fenced")).when(F.col("_ok2"), F.col("_braces")).otherwise(F.lit("{}"))
+        .alias("parsed"))
+    return out
 
 
 def short_model_name(model: Column, mode: str = "zero-shot") -> Column:

@@ -292,29 +292,38 @@ def _paired_maps(paired: DataFrame, spec: ScoringSpec) -> DataFrame:
              "gm", "pm")
 
 
-def typed_columns(spec: ScoringSpec = ScoringSpec()) -> list[Column]:
-    """P1-P6 as row-level (codegen) expressions over exploded raw leaves."""
-    is_list = F.col("category") == "list"
+def typed_leaves(raw: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
+    """P1-P6 as row-level (codegen) expressions over exploded raw leaves.
+
+    Parsed numbers are staged as columns first, so each value is parsed once
+    however many branches test it.
+    """
     numeric = F.col("category") == "lca_numeric"
-    g = F.when(numeric, parse_numeric(F.col("gold_value")))
-    p = F.when(numeric, parse_numeric(F.col("pred_value")))
+    staged = raw.select("*", F.when(numeric, parse_numeric(F.col("gold_value"))).alias("_g"),
+                        F.when(numeric, parse_numeric(F.col("pred_value"))).alias("_p"))
+    is_list = F.col("category") == "list"
+    gold_v, pred_v, g, p = F.col("gold_value"), F.col("pred_value"), F.col("_g"), F.col("_p")
+    # Identical text matches without parsing or folding — except numeric NaN/inf,
+    # which never equal themselves under the tolerance test.
+    same = (pred_v == gold_v) & ~(numeric & (F.lower(gold_v).contains("nan") | F.lower(gold_v).contains("inf")))
     match = (F.when(F.col("category").isNull(), F.lit(None).cast("double"))
              .when(is_list, list_f1(F.col("gold_raw"), F.col("pred_raw"), F.col("pred_present")))
+             .when(same, F.lit(1.0))
              .when(g.isNotNull() & p.isNotNull(),
                    numeric_close(p, g, spec.rtol, spec.atol, bound=False).cast("double"))
-             .otherwise((normalise_string(F.col("pred_value"), bound=False)
-                         == normalise_string(F.col("gold_value"), bound=False)).cast("double")))
+             .otherwise((normalise_string(pred_v, bound=False)
+                         == normalise_string(gold_v, bound=False)).cast("double")))
     gold_is_na = (F.when(is_list, F.coalesce(F.size(parse_array(F.col("gold_raw"))) == 0, F.lit(True)))
-                  .otherwise(is_na(F.col("gold_value"))))
-    return [gold_is_na.alias("gold_is_na"), match.alias("match")]
+                  .otherwise(is_na(gold_v)))
+    keep = [c for c in raw.columns if c not in ("gold_raw", "pred_raw", "pred_present")]
+    return staged.select(*keep, gold_is_na.alias("gold_is_na"), match.alias("match"))
 
 
 def _leaf_rows(gold: DataFrame, preds: DataFrame, spec: ScoringSpec) -> DataFrame:
     maps = _paired_maps(pair_records(gold, preds), spec)
     raw = maps.select("orig_index", "file_name", "has_prediction", "schema_valid",
                       F.inline_outer(raw_leaves(F.col("gm"), F.col("pm"), spec)))
-    return raw.select("orig_index", "file_name", "has_prediction", "schema_valid", "field", "category",
-                      "gold_value", "pred_value", *typed_columns(spec))
+    return typed_leaves(raw, spec)
 
 
 def _slice_aggs(s: str) -> list[Column]:

@@ -336,7 +336,7 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 @register("html_sidecars")
 def html_sidecars(spark: SparkSession, sf: str) -> DataFrame:
     """N5 + F1: HTML pages -> sidecar rows (per-partition converter, per-row errors)."""
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.table(spark, sf, "pages", spread=True)
     side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
                                      "name", "html")
     return side.select(F.col("filename").alias("page_id"), "success", F.length("text").alias("text_length"),
@@ -346,7 +346,7 @@ def html_sidecars(spark: SparkSession, sf: str) -> DataFrame:
 @register("html_table_stats")
 def html_table_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Table count and table text length of converted pages."""
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.table(spark, sf, "pages", spread=True)
     side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
                                      "name", "html")
     return corpus.table_stats(side)
@@ -372,7 +372,7 @@ def flat_fields(spark: SparkSession, sf: str) -> DataFrame:
 @register("document_prompts")
 def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Extraction prompt per document (length and SHA-256 of the text)."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread=True)
     no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
     p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
     return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
@@ -381,7 +381,7 @@ def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
 @register("chat_messages")
 def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Chat message list per document as JSON text."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread=True)
     no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
     p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
     return docs.select("doc_id", F.to_json(prompts.chat_messages(p)).alias("messages"))
@@ -390,7 +390,7 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """``response`` fixture: orders as JSON, wrapped by key % 5 (bare, fenced with/without
     tag, prose around, truncated); fenced bodies with key % 3 = 0 carry junk inside."""
-    o = fx.table(spark, sf, "orders")
+    o = fx.table(spark, sf, "orders", spread=True)
     k = F.col("o_orderkey")
     body = F.to_json(F.struct(k.alias("order"), F.col("o_orderstatus").alias("status"),
                               F.col("o_orderpriority").alias("priority")))
@@ -416,7 +416,7 @@ def response_parse(spark: SparkSession, sf: str) -> DataFrame:
 @register("stub_extraction")
 def stub_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """F2 + P24: a deterministic stand-in model run over document prompts, then parsed."""
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread=True)
     no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
     p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
 
@@ -568,7 +568,7 @@ CHUNK_SOURCE_BREAK = "\n\n\n\nPage 1 of 9\n"
 
 def _chunk_source(spark: SparkSession, sf: str) -> DataFrame:
     """``chunk_source``: document text with page markers and newline runs inserted."""
-    d = fx.table(spark, sf, "documents")
+    d = fx.table(spark, sf, "documents", spread=True)
     return d.select("doc_id", F.regexp_replace("text", "\n", CHUNK_SOURCE_BREAK).alias("text"))
 
 
@@ -582,7 +582,7 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 @register("text_chunks")
 def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """1,000-character chunks with 15 % overlap over whole documents."""
-    ch = chunking.overlapping_chunks(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    ch = chunking.overlapping_chunks(fx.table(spark, sf, "documents", spread=True).select("doc_id", "text"), "text")
     return ch.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "start",
                      F.length("chunk").alias("chunk_chars"), F.sha2(F.col("chunk"), 256).alias("chunk_sha"))
 
@@ -597,7 +597,7 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @register("table_prose_chunks")
 def table_prose_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """D3: tables as their own chunks beside prose chunks of converted pages."""
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.table(spark, sf, "pages", spread=True)
     side = convert.convert_documents(pages.select(F.col("page_id").cast("string").alias("name"), "html"),
                                      "name", "html")
     ch = chunking.table_and_prose_chunks(side)
@@ -749,7 +749,7 @@ def schema_chunked_prompts(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field).alias("fields"))
     block_arr = blocks.select(F.array_sort(F.collect_list(F.struct(
         F.col("g").alias("g"), prompts.field_block(F.col("fields")).alias("block"))))).scalar()
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread=True)
     ex = docs.select("doc_id", "text", F.inline(block_arr))
     no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
     p = prompts.build_prompt(F.col("block"), F.col("text"), no_tables)
@@ -811,7 +811,7 @@ def described_prompts(spark: SparkSession, sf: str) -> DataFrame:
     desc = F.from_json(F.lit(_json.dumps(FIELD_DESCRIPTIONS)), "map<string,string>")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
     block = ff.select(prompts.field_block(ordered, desc)).scalar()
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread=True)
     p = prompts.build_prompt(block, F.col("text"), F.array().cast("array<struct<index:int,markdown:string>>"))
     return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
 

@@ -30,8 +30,19 @@ TWO_PREDICTIONS_MOD = 40  # ... key % 40 = 0 have an earlier, superseded one
 EXTRA_NAME_MOD = 45       # ... key % 45 = 0 add a prediction with no gold
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than the cluster has cores.
+
+    Unsplittable or few-file inputs would otherwise run CPU-heavy per-row work
+    (JSON, regex, text folding) in one task; with many input splits this is a no-op.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def order_file_name(key: Column, prefix: str = "ORD-") -> Column:
@@ -151,7 +162,7 @@ def pred_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part: variant, names and indicator texts used by ``variant_record``."""
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part", spread=True)
     k = F.col("p_partkey")
     price = F.col("p_retailprice").cast("decimal(18,2)")
     a1a3 = F.when(F.pmod(k, F.lit(11)) == 0, price + F.lit(1)).otherwise(price)
@@ -247,7 +258,7 @@ def doc_file_name(doc_id: Column) -> Column:
 
 def doc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_profile`` inputs: per document the facts a converter would report."""
-    return doc_facts_from(table(spark, sf_dir, "documents"))
+    return doc_facts_from(table(spark, sf_dir, "documents", spread=True))
 
 
 def doc_facts_from(d: DataFrame) -> DataFrame:
@@ -307,7 +318,7 @@ TIER_PRICES = {1: "0.0001", 2: "0.0005", 3: "0.0020", 4: "0.0100", 5: "0.0500"}
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``attempt``: events as model attempts — five consecutive events form one document's
     tier ladder; confidence = value / (value + 50); correctness from the props payload."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", spread=True)
     k = F.col("event_id")
     tier = F.pmod(k, F.lit(5)) + 1
     price = F.create_map(*[x for t, p in TIER_PRICES.items() for x in (F.lit(t), F.lit(Decimal(p)))])
