@@ -102,15 +102,16 @@ def tier_listing(prof: DataFrame) -> DataFrame:
 def match_names(docs: DataFrame, gold_names: DataFrame) -> DataFrame:
     """J5 + P15: exact name, else the least gold name with the same normalised key.
 
-    One equi-join on the normalised key (exact implies equal keys), then a
-    per-document pick; documents without a candidate get ``''``.
+    Two one-to-one joins — against the distinct gold names, and against one
+    (least) gold name per normalised key — so a popular key never pairs every
+    document with every gold name.
     """
-    g = gold_names.where(F.col("gold_name") != "").select("gold_name", name_key(F.col("gold_name")).alias("nk"))
+    g = gold_names.where(F.col("gold_name") != "").select("gold_name")
+    exact = g.distinct().select(F.col("gold_name").alias("filename"), F.col("gold_name").alias("exact"))
+    by_key = g.groupBy(name_key(F.col("gold_name")).alias("nk")).agg(F.min("gold_name").alias("fuzzy"))
     d = docs.select("filename", name_key(F.col("filename")).alias("nk"))
-    cand = d.join(g, "nk", "left")
-    return cand.groupBy("filename").agg(F.coalesce(
-        F.max(F.when(F.col("gold_name") == F.col("filename"), F.col("gold_name"))),
-        F.min("gold_name"), F.lit("")).alias("gold_standard_match"))
+    j = d.join(exact, "filename", "left").join(by_key, "nk", "left")
+    return j.select("filename", F.coalesce("exact", "fuzzy", F.lit("")).alias("gold_standard_match"))
 
 
 def resolve_stems(gold_names: DataFrame, sidecars: DataFrame) -> DataFrame:

@@ -180,7 +180,9 @@ def field_presence(records: DataFrame) -> DataFrame:
     total = records.select(F.count(F.lit(1))).scalar()
     keys = records.select(F.explode(F.array_distinct(F.map_keys(parse_object(F.col("body"))))).alias("field"))
     counts = keys.groupBy("field").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"))
-    return counts.select("field", "n_records", (F.col("n_records") == total).alias("in_all"))
+    # O2: most common first, name as the stable tiebreak (a sort over distinct keys only).
+    return (counts.select("field", "n_records", (F.col("n_records") == total).alias("in_all"))
+            .orderBy(F.desc("n_records"), "field"))
 
 
 def coverage(normalised: DataFrame, fields: tuple[str, ...] = LCA_INDICATORS) -> DataFrame:

@@ -17,8 +17,8 @@ def trigrams(df: DataFrame, id_col: str, text_col: str, sample_chars: int = 2000
     """(id, trigram, count) over the lower-cased sample with padded word boundaries."""
     sample = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.substring(text_col, 1, sample_chars),
                                                           r"[^\p{L}]+", " ")), F.lit(" "))
-    n = F.length(sample) - 2
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(sample, i, 3))
+    # Every overlapping 3-character window, found natively by a zero-width lookahead.
+    grams = F.regexp_extract_all(sample, F.lit("(?=(.{3}))"), 1)
     ex = df.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).where(~F.col("gram").contains("  "))
     return ex.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("c"))
 
