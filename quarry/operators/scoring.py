@@ -390,7 +390,7 @@ def summary_row(record_scores: DataFrame, model: Column | str, cost_usd: Column
 
 
 def score_report(record_scores: DataFrame) -> DataFrame:
-    """Per-record rows plus one AVERAGE row (``schema_ok`` as 'k/n')."""
+    """Per-record rows plus one AVERAGE row (``schema_ok`` as 'k/n', index -1)."""
     cols = ["f1_overall", "f1_populated", "f1_na", "f1_metadata", "f1_lca"]
     detail = record_scores.select(
         F.lit("record").alias("row_kind"),
@@ -403,7 +403,7 @@ def score_report(record_scores: DataFrame) -> DataFrame:
         F.count_if("schema_valid").alias("k"), F.count(F.lit(1)).alias("n"),
     ).select(
         F.lit("average").alias("row_kind"), F.lit("AVERAGE").alias("label"),
-        F.lit(None).cast("bigint").alias("orig_index"), *cols,
+        F.lit(-1).cast("bigint").alias("orig_index"), *cols,
         F.concat(F.col("k").cast("string"), F.lit("/"), F.col("n").cast("string")).alias("schema_ok"),
     )
     return detail.unionByName(total)

@@ -153,7 +153,7 @@ SELECT 'record' AS row_kind, file_name AS label, CAST(orig_index AS BIGINT) AS o
        CASE WHEN schema_valid THEN 'yes' ELSE 'no' END AS schema_ok
 FROM record_scores
 UNION ALL
-SELECT 'average', 'AVERAGE', CAST(NULL AS BIGINT), avg(f1_overall), avg(f1_populated), avg(f1_na),
+SELECT 'average', 'AVERAGE', CAST(-1 AS BIGINT), avg(f1_overall), avg(f1_populated), avg(f1_na),
        avg(f1_metadata), avg(f1_lca),
        CAST(count_if(schema_valid) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR)
 FROM record_scores""",
