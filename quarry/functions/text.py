@@ -210,3 +210,26 @@ def strict_json_object(c: Column) -> Column:
         c.rlike(r"^\s*\{") & arr.isNotNull() & (F.size(arr) == 1)
         & F.from_json(c, "map<string,string>").isNotNull()
     )
+
+
+FIXED_POINT = 1e9
+
+
+def fixed_point(x: Column, scale: float = FIXED_POINT) -> Column:
+    """A double as an exact integer count of 1/scale units (round half up)."""
+    return F.floor(x * F.lit(scale) + F.lit(0.5)).cast("bigint")
+
+
+def exact_mean(x: Column, scale: float = FIXED_POINT) -> Column:
+    """Order-independent mean: integer fixed-point sum, one division at the end.
+
+    A plain double ``avg`` depends on the order partial sums are combined, so
+    two runs with different partitioning can differ in the last bits; this one
+    cannot (resolution 1/scale per value).
+    """
+    return (F.sum(fixed_point(x, scale)).cast("double") / F.count(x).cast("double")) / F.lit(scale)
+
+
+def exact_sum(x: Column, scale: float = FIXED_POINT) -> Column:
+    """Order-independent sum at 1/scale resolution."""
+    return F.sum(fixed_point(x, scale)).cast("double") / F.lit(scale)

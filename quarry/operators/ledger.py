@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalise_string
+from quarry.functions.text import exact_sum, normalise_string
 
 
 def cascade(attempts: DataFrame, threshold: Column | float, doc: str = "doc", tier: str = "tier",
@@ -89,7 +89,7 @@ def semantic_entropy(samples: DataFrame, key: str, answer: str) -> DataFrame:
     p = F.col("c") / F.sum("c").over(w)
     return counts.withColumn("p", p).groupBy(key).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_clusters"),
-        (-F.sum(F.col("p") * F.log(F.col("p")))).alias("entropy"))
+        exact_sum(-F.col("p") * F.log(F.col("p"))).alias("entropy"))
 
 
 def calibration_bins(df: DataFrame, conf: str, correct: str, bins: int = 10) -> DataFrame:
@@ -102,8 +102,8 @@ def calibration_bins(df: DataFrame, conf: str, correct: str, bins: int = 10) ->
 
 
 def expected_calibration_error(bins_df: DataFrame) -> DataFrame:
-    """ECE = sum(n_b / N * gap_b) over bins."""
-    return bins_df.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"),
+    """ECE = sum(n_b * gap_b) / N over bins (fixed-point sum, order-independent)."""
+    return bins_df.agg((exact_sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"),
                        F.sum("n").cast("bigint").alias("n"))
 
 

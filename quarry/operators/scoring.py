@@ -28,6 +28,7 @@ from quarry.functions.text import (
     NUMERIC_ATOL,
     NUMERIC_RTOL,
     bind,
+    exact_mean,
     is_na,
     normalise_string,
     numeric_close,
@@ -362,7 +363,7 @@ def field_scores(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = ScoringS
 
 def summary_row(record_scores: DataFrame, model: Column | str, cost_usd: Column | float = 0.0,
                 latency_s: Column | float = 0.0) -> DataFrame:
-    """A3-A5: dataset macro means (unrounded), schema-valid percent, cost and latency.
+    """A3-A5: dataset macro means (fixed-point, order-independent), schema-valid percent, cost and latency.
 
     ``cost_usd``/``latency_s`` are dataset totals supplied by the caller.
     Divisions are guarded so an empty score set yields zeros.
@@ -370,7 +371,7 @@ def summary_row(record_scores: DataFrame, model: Column | str, cost_usd: Column
     n = F.count(F.lit(1))
     cost = F.lit(cost_usd) if isinstance(cost_usd, (int, float)) else cost_usd
     lat = F.lit(latency_s) if isinstance(latency_s, (int, float)) else latency_s
-    means = [F.coalesce(F.avg(f"f1_{s}"), F.lit(0.0)).alias(f"f1_{s}")
+    means = [F.coalesce(exact_mean(F.col(f"f1_{s}")), F.lit(0.0)).alias(f"f1_{s}")
              for s in ("overall", "populated", "na", "metadata", "lca")]
     out = record_scores.agg(
         n.alias("n_records"), *means,
@@ -399,7 +400,7 @@ def score_report(record_scores: DataFrame) -> DataFrame:
         F.when(F.col("schema_valid"), F.lit("yes")).otherwise(F.lit("no")).alias("schema_ok"),
     )
     total = record_scores.agg(
-        *[F.avg(c).alias(c) for c in cols],
+        *[exact_mean(F.col(c)).alias(c) for c in cols],
         F.count_if("schema_valid").alias("k"), F.count(F.lit(1)).alias("n"),
     ).select(
         F.lit("average").alias("row_kind"), F.lit("AVERAGE").alias("label"),

@@ -67,8 +67,9 @@ def attempted_summary(spark: SparkSession, sf: str) -> DataFrame:
     preds = fx.pred_records(spark, sf)
     gold = scoring.restrict_to_attempted(fx.gold_records(spark, sf), preds)
     rec = scoring.score_records(gold, preds, fx.FIXTURE_SPEC)
-    return rec.agg(F.count(F.lit(1)).cast("bigint").alias("n_records"), F.avg("f1_overall").alias("f1_overall"),
-                   F.avg("f1_populated").alias("f1_populated"), F.avg("f1_na").alias("f1_na"))
+    from quarry.functions.text import exact_mean
+    return rec.agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
+                   *[exact_mean(F.col(c)).alias(c) for c in ("f1_overall", "f1_populated", "f1_na")])
 
 
 # ----------------------------------------------------------------- curation
@@ -519,10 +520,10 @@ def doc_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("mean_logprob")
 def mean_logprob(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean log-probability (and its exp) of each token array."""
+    """Mean log-probability of each token array (``exp`` of it is the confidence)."""
     e = fx.table(spark, sf, "embeddings")
     m = ledger.mean_logprob(F.col("embedding"))
-    return e.select("vec_id", m.alias("mean_logprob"), F.exp(m).alias("confidence"))
+    return e.select("vec_id", F.size("embedding").cast("bigint").alias("n_tokens"), m.alias("mean_logprob"))
 
 
 @register("mode_delta")

@@ -60,7 +60,7 @@ FROM c GROUP BY user_id""",
     "semantic_entropy": """
 WITH c AS (SELECT user_id, lower(event_type) AS cluster, count(*) AS c FROM events GROUP BY 1, 2),
 p AS (SELECT user_id, CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY user_id) AS DOUBLE) AS p FROM c)
-SELECT user_id, CAST(count(*) AS BIGINT) AS n_clusters, -sum(p * ln(p)) AS entropy FROM p GROUP BY user_id""",
+SELECT user_id, CAST(count(*) AS BIGINT) AS n_clusters, CAST(sum(CAST(floor((-p * ln(p)) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS entropy FROM p GROUP BY user_id""",
     "calibration_bins": """
 WITH x AS (SELECT least(d.n_chars / CAST(5000.0 AS DOUBLE), CAST(0.999 AS DOUBLE)) AS conf, l.quality = 1 AS ok
            FROM labels l JOIN documents d USING (doc_id)),
@@ -72,7 +72,7 @@ WITH x AS (SELECT least(d.n_chars / CAST(5000.0 AS DOUBLE), CAST(0.999 AS DOUBLE
            FROM labels l JOIN documents d USING (doc_id)),
 b AS (SELECT CAST(least(floor(conf * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(conf) AS avg_conf,
              avg(CAST(ok AS DOUBLE)) AS accuracy FROM x GROUP BY 1)
-SELECT sum(n * abs(accuracy - avg_conf)) / sum(n) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""",
+SELECT CAST(sum(CAST(floor((n * abs(accuracy - avg_conf)) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(1e9 AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""",
     "doc_costs": "WITH " + DOCS + """,
 t AS (SELECT p.doc_id, p.complexity_tier, CAST(ceil(d.n_chars / 4) AS BIGINT) AS tokens
       FROM prof p JOIN documents d USING (doc_id))
@@ -82,8 +82,8 @@ SELECT doc_id, tokens, CAST(tokens * CAST('0.000003' AS DECIMAL(7,6)) AS DOUBLE)
             ELSE CAST(tokens * CAST('0.0000002' AS DECIMAL(8,7)) AS DOUBLE) END AS routed_cost
 FROM t""",
     "mean_logprob": """
-SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) AS mean_logprob,
-       exp(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding)) AS confidence
+SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n_tokens,
+       list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) / len(embedding) AS mean_logprob
 FROM embeddings""",
     "mode_delta": "WITH " + ATTEMPTS + """,
 q AS (SELECT user_id,
