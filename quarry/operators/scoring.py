@@ -92,15 +92,46 @@ def restrict_to_attempted(gold: DataFrame, attempted: DataFrame) -> DataFrame:
     return gold.join(attempted.select("file_name").distinct(), "file_name", "left_semi")
 
 
-def pair_records(gold: DataFrame, preds: DataFrame) -> DataFrame:
-    """J1+J3: gold LEFT JOIN latest prediction on ``file_name``.
+HOT_SHARE = 64     # a name is hot when it holds at least 1/HOT_SHARE of all gold records
+SALT_BUCKETS = 32  # ... and its records are spread over this many join partitions
+
+
+def hot_names(names: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Names holding at least ``1/hot_share`` of the gold records.
+
+    ``names`` is the gold ``file_name`` column (one row per record). At most
+    ``hot_share`` names can pass the threshold, so the result has a proven
+    size bound and may be broadcast.
+    """
+    counts = names.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.select(F.sum("n")).scalar()
+    return counts.where(F.col("n") * F.lit(hot_share) >= total).select("file_name", F.lit(True).alias("hot"))
+
+
+def pair_records(gold: DataFrame, preds: DataFrame, salt_buckets: int = SALT_BUCKETS,
+                 hot_share: int = HOT_SHARE, names: DataFrame | None = None) -> DataFrame:
+    """J1+J3: gold LEFT JOIN latest prediction on ``file_name``, salted for hot names.
 
     Gold duplicates each score against the same prediction; gold without a
-    prediction is scored against ``{}``.
+    prediction is scored against ``{}``. Records of a hot name are spread over
+    ``salt_buckets`` partitions (by ``orig_index``) and that name's single
+    prediction row is replicated to every bucket, so no task receives an
+    unbounded share of the records. Cold names keep salt 0. ``names`` (one
+    ``file_name`` row per gold record) defaults to the gold set's own column;
+    pass the key column of the stored table when ``gold`` is costly to derive.
     """
     latest = latest_predictions(preds)
-    return (gold.select("orig_index", "file_name", F.col("body").alias("gold_body"))
-            .join(latest, "file_name", "left")
+    hot = F.broadcast(hot_names(gold.select("file_name") if names is None else names, hot_share))
+    g = (gold.select("orig_index", "file_name", F.col("body").alias("gold_body"))
+         .join(hot, "file_name", "left")
+         .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("orig_index"), F.lit(salt_buckets)))
+                     .otherwise(F.lit(0)).cast("int"))
+         .drop("hot"))
+    p = (latest.join(hot, "file_name", "left")
+         .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
+                                       .otherwise(F.array(F.lit(0)))))
+         .drop("hot"))
+    return (g.join(p, ["file_name", "salt"], "left")
             .withColumn("has_prediction", F.col("pred_body").isNotNull()))
 
 
@@ -286,11 +317,11 @@ def f1_from_stats(st: Column, s: str) -> Column:
 def _paired_maps(paired: DataFrame, spec: ScoringSpec) -> DataFrame:
     """Parse both bodies once per record; validity needs only the prediction."""
     return paired.select(
-        "orig_index", "file_name", "has_prediction",
+        "orig_index", "file_name", "salt", "has_prediction",
         parse_object(F.col("gold_body")).alias("gm"),
         F.coalesce(parse_object(F.col("pred_body")), empty_map()).alias("pm"),
-    ).select("orig_index", "file_name", "has_prediction", schema_valid(F.col("pm"), spec).alias("schema_valid"),
-             "gm", "pm")
+    ).select("orig_index", "file_name", "salt", "has_prediction",
+             schema_valid(F.col("pm"), spec).alias("schema_valid"), "gm", "pm")
 
 
 def typed_leaves(raw: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
@@ -320,9 +351,9 @@ def typed_leaves(raw: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame
     return staged.select(*keep, gold_is_na.alias("gold_is_na"), match.alias("match"))
 
 
-def _leaf_rows(gold: DataFrame, preds: DataFrame, spec: ScoringSpec) -> DataFrame:
-    maps = _paired_maps(pair_records(gold, preds), spec)
-    raw = maps.select("orig_index", "file_name", "has_prediction", "schema_valid",
+def _leaf_rows(gold: DataFrame, preds: DataFrame, spec: ScoringSpec, names: DataFrame | None = None) -> DataFrame:
+    maps = _paired_maps(pair_records(gold, preds, names=names), spec)
+    raw = maps.select("orig_index", "file_name", "salt", "has_prediction", "schema_valid",
                       F.inline_outer(raw_leaves(F.col("gm"), F.col("pm"), spec)))
     return typed_leaves(raw, spec)
 
@@ -338,15 +369,16 @@ def _slice_aggs(s: str) -> list[Column]:
             F.coalesce(F.sum(F.when(c & frac, F.lit(1.0) - m)), F.lit(0.0)).alias(f"fc_{s}")]
 
 
-def score_records(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
+def score_records(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = ScoringSpec(),
+                  names: DataFrame | None = None) -> DataFrame:
     """M5/A2: one row per gold record with the six F1 slices and validity.
 
     Leaves are generated per record and matched with row-level expressions;
-    the per-record aggregate groups by ``file_name`` first, which the join
-    already partitioned on, so it adds no exchange after a sort-merge join.
+    the per-record aggregate groups by ``(file_name, salt)`` first, which the
+    join already partitioned on, so it adds no exchange after a sort-merge join.
     """
-    leaves = _leaf_rows(gold, preds, spec)
-    stats = leaves.groupBy("file_name", "orig_index", "schema_valid", "has_prediction").agg(
+    leaves = _leaf_rows(gold, preds, spec, names)
+    stats = leaves.groupBy("file_name", "salt", "orig_index", "schema_valid", "has_prediction").agg(
         *[a for s in SLICES for a in _slice_aggs(s)])
     st = F.struct(*[F.col(c) for c in stats.columns if c[:2] in ("n_", "on", "ze", "fs", "fc")])
     return stats.select(
@@ -355,9 +387,10 @@ def score_records(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = Scoring
         *[f1_from_stats(st, s).alias(f"f1_{s}") for s in SLICES])
 
 
-def field_scores(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
+def field_scores(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = ScoringSpec(),
+                 names: DataFrame | None = None) -> DataFrame:
     """M4: the FieldScore fact table, one row per scored leaf."""
-    return _leaf_rows(gold, preds, spec).where(F.col("field").isNotNull()).select(
+    return _leaf_rows(gold, preds, spec, names).where(F.col("field").isNotNull()).select(
         "orig_index", "file_name", *LEAF_FIELDS)
 
 

@@ -27,7 +27,8 @@ def register(name: str) -> Callable[[Query], Query]:
 # ------------------------------------------------------------------ scoring
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score_records(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC)
+    return scoring.score_records(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC,
+                                 names=fx.gold_names(spark, sf))
 
 
 @register("score_summary")
@@ -45,7 +46,8 @@ def score_records(spark: SparkSession, sf: str) -> DataFrame:
 @register("score_leaves")
 def score_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """M4: FieldScore fact table."""
-    return scoring.field_scores(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC)
+    return scoring.field_scores(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC,
+                                names=fx.gold_names(spark, sf))
 
 
 @register("score_report")
@@ -657,7 +659,8 @@ def leaf_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaves(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.field_scores(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC)
+    return scoring.field_scores(fx.gold_records(spark, sf), fx.pred_records(spark, sf), fx.FIXTURE_SPEC,
+                                names=fx.gold_names(spark, sf))
 
 
 @register("true_prf")
@@ -796,7 +799,8 @@ STRICT_SPEC = scoring.ScoringSpec(indicators=fx.FIXTURE_SPEC.indicators, list_fi
 @register("score_summary_strict")
 def score_summary_strict(spark: SparkSession, sf: str) -> DataFrame:
     """The summary under the alternative tolerance (absolute 0.001, no relative term)."""
-    rec = scoring.score_records(fx.gold_records(spark, sf), fx.pred_records(spark, sf), STRICT_SPEC)
+    rec = scoring.score_records(fx.gold_records(spark, sf), fx.pred_records(spark, sf), STRICT_SPEC,
+                                names=fx.gold_names(spark, sf))
     return scoring.summary_row(rec, "fixture-model-strict")
 
 

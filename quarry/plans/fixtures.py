@@ -85,6 +85,11 @@ def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))))
 
 
+def gold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold records' ``file_name`` column, read from the key table alone."""
+    return table(spark, sf_dir, "orders").select(order_file_name(F.col("o_orderkey")).alias("file_name"))
+
+
 def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``gold_record``: one nested JSON body per order (orig_index = o_orderkey)."""
     df = _order_cells(spark, sf_dir)

@@ -126,3 +126,21 @@ def test_scoring_plan_is_python_free_and_lean(spark):
         assert "SortMergeJoin" in phys
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_name_is_salted_and_scores_match(spark):
+    # one file name holds most records: it must be salted and still score exactly as unsalted
+    recs = [dict(GOLD[0], **{"Product Name": f"p{i}"}) for i in range(200)] + GOLD[1:]
+    gold = _gold(spark, recs)
+    preds = _preds(spark, [dict(GOLD[0], **{"Product Name": "p7"}), GOLD[1]])
+    hot = [r.file_name for r in S.hot_names(gold).collect()]
+    assert hot == ["a.pdf"]
+    salted = S.score_records(gold, preds, SPEC)
+    rows = {r.orig_index: r for r in salted.collect()}
+    assert len(rows) == 201
+    assert rows[7].f1_metadata == 1.0 and rows[8].f1_metadata < 1.0
+    assert all(r.has_prediction for r in rows.values())
+    paired = S.pair_records(gold, preds)
+    assert paired.where("file_name = 'a.pdf'").select("salt").distinct().count() > 1
+    unsalted = S.pair_records(gold, preds, salt_buckets=1)
+    assert unsalted.count() == paired.count() == 201
