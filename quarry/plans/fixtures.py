@@ -136,12 +136,11 @@ def pred_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     fname = order_file_name(k)
     indicators = []
     for mi, (name, _, unit) in enumerate(MEASURES, start=1):
-        pairs = []
-        for ln in LINES:
-            x = F.col(f"{name}_{ln}")
-            pairs += [F.lit(f"L{ln}"), _pred_text(k, mi * 10 + ln, num_text(x), x)]
-        pairs += [F.lit("Unit"), _pred_text(k, mi * 10 + 8, F.lit(unit), None)]
-        indicators.append(F.map_filter(F.create_map(*pairs), lambda _k, v: v.isNotNull()).alias(name))
+        # absent keys are null fields, dropped by to_json(ignoreNullFields)
+        fields = [_pred_text(k, mi * 10 + ln, num_text(F.col(f"{name}_{ln}")), F.col(f"{name}_{ln}")).alias(f"L{ln}")
+                  for ln in LINES]
+        fields.append(_pred_text(k, mi * 10 + 8, F.lit(unit), None).alias("Unit"))
+        indicators.append(F.struct(*fields).alias(name))
     opts = {"ignoreNullFields": "true"}
     main = F.to_json(F.struct(
         fname.alias("file_name"),
