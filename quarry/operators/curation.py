@@ -56,8 +56,7 @@ EPD_INTL_MARKER = "Embodied Carbon (GWP Total)"
 BRE_MARKERS = ("GWP Total / Global Warming", "Name of Product")
 VARIANTS = ("canonical", "epd_intl", "bre")
 BENIGN_SUBKEYS = ("Description", "Indicator Name")
-REASON_CODES = ("UNVERIFIED", "CONTAMINATED", "DUPLICATE", "EMPTY")
-SHOWN_INDICATORS = ("GWP-TOTAL", "PERT", "PENRT", "FRESH WATER", "ACIDIFICATION", "EUTROFICATION")
+SHOWN_INDICATORS = ("GWP-TOTAL", "PERT", "PENRT", "FRESH WATER", "ACIDIFICATION", "EUTROFICATION")  # P27 listing
 
 
 def detect_variant(m: Column) -> Column:

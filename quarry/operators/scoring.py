@@ -231,28 +231,6 @@ def raw_leaves(gold_map: Column, pred_map: Column, spec: ScoringSpec = ScoringSp
     return F.coalesce(F.flatten(per_entry), empty)
 
 
-def typed_match(x: Column, spec: ScoringSpec = ScoringSpec()) -> Column:
-    """P3-P6 on one raw leaf -> FieldScore struct (``gold_is_na``, ``match``)."""
-    is_list = x.category == "list"
-    numeric = x.category == "lca_numeric"
-    nums = F.struct(F.when(numeric, parse_numeric(x.gold_value)).alias("g"),
-                    F.when(numeric, parse_numeric(x.pred_value)).alias("p"))
-    match = bind(nums, lambda n: (
-        F.when(is_list, list_f1(x.gold_raw, x.pred_raw, x.pred_present))
-        .when(n.g.isNotNull() & n.p.isNotNull(),
-              numeric_close(n.p, n.g, spec.rtol, spec.atol).cast("double"))
-        .otherwise((normalise_string(x.pred_value) == normalise_string(x.gold_value)).cast("double"))))
-    gold_is_na = F.when(is_list, F.coalesce(F.size(parse_array(x.gold_raw)) == 0, F.lit(True))) \
-        .otherwise(is_na(x.gold_value))
-    return F.struct(x.field.alias("field"), x.category.alias("category"), x.gold_value.alias("gold_value"),
-                    x.pred_value.alias("pred_value"), gold_is_na.alias("gold_is_na"), match.alias("match"))
-
-
-def leaf_scores(gold_map: Column, pred_map: Column, spec: ScoringSpec = ScoringSpec()) -> Column:
-    """N1 + P1-P9: array of FieldScore structs driven by the gold keys."""
-    return F.transform(raw_leaves(gold_map, pred_map, spec), lambda x: typed_match(x, spec))
-
-
 def schema_valid(pred_map: Column, spec: ScoringSpec = ScoringSpec()) -> Column:
     """Every indicator present, each an object holding ``Unit``."""
     checks = [F.coalesce(F.map_contains_key(parse_object(pred_map[F.lit(k)]), F.lit(spec.unit_key)),
@@ -274,32 +252,6 @@ def _slice_cond(name: str, leaf: Column) -> Column:
     }[name]
 
 
-def slice_stats(leaves: Column) -> Column:
-    """One pass over the leaves: per slice, counts of whole matches / misses and
-    the sums of fractional (list) matches and their complements."""
-    zero_i, zero_d = F.lit(0).cast("bigint"), F.lit(0.0)
-    init = F.struct(*[c.alias(f"{k}_{s}") for s in SLICES
-                      for k, c in (("n", zero_i), ("one", zero_i), ("zero", zero_i),
-                                   ("fs", zero_d), ("fc", zero_d))])
-
-    def merge(acc: Column, x: Column) -> Column:
-        one, nil = x.match == 1.0, x.match == 0.0
-        frac = ~one & ~nil
-        fields = []
-        for s in SLICES:
-            c = _slice_cond(s, x)
-            fields += [
-                (acc[f"n_{s}"] + F.when(c, 1).otherwise(0)).alias(f"n_{s}"),
-                (acc[f"one_{s}"] + F.when(c & one, 1).otherwise(0)).alias(f"one_{s}"),
-                (acc[f"zero_{s}"] + F.when(c & nil, 1).otherwise(0)).alias(f"zero_{s}"),
-                (acc[f"fs_{s}"] + F.when(c & frac, x.match).otherwise(0.0)).alias(f"fs_{s}"),
-                (acc[f"fc_{s}"] + F.when(c & frac, F.lit(1.0) - x.match).otherwise(0.0)).alias(f"fc_{s}"),
-            ]
-        return F.struct(*fields)
-
-    return F.aggregate(leaves, init, merge)
-
-
 def f1_from_stats(st: Column, s: str) -> Column:
     """A1: micro F1 of one slice (TP = match, FP = FN = 1 - match); empty -> 0.0.
 
@@ -452,8 +404,8 @@ def scores_export(record_scores: DataFrame, model: str) -> DataFrame:
 
 __all__ = [
     "LCA_INDICATORS", "LCA_STAGES", "LIST_FIELDS", "SKIP_FIELDS", "LCA_SKIP_STAGES",
-    "ScoringSpec", "latest_predictions", "unmatched_predictions", "restrict_to_attempted",
-    "pair_records", "raw_leaves", "typed_match", "leaf_scores", "schema_valid", "slice_stats", "f1_from_stats", "score_records",
+    "ScoringSpec", "hot_names", "latest_predictions", "unmatched_predictions", "restrict_to_attempted",
+    "pair_records", "raw_leaves", "typed_leaves", "schema_valid", "f1_from_stats", "score_records",
     "field_scores", "summary_row", "score_report", "scores_export", "list_f1", "py_strip",
 ]
 

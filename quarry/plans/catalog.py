@@ -152,9 +152,9 @@ def bre_agg_records(spark: SparkSession, sf: str) -> DataFrame:
     m = parse_object(F.col("body"))
     a1 = parse_object(m[F.lit("GWP-TOTAL")])[F.lit("A1")]
     df = _normalised(spark, sf).where(F.coalesce(a1 == "AGG", F.lit(False)))
-    return df.select("orig_index", "file_name",
-                     F.coalesce(m[F.lit("GWP-TOTAL")], F.lit("{}")).alias("gwp_total"),
-                     F.coalesce(m[F.lit("FRESH WATER")], F.lit("{}")).alias("fresh_water"))
+    shown = [F.coalesce(m[F.lit(k)], F.lit("{}")).alias(k.lower().replace("-", "_").replace(" ", "_"))
+             for k in curation.SHOWN_INDICATORS]
+    return df.select("orig_index", "file_name", *shown)
 
 
 @register("record_listing")

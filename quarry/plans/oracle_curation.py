@@ -101,7 +101,8 @@ UNION ALL
 SELECT CAST(k AS BIGINT), 'FRESH WATER', s.subkey
 FROM pt CROSS JOIN (VALUES ('A1-A3'), ('Unit')) s(subkey) WHERE {CLEAN}""",
     "bre_agg_records": W + """
-SELECT CAST(k AS BIGINT) AS orig_index, file_name, gwp_json AS gwp_total, fw_json AS fresh_water
+SELECT CAST(k AS BIGINT) AS orig_index, file_name, gwp_json AS gwp_total, '{}' AS pert, '{}' AS penrt,
+       fw_json AS fresh_water, '{}' AS acidification, '{}' AS eutrofication
 FROM gj WHERE variant = 'bre'""",
     "record_listing": W + """
 SELECT CAST(k AS BIGINT) AS orig_index, file_name, substr(gwp_json, 1, 70) AS gwp_preview FROM gj""",

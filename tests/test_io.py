@@ -77,3 +77,16 @@ def test_only_filter_is_pushed_down(spark, scratch):
     assert sorted(r.file_name for r in df.collect()) == ["a.pdf", "c.pdf"]
     assert "PushedFilters: [In(file_name" in df._jdf.queryExecution().executedPlan().toString() or \
         "In(file_name" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_html_tables_become_markdown(spark):
+    from quarry.operators.convert import convert_documents
+    page = ("<html><head><script>var x='<table>';</script></head><body><h1>Title &amp; more</h1>"
+            "<table><tr><th>Stage</th><th>GWP</th></tr><tr><td>A1</td><td>1.5</td></tr></table>"
+            "<p>After</p></body></html>")
+    df = spark.createDataFrame([("p1", page), ("p2", None)], "name string, html string")
+    rows = {r.filename: r for r in convert_documents(df, "name", "html").collect()}
+    ok, bad = rows["p1"], rows["p2"]
+    assert ok.success and ok.text == "Title & more\nAfter"
+    assert ok.tables[0].markdown == "| Stage | GWP |\n| --- | --- |\n| A1 | 1.5 |"
+    assert not bad.success and bad.error == "empty document"
