@@ -232,8 +232,12 @@ def raw_leaves(gold_map: Column, pred_map: Column, spec: ScoringSpec = ScoringSp
 
 
 def schema_valid(pred_map: Column, spec: ScoringSpec = ScoringSpec()) -> Column:
-    """Every indicator present, each an object holding ``Unit``."""
-    checks = [F.coalesce(F.map_contains_key(parse_object(pred_map[F.lit(k)]), F.lit(spec.unit_key)),
+    """Every indicator present, each an object holding ``Unit``.
+
+    Only key presence matters, so the object's keys are listed without
+    building a map (duplicates do not change presence).
+    """
+    checks = [F.coalesce(F.array_contains(F.json_object_keys(pred_map[F.lit(k)]), F.lit(spec.unit_key)),
                          F.lit(False)) for k in spec.indicators]
     out = checks[0]
     for c in checks[1:]:
