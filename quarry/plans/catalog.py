@@ -330,7 +330,7 @@ def doc_routing(spark: SparkSession, sf: str) -> DataFrame:
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Deterministic hash-ranked quota per tier (the limit is the feature)."""
     from pyspark.sql import Window
-    p = _profile(spark, sf).withColumn("doc_id", F.regexp_extract("filename", r"(\d+)", 1).cast("bigint"))
+    p = corpus.profile(fx.doc_facts(spark, sf), keep=("doc_id",))
     h = F.pmod(F.col("doc_id") * F.lit(2654435761), F.lit(4294967296))
     w = Window.partitionBy("complexity_tier").orderBy(h, F.col("doc_id"))
     return (p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
