@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def trigrams(df: DataFrame, id_col: str, text_col: str, sample_chars: int = 2000) -> DataFrame:
-    """(id, trigram, count) over the lower-cased sample with padded word boundaries."""
-    sample = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.substring(text_col, 1, sample_chars),
-                                                          r"[^\p{L}]+", " ")), F.lit(" "))
+def trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, trigram, count) over the whole lower-cased text with padded word boundaries."""
+    sample = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(text_col), r"[^\p{L}]+", " ")), F.lit(" "))
     # Every overlapping 3-character window, found natively by a zero-width lookahead.
     grams = F.regexp_extract_all(sample, F.lit("(?=(.{3}))"), 1)
     ex = df.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).where(~F.col("gram").contains("  "))
