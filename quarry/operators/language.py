@@ -22,17 +22,19 @@ def trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ex.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
-                   top: int = 300) -> DataFrame:
-    """Per language, the ``top`` most frequent trigrams with log relative frequency."""
+def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Per language, every trigram's add-one smoothed log relative frequency.
+
+    The per-language windows run over distinct trigrams, a set bounded by the
+    alphabet, not by the number of documents.
+    """
     from pyspark.sql import Window
     g = trigrams(labelled, id_col, text_col).join(
         labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "id")
     per_lang = g.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("lang").orderBy(F.col("c").desc(), F.col("gram"))
-    kept = per_lang.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    tot = Window.partitionBy("lang")
-    return kept.select("lang", "gram", F.log((F.col("c") + 1) / (F.sum("c").over(tot) + F.lit(top))).alias("lp"))
+    w = Window.partitionBy("lang")
+    return per_lang.select("lang", "gram", F.log((F.col("c") + 1) / (F.sum("c").over(w) + F.count(F.lit(1)).over(w)))
+                           .alias("lp"))
 
 
 def detect(docs: DataFrame, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
