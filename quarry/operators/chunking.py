@@ -87,3 +87,17 @@ def top_k_by_query(candidates: DataFrame, queries: DataFrame, key: str, vec: str
     scored = j.select(key, id_col, cosine(F.col(vec), F.col(query_vec)).alias("score"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(id_col))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+PAGE_RANGE = r"(?i)pages?\s+(\d+)(?:\s*[-–]\s*(\d+))?"
+
+
+def pages_from_provenance(text: Column, provenance: Column, page_chars: int = 1800) -> tuple[Column, Column, Column]:
+    """The page range named in provenance text ("pages 3-5", "page 4") and its text.
+
+    Returns (first_page, last_page, chunk); no range named gives nulls.
+    """
+    first = F.nullif(F.regexp_extract(provenance, PAGE_RANGE, 1), F.lit("")).cast("int")
+    last = F.coalesce(F.nullif(F.regexp_extract(provenance, PAGE_RANGE, 2), F.lit("")).cast("int"), first)
+    chunk = F.substring(text, (first - 1) * page_chars + 1, (last - first + 1) * page_chars)
+    return first, last, chunk

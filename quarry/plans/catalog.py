@@ -850,3 +850,15 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("h"))
     first = d.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"))
     return d.join(first, "h").where(F.col("doc_id") != F.col("first_doc_id")).select("doc_id", "first_doc_id")
+
+
+@register("provenance_pages")
+def provenance_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages a provenance note points at, selected from each document."""
+    d = fx.table(spark, sf, "documents", spread=True)
+    k = F.col("doc_id")
+    prov = F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit("see page "), (F.pmod(k, F.lit(5)) + 1).cast("string"))) \
+        .otherwise(F.concat(F.lit("Values taken from pages "), (F.pmod(k, F.lit(3)) + 1).cast("string"), F.lit("–"),
+                            (F.pmod(k, F.lit(3)) + 2).cast("string")))
+    first, last, chunk = chunking.pages_from_provenance(F.col("text"), prov)
+    return d.select("doc_id", first.alias("first_page"), last.alias("last_page"), F.length(chunk).alias("chunk_chars"))

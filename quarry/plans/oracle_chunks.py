@@ -107,6 +107,18 @@ u AS (SELECT DISTINCT split_part(field, '.', 1) AS indicator, gold_value AS unit
 SELECT med.indicator, u.unit, med.median, mad.mad,
        CAST((SELECT count(*) FROM d WHERE d.indicator = med.indicator AND d.d > 5.0 * mad.mad) AS BIGINT) AS n_outliers
 FROM med JOIN mad USING (indicator) JOIN u USING (indicator)""",
+    "provenance_pages": r"""
+WITH p AS (SELECT doc_id, text,
+             CASE WHEN doc_id % 4 = 0 THEN 'see page ' || CAST(doc_id % 5 + 1 AS VARCHAR)
+                  ELSE 'Values taken from pages ' || CAST(doc_id % 3 + 1 AS VARCHAR) || '–' || CAST(doc_id % 3 + 2 AS VARCHAR)
+             END AS prov FROM documents),
+r AS (SELECT doc_id, text,
+        CAST(nullif(regexp_extract(prov, '(?i)pages?\s+(\d+)(?:\s*[-–]\s*(\d+))?', 1), '') AS INTEGER) AS first_page,
+        nullif(regexp_extract(prov, '(?i)pages?\s+(\d+)(?:\s*[-–]\s*(\d+))?', 2), '') AS last_txt FROM p)
+SELECT doc_id, first_page, coalesce(CAST(last_txt AS INTEGER), first_page) AS last_page,
+       CAST(length(substr(text, (first_page - 1) * 1800 + 1,
+                          (coalesce(CAST(last_txt AS INTEGER), first_page) - first_page + 1) * 1800)) AS INTEGER) AS chunk_chars
+FROM r""",
     "train_eval_split": """
 SELECT conv_id, turn, CASE WHEN conv_id % 100 < 80 THEN 'train' ELSE 'eval' END AS split, role,
        CAST(length(text) AS INTEGER) AS n_chars FROM conversations""",
