@@ -444,4 +444,4 @@ def pass_divergence(preds: DataFrame, spec: ScoringSpec = ScoringSpec()) -> Data
                                       & F.col("a")[k].eqNullSafe(F.col("b")[k])))
     return j.select("file_name", F.size(keys).cast("bigint").alias("n_paths"),
                     F.size(diff).cast("bigint").alias("n_diff"),
-                    (F.size(diff) / F.size(keys)).alias("divergence"))
+                    F.try_divide(F.size(diff).cast("double"), F.size(keys)).alias("divergence"))

@@ -535,10 +535,10 @@ def mode_delta(spark: SparkSession, sf: str) -> DataFrame:
     a = fx.attempts(spark, sf).withColumn("mode", F.when(F.pmod("event_id", F.lit(2)) == 0, "text")
                                            .otherwise("native"))
     q = a.groupBy("user_id").agg(
-        (F.count_if((F.col("mode") == "native") & F.col("correct")) / F.count_if(F.col("mode") == "native"))
-        .alias("native_quality"),
-        (F.count_if((F.col("mode") == "text") & F.col("correct")) / F.count_if(F.col("mode") == "text"))
-        .alias("text_quality"))
+        F.try_divide(F.count_if((F.col("mode") == "native") & F.col("correct")).cast("double"),
+                     F.count_if(F.col("mode") == "native")).alias("native_quality"),
+        F.try_divide(F.count_if((F.col("mode") == "text") & F.col("correct")).cast("double"),
+                     F.count_if(F.col("mode") == "text")).alias("text_quality"))
     return q.withColumn("delta", F.col("native_quality") - F.col("text_quality"))
 
 
@@ -626,10 +626,10 @@ def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
             .when(F.pmod(k, F.lit(3)) == 1, F.upper("p_name")).otherwise(F.col("p_name")))
     g, q = F.col("p_name"), pred
     lev = F.levenshtein(g, q)
-    sim = F.lit(1.0) - lev / F.greatest(F.length(g), F.length(q))
+    sim = F.lit(1.0) - F.try_divide(lev.cast("double"), F.greatest(F.length(g), F.length(q)))
     tg = F.array_distinct(F.split(F.lower(g), " "))
     tq = F.array_distinct(F.split(F.lower(q), " "))
-    jac = F.size(F.array_intersect(tg, tq)) / F.size(F.array_union(tg, tq))
+    jac = F.try_divide(F.size(F.array_intersect(tg, tq)).cast("double"), F.size(F.array_union(tg, tq)))
     return p.select(k.alias("p_partkey"), lev.cast("bigint").alias("distance"), sim.alias("lev_sim"),
                     jac.alias("jaccard"))
 
