@@ -9,11 +9,13 @@ markdown string per ``<table>``) using only the standard library.
 from __future__ import annotations
 
 import html
+import sys
 import time
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 SIDECAR_SCHEMA = ("filename string, success boolean, text string, "
@@ -120,3 +122,8 @@ def convert_documents(df: DataFrame, name_col: str, content_col: str,
                                               "processing_time_s", "error"])
 
     return src.mapInPandas(run, SIDECAR_SCHEMA)
+
+
+# Functions of this module run inside Python workers: ship them by value so
+# executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

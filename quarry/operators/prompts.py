@@ -7,10 +7,12 @@ text, chat messages, JSON extraction — is expressions over columns.
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,3 +157,7 @@ def run_extractor(df: DataFrame, prompt_col: str, key_col: str,
             yield pd.DataFrame({"key": b["key"], "raw_text": texts, "seconds": secs})
 
     return src.mapInPandas(run, f"key {key_type}, raw_text string, seconds double")
+
+
+# ``run_extractor`` runs inside Python workers: ship this module's code by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
