@@ -7,11 +7,12 @@ Contract for inputs (schema-less JSON held as text):
   repeated predictions for one name; the highest wins, J1)
 
 Plan shape: predictions are reduced to one row per ``file_name`` (partial
-aggregation map-side), gold is left-joined on ``file_name`` (one shuffle per
-side), and everything after the join — leaf construction, typed matching,
-per-record slices — is a single narrow projection over higher-order
-functions. No aggregation follows the join, so AQE may split a skewed
-``file_name`` partition freely. Bodies are parsed once per record.
+aggregation map-side) and gold is left-joined on ``(file_name, salt)``, where
+names holding a large share of the records are salted over several buckets
+(``pair_records``). After the join each record's bodies are parsed once,
+higher-order functions list its leaves, ``inline`` turns them into rows, typed
+matching runs as codegen'd row expressions, and a per-record aggregate on
+``(file_name, salt, ...)`` reuses the join's partitioning (no further shuffle).
 """
 
 from __future__ import annotations
