@@ -9,9 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.operators import scoring
+from quarry.functions.records import parse_object
+from quarry.functions.text import is_na, normalise_string, parse_numeric
+from quarry.operators import chunking, convert, corpus, curation, language, ledger, prompts, scoring
 from quarry.plans import fixtures as fx
+from quarry.session import shared_dir
+from quarry.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,12 +82,6 @@ def attempted_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------- curation
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from quarry.functions.records import parse_object  # noqa: E402
-from quarry.functions.text import parse_numeric  # noqa: E402
-from quarry.operators import curation  # noqa: E402
-
 
 def _normalised(spark: SparkSession, sf: str) -> DataFrame:
     return curation.normalise_records(fx.variant_records(spark, sf))
@@ -229,8 +228,6 @@ def sci_notation(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------- corpus
 
-from quarry.operators import convert, corpus  # noqa: E402
-
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.profile(fx.doc_facts(spark, sf))
@@ -358,8 +355,6 @@ def html_table_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------- prompts/responses
 
-from quarry.operators import prompts  # noqa: E402
-
 
 def _fixture_fields(spark: SparkSession, sf: str) -> Column:
     ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
@@ -441,8 +436,6 @@ def stub_extraction(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------- ledger
 
-from quarry.operators import ledger  # noqa: E402
-
 
 @register("cascade_routing")
 def cascade_routing(spark: SparkSession, sf: str) -> DataFrame:
@@ -564,8 +557,6 @@ def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------- chunks/retrieval
 
-from quarry.functions.text import is_na, normalise_string  # noqa: E402
-from quarry.operators import chunking, language  # noqa: E402
 
 CHUNK_SOURCE_BREAK = "\n\n\n\nPage 1 of 9\n"
 
@@ -764,9 +755,6 @@ def schema_chunked_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- streaming
 
-from quarry.session import shared_dir  # noqa: E402
-from quarry.streaming import incremental  # noqa: E402
-
 
 @register("incremental_profile")
 def incremental_profile(spark: SparkSession, sf: str) -> DataFrame:
