@@ -90,3 +90,25 @@ def test_html_tables_become_markdown(spark):
     assert ok.success and ok.text == "Title & more\nAfter"
     assert ok.tables[0].markdown == "| Stage | GWP |\n| --- | --- |\n| A1 | 1.5 |"
     assert not bad.success and bad.error == "empty document"
+
+
+def test_readme_usage_example(spark, scratch):
+    from quarry.operators import scoring
+    gold = [{"file_name": "a.pdf", "Product Name": "Tile", "GWP-TOTAL": {"A1-A3": "4.39", "Unit": "kg CO2e"}},
+            {"file_name": "b.pdf", "Product Name": "Paint", "Standard List": ["EN 15804"]}]
+    os.makedirs(os.path.join(scratch, "gold"))
+    os.makedirs(os.path.join(scratch, "run"))
+    with open(os.path.join(scratch, "gold", "clean.json"), "w") as f:
+        json.dump(gold, f, indent=2)
+    with open(os.path.join(scratch, "run", "part.jsonl"), "w") as f:
+        f.write(json.dumps({"_orig_index": 1, "file_name": "a.pdf", "Product Name": "tile",
+                            "GWP-TOTAL": {"A1-A3": "4.4", "Unit": "kg CO2e"}}) + "\n")
+    g = R.read_record_array(spark, os.path.join(scratch, "gold", "clean.json"))
+    p = R.read_record_lines(spark, os.path.join(scratch, "run")).selectExpr(
+        "file_name", "coalesce(orig_index, 0) AS seq", "body")
+    records = scoring.score_records(g, p)
+    got = {r.file_name: r for r in records.collect()}
+    assert got["a.pdf"].f1_overall == 1.0 and not got["a.pdf"].schema_valid
+    assert got["b.pdf"].f1_overall == 0.0 and not got["b.pdf"].has_prediction
+    summary = scoring.summary_row(records, "m", 0.0, 812.0).first()
+    assert summary.f1_overall == 0.5 and summary.latency_s_per_record == 406.0
