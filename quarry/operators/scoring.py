@@ -330,6 +330,8 @@ def score_records(gold: DataFrame, preds: DataFrame, spec: ScoringSpec = Scoring
                   names: DataFrame | None = None) -> DataFrame:
     """M5/A2: one row per gold record with the six F1 slices and validity.
 
+    ``orig_index`` must be unique per gold record (it is the record key).
+
     Leaves are generated per record and matched with row-level expressions;
     the per-record aggregate groups by ``(file_name, salt)`` first, which the
     join already partitioned on, so it adds no exchange after a sort-merge join.

@@ -38,10 +38,16 @@ def read_record_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_record_lines(spark: SparkSession, path: str, index_key: str = "_orig_index") -> DataFrame:
-    """S1 (scalable form): JSON Lines, one record per line, index taken from ``index_key``."""
+    """S1 (scalable form): JSON Lines, one record per line, index taken from ``index_key``.
+
+    Scoring needs a unique ``orig_index`` per record. Lines without the key get a
+    deterministic 63-bit hash of (source file, line text) instead of null, so
+    records never merge; identical lines in one file share it.
+    """
     raw = spark.read.text(path).where(F.trim("value") != "")
     idx = parse_object(F.col("value"))[F.lit(index_key)].try_cast("bigint")
-    recs = raw.select(idx.alias("orig_index"), F.col("value").alias("body"))
+    fallback = F.xxhash64(F.col("_metadata.file_path"), F.col("value")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    recs = raw.select(F.coalesce(idx, fallback).alias("orig_index"), F.col("value").alias("body"))
     return _with_name(recs).select("orig_index", "file_name", "body")
 
 

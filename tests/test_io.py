@@ -112,3 +112,12 @@ def test_readme_usage_example(spark, scratch):
     assert got["b.pdf"].f1_overall == 0.0 and not got["b.pdf"].has_prediction
     summary = scoring.summary_row(records, "m", 0.0, 812.0).first()
     assert summary.f1_overall == 0.5 and summary.latency_s_per_record == 406.0
+
+
+def test_record_lines_without_index_stay_distinct(spark, scratch):
+    path = os.path.join(scratch, "lines")
+    os.makedirs(path)
+    with open(os.path.join(path, "a.jsonl"), "w") as f:
+        f.write('{"file_name": "x.pdf", "A": "1"}\n{"file_name": "x.pdf", "A": "2"}\n\n')
+    recs = R.read_record_lines(spark, path).collect()
+    assert len(recs) == 2 and len({r.orig_index for r in recs}) == 2 and all(r.orig_index >= 0 for r in recs)
