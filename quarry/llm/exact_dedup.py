@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.skew import materialise, salted_join
+from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join
 
 
 def content_digest(text: Column) -> Column:
@@ -54,7 +54,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _differing(keyed: DataFrame, groups: DataFrame, total: int, spread: list[Column]) -> DataFrame:
     """Rows whose bytes differ from those of their group's keeper (hash collisions)."""
-    shared = materialise(salted_join(keyed, groups, ["_h"], spread, "_n", total), "digest-copies")
+    thinned = maybe_in(keyed, "_h", key_bitmap(groups, "_h"))  # texts of single rows stay where they are
+    shared = materialise(salted_join(thinned, groups, ["_h"], spread, "_n", total), "digest-copies")
     keepers = (shared.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_h", "_n")
                .agg(F.min("_text").alias("_kept_text")))
     return (salted_join(shared.drop("_n", "_keep"), keepers, ["_h"], spread, "_n", total)

@@ -36,3 +36,27 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
              .drop("_salts"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def key_bitmap(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
+    """(bucket, bitmap): a set of hashed keys in at most ``bits`` bits (8 MB), for ``maybe_in``."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    return (keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap")))
+
+
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 1 << 26, invert: bool = False) -> DataFrame:
+    """Rows whose key is in the bitmap's set, and some others: thins rows out before a join.
+
+    ``invert`` gives the rest instead: rows whose key is certainly not in the set.
+
+    The bitmap is broadcast; its size is bounded by ``bits``. As the set outgrows it, more
+    other rows stay, and the join that follows still decides.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    spot = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr("_bitmap", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.pow(F.lit(2), spot % 8).cast("int")) != 0
+    keep = F.coalesce(~found, F.lit(True)) if invert else found
+    return (df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
+            .where(keep).drop("_bucket", "_bitmap"))
