@@ -1,15 +1,31 @@
-"""Shared helpers: written tables in the shared folder, joins that split hot keys."""
+"""Shared helpers: written tables in the shared folder, joins that split hot keys, worker caches."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+import types
+from collections.abc import Callable, Sequence
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import shared_dir
 
 
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """An object that lives as long as the Python worker process, across its tasks.
+
+    Task code travels by value, so its own module globals are new in every task; the cache
+    therefore hangs on a module entry of the process.
+    """
+    holder = sys.modules.setdefault("_quarry_worker_cache", types.ModuleType("_quarry_worker_cache"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
     path = shared_dir(df.sparkSession, name)
@@ -60,3 +76,6 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 1 << 26, in
     keep = F.coalesce(~found, F.lit(True)) if invert else found
     return (df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
             .where(keep).drop("_bucket", "_bitmap"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,8 +2,8 @@
 
 The tokenizer in use drops white space and never joins characters across it, so a text's ids
 are the ids of its space-separated pieces in order. Pieces repeat, so a worker asks the
-library for each distinct piece once and keeps the answer in a bounded table; a piece that
-is not in the table is encoded again, the result is the same. ``tests/llm`` compares this
+library for each distinct piece once and keeps the answer in a bounded table; once the table is full,
+further pieces are encoded when they come, with the same result. ``tests/llm`` compares this
 with encoding whole texts.
 
 The file layout is Parquet: one row per document, ids in an integer list column, rows in
@@ -28,8 +28,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KNOWN_PIECES = 400_000  # pieces kept per worker; more are encoded again
-_workers: dict[str, "PieceEncoder"] = {}
+from quarry.llm.skew import materialise, worker_cache
+
+KNOWN_PIECES = 400_000  # pieces kept per worker; others are encoded when they come
+_MARKS = b".,!?;:"
 
 
 class PieceEncoder:
@@ -48,27 +50,45 @@ class PieceEncoder:
             while end < len(texts) and size < 1 << 20:
                 size += len(texts[end])
                 end += 1
-            cut = [t.split() for t in texts[at:end]]  # bytes.split: ASCII white space only
+            # The vocabulary is lower-case. ASCII letters are lowered here, unless a combining
+            # mark (lead byte CC) could compose with one before the tokenizer lowers it.
+            # bytes.split cuts at ASCII white space only.
+            cut = [(t if b"\xcc" in t else t.lower()).split() for t in texts[at:end]]
             known = self.known
-            new = list(set().union(*cut).difference(known))
+            new = set().union(*cut).difference(known)
             if new:
-                if len(known) + len(new) > KNOWN_PIECES:
-                    known = self.known = {}
-                    new = list(set().union(*cut))
-                found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-                known.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
+                found = self._new_pieces(new)
+                if len(known) + len(found) <= KNOWN_PIECES:
+                    known.update(found)
+                else:
+                    known = {**{p: known[p] for p in set().union(*cut).intersection(known)}, **found}
             for pieces in cut:
                 yield b"".join([known[p] for p in pieces])
             at = end
 
+    def _new_pieces(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces; closing marks after a letter are a token run of their own."""
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for piece in new:
+            core = piece.rstrip(_MARKS)
+            if core and core != piece and (core[-1:].isalpha() or core.decode()[-1].isalpha()):
+                parts[piece] = (core, piece[len(core):])
+        wanted = {p for p in new if p not in parts}.union(*parts.values()) if parts else new
+        ask = [p for p in wanted if p not in self.known]
+        got = self.tokenizer.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)
+        ids = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(ask, got)}
+        look = lambda p: ids[p] if p in ids else self.known[p]
+        return {p: look(parts[p][0]) + look(parts[p][1]) if p in parts else ids[p] for p in new}
+
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and vocabulary file."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _workers:
-        _workers[path] = PieceEncoder(path)
-    return _workers[path]
+    encoders = worker_cache("encoders", dict)
+    if path not in encoders:
+        encoders[path] = PieceEncoder(path)
+    return encoders[path]
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -154,7 +174,6 @@ def token_index(spark, out: str) -> DataFrame:
                 [batch.column("file"), batch.column("doc_id"), pa.array(np.diff(ends).astype("int64")),
                  pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
 
-    from quarry.llm.skew import materialise
     rows = spark.read.parquet(out).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
     read = materialise(rows.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
     per_file = read.groupBy("file").agg(F.sum("n_tokens").alias("_sum"))
