@@ -35,23 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join, worker_cache
+from quarry.llm.skew import hashed_tokens, key_bitmap, materialise, maybe_in, salted_join, worker_cache
 
 COLLECTIONS, ROWS = 14, 2
-KNOWN_WORDS = 1_000_000  # word hashes kept per worker
+KNOWN_WORDS = 800_000  # word hashes kept per worker
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 
 
-class _Words(dict):
-    """word -> 64-bit hash, computed once per distinct word and worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-        value = xxh3_64_intdigest(word)
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value
-        return value
+def _hash8(word: bytes) -> bytes:
+    from xxhash import xxh3_64_intdigest
+    return xxh3_64_intdigest(word).to_bytes(8, "little")
 
 
 _MULT = np.random.default_rng(20_240_501).integers(1, 2 ** 63, 64, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -62,8 +55,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     words = text.lower().split()  # bytes: ASCII case and white space only
     if not words:
         return np.empty(0, "u8")
-    known = worker_cache("near_words", _Words)
-    h = np.fromiter(map(known.__getitem__, words), "u8", len(words))
+    h = hashed_tokens(words, worker_cache("near_words", dict), _hash8, KNOWN_WORDS)
     span = min(k, len(h))
     mixed = np.zeros(len(h) - span + 1, "u8")
     for j in range(span):

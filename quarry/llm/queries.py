@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_trees, exact_dedup, secret_scan, token_ids, url_rules
+from quarry.llm import (
+    chat_trees, decontaminate, exact_dedup, near_dup, packing, secret_scan, token_ids, toxicity, unit_dedup, url_rules,
+)
 from quarry.llm.skew import materialise
 from quarry.session import shared_dir
 
@@ -24,11 +26,37 @@ def vocabulary() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, one row per document and item."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and decision for every document, by a model fitted on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_severity(docs, toxicity.fit_severity(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: pattern counts and digest, all spans."""
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 4-word shingles, similarity 0.8."""
+    return near_dup.near_groups(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document: removed spans, and what stays."""
+    return unit_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (end id 2) packed into sequences of at most 4096 tokens, one row per piece."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=2)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document (end id 1), write the token files, and index them from the files."""
     out = shared_dir(spark, "token-files")
@@ -59,5 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_scan, op7_token_files, op8_exact_dedup, op9_url_filter, op10_chat_format)}
+    f.__name__: f for f in (
+        op1_decontaminate, op2_toxicity, op3_secret_scan, op4_near_dedup, op5_unit_dedup, op6_packing,
+        op7_token_files, op8_exact_dedup, op9_url_filter, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}

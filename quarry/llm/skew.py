@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return getattr(holder, name)
 
 
+def hashed_tokens(tokens: list[bytes], known: dict[bytes, bytes], hash8: Callable[[bytes], bytes], most: int) -> np.ndarray:
+    """``hash8`` of every token as an array; ``known`` keeps the answers, up to ``most`` of them."""
+    new = set(tokens).difference(known)
+    if len(known) + len(new) > most:
+        known.clear()
+        new = set(tokens)
+    known.update((t, hash8(t)) for t in new)
+    return np.frombuffer(b"".join([known[t] for t in tokens]), "<u8")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
     path = shared_dir(df.sparkSession, name)
