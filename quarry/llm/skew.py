@@ -29,12 +29,15 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
 
 def hashed_tokens(tokens: list[bytes], known: dict[bytes, bytes], hash8: Callable[[bytes], bytes], most: int) -> np.ndarray:
     """``hash8`` of every token as an array; ``known`` keeps the answers, up to ``most`` of them."""
-    new = set(tokens).difference(known)
-    if len(known) + len(new) > most:
-        known.clear()
-        new = set(tokens)
-    known.update((t, hash8(t)) for t in new)
-    return np.frombuffer(b"".join([known[t] for t in tokens]), "<u8")
+    got = list(map(known.get, tokens))
+    if None in got:
+        for k, value in enumerate(got):
+            if value is None:
+                token = tokens[k]
+                value = got[k] = known.get(token) or hash8(token)
+                if len(known) < most:
+                    known[token] = value
+    return np.frombuffer(b"".join(got), "<u8")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
