@@ -66,21 +66,26 @@ def best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[f
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3,
-                   rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
+                   rounds: int = 20_000, stall: int = 200) -> list[tuple[np.ndarray, float]]:
     """(pattern, fractional count) of the cutting-stock linear program, by column generation.
 
     Revised simplex: the basis holds one pattern per size, starting with sequences of one
     size each. It ends when no pattern prices above 1, or within ``gap`` (or half a sequence)
-    of the material bound, the summed lengths over the capacity.
+    of the material bound, the summed lengths over the capacity, or after ``stall`` rounds
+    without gain (small histograms are degenerate); what it has is then still feasible.
     """
     m = len(sizes)
     least = float(sizes @ demand) / capacity
     patterns = np.diag((capacity // sizes).astype(float))  # columns
     inverse = np.diag(1.0 / np.diag(patterns))
     count = inverse @ demand
+    record, since = np.inf, 0
     for k in range(rounds):
         price, column = best_pattern(sizes, inverse.sum(axis=0), capacity)
         total = count.sum()
+        record, since = (total, 0) if total < record * (1 - 1e-6) else (record, since + 1)
+        if since > stall:
+            break
         if price <= 1 + 1e-9 or total <= least + max(0.5, gap * least):
             break
         step = inverse @ column
