@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import (
     chat_trees, decontaminate, exact_dedup, near_dup, packing, secret_scan, token_ids, toxicity, unit_dedup, url_rules,
 )
+from quarry.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from quarry.llm.skew import materialise
 from quarry.session import shared_dir
 
@@ -90,4 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_toxicity, op3_secret_scan, op4_near_dedup, op5_unit_dedup, op6_packing,
         op7_token_files, op8_exact_dedup, op9_url_filter, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
