@@ -29,7 +29,7 @@ TURN_OPEN, TURN_CLOSE = "### ", "</turn>\n"
 def escape(text: Column) -> Column:
     """Reversible: afterwards neither control string occurs, and every backslash starts a pair."""
     out = F.replace(text, F.lit("\\"), F.lit("\\s"))
-    out = F.replace(out, F.lit("###"), F.lit("\\h##"))
+    out = F.replace(out, F.lit("##"), F.lit("\\h#"))
     return F.replace(out, F.lit("</turn>"), F.lit("\\l/turn>"))
 
 

@@ -41,7 +41,7 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits); two differing bits
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCK_ITEMS = 5_000
 SEGMENT_WORDS = 1 << 16
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 
 
 def token_hash(token: bytes) -> bytes:

@@ -38,7 +38,7 @@ from quarry.llm.components import components
 from quarry.llm.skew import hashed_tokens, key_bitmap, materialise, maybe_in, salted_join, worker_cache
 
 COLLECTIONS, ROWS = 14, 2
-KNOWN_WORDS = 800_000  # word hashes kept per worker
+KNOWN_WORDS = 200_000  # word hashes kept per worker
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 
 

@@ -16,8 +16,8 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 marked AS (
-  SELECT *, replace(replace(replace(role, '\\', '\\s'), '###', '\\h##'), '</turn>', '\\l/turn>') AS erole,
-            replace(replace(replace(text, '\\', '\\s'), '###', '\\h##'), '</turn>', '\\l/turn>') AS etext FROM rows)
+  SELECT *, replace(replace(replace(role, '\\', '\\s'), '##', '\\h#'), '</turn>', '\\l/turn>') AS erole,
+            replace(replace(replace(text, '\\', '\\s'), '##', '\\h#'), '</turn>', '\\l/turn>') AS etext FROM rows)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

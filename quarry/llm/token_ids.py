@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.skew import materialise, worker_cache
 
-KNOWN_PIECES = 400_000  # pieces kept per worker; others are encoded when they come
+KNOWN_PIECES = 300_000  # pieces kept per worker; others are encoded when they come
 _MARKS = b".,!?;:"
 
 

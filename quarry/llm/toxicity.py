@@ -37,7 +37,7 @@ from quarry.llm.skew import materialise, worker_cache
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 MAX_FEATURES = 4_096
 GRADES = 3
-KNOWN_TOKENS = 500_000
+KNOWN_TOKENS = 250_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
