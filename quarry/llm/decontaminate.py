@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-Items are grouped into size classes; a class of ``w`` words covers items of w up to a quarter
-more. Every window of w words of every document gets a 64-bit SimHash of its words, from
+Items are grouped into size classes; a class of ``w`` words covers items of w up to half as
+many more. Every window of w words of every document gets a 64-bit SimHash of its words, from
 running bit sums, so a window costs the same whatever its size. An item is filed by its
 first and by its last w words. The fingerprints are cut into blocks: two fingerprints within
 ``RADIUS`` bits agree in some block up to RADIUS // BLOCKS bits, so an item is filed under every such
@@ -77,10 +77,10 @@ def bit_sums(words: np.ndarray, largest: int) -> np.ndarray:
 
 
 def size_classes(sizes: list[int]) -> list[int]:
-    """Window sizes: each item has one of at most its own size, and more than four fifths of it."""
+    """Window sizes: each item has one of at most its own size, and at least two thirds of it."""
     out: list[int] = []
     for n in sorted(set(sizes)):
-        if not out or n > out[-1] * 5 // 4:
+        if not out or n > out[-1] * 3 // 2:
             out.append(n)
     return out
 
@@ -227,7 +227,7 @@ class _Matcher:
                 inside = doc[window] == doc[window + c.w - 1]
                 inside &= offset[window + c.w - 1] - offset[window] == c.w - 1
                 # the exact check can only succeed where some shingle of an item stands
-                low, high = np.maximum(window - c.w // 4 - 2, 0), np.minimum(window + c.w + c.w // 4 + 2, len(words))
+                low, high = np.maximum(window - c.w // 2 - 2, 0), np.minimum(window + c.w + c.w // 2 + 2, len(words))
                 inside &= (marked[high] > marked[low]) | self.short[c.owner[e]]
                 for s, k in zip(window[inside].tolist(), e[inside].tolist()):
                     d, item = int(doc[s]), int(c.owner[k])
