@@ -41,19 +41,24 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits); two differing bits
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCK_ITEMS = 5_000
 SEGMENT_WORDS = 1 << 16
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 500_000
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def token_hash(token: bytes) -> bytes:
     """64-bit hash, as 8 bytes, of a space-separated token's word; zeros if it has no letter or digit."""
     from xxhash import xxh3_64_intdigest
-    word = token.decode("utf-8", "replace").casefold()
-    first, last = 0, len(word)
-    while first < last and not word[first].isalnum():
-        first += 1
-    while last > first and not word[last - 1].isalnum():
-        last -= 1
-    return ((xxh3_64_intdigest(word[first:last].encode()) or 1) if last > first else 0).to_bytes(8, "little")
+    if token.isascii():
+        word = token.strip(_MARKS).lower()
+    else:
+        text = token.decode("utf-8", "replace").casefold()
+        first, last = 0, len(text)
+        while first < last and not text[first].isalnum():
+            first += 1
+        while last > first and not text[last - 1].isalnum():
+            last -= 1
+        word = text[first:last].encode()
+    return ((xxh3_64_intdigest(word) or 1) if word else 0).to_bytes(8, "little")
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
