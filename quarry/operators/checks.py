@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def expect_rows(df: DataFrame, expected: int, label: str = "rows") -> DataFrame:
-    """Fail when ``df`` does not have exactly ``expected`` rows.
+    """Fail when ``df`` does not have exactly ``expected`` rows, none included.
 
-    The count is a window-free scalar subquery checked by ``assert_true`` on
-    every row, so the check runs inside the same job as the consumer.
+    The count is checked on its own one-row aggregate, which adds no row to the result, so
+    an empty input is checked like any other and the check runs in the consumer's job.
     """
-    n = df.select(F.count(F.lit(1))).scalar()
-    msg = f"expected {expected} {label}"
-    return df.where(F.assert_true(n == F.lit(expected), F.lit(msg)).isNull())
+    failed = F.concat(F.lit(f"expected {expected} {label}, found "), F.col("n").cast("string"))
+    check = (df.agg(F.count(F.lit(1)).alias("n"))
+             .where(F.when(F.col("n") == expected, F.lit(False)).otherwise(F.raise_error(failed).isNotNull())))
+    return df.unionByName(check.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))

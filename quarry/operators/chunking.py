@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from quarry.functions.text import py_strip
 
 # Page markers and newline runs removed by cleaning.
-PAGE_MARKER = r"(?m)^Page \d+ of \d+[ \t]*$"
+PAGE_MARKER = r"Page \d+ of \d+"
 NEWLINE_RUN = r"\n{3,}"
 
 
 def clean_text(text: Column) -> Column:
-    """Drop ``Page n of m`` lines, collapse 3+ newlines to 2, strip."""
-    return py_strip(F.regexp_replace(F.regexp_replace(text, PAGE_MARKER, ""), NEWLINE_RUN, "\n\n"))
+    """Collapse 3+ newlines to 2, then drop ``Page n of m`` anywhere, strip."""
+    return py_strip(F.regexp_replace(F.regexp_replace(text, NEWLINE_RUN, "\n\n"), PAGE_MARKER, ""))
 
 
 def silent_failure(text: Column, min_chars: int = 100) -> Column:

@@ -103,7 +103,7 @@ def html_to_sidecar(name: str, page: str | None) -> dict:
         out["page_count"] = 1
         out["success"] = True
     except Exception as e:  # per-row failure is data
-        out["error"] = str(e)[:300]
+        out["error"] = str(e)
     out["processing_time_s"] = time.perf_counter() - t0
     return out
 

@@ -15,12 +15,11 @@ from quarry.functions.text import name_key, py_strip, stem_candidates, truncate
 # Fixed values of the profiling rules (must equal the reference).
 # --------------------------------------------------------------------------
 SCAN_CHAR_THRESHOLD = 80       # chars per page below which a document is "scanned"
-LANG_SAMPLE_CHARS = 2000       # language sample: first 2000 characters, stripped
-LANG_MIN_SAMPLE = 50           # ... longer than 50 characters
+LANG_MIN_CHARS = 50            # a language is only reported for a stripped text longer than this
 LANG_ESCAPES = ("en", "unknown", "insufficient_text")
 TIERS = ("Simple", "Medium", "Hard")
 HARD_PAGES, MEDIUM_PAGES, MEDIUM_TABLES = 15, 8, 4
-ERROR_CHARS = 200
+REASON_CHARS = 80              # error preview in a skip listing
 
 
 def native_vs_scanned(chars_per_page: Column, read_ok: Column) -> Column:
@@ -29,15 +28,10 @@ def native_vs_scanned(chars_per_page: Column, read_ok: Column) -> Column:
             .when(chars_per_page >= SCAN_CHAR_THRESHOLD, F.lit("native")).otherwise(F.lit("scanned")))
 
 
-def language_sample(text: Column) -> Column:
-    """First 2000 characters, stripped."""
-    return py_strip(F.substring(text, 1, LANG_SAMPLE_CHARS))
-
-
 def gated_language(text: Column, detected: Column, read_ok: Column) -> Column:
-    """Detected language only when the sample is long enough."""
+    """Detected language only when the whole stripped text is long enough."""
     return (F.when(~read_ok, F.lit("unknown"))
-            .when(F.length(language_sample(text)) > LANG_MIN_SAMPLE, F.coalesce(detected, F.lit("unknown")))
+            .when(F.length(py_strip(text)) > LANG_MIN_CHARS, F.coalesce(detected, F.lit("unknown")))
             .otherwise(F.lit("insufficient_text")))
 
 
@@ -70,8 +64,8 @@ def profile(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.col("tagged"),
         gated_language(F.col("text"), F.col("detected_lang"), F.col("read_ok")).alias("language"),
         F.col("docling_success"), F.col("table_count").cast("int").alias("table_count"),
-        truncate(F.col("pymupdf_error"), ERROR_CHARS).alias("pymupdf_error"),
-        truncate(F.col("docling_error"), ERROR_CHARS).alias("docling_error"),
+        F.col("pymupdf_error"),
+        F.col("docling_error"),
     )
     return out.withColumn("complexity_tier", complexity_tier(
         F.col("native_vs_scanned"), F.col("docling_success"), F.col("language"),
@@ -128,14 +122,22 @@ def remaining(candidates: DataFrame, done: DataFrame, key: str = "filename") ->
 
 
 def usable_sidecars(resolved: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """usable = resolved stem with a successful sidecar; skips keep a reason."""
+    """usable = resolved stem with a successful sidecar; skips keep a reason.
+
+    ``reason`` previews the error, ``error`` keeps all of it. Names without a stem pass
+    around the join, so they are not gathered under the null key.
+    """
     s = sidecars.select("stem", "success", "error")
-    j = resolved.join(s, resolved.resolved_stem == s.stem, "left")
+    found = resolved.where(F.col("resolved_stem").isNotNull())
+    j = found.join(s, found.resolved_stem == s.stem, "left").select("gold_name", "resolved_stem", "success", "error")
+    none = resolved.where(F.col("resolved_stem").isNull()).select(
+        "gold_name", "resolved_stem", F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("string").alias("error"))
+    j = j.unionByName(none)
     status = (F.when(F.col("resolved_stem").isNull(), F.lit("no_sidecar"))
               .when(~F.col("success"), F.lit("failed_sidecar")).otherwise(F.lit("usable")))
     reason = (F.when(F.col("resolved_stem").isNull(), F.lit("PDF missing or not preprocessed"))
-              .when(~F.col("success"), F.concat(F.lit("success=False: "), truncate(F.col("error"), 80))))
-    return j.select("gold_name", "resolved_stem", status.alias("status"), reason.alias("reason"))
+              .when(~F.col("success"), F.concat(F.lit("success=False: "), truncate(F.col("error"), REASON_CHARS))))
+    return j.select("gold_name", "resolved_stem", status.alias("status"), reason.alias("reason"), "error")
 
 
 def table_stats(sidecars: DataFrame) -> DataFrame:

@@ -1,28 +1,45 @@
 """Run ledger and model-routing analytics: cascades, sweeps, Pareto, votes.
 
 Per-document work groups by document (a handful of attempts each); grid
-sweeps replicate rows with ``explode(sequence)`` rather than a join, and the
-only global orderings run over already-aggregated, grid-sized tables.
+sweeps evaluate every grid point inside one row per document, and the only
+global orderings run over already-aggregated, grid-sized tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.skew import exact_quantiles
 from quarry.functions.text import exact_sum, normalise_string
 
 
-def cascade(attempts: DataFrame, threshold: Column | float, doc: str = "doc", tier: str = "tier",
+Thresholds = float | Mapping[int, float]
+
+
+def tier_threshold(tier: Column, thresholds: Thresholds) -> Column:
+    """The threshold of a tier: one number for all, or one per tier (0 where none is given)."""
+    if isinstance(thresholds, (int, float)):
+        return F.lit(float(thresholds))
+    out = F.lit(0.0)
+    for t, x in thresholds.items():
+        out = F.when(tier == t, F.lit(float(x))).otherwise(out)
+    return out
+
+
+def cascade(attempts: DataFrame, thresholds: Thresholds, doc: str = "doc", tier: str = "tier",
             conf: str = "confidence") -> DataFrame:
-    """Accept the first tier whose confidence passes; the last tier always accepts.
+    """Accept the first tier whose confidence is above its threshold; the last tier always accepts.
 
     Cost and latency accumulate over every tier tried up to the accepted one.
     Expects ``doc, tier, confidence, correct, price (decimal), latency (decimal)``.
     """
-    th = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
     w = Window.partitionBy(doc)
-    acc = F.coalesce(F.min(F.when(F.col(conf) >= th, F.col(tier))).over(w), F.max(tier).over(w))
+    passes = F.col(conf) > tier_threshold(F.col(tier), thresholds)
+    acc = F.coalesce(F.min(F.when(passes, F.col(tier))).over(w), F.max(tier).over(w))
     a = attempts.withColumn("accepted_tier", acc)
     tried = F.col(tier) <= F.col("accepted_tier")
     return a.groupBy(doc).agg(
@@ -32,19 +49,51 @@ def cascade(attempts: DataFrame, threshold: Column | float, doc: str = "doc", ti
         F.sum(F.when(tried, F.col("latency"))).alias("latency"))
 
 
-def threshold_sweep(attempts: DataFrame, steps: int = 10, budget: float | None = None) -> DataFrame:
-    """The cascade at thresholds 0, 1/steps, ..., 1 — rows are replicated per grid
-    point with ``explode(sequence)`` (no join), then routed and summarised per threshold."""
-    grid = (attempts.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-            .withColumn("threshold", F.col("step") / F.lit(float(steps))).drop("step"))
-    w = Window.partitionBy("threshold", "doc")
-    acc = F.coalesce(F.min(F.when(F.col("confidence") >= F.col("threshold"), F.col("tier"))).over(w),
-                     F.max("tier").over(w))
-    g = grid.withColumn("accepted_tier", acc)
-    per_doc = g.groupBy("threshold", "doc").agg(
-        F.max(F.when(F.col("tier") == F.col("accepted_tier"), F.col("correct"))).alias("correct"),
-        F.sum(F.when(F.col("tier") <= F.col("accepted_tier"), F.col("price"))).alias("cost"))
-    out = per_doc.groupBy("threshold").agg(
+@dataclass(frozen=True)
+class CascadeConfig:
+    """One point of the sweep: tiers in the order they are tried, a threshold for each."""
+    name: str
+    step: float
+    order: tuple[int, ...]
+    thresholds: tuple[float, ...]
+
+
+def sweep_grid(orders: Mapping[str, Sequence[int]], steps: int = 10, decay: float = 0.05) -> list[CascadeConfig]:
+    """Every order at start thresholds 0, 1/steps, ..., 1; each later tier asks ``decay`` less."""
+    return [CascadeConfig(name, k / steps, tuple(order), tuple(max(k / steps - decay * i, 0.0) for i in range(len(order))))
+            for name, order in orders.items() for k in range(steps + 1)]
+
+
+def threshold_sweep(attempts: DataFrame, grid: Sequence[CascadeConfig], budget: float | None = None) -> DataFrame:
+    """Cascade outcome per tier order and threshold set.
+
+    Each document is reduced once to one row with its attempt per tier; every grid point is
+    then evaluated inside that row and summed map-side, so only grid-sized rows shuffle.
+    Documents lacking a tier skip it; the last tier tried accepts.
+    """
+    tiers = sorted({t for c in grid for t in c.order})
+    per_doc = attempts.groupBy("doc").agg(*[
+        F.max(F.when(F.col("tier") == t, F.struct("confidence", "correct", "price"))).alias(f"t{t}") for t in tiers])
+
+    at = {t: k for k, t in enumerate(tiers)}
+    tries = F.array(*[F.col(f"t{t}") for t in tiers])
+    points_of = F.array(*[F.struct(
+        F.lit(c.name).alias("tier_order"), F.lit(c.step).alias("threshold"),
+        F.array(*[F.struct(F.lit(at[t]).alias("at"), F.lit(x).alias("least")) for t, x in zip(c.order, c.thresholds)])
+        .alias("asks")) for c in grid])
+
+    def ask(state: Column, x: Column) -> Column:
+        a = F.get(F.col("tries"), x["at"])
+        tried = F.struct((a["confidence"] > x["least"]).alias("done"), a["correct"].alias("correct"),
+                         (state["cost"] + a["price"]).cast("decimal(20,4)").alias("cost"))
+        return F.when(a.isNull() | state["done"], state).otherwise(tried)
+
+    start = F.struct(F.lit(False).alias("done"), F.lit(None).cast("boolean").alias("correct"),
+                     F.lit(0).cast("decimal(20,4)").alias("cost"))
+    each = per_doc.select(tries.alias("tries"), F.explode(points_of).alias("point"))
+    points = (each.select("point.tier_order", "point.threshold", F.aggregate("point.asks", start, ask).alias("end"))
+              .select("tier_order", "threshold", "end.correct", "end.cost").where(F.col("correct").isNotNull()))
+    out = points.groupBy("tier_order", "threshold").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_docs"),
         (F.count_if("correct") / F.count(F.lit(1))).alias("accuracy"),
         F.sum("cost").cast("double").alias("total_cost"))
@@ -54,23 +103,23 @@ def threshold_sweep(attempts: DataFrame, steps: int = 10, budget: float | None =
     return out
 
 
-def pareto_frontier(points: DataFrame, cost: str, quality: str, tiebreak: str) -> DataFrame:
+def pareto_frontier(points: DataFrame, cost: str, quality: str, tiebreak: str | Sequence[str]) -> DataFrame:
     """Keep points that strictly improve quality over every cheaper point.
 
     ``points`` is an aggregated, grid-sized table (one row per configuration).
     """
-    w = Window.orderBy(F.col(cost), F.col(quality).desc(), F.col(tiebreak)).rowsBetween(
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    w = Window.orderBy(F.col(cost), F.col(quality).desc(), *ties).rowsBetween(
         Window.unboundedPreceding, -1)
     best_before = F.max(quality).over(w)
     return points.withColumn("_best", best_before).where(
         F.col("_best").isNull() | (F.col(quality) > F.col("_best"))).drop("_best")
 
 
-def latency_percentiles(df: DataFrame, group: str, value: str, accuracy: int = 100_000) -> DataFrame:
-    """p50 / p95 per group with a bounded-memory sketch (exact below ``accuracy`` rows)."""
-    q = F.percentile_approx(value, [0.5, 0.95], accuracy)
-    return df.groupBy(group).agg(q.alias("q"), F.count(F.lit(1)).cast("bigint").alias("n")).select(
-        group, "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+def latency_percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
+    """p50 / p95 per group (discrete percentiles), exact at any size."""
+    q = exact_quantiles(df, [group], value, [0.5, 0.95])
+    return q.select(group, F.col("n").cast("bigint").alias("n"), F.col("q0").alias("p50"), F.col("q1").alias("p95"))
 
 
 def majority_vote(samples: DataFrame, key: str, answer: str) -> DataFrame:
@@ -89,7 +138,7 @@ def semantic_entropy(samples: DataFrame, key: str, answer: str) -> DataFrame:
     p = F.col("c") / F.sum("c").over(w)
     return counts.withColumn("p", p).groupBy(key).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_clusters"),
-        exact_sum(-F.col("p") * F.log(F.col("p"))).alias("entropy"))
+        exact_sum(-F.col("p") * F.log(F.col("p")), 12).alias("entropy"))
 
 
 def calibration_bins(df: DataFrame, conf: str, correct: str, bins: int = 10) -> DataFrame:
@@ -102,8 +151,8 @@ def calibration_bins(df: DataFrame, conf: str, correct: str, bins: int = 10) ->
 
 
 def expected_calibration_error(bins_df: DataFrame) -> DataFrame:
-    """ECE = sum(n_b * gap_b) / N over bins (fixed-point sum, order-independent)."""
-    return bins_df.agg((exact_sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"),
+    """ECE = sum(n_b * gap_b) / N over bins (decimal sum, order-independent)."""
+    return bins_df.agg((exact_sum(F.col("n") * F.col("gap"), 9) / F.sum("n")).alias("ece"),
                        F.sum("n").cast("bigint").alias("n"))
 
 

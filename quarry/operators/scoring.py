@@ -72,14 +72,15 @@ class ScoringSpec:
     unit_key: str = UNIT_KEY
     rtol: float = NUMERIC_RTOL
     atol: float = NUMERIC_ATOL
+    either: bool = False  # accept the relative or the absolute tolerance, not their sum
 
 
 # ---------------------------------------------------------------- joins
 
 def latest_predictions(preds: DataFrame) -> DataFrame:
-    """One prediction per ``file_name``, the one with the highest ``seq``."""
+    """One prediction per ``file_name``, the one with the highest ``seq`` (equal ones: greatest body)."""
     return (preds.groupBy("file_name")
-            .agg(F.max_by("body", "seq").alias("pred_body")))
+            .agg(F.max_by("body", F.struct("seq", "body")).alias("pred_body")))
 
 
 def unmatched_predictions(gold: DataFrame, preds: DataFrame) -> DataFrame:
@@ -292,14 +293,15 @@ def typed_leaves(raw: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame
                         F.when(numeric, parse_numeric(F.col("pred_value"))).alias("_p"))
     is_list = F.col("category") == "list"
     gold_v, pred_v, g, p = F.col("gold_value"), F.col("pred_value"), F.col("_g"), F.col("_p")
-    # Identical text matches without parsing or folding — except numeric NaN/inf,
-    # which never equal themselves under the tolerance test.
-    same = (pred_v == gold_v) & ~(numeric & (F.lower(gold_v).contains("nan") | F.lower(gold_v).contains("inf")))
+    # Identical text matches without folding, except numbers that parse to NaN or infinity
+    # (also by overflow), which never equal themselves under the tolerance test.
+    finite = g.isNull() | (F.abs(g) < F.lit(float("inf")))
+    same = (pred_v == gold_v) & (~numeric | (finite & ~F.coalesce(F.isnan(g), F.lit(False))))
     match = (F.when(F.col("category").isNull(), F.lit(None).cast("double"))
              .when(is_list, list_f1(F.col("gold_raw"), F.col("pred_raw"), F.col("pred_present")))
              .when(same, F.lit(1.0))
              .when(g.isNotNull() & p.isNotNull(),
-                   numeric_close(p, g, spec.rtol, spec.atol, bound=False).cast("double"))
+                   numeric_close(p, g, spec.rtol, spec.atol, bound=False, either=spec.either).cast("double"))
              .otherwise((normalise_string(pred_v, bound=False)
                          == normalise_string(gold_v, bound=False)).cast("double")))
     gold_is_na = (F.when(is_list, F.coalesce(F.size(parse_array(F.col("gold_raw"))) == 0, F.lit(True)))

@@ -30,19 +30,8 @@ TWO_PREDICTIONS_MOD = 40  # ... key % 40 = 0 have an earlier, superseded one
 EXTRA_NAME_MOD = 45       # ... key % 45 = 0 add a prediction with no gold
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_rows(df) if spread else df
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Round-robin an input that arrives in fewer splits than the cluster has cores.
-
-    Unsplittable or few-file inputs would otherwise run CPU-heavy per-row work
-    (JSON, regex, text folding) in one task; with many input splits this is a no-op.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def order_file_name(key: Column, prefix: str = "ORD-") -> Column:
@@ -67,15 +56,9 @@ def line_cells(lineitem: DataFrame) -> DataFrame:
     """
     aggs = [F.max(F.when(F.col("l_linenumber") == ln, F.col(src))).alias(f"{name}_{ln}")
             for name, src, _ in MEASURES for ln in LINES]
-    # Return flags are single letters: a deterministic bit-mask aggregate (unlike
-    # collect_set) keeps the subtree reusable when gold and predictions share it.
-    bit = F.pow(F.lit(2), F.ascii("l_returnflag") - F.lit(65)).cast("bigint")
-    mask = F.bit_or(bit).alias("flag_mask")
-    cells = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*aggs, mask)
-    letters = F.filter(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.when(
-        F.col("flag_mask").bitwiseAND(F.pow(F.lit(2), i).cast("bigint")) != 0, F.chr(i + 65))),
-        lambda x: x.isNotNull())
-    return cells.withColumn("flags", letters).drop("flag_mask")
+    # The set of flags holds each distinct flag once, whatever their number of lines.
+    flags = F.array_sort(F.collect_set("l_returnflag")).alias("flags")
+    return lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*aggs, flags)
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +149,7 @@ def pred_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part: variant, names and indicator texts used by ``variant_record``."""
-    p = table(spark, sf_dir, "part", spread=True)
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     price = F.col("p_retailprice").cast("decimal(18,2)")
     a1a3 = F.when(F.pmod(k, F.lit(11)) == 0, price + F.lit(1)).otherwise(price)
@@ -233,10 +216,10 @@ def variant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REASON_TEXT = {  # decision fixture: reason by part key % 7 (codes 0-3)
-    0: "UNVERIFIED: record flagged for cross-check",
-    1: "CONTAMINATED: prompt instruction text leaked as JSON keys",
-    2: "DUPLICATE: redundant second extraction pass",
-    3: "EMPTY: indicator matrix entirely N/A",
+    0: "UNVERIFIED: nobody has compared it with its source yet",
+    1: "CONTAMINATED: some keys are sentences",
+    2: "DUPLICATE: another record covers the same product",
+    3: "EMPTY: no indicator has a value",
 }
 
 
@@ -262,7 +245,7 @@ def doc_file_name(doc_id: Column) -> Column:
 
 def doc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_profile`` inputs: per document the facts a converter would report."""
-    return doc_facts_from(table(spark, sf_dir, "documents", spread=True))
+    return doc_facts_from(table(spark, sf_dir, "documents"))
 
 
 def doc_facts_from(d: DataFrame) -> DataFrame:
@@ -322,7 +305,7 @@ TIER_PRICES = {1: "0.0001", 2: "0.0005", 3: "0.0020", 4: "0.0100", 5: "0.0500"}
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``attempt``: events as model attempts — five consecutive events form one document's
     tier ladder; confidence = value / (value + 50); correctness from the props payload."""
-    e = table(spark, sf_dir, "events", spread=True)
+    e = table(spark, sf_dir, "events")
     k = F.col("event_id")
     tier = F.pmod(k, F.lit(5)) + 1
     price = F.create_map(*[x for t, p in TIER_PRICES.items() for x in (F.lit(t), F.lit(Decimal(p)))])

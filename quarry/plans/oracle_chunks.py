@@ -7,8 +7,8 @@ from quarry.plans.oracle_scoring import SCORING_LEAVES_CTE
 
 NL = "chr(10)"
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-CLEAN = STRIP.format(x="regexp_replace(regexp_replace(src, '(?m)^Page \\d+ of \\d+[ \\t]*$', '', 'g'), "
-                       "'\\n{3,}', chr(10) || chr(10), 'g')")
+CLEAN = STRIP.format(x="regexp_replace(regexp_replace(src, '\\n{3,}', chr(10) || chr(10), 'g'), "
+                       "'Page \\d+ of \\d+', '', 'g')")
 
 GROUP_BLOCKS = {0: ("Order Status", "Order Priority"), 1: ("Return Flags",)}
 
@@ -24,7 +24,8 @@ def _prompt_prefix(block: str) -> str:
 
 SQL = {
     "clean_text": f"""
-WITH s AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10) || 'Page 1 of 9' || chr(10)) AS src
+WITH s AS (SELECT doc_id, replace(replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10) || 'Page 1 of 9' || chr(10)),
+                                  ', ', ', see Page 2 of 9 ') AS src
            FROM documents)
 SELECT doc_id, CAST(length({CLEAN}) AS INTEGER) AS clean_chars, sha256({CLEAN}) AS clean_sha FROM s""",
     "text_chunks": """
@@ -92,21 +93,16 @@ SELECT category,
   CAST(count(*) AS BIGINT) AS n
 FROM leaf GROUP BY 1, 2""",
     "unit_outliers": "WITH " + SCORING_LEAVES_CTE + """,
-v AS (SELECT split_part(field, '.', 1) AS indicator, CAST(gold_value AS DOUBLE) AS x
-      FROM leaf WHERE category = 'lca_numeric' AND gold_value <> 'N/A'),
-r1 AS (SELECT indicator, x, row_number() OVER (PARTITION BY indicator ORDER BY x) AS rn,
-              count(*) OVER (PARTITION BY indicator) AS n FROM v),
-med AS (SELECT indicator, max(CASE WHEN rn = greatest(1, CAST(ceil(0.5 * n) AS BIGINT)) THEN x END) AS median
-        FROM r1 GROUP BY indicator),
-d AS (SELECT v.indicator, abs(v.x - med.median) AS d FROM v JOIN med USING (indicator)),
-r2 AS (SELECT indicator, d, row_number() OVER (PARTITION BY indicator ORDER BY d) AS rn,
-              count(*) OVER (PARTITION BY indicator) AS n FROM d),
-mad AS (SELECT indicator, max(CASE WHEN rn = greatest(1, CAST(ceil(0.5 * n) AS BIGINT)) THEN d END) AS mad
-        FROM r2 GROUP BY indicator),
-u AS (SELECT DISTINCT split_part(field, '.', 1) AS indicator, gold_value AS unit FROM leaf WHERE category = 'lca_unit')
-SELECT med.indicator, u.unit, med.median, mad.mad,
-       CAST((SELECT count(*) FROM d WHERE d.indicator = med.indicator AND d.d > 5.0 * mad.mad) AS BIGINT) AS n_outliers
-FROM med JOIN mad USING (indicator) JOIN u USING (indicator)""",
+v AS (SELECT n.indicator, CASE WHEN n.indicator = 'QTY' AND n.orig_index % 3 = 0 THEN 'dozen' ELSE u.unit END AS unit, n.x
+      FROM (SELECT orig_index, split_part(field, '.', 1) AS indicator, CAST(gold_value AS DOUBLE) AS x
+            FROM leaf WHERE category = 'lca_numeric' AND gold_value <> 'N/A') n
+      JOIN (SELECT DISTINCT split_part(field, '.', 1) AS indicator, gold_value AS unit FROM leaf WHERE category = 'lca_unit') u
+      USING (indicator)),
+med AS (SELECT indicator, unit, quantile_disc(x, 0.5) AS median FROM v GROUP BY indicator, unit),
+d AS (SELECT v.indicator, v.unit, median, abs(v.x - median) AS d FROM v JOIN med USING (indicator, unit)),
+mad AS (SELECT indicator, unit, median, quantile_disc(d, 0.5) AS mad FROM d GROUP BY indicator, unit, median)
+SELECT m.indicator, m.unit, m.median, m.mad, CAST(count(*) FILTER (d.d > 5.0 * m.mad) AS BIGINT) AS n_outliers
+FROM mad m JOIN d USING (indicator, unit) GROUP BY m.indicator, m.unit, m.median, m.mad""",
     "provenance_pages": r"""
 WITH p AS (SELECT doc_id, text,
              CASE WHEN doc_id % 4 = 0 THEN 'see page ' || CAST(doc_id % 5 + 1 AS VARCHAR)

@@ -14,7 +14,7 @@ pr0 AS (
     CAST(CASE WHEN read_ok THEN length(text) ELSE 0 END AS INTEGER) AS text_length,
     read_ok AND doc_id % 3 = 0 AS tagged,
     CASE WHEN NOT read_ok THEN 'unknown'
-         WHEN length(regexp_replace(substr(text, 1, 2000), '^\s+|\s+$', '', 'g')) > 50 THEN lang
+         WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 50 THEN lang
          ELSE 'insufficient_text' END AS language,
     CAST(CASE WHEN success THEN n_chars % 9 ELSE 0 END AS INTEGER) AS table_count,
     CASE WHEN read_ok THEN '' ELSE 'cannot open broken document' END AS pymupdf_error,
@@ -104,7 +104,7 @@ SELECT gold_name, resolved_stem FROM resolved""",
 SELECT r.gold_name, r.resolved_stem,
   CASE WHEN r.resolved_stem IS NULL THEN 'no_sidecar' WHEN NOT s.success THEN 'failed_sidecar' ELSE 'usable' END AS status,
   CASE WHEN r.resolved_stem IS NULL THEN 'PDF missing or not preprocessed'
-       WHEN NOT s.success THEN 'success=False: ' || substr(s.error, 1, 80) END AS reason
+       WHEN NOT s.success THEN 'success=False: ' || substr(s.error, 1, 80) END AS reason, s.error
 FROM resolved r LEFT JOIN side s ON s.stem = r.resolved_stem""",
     "resume_remaining": """
 SELECT 'DOC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.pdf' AS filename FROM documents WHERE doc_id % 4 <> 0""",

@@ -1,6 +1,13 @@
 """DuckDB oracle SQL for the curation group (variant records from ``part``)."""
 
-from quarry.plans.fixtures import CONTAMINATION_KEY, REASON_TEXT
+# Stated here again, so that a change of the fixture shows as a difference.
+CONTAMINATION_KEY = "Please extract all of the fields listed below from the document"
+REASON_TEXT = {
+    0: "UNVERIFIED: nobody has compared it with its source yet",
+    1: "CONTAMINATED: some keys are sentences",
+    2: "DUPLICATE: another record covers the same product",
+    3: "EMPTY: no indicator has a value",
+}
 
 OP_KEY = "EPD Certification Body /Publisher/Program operator"
 
@@ -51,8 +58,9 @@ entries AS (
     CASE pt.variant WHEN 'canonical' THEN s.src_canonical WHEN 'epd_intl' THEN s.src_epd ELSE s.src_bre END AS source_key,
     s.slot + CASE WHEN s.slot >= 3 THEN pt.shift ELSE 0 END AS pos,
     CASE s.slot WHEN 1 THEN pt.file_name WHEN 2 THEN pt.product WHEN 3 THEN pt.doc_no WHEN 4 THEN pt.operator
-                WHEN 8 THEN 'x' WHEN 9 THEN 'N/A' END AS value
-  FROM pt CROSS JOIN slots s
+                WHEN 5 THEN CASE WHEN pt.a2std THEN '["EN 15804+A2"]' ELSE '["EN 15804+A1","ISO 14025"]' END
+                WHEN 6 THEN pt.gwp_json WHEN 7 THEN pt.fw_json WHEN 8 THEN 'x' WHEN 9 THEN 'N/A' END AS value
+  FROM gj pt CROSS JOIN slots s
   WHERE s.slot <= 7 OR pt.contaminated)
 """
 

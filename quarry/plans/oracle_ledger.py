@@ -1,9 +1,9 @@
 """DuckDB oracle SQL for the ledger group (events as model attempts)."""
 
-from quarry.plans.fixtures import TIER_PRICES
 from quarry.plans.oracle_corpus import DOCS
 
-PRICE_CASE = "CASE tier " + " ".join(f"WHEN {t} THEN CAST('{p}' AS DECIMAL(10,4))" for t, p in TIER_PRICES.items()) + " END"
+PRICES = {1: "0.0001", 2: "0.0005", 3: "0.0020", 4: "0.0100", 5: "0.0500"}  # fixture price per attempt, by tier
+PRICE_CASE = "CASE tier " + " ".join(f"WHEN {t} THEN CAST('{p}' AS DECIMAL(10,4))" for t, p in PRICES.items()) + " END"
 
 ATTEMPTS = f"""
 a0 AS (
@@ -16,23 +16,30 @@ a AS (SELECT *, {PRICE_CASE} AS price FROM a0)
 """
 
 SWEEP = """,
-grid AS (SELECT a.*, CAST(t.i AS DOUBLE) / CAST(10.0 AS DOUBLE) AS threshold
-         FROM a CROSS JOIN (SELECT range AS i FROM range(0, 11)) t),
-g AS (SELECT *, coalesce(min(CASE WHEN confidence >= threshold THEN tier END) OVER (PARTITION BY threshold, doc),
-                         max(tier) OVER (PARTITION BY threshold, doc)) AS accepted_tier FROM grid),
-pd AS (SELECT threshold, doc, bool_or(CASE WHEN tier = accepted_tier THEN correct END) AS correct,
-              sum(CASE WHEN tier <= accepted_tier THEN price END) AS cost
-       FROM g GROUP BY threshold, doc),
-sw AS (SELECT threshold, CAST(count(*) AS BIGINT) AS n_docs,
+orders(tier_order, seq) AS (VALUES ('all', [1, 2, 3, 4, 5]), ('odd', [1, 3, 5]), ('large first', [5, 4, 3, 2, 1])),
+points AS (SELECT tier_order, CAST(s.i AS DOUBLE) / 10 AS threshold, CAST(p.place AS INTEGER) AS place, seq[p.place] AS tier,
+                  greatest(CAST(s.i AS DOUBLE) / 10 - CAST(0.05 AS DOUBLE) * (p.place - 1), 0) AS least_conf
+           FROM orders, (SELECT range AS i FROM range(0, 11)) s, (SELECT range AS place FROM range(1, 6)) p WHERE p.place <= len(seq)),
+one AS (SELECT doc, tier, max(confidence) AS confidence, arg_max(correct, confidence) AS correct, arg_max(price, confidence) AS price
+        FROM a GROUP BY doc, tier),
+tried AS (SELECT p.*, o.doc, o.confidence, o.correct, o.price,
+                 coalesce(min(CASE WHEN confidence > least_conf THEN place END) OVER (PARTITION BY tier_order, threshold, doc),
+                          max(place) OVER (PARTITION BY tier_order, threshold, doc)) AS stop
+          FROM points p JOIN one o ON o.tier = p.tier),
+pd AS (SELECT tier_order, threshold, doc, bool_or(CASE WHEN place = stop THEN correct END) AS correct,
+              sum(CASE WHEN place <= stop THEN price END) AS cost
+       FROM tried GROUP BY tier_order, threshold, doc),
+sw AS (SELECT tier_order, threshold, CAST(count(*) AS BIGINT) AS n_docs,
               CAST(count_if(correct) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS accuracy,
               CAST(sum(cost) AS DOUBLE) AS total_cost
-       FROM pd GROUP BY threshold),
+       FROM pd GROUP BY tier_order, threshold),
 sweep AS (SELECT *, total_cost / CAST(n_docs AS DOUBLE) AS cost_per_doc FROM sw)
 """
 
 SQL = {
     "cascade_routing": "WITH " + ATTEMPTS + """,
-c AS (SELECT *, coalesce(min(CASE WHEN confidence >= 0.7 THEN tier END) OVER (PARTITION BY doc),
+c AS (SELECT *, coalesce(min(CASE WHEN confidence > CASE tier WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.8::DOUBLE WHEN 3 THEN 0.7::DOUBLE
+                                                        WHEN 4 THEN 0.5::DOUBLE ELSE 0 END THEN tier END) OVER (PARTITION BY doc),
                          max(tier) OVER (PARTITION BY doc)) AS accepted_tier FROM a)
 SELECT doc, CAST(max(accepted_tier) AS INTEGER) AS accepted_tier,
        bool_or(CASE WHEN tier = accepted_tier THEN correct END) AS correct,
@@ -40,11 +47,11 @@ SELECT doc, CAST(max(accepted_tier) AS INTEGER) AS accepted_tier,
        CAST(sum(CASE WHEN tier <= accepted_tier THEN latency END) AS DOUBLE) AS latency
 FROM c GROUP BY doc""",
     "threshold_sweep": "WITH " + ATTEMPTS + SWEEP + """
-SELECT threshold, n_docs, accuracy, total_cost, cost_per_doc, cost_per_doc <= 0.03 AS within_budget FROM sweep""",
+SELECT tier_order, threshold, n_docs, accuracy, total_cost, cost_per_doc, cost_per_doc <= 0.03 AS within_budget FROM sweep""",
     "pareto_frontier": "WITH " + ATTEMPTS + SWEEP + """,
-ranked AS (SELECT *, max(accuracy) OVER (ORDER BY cost_per_doc, accuracy DESC, threshold
+ranked AS (SELECT *, max(accuracy) OVER (ORDER BY cost_per_doc, accuracy DESC, tier_order, threshold
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM sweep)
-SELECT threshold, cost_per_doc, accuracy FROM ranked WHERE best IS NULL OR accuracy > best""",
+SELECT tier_order, threshold, cost_per_doc, accuracy FROM ranked WHERE best IS NULL OR accuracy > best""",
     "latency_percentiles": """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
                   count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -60,7 +67,7 @@ FROM c GROUP BY user_id""",
     "semantic_entropy": """
 WITH c AS (SELECT user_id, lower(event_type) AS cluster, count(*) AS c FROM events GROUP BY 1, 2),
 p AS (SELECT user_id, CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY user_id) AS DOUBLE) AS p FROM c)
-SELECT user_id, CAST(count(*) AS BIGINT) AS n_clusters, CAST(sum(CAST(floor((-p * ln(p)) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS entropy FROM p GROUP BY user_id""",
+SELECT user_id, CAST(count(*) AS BIGINT) AS n_clusters, CAST(sum(CAST(-p * ln(p) AS DECIMAL(38,12))) AS DOUBLE) AS entropy FROM p GROUP BY user_id""",
     "calibration_bins": """
 WITH x AS (SELECT least(d.n_chars / CAST(5000.0 AS DOUBLE), CAST(0.999 AS DOUBLE)) AS conf, l.quality = 1 AS ok
            FROM labels l JOIN documents d USING (doc_id)),
@@ -72,7 +79,7 @@ WITH x AS (SELECT least(d.n_chars / CAST(5000.0 AS DOUBLE), CAST(0.999 AS DOUBLE
            FROM labels l JOIN documents d USING (doc_id)),
 b AS (SELECT CAST(least(floor(conf * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(conf) AS avg_conf,
              avg(CAST(ok AS DOUBLE)) AS accuracy FROM x GROUP BY 1)
-SELECT CAST(sum(CAST(floor((n * abs(accuracy - avg_conf)) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(1e9 AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""",
+SELECT CAST(sum(CAST(n * abs(accuracy - avg_conf) AS DECIMAL(38,9))) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""",
     "doc_costs": "WITH " + DOCS + """,
 t AS (SELECT p.doc_id, p.complexity_tier, CAST(ceil(d.n_chars / 4) AS BIGINT) AS tokens
       FROM prof p JOIN documents d USING (doc_id))

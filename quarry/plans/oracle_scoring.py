@@ -141,8 +141,8 @@ SELECT CAST(orig_index AS BIGINT) AS orig_index, file_name, schema_valid, has_pr
        f1_overall, f1_populated, f1_na, f1_metadata, f1_lca, f1_list FROM record_scores""",
     "score_summary": "WITH " + SCORE_RECORDS_CTE + """
 SELECT 'fixture-model' AS model, CAST(count(*) AS BIGINT) AS n_records,
-       (CAST(sum(CAST(floor((f1_overall) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_overall, (CAST(sum(CAST(floor((f1_populated) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_populated, (CAST(sum(CAST(floor((f1_na) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_na,
-       (CAST(sum(CAST(floor((f1_metadata) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_metadata) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_metadata, (CAST(sum(CAST(floor((f1_lca) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_lca) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_lca,
+       CAST(sum(CAST(f1_overall AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE) AS f1_overall, CAST(sum(CAST(f1_populated AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE) AS f1_populated, CAST(sum(CAST(f1_na AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE) AS f1_na,
+       CAST(sum(CAST(f1_metadata AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_metadata) AS DOUBLE) AS f1_metadata, CAST(sum(CAST(f1_lca AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_lca) AS DOUBLE) AS f1_lca,
        CAST(count_if(schema_valid) AS DOUBLE) * CAST(100.0 AS DOUBLE) / CAST(count(*) AS DOUBLE) AS schema_valid_pct,
        CAST(0.0 AS DOUBLE) AS cost_usd_total, CAST(0.0 AS DOUBLE) AS cost_usd_per_record,
        CAST(0.0 AS DOUBLE) AS latency_s_total, CAST(0.0 AS DOUBLE) AS latency_s_per_record
@@ -153,15 +153,15 @@ SELECT 'record' AS row_kind, file_name AS label, CAST(orig_index AS BIGINT) AS o
        CASE WHEN schema_valid THEN 'yes' ELSE 'no' END AS schema_ok
 FROM record_scores
 UNION ALL
-SELECT 'average', 'AVERAGE', CAST(-1 AS BIGINT), (CAST(sum(CAST(floor((f1_overall) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE)) / CAST(1e9 AS DOUBLE), (CAST(sum(CAST(floor((f1_populated) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE)) / CAST(1e9 AS DOUBLE), (CAST(sum(CAST(floor((f1_na) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE)) / CAST(1e9 AS DOUBLE),
-       (CAST(sum(CAST(floor((f1_metadata) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_metadata) AS DOUBLE)) / CAST(1e9 AS DOUBLE), (CAST(sum(CAST(floor((f1_lca) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_lca) AS DOUBLE)) / CAST(1e9 AS DOUBLE),
+SELECT 'average', 'AVERAGE', CAST(-1 AS BIGINT), CAST(sum(CAST(f1_overall AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE), CAST(sum(CAST(f1_populated AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE), CAST(sum(CAST(f1_na AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE),
+       CAST(sum(CAST(f1_metadata AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_metadata) AS DOUBLE), CAST(sum(CAST(f1_lca AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_lca) AS DOUBLE),
        CAST(count_if(schema_valid) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR)
 FROM record_scores""",
     "unmatched_predictions": """
 SELECT 'XTRA-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '.pdf' AS file_name
 FROM orders WHERE o_orderkey % 45 = 0""",
     "attempted_summary": "WITH " + SCORE_RECORDS_CTE + """
-SELECT CAST(count(*) AS BIGINT) AS n_records, (CAST(sum(CAST(floor((f1_overall) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_overall,
-       (CAST(sum(CAST(floor((f1_populated) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_populated, (CAST(sum(CAST(floor((f1_na) * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT)) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE)) / CAST(1e9 AS DOUBLE) AS f1_na
+SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(sum(CAST(f1_overall AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE) AS f1_overall,
+       CAST(sum(CAST(f1_populated AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE) AS f1_populated, CAST(sum(CAST(f1_na AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE) AS f1_na
 FROM record_scores WHERE has_prediction""",
 }
