@@ -1,18 +1,19 @@
-"""Shared helpers: written tables in the shared folder, joins that split hot keys, worker caches."""
+"""Shared helpers: key bitmaps, worker caches, and the library's written tables and salted joins."""
 
 from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import shared_dir
+from quarry.functions.skew import materialise as materialise
+from quarry.functions.skew import salted_join as salted_join
 
 
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
@@ -40,34 +41,6 @@ def hashed_tokens(tokens: list[bytes], known: dict[bytes, bytes], hash8: Callabl
     return np.frombuffer(b"".join(got), "<u8")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[Column],
-                rows: str, total: int, how: str = "inner", parts: int = 4096, floor: int = 500) -> DataFrame:
-    """Join ``left`` (many rows per key) to ``right`` (one row per key), hot keys split.
-
-    ``right[rows]`` holds the number of left rows of each key and ``total`` their sum. A key
-    with more than ``max(total / parts, floor)`` rows is hot; there are fewer than ``parts``
-    of them, so their list is broadcast with that bound. A hot key gets one salt per such
-    share of rows: its right row is repeated once per salt and its left rows are dealt over
-    the salts by the hash of ``spread``, so no join key holds more than about one share.
-    """
-    share = max(total / parts, floor, 1)
-    hot = (right.where(F.col(rows) > F.lit(share))
-           .select(*keys, F.ceil(F.col(rows) / F.lit(share)).cast("int").alias("_salts")))
-    salts = F.when(F.col(rows) > F.lit(share), F.ceil(F.col(rows) / F.lit(share))).otherwise(1).cast("int")
-    dealt = (left.join(F.broadcast(hot), list(keys), "left")
-             .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int"))
-             .drop("_salts"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
 def key_bitmap(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     """(bucket, bitmap): a set of hashed keys in at most ``bits`` bits (8 MB), for ``maybe_in``."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
