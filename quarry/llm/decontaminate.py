@@ -34,7 +34,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.skew import hashed_tokens, materialise, worker_cache
+from quarry.llm.pieces import hashed_rows
+from quarry.llm.skew import materialise, worker_cache
 
 RADIUS = 8
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits); two differing bits per block at most
@@ -45,8 +46,8 @@ KNOWN_WORDS = 500_000
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
-def token_hash(token: bytes) -> bytes:
-    """64-bit hash, as 8 bytes, of a space-separated token's word; zeros if it has no letter or digit."""
+def token_hash(token: bytes) -> int:
+    """64-bit hash of a space-separated token's word; 0 if it has no letter or digit."""
     from xxhash import xxh3_64_intdigest
     if token.isascii():
         word = token.strip(_MARKS).lower()
@@ -58,13 +59,12 @@ def token_hash(token: bytes) -> bytes:
         while last > first and not text[last - 1].isalnum():
             last -= 1
         word = text[first:last].encode()
-    return ((xxh3_64_intdigest(word) or 1) if word else 0).to_bytes(8, "little")
+    return (xxh3_64_intdigest(word) or 1) if word else 0
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    tokens = (text or b"").split()
-    h = hashed_tokens(tokens, worker_cache("decontaminate_words", dict), token_hash, KNOWN_WORDS)
-    return h[h != 0]
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    return list(hashed_rows(texts, worker_cache("decontaminate_words", dict), token_hash, KNOWN_WORDS))
 
 
 def window_prints(words: np.ndarray, sums: np.ndarray, w: int) -> np.ndarray:
@@ -183,8 +183,8 @@ def weighted_similarity(a: Counter, b: Counter, weight: dict[tuple, float]) -> f
 class _Matcher:
     """The index of one block of items, with the exact check."""
 
-    def __init__(self, texts: list[bytes]):
-        hashed = [word_hashes(t) for t in texts]
+    def __init__(self, texts: list[str]):
+        hashed = word_hashes(pa.array(texts, pa.string()))
         self.number = [k for k, h in enumerate(hashed) if len(h)]
         self.items = [hashed[k] for k in self.number]
         self.index = build_index(self.items)
@@ -213,9 +213,9 @@ class _Matcher:
         if held:
             yield np.concatenate(words), np.concatenate(doc), np.concatenate(offset)
 
-    def hits(self, texts: list[bytes | None]) -> list[tuple[int, int, int, int, float]]:
+    def hits(self, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(document, item, first word, words, similarity), the best of each document and item."""
-        docs = [word_hashes(t) for t in texts]
+        docs = word_hashes(texts)
         best: dict[tuple[int, int], tuple[float, int]] = {}
         tried: set[tuple[int, int, int]] = set()
         for words, doc, offset in self._segments(docs):
@@ -272,13 +272,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for k in range(passes):
         part = dealt.where(F.col("_pass") == k).orderBy("item_id", "text").collect()
-        hits = _one_pass(rows, [r["item_id"] for r in part], [r["text"].encode() for r in part])
+        hits = _one_pass(rows, [r["item_id"] for r in part], [r["text"] for r in part])
         out = hits if out is None else out.unionByName(hits)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("neg"), "n_words")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.neg")).alias("first_word"), "b.n_words", "b.similarity")
 
 
-def _one_pass(rows: DataFrame, ids: list[int], texts: list[bytes]) -> DataFrame:
+def _one_pass(rows: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
     key = hash((tuple(ids), tuple(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +288,9 @@ def _one_pass(rows: DataFrame, ids: list[int], texts: list[bytes]) -> DataFrame:
             held[key] = _Matcher(texts)
         matcher = held[key]
         for batch in batches:
-            column, doc = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("doc_id")
+            column, doc = batch.column("text"), batch.column("doc_id")
             for at in range(0, len(column), 1000):
-                found = matcher.hits(column[at:at + 1000])
+                found = matcher.hits(column.slice(at, 1000))
                 yield pa.RecordBatch.from_arrays(
                     [doc.take(pa.array([at + h[0] for h in found], pa.int64())),
                      pa.array([ids[h[1]] for h in found], pa.int64()), pa.array([h[2] for h in found], pa.int64()),

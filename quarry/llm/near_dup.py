@@ -30,32 +30,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.skew import hashed_tokens, key_bitmap, materialise, maybe_in, salted_join, worker_cache
+from quarry.llm.pieces import hashed_rows
+from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join, worker_cache
 
 COLLECTIONS, ROWS = 14, 2
 KNOWN_WORDS = 200_000  # word hashes kept per worker
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 
 
-def _hash8(word: bytes) -> bytes:
+_MULT = np.random.default_rng(20_240_501).integers(1, 2 ** 63, 64, dtype="u8") * np.uint64(2) + np.uint64(1)
+
+
+def _word_hash(word: bytes) -> int:
     from xxhash import xxh3_64_intdigest
-    return xxh3_64_intdigest(word).to_bytes(8, "little")
+    return xxh3_64_intdigest(word) or 1 if word else 0
 
 
-_MULT = np.random.default_rng(20_240_501).integers(1, 2 ** 63, 64, dtype="u8") * np.uint64(2) + np.uint64(1)
+def column_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a column (A-Z lower-cased, words between ASCII white space)."""
+    lowered = pc.ascii_lower(column.cast(pa.string()))
+    for words in hashed_rows(lowered, worker_cache("near_words", dict), _word_hash, KNOWN_WORDS):
+        yield shingle_set(words, k)
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a UTF-8 text (A-Z lower-cased)."""
-    words = text.lower().split()  # bytes: ASCII case and white space only
-    if not words:
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of a sequence of word hashes."""
+    if not len(h):
         return np.empty(0, "u8")
-    h = hashed_tokens(words, worker_cache("near_words", dict), _hash8, KNOWN_WORDS)
     span = min(k, len(h))
     mixed = np.zeros(len(h) - span + 1, "u8")
     for j in range(span):
@@ -91,8 +98,7 @@ def signatures(docs: DataFrame, k: int, collections: int = COLLECTIONS, rows: in
         from xxhash import xxh3_128_digest
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                s = shingle_set(text or b"", k)
+            for s in column_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 digests.append(xxh3_128_digest(s.tobytes()))
                 if len(s):
@@ -118,7 +124,7 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t or b"", k).view("i8") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = [s.view("i8") for s in column_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["doc_id", "shingles"])
 

@@ -163,7 +163,7 @@ def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int | None, id
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(token_ids.utf8(batch.column("text")))):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
                 ids += tail
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at:at + 4 * capacity]

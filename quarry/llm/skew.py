@@ -7,7 +7,6 @@ import types
 from collections.abc import Callable
 from typing import Any
 
-import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +27,6 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return getattr(holder, name)
 
 
-def hashed_tokens(tokens: list[bytes], known: dict[bytes, bytes], hash8: Callable[[bytes], bytes], most: int) -> np.ndarray:
-    """``hash8`` of every token as an array; ``known`` keeps the answers, up to ``most`` of them."""
-    got = list(map(known.get, tokens))
-    if None in got:
-        for k, value in enumerate(got):
-            if value is None:
-                token = tokens[k]
-                value = got[k] = known.get(token) or hash8(token)
-                if len(known) < most:
-                    known[token] = value
-    return np.frombuffer(b"".join(got), "<u8")
-
-
 def key_bitmap(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     """(bucket, bitmap): a set of hashed keys in at most ``bits`` bits (8 MB), for ``maybe_in``."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))

@@ -24,61 +24,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.pieces import objects, split_column
 from quarry.llm.skew import materialise, worker_cache
 
 KNOWN_PIECES = 300_000  # pieces kept per worker; others are encoded when they come
-_MARKS = b".,!?;:"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe
 
 
 class PieceEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, piece by piece."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, piece by piece."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """One bytes object per UTF-8 text; texts are taken in groups of about 1 MB."""
-        at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and size < 1 << 20:
-                size += len(texts[end])
-                end += 1
-            # The vocabulary is lower-case. ASCII letters are lowered here, unless a combining
-            # mark (lead byte CC) could compose with one before the tokenizer lowers it.
-            # bytes.split cuts at ASCII white space only.
-            cut = [(t if b"\xcc" in t else t.lower()).split() for t in texts[at:end]]
-            known = self.known
-            new = set().union(*cut).difference(known)
-            if new:
-                found = self._new_pieces(new)
-                if len(known) + len(found) <= KNOWN_PIECES:
-                    known.update(found)
-                else:
-                    known = {**{p: known[p] for p in set().union(*cut).intersection(known)}, **found}
-            for pieces in cut:
-                yield b"".join([known[p] for p in pieces])
-            at = end
-
-    def _new_pieces(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces; closing marks after a letter are a token run of their own."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for piece in new:
-            core = piece.rstrip(_MARKS)
-            if core and core != piece and (core[-1:].isalpha() or core.decode()[-1].isalpha()):
-                parts[piece] = (core, piece[len(core):])
-        wanted = {p for p in new if p not in parts}.union(*parts.values()) if parts else new
-        ask = [p for p in wanted if p not in self.known]
-        got = self.tokenizer.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)
-        ids = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(ask, got)}
-        look = lambda p: ids[p] if p in ids else self.known[p]
-        return {p: look(parts[p][0]) + look(parts[p][1]) if p in parts else ids[p] for p in new}
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.last = np.zeros(max(ends, default=0) + 2, bool)  # ids that end a word
+        self.last[ends] = True
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """One bytes object per text of the column (null as empty)."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        # The vocabulary is lower-case. ASCII letters are lowered here, unless a combining
+        # mark could compose with one before the tokenizer lowers it.
+        marks = pc.match_substring_regex(column, "[\u0300-\u036f]")
+        for part in split_column(pc.if_else(marks, column, pc.ascii_lower(column))):
+            ids = self._pieces(part.distinct)
+            size = np.fromiter(map(len, ids), "i4", len(ids)) // 4
+            begin = np.zeros(len(ids) + 1, "i8")
+            np.cumsum(size, out=begin[1:])
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            n = size[part.codes]  # ids of each piece in the text
+            upto = np.zeros(len(n) + 1, "i8")
+            np.cumsum(n, out=upto[1:])
+            at = np.repeat(begin[part.codes] - upto[:-1], n)
+            at += np.arange(len(at))
+            every, ends = flat[at], upto[part.ends]
+            for k in range(part.rows):
+                yield every[ends[k]:ends[k + 1]].tobytes()
+
+    def _pieces(self, distinct: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces. Marks that follow a run of letters are a token run of their own."""
+        core = pc.utf8_rtrim(distinct, _MARKS)
+        length = pc.binary_length(core)
+        marked = pc.and_(pc.utf8_is_alpha(core), pc.less(length, pc.binary_length(distinct)))
+        coded = pc.if_else(marked, core, distinct).dictionary_encode()
+        ids = self._look_up(coded.dictionary)
+        out = [ids[k] for k in coded.indices.to_numpy(zero_copy_only=False).tolist()]
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        whole = objects(distinct.take(pa.array(at)).cast(pa.binary()))
+        tails = [p[n:] for p, n in zip(whole, length.to_numpy(zero_copy_only=False)[at].tolist())]
+        kinds = list(set(tails))
+        marks = dict(zip(kinds, self._look_up(pa.array([t.decode() for t in kinds], pa.string()))))
+        for k, t in zip(at.tolist(), tails):
+            out[k] += marks[t]
+        return out
+
+    def _look_up(self, pieces: pa.Array) -> list[bytes]:
+        keys = objects(pieces.cast(pa.binary()))
+        got = list(map(self.known.get, keys))
+        missing = np.array([v is None for v in got], bool)
+        if not missing.any():
+            return got
+        letters = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False)
+        for where, encode in ((missing & letters, self._words), (missing & ~letters, self._one_by_one)):
+            at = np.flatnonzero(where)
+            for k, x in zip(at.tolist(), encode(objects(pieces.take(pa.array(at))))):
+                got[k] = x
+        if len(self.known) + int(missing.sum()) <= KNOWN_PIECES:
+            self.known.update((keys[k], got[k]) for k in np.flatnonzero(missing).tolist())
+        return got
+
+    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str], step: int = 200) -> list[bytes]:
+        """Ids of pieces of letters only, many per call: each is one word, which ends at an id of ``last``."""
+        out: list[bytes] = []
+        groups = [words[k:k + step] for k in range(0, len(words), step)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded):
+            ids = np.asarray(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            if len(ends) == len(group):
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:  # some letter is no single word to the tokenizer
+                out += self._one_by_one(group)
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -91,11 +129,6 @@ def encoder(path: str) -> PieceEncoder:
     return encoders[path]
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The column's texts as UTF-8 bytes, null as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-
-
 def token_rows(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, n_tokens, ids_crc32) per document, the end id included."""
@@ -122,7 +155,7 @@ def _encoded(batch: pa.RecordBatch, enc: PieceEncoder, tail: bytes,
              limit: int = 16 << 20) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """(ids column, id bytes) of a batch in parts of about ``limit`` bytes."""
     first, size, data = 0, 0, []
-    for k, ids in enumerate(enc.encode(utf8(batch.column("text")))):
+    for k, ids in enumerate(enc.encode(batch.column("text"))):
         data.append(ids + tail)
         size += len(ids)
         if size >= limit:

@@ -19,11 +19,12 @@ repeated rows are scored like any row; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.pieces import known_values, objects, split_column
 from quarry.llm.skew import materialise, worker_cache
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
@@ -59,42 +61,34 @@ def token_features(token: bytes) -> tuple[int, ...]:
     return tuple(xxh3_64_intdigest(f.encode()) - (1 << 63) for f in out)
 
 
-class _Tokens(dict):
-    """token -> its features (those of ``keep`` if given), computed once per distinct token."""
+def _features(keep: frozenset[int] | None) -> Callable[[list[bytes]], dict[bytes, tuple[int, ...]]]:
+    """token -> its features, those of ``keep`` if given."""
+    if keep is None:
+        return lambda new: {t: token_features(t) for t in new}
+    return lambda new: {t: tuple(f for f in token_features(t) if f in keep) for t in new}
 
-    def __init__(self, keep: frozenset[int] | None):
-        super().__init__()
-        self.keep = keep
 
-    def __missing__(self, token: bytes) -> tuple[int, ...]:
-        found = token_features(token)
-        if self.keep is not None:
-            found = tuple(f for f in found if f in self.keep)
-        if len(self) >= KNOWN_TOKENS:
-            self.clear()
-        self[token] = found
-        return found
-
-
-def _table(keep: frozenset[int] | None) -> _Tokens:
+def _table(keep: frozenset[int] | None) -> dict[bytes, tuple[int, ...]]:
     tables = worker_cache("toxic_tokens", dict)
     if keep not in tables:
         tables.clear()
-        tables[keep] = _Tokens(keep)
+        tables[keep] = {}
     return tables[keep]
 
 
-def feature_counts(text: bytes | None, table: _Tokens) -> Counter:
-    """Occurrences of the table's features in a text."""
-    tokens = (text or b"").split()
-    found = {t: f for t in set(tokens) if (f := table[t])}
-    if not found:
-        return Counter()
-    counts: Counter = Counter()
-    for t in tokens:
-        if t in found:
-            counts.update(found[t])
-    return counts
+def column_counts(texts: pa.Array, keep: frozenset[int] | None) -> Iterator[Counter]:
+    """Occurrences of features (those of ``keep``, or all) in each text of a column."""
+    for part in split_column(texts):
+        found = known_values(objects(part.distinct.cast(pa.binary())), _table(keep), _features(keep), KNOWN_TOKENS)
+        holds = np.array([bool(f) for f in found], bool)
+        at = np.flatnonzero(holds[part.codes]) if len(found) else np.empty(0, "i8")
+        ends = np.searchsorted(at, part.ends)
+        codes = part.codes[at]
+        for k in range(part.rows):
+            counts: Counter = Counter()
+            for code in codes[ends[k]:ends[k + 1]].tolist():
+                counts.update(found[code])
+            yield counts
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,10 +113,8 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES, least: int = 3
     """Features more frequent in toxic texts: at least ``least`` of them, two-proportion z above ``z``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(None)
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                found = set().union(*(table[t] for t in set((text or b"").split())))
+            for toxic, found in zip(batch.column("toxic").to_pylist(), column_counts(batch.column("text"), None)):
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(found), pa.int64()), pa.array([int(toxic > 0)] * len(found), pa.int64())],
@@ -184,9 +176,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     keep = frozenset(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(keep)
         for batch in batches:
-            found = [feature_counts(t, table) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = list(column_counts(batch.column("text"), keep))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int64())),
                  pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "toxic", "f", "n"])
@@ -205,6 +196,11 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return SeverityModel(dict(zip(features, weights.tolist())), tuple((theta + shift).tolist()))
 
 
+def linear_score(counts: Counter, model: SeverityModel) -> float:
+    """w.x of one text."""
+    return sum(model.weights[f] * math.log1p(n) for f, n in counts.items())
+
+
 def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade, p_toxic, toxic) of every document.
 
@@ -213,10 +209,9 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
     keep = frozenset(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, theta = _table(keep), np.array(model.thresholds)
+        theta = np.array(model.thresholds)
         for batch in batches:
-            eta = np.array([sum(model.weights[f] * np.log1p(n) for f, n in feature_counts(t, table).items())
-                            for t in batch.column("text").cast(pa.binary()).to_pylist()], float)
+            eta = np.array([linear_score(c, model) for c in column_counts(batch.column("text"), keep)], float)
             p = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta[None, :], -40, 40)))
             grade = (p >= model.level).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -232,10 +227,9 @@ def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text") ->
     keep, columns = frozenset(model.weights), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cut = _table(keep), model.thresholds[0]
+        cut = model.thresholds[0]
         for batch in batches:
-            texts = batch.column(columns.index(text_col)).cast(pa.binary()).to_pylist()
-            eta = [sum(model.weights[f] * np.log1p(n) for f, n in feature_counts(t, table).items()) for t in texts]
+            eta = [linear_score(c, model) for c in column_counts(batch.column(columns.index(text_col)), keep)]
             yield batch.filter(pa.array([1 / (1 + np.exp(-np.clip(e - cut, -40, 40))) < model.level for e in eta], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -365,11 +366,11 @@ def test_long_document_is_scanned_across_segments(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 64)
     item = " ".join(f"q{k}x{k * 7 % 13}" for k in range(30))
     filler = " ".join(f"f{k}" for k in range(300))
-    matcher = decontaminate._Matcher([item.encode()])
+    matcher = decontaminate._Matcher([item])
     for cut in range(40, 120, 7):
         words = filler.split()
         words[cut:cut] = item.split()
-        assert matcher.hits([" ".join(words).encode()]) == [(0, 0, cut, 30, 1.0)]
+        assert matcher.hits(pa.array([" ".join(words)])) == [(0, 0, cut, 30, 1.0)]
 
 
 # ------------------------------------------------------------------ toxicity
