@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.pieces import hashed_rows
-from quarry.llm.skew import materialise, worker_cache
+from quarry.llm.skew import materialise, text_batches, worker_cache
 
 RADIUS = 8
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits); two differing bits per block at most
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCK_ITEMS = 5_000
 SEGMENT_WORDS = 1 << 16
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -268,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     passes = max(1, -(-items.count() // block_items))
     # hashing deals items evenly; a pass holds about block_items of them
     dealt = items.withColumn("_pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = None
     for k in range(passes):
         part = dealt.where(F.col("_pass") == k).orderBy("item_id", "text").collect()

@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.pieces import hashed_rows
-from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join, worker_cache
+from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join, text_batches, worker_cache
 
 COLLECTIONS, ROWS = 14, 2
-KNOWN_WORDS = 200_000  # word hashes kept per worker
+KNOWN_WORDS = 150_000  # word hashes kept per worker
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 
 
@@ -54,8 +54,7 @@ def _word_hash(word: bytes) -> int:
 
 def column_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The shingle set of each text of a column (A-Z lower-cased, words between ASCII white space)."""
-    lowered = pc.ascii_lower(column.cast(pa.string()))
-    for words in hashed_rows(lowered, worker_cache("near_words", dict), _word_hash, KNOWN_WORDS):
+    for words in hashed_rows(column, worker_cache("near_words", dict), _word_hash, KNOWN_WORDS, pc.ascii_lower):
         yield shingle_set(words, k)
 
 
@@ -87,7 +86,7 @@ def minhashes(shingles: np.ndarray, count: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, k: int, collections: int = COLLECTIONS, rows: int = ROWS, id_col: str = "doc_id",

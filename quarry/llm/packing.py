@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import token_ids
-from quarry.llm.skew import materialise
+from quarry.llm.skew import materialise, text_batches
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def plan_runs(histogram: dict[int, int], capacity: int, grain: int) -> Runs:
 def piece_rows(docs: DataFrame, path: str, capacity: int, end_id: int | None, id_col: str = "doc_id",
                text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full pieces, then the rest."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

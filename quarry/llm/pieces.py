@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 5 << 20
 
 
 @dataclass(frozen=True)
@@ -29,22 +29,27 @@ def objects(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def split_column(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Pieces]:
+def split_column(column: pa.Array, prepare: Callable[[pa.Array], pa.Array] | None = None,
+                 limit: int = SLICE_BYTES) -> Iterator[Pieces]:
     """Cut texts (null as empty) at ASCII white space, about ``limit`` bytes at a time.
 
-    Empty pieces may stand at the ends of a text; callers give them no weight.
+    ``prepare`` is applied to the texts of a slice first. Empty pieces may stand at the ends
+    of a text; callers give them no weight.
     """
-    column = pc.fill_null(column.cast(pa.string()), "")
-    grown = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype("i8"))])
+    column = column.cast(pa.string())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    grown = np.concatenate([[0], np.cumsum(sizes.astype("i8"))])
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(grown, grown[at] + limit, "right")) - 1)
-        lists = pc.ascii_split_whitespace(column.slice(at, end - at))
+        texts = pc.fill_null(column.slice(at, end - at), "")
+        lists = pc.ascii_split_whitespace(prepare(texts) if prepare else texts)
         coded = lists.flatten().dictionary_encode()
         ends = lists.offsets.to_numpy().astype("i8")
         yield Pieces(at, end - at, ends - ends[0], coded.indices.to_numpy(zero_copy_only=False),
                      coded.dictionary)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def known_values(distinct: list[bytes], known: dict, make: Callable[[list[bytes]], dict], most: int) -> list:
@@ -59,9 +64,10 @@ def known_values(distinct: list[bytes], known: dict, make: Callable[[list[bytes]
     return got
 
 
-def hashed_rows(column: pa.Array, known: dict[bytes, int], hash64: Callable[[bytes], int], most: int) -> Iterator[np.ndarray]:
+def hashed_rows(column: pa.Array, known: dict[bytes, int], hash64: Callable[[bytes], int], most: int,
+                prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[np.ndarray]:
     """Per row, the non-zero 64-bit hashes of its pieces in order (0: the piece does not count)."""
-    for part in split_column(column):
+    for part in split_column(column, prepare):
         distinct = objects(part.distinct.cast(pa.binary()))
         values = np.array(known_values(distinct, known, lambda new: {p: hash64(p) for p in new}, most), "u8")
         each = values[part.codes] if len(values) else np.empty(0, "u8")

@@ -19,14 +19,31 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     """An object that lives as long as the Python worker process, across its tasks.
 
     Task code travels by value, so its own module globals are new in every task; the cache
-    therefore hangs on a module entry of the process.
+    therefore hangs on a module entry of the process. ``name`` is "group_what": a worker
+    keeps one group at a time, so a job's stages do not add up their tables.
     """
     holder = sys.modules.setdefault("_quarry_worker_cache", types.ModuleType("_quarry_worker_cache"))
+    group = name.partition("_")[0] + "_"
+    for other in [n for n in vars(holder) if not n.startswith(("__", group))]:
+        delattr(holder, other)
     if not hasattr(holder, name):
         setattr(holder, name, make())
     return getattr(holder, name)
 
 
+def text_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``rows`` rows where they would be larger.
+
+    Rows here are whole documents; at the default of 10,000 a batch and its copies in the
+    executor and the Python worker take hundreds of MB. The session setting stays changed,
+    because the plan runs after this call.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def key_bitmap(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     """(bucket, bitmap): a set of hashed keys in at most ``bits`` bits (8 MB), for ``maybe_in``."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))

@@ -30,12 +30,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.pieces import objects, split_column
-from quarry.llm.skew import materialise, worker_cache
+from quarry.llm.skew import materialise, text_batches, worker_cache
 
-KNOWN_PIECES = 300_000  # pieces kept per worker; others are encoded when they come
+KNOWN_PIECES = 200_000  # pieces kept per worker; others are encoded when they come
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """The vocabulary is lower-case: ASCII letters are lowered already here, unless the text
+    has a combining mark, which could compose with one before the tokenizer lowers it."""
+    return pc.if_else(pc.match_substring_regex(texts, "[\u0300-\u036f]"), texts, pc.ascii_lower(texts))
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, piece by piece."""
 
@@ -49,11 +55,7 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[bytes]:
         """One bytes object per text of the column (null as empty)."""
-        column = pc.fill_null(column.cast(pa.string()), "")
-        # The vocabulary is lower-case. ASCII letters are lowered here, unless a combining
-        # mark could compose with one before the tokenizer lowers it.
-        marks = pc.match_substring_regex(column, "[\u0300-\u036f]")
-        for part in split_column(pc.if_else(marks, column, pc.ascii_lower(column))):
+        for part in split_column(column, _lowered):
             ids = self._pieces(part.distinct)
             size = np.fromiter(map(len, ids), "i4", len(ids)) // 4
             begin = np.zeros(len(ids) + 1, "i8")
@@ -123,7 +125,7 @@ def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and vocabulary file."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoders = worker_cache("encoders", dict)
+    encoders = worker_cache("tokens_encoders", dict)
     if path not in encoders:
         encoders[path] = PieceEncoder(path)
     return encoders[path]
@@ -132,7 +134,7 @@ def encoder(path: str) -> PieceEncoder:
 def token_rows(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, n_tokens, ids_crc32) per document, the end id included."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.pieces import known_values, objects, split_column
-from quarry.llm.skew import materialise, worker_cache
+from quarry.llm.skew import materialise, text_batches, worker_cache
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 MAX_FEATURES = 4_096
 GRADES = 3
-KNOWN_TOKENS = 250_000
+KNOWN_TOKENS = 100_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -92,7 +92,7 @@ def column_counts(texts: pa.Array, keep: frozenset[int] | None) -> Iterator[Coun
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    return text_batches(df).select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC,
@@ -232,7 +232,7 @@ def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text") ->
             eta = [linear_score(c, model) for c in column_counts(batch.column(columns.index(text_col)), keep)]
             yield batch.filter(pa.array([1 / (1 + np.exp(-np.clip(e - cut, -40, 40))) < model.level for e in eta], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join
+from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join, text_batches
 
 UNIT = r"[^.!?\n]+[.!?]*|[.!?\n]"  # covers every character; units of marks alone have no words
 _SCHEMA = "hi long, lo long, doc_id long, copy long, place int, start int, end int, words int"
@@ -37,7 +37,7 @@ _SCHEMA = "hi long, lo long, doc_id long, copy long, place int, start int, end i
 
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit with a word: digest (hi, lo), doc_id, copy (text hash), place, start, end, words."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"),
+    rows = text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("copy", F.xxhash64("text"))
 
