@@ -49,24 +49,3 @@ def parse_object(c: Column) -> Column:
 def parse_array(c: Column) -> Column:
     """JSON array text -> array<string>, null when ``c`` is not an array."""
     return F.when(c.rlike(r"^\s*\["), F.from_json(c, "array<string>"))
-
-
-def get_or(m: Column, key: Column | str, default: str = MISSING_MARKER) -> Column:
-    """``d.get(k, default)`` rendered through ``str()``; absent != null (T5)."""
-    k = F.lit(key) if isinstance(key, str) else key
-    return F.when(F.map_contains_key(m, k), F.coalesce(m[k], F.lit(NONE_MARKER))).otherwise(F.lit(default))
-
-
-def is_object_with(c: Column, key: str) -> Column:
-    """``isinstance(v, dict) and key in v`` for a JSON text value."""
-    return F.coalesce(F.map_contains_key(parse_object(c), F.lit(key)), F.lit(False))
-
-
-def nested_get(body_map: Column, outer: str, inner: str, default: str) -> Column:
-    """``rec.get(outer, {}).get(inner, default)``; a non-object gives ``default``."""
-    inner_map = parse_object(body_map[F.lit(outer)])
-    return F.coalesce(
-        F.when(F.map_contains_key(inner_map, F.lit(inner)),
-               F.coalesce(inner_map[F.lit(inner)], F.lit(NONE_MARKER))),
-        F.lit(default),
-    )

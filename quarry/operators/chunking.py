@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.skew import salted_join
 from quarry.functions.text import py_strip
 
 # Page markers and newline runs removed by cleaning.
@@ -22,11 +23,6 @@ def clean_text(text: Column) -> Column:
     return py_strip(F.regexp_replace(F.regexp_replace(text, NEWLINE_RUN, "\n\n"), PAGE_MARKER, ""))
 
 
-def silent_failure(text: Column, min_chars: int = 100) -> Column:
-    """Conversion "succeeded" but the stripped text is under ``min_chars``."""
-    return F.length(py_strip(text)) < min_chars
-
-
 def overlapping_chunks(df: DataFrame, text_col: str, size: int = 1000, overlap: int = 150) -> DataFrame:
     """Fixed-size chunks with overlap (15 % by default) covering the whole text."""
     step = size - overlap
@@ -76,14 +72,15 @@ def centroids(vectors: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def top_k_by_query(candidates: DataFrame, queries: DataFrame, key: str, vec: str, query_vec: str,
-                   id_col: str, k: int = 5) -> DataFrame:
+                   id_col: str, rows: str, k: int = 5) -> DataFrame:
     """Per query key, the ``k`` candidates most similar to the query vector.
 
-    Candidates are matched to queries on ``key`` (an equi-join, not all pairs);
-    ``row_number() <= k`` lets Spark keep only k rows per group per partition
-    before the shuffle.
+    Candidates are matched to queries on ``key`` (an equi-join, not all pairs), a key with
+    many candidates (``queries[rows]``) over salts. ``row_number() <= k`` lets Spark keep
+    only k rows per group per partition before the shuffle.
     """
-    j = candidates.join(queries, key)
+    total = queries.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    j = salted_join(candidates, queries, [key], [F.col(id_col)], rows, total)
     scored = j.select(key, id_col, cosine(F.col(vec), F.col(query_vec)).alias("score"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(id_col))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

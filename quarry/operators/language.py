@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.skew import materialise, salted_join
+
 
 def trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, trigram, count) over the whole lower-cased text with padded word boundaries."""
@@ -42,9 +44,16 @@ def detect(docs: DataFrame, profiles: DataFrame, id_col: str, text_col: str) ->
     g = trigrams(docs, id_col, text_col)
     floor = profiles.groupBy("lang").agg(F.min("lp").alias("floor"))
     # score = sum over the document's trigrams of count * log p (unknown -> the language floor)
-    hits = g.join(profiles, "gram").groupBy("id", "lang").agg(F.sum(F.col("c") * F.col("lp")).alias("hit"),
+    # a trigram that most documents hold is joined over salts
+    g = materialise(g, "doc-trigrams")
+    often = g.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    known = profiles.groupBy("gram").agg(F.collect_list(F.struct("lang", "lp")).alias("by_lang"))  # one entry per language
+    known = materialise(known.join(often, "gram"), "trigram-profiles")
+    total = known.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    met = salted_join(g, known, ["gram"], [F.col("id")], "_n", total).select("id", "c", F.inline("by_lang"))
+    hits = met.groupBy("id", "lang").agg(F.sum(F.col("c") * F.col("lp")).alias("hit"),
                                                                F.sum("c").alias("hit_c"))
     total = g.groupBy("id").agg(F.sum("c").alias("n"))
     scored = hits.join(total, "id").join(floor, "lang").select(
         "id", "lang", (F.col("hit") + (F.col("n") - F.col("hit_c")) * F.col("floor")).alias("score"))
-    return scored.groupBy("id").agg(F.max_by("lang", "score").alias("detected"))
+    return scored.groupBy("id").agg(F.max_by("lang", F.struct("score", "lang")).alias("detected"))

@@ -93,21 +93,6 @@ def chat_messages(prompt: Column) -> Column:
                    F.struct(F.lit("user").alias("role"), prompt.alias("content")))
 
 
-def extract_json(text: Column) -> tuple[Column, Column]:
-    """P24 + T6: fenced block first, else first '{' to last '}'; strict parse each.
-
-    Returns (json text or null, rule name). A fenced block that fails to
-    parse falls through to the brace rule, as in the reference.
-    """
-    fenced = F.regexp_extract(text, FENCE_PATTERN, 1)
-    braces = F.regexp_extract(text, BRACES_PATTERN, 0)
-    ok1 = (fenced != "") & strict_json_object(fenced)
-    ok2 = (braces != "") & strict_json_object(braces)
-    parsed = F.when(ok1, fenced).when(ok2, braces)
-    rule = F.when(ok1, F.lit("fenced")).when(ok2, F.lit("braces")).otherwise(F.lit("none"))
-    return parsed, rule
-
-
 def parse_responses(responses: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """P24 + P25 + S11: parsed record (``{}`` on failure) beside the raw text.
 

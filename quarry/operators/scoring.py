@@ -94,45 +94,42 @@ def restrict_to_attempted(gold: DataFrame, attempted: DataFrame) -> DataFrame:
     return gold.join(attempted.select("file_name").distinct(), "file_name", "left_semi")
 
 
-HOT_SHARE = 64     # a name is hot when it holds at least 1/HOT_SHARE of all gold records
-SALT_BUCKETS = 32  # ... and its records are spread over this many join partitions
+HOT_PARTS = 4096   # a name is hot when it holds more than 1/HOT_PARTS of all gold records ...
+HOT_FLOOR = 1000   # ... and more than this many
 
 
-def hot_names(names: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
-    """Names holding at least ``1/hot_share`` of the gold records.
+def hot_names(names: DataFrame, parts: int = HOT_PARTS, floor: int = HOT_FLOOR) -> DataFrame:
+    """(file_name, buckets): names to be spread, over one bucket per share of the records.
 
-    ``names`` is the gold ``file_name`` column (one row per record). At most
-    ``hot_share`` names can pass the threshold, so the result has a proven
-    size bound and may be broadcast.
+    ``names`` is the gold ``file_name`` column (one row per record). A share is
+    ``max(total / parts, floor)`` records, so fewer than ``parts`` names can be hot: the
+    result has a proven bound and may be broadcast, and no bucket holds more than about a share.
     """
     counts = names.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.select(F.sum("n")).scalar()
-    return counts.where(F.col("n") * F.lit(hot_share) >= total).select("file_name", F.lit(True).alias("hot"))
+    share = F.greatest(counts.select(F.sum("n")).scalar() / F.lit(float(parts)), F.lit(float(floor)))
+    return counts.where(F.col("n") > share).select("file_name", F.ceil(F.col("n") / share).cast("int").alias("buckets"))
 
 
-def pair_records(gold: DataFrame, preds: DataFrame, salt_buckets: int = SALT_BUCKETS,
-                 hot_share: int = HOT_SHARE, names: DataFrame | None = None) -> DataFrame:
+def pair_records(gold: DataFrame, preds: DataFrame, names: DataFrame | None = None, parts: int = HOT_PARTS,
+                 floor: int = HOT_FLOOR) -> DataFrame:
     """J1+J3: gold LEFT JOIN latest prediction on ``file_name``, salted for hot names.
 
-    Gold duplicates each score against the same prediction; gold without a
-    prediction is scored against ``{}``. Records of a hot name are spread over
-    ``salt_buckets`` partitions (by ``orig_index``) and that name's single
-    prediction row is replicated to every bucket, so no task receives an
-    unbounded share of the records. Cold names keep salt 0. ``names`` (one
+    Gold duplicates each score against the same prediction; gold without a prediction is
+    scored against ``{}``. Records of a hot name are dealt over its buckets by
+    ``orig_index``, and that name's single prediction row is repeated once per bucket, so
+    the tasks of a name grow with its rows. Other names keep salt 0. ``names`` (one
     ``file_name`` row per gold record) defaults to the gold set's own column;
     pass the key column of the stored table when ``gold`` is costly to derive.
     """
     latest = latest_predictions(preds)
-    hot = F.broadcast(hot_names(gold.select("file_name") if names is None else names, hot_share))
+    hot = F.broadcast(hot_names(gold.select("file_name") if names is None else names, parts, floor))
     g = (gold.select("orig_index", "file_name", F.col("body").alias("gold_body"))
          .join(hot, "file_name", "left")
-         .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("orig_index"), F.lit(salt_buckets)))
-                     .otherwise(F.lit(0)).cast("int"))
-         .drop("hot"))
+         .withColumn("salt", F.pmod(F.xxhash64("orig_index"), F.coalesce("buckets", F.lit(1))).cast("int"))
+         .drop("buckets"))
     p = (latest.join(hot, "file_name", "left")
-         .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                       .otherwise(F.array(F.lit(0)))))
-         .drop("hot"))
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1)))
+         .drop("buckets"))
     return (g.join(p, ["file_name", "salt"], "left")
             .withColumn("has_prediction", F.col("pred_body").isNotNull()))
 
@@ -404,10 +401,10 @@ def score_report(record_scores: DataFrame) -> DataFrame:
     return detail.unionByName(total)
 
 
-def scores_export(record_scores: DataFrame, model: str) -> DataFrame:
+def scores_export(record_scores: DataFrame, model: str | Column) -> DataFrame:
     """S8 projection: the per-record CSV columns (unrounded; round at presentation, T7)."""
     return record_scores.select(
-        F.lit(model).alias("model"), "file_name", "orig_index",
+        (F.lit(model) if isinstance(model, str) else model).alias("model"), "file_name", "orig_index",
         "f1_overall", "f1_populated", "f1_na", "f1_metadata", "f1_lca", "schema_valid")
 
 
@@ -433,20 +430,22 @@ def flatten_leaves(body_map: Column, spec: ScoringSpec = ScoringSpec()) -> Colum
     return F.map_from_entries(F.flatten(F.transform(entries, expand)))
 
 
-def pass_divergence(preds: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
-    """Documents extracted twice — share of leaf paths whose values differ
-    between the latest pass and the one before it (a one-to-one join, not all pairs)."""
+def pass_divergence(preds: DataFrame, spec: ScoringSpec = ScoringSpec(), by: tuple[str, ...] = ("file_name",)) -> DataFrame:
+    """Documents extracted several times: share of leaf paths whose values differ between
+    each pass and the one before it (neighbours in ``seq``, not all pairs).
+
+    ``by`` names the key of a repeated extraction, such as (file_name, product). ``pass`` counts
+    from the key's second pass.
+    """
     from pyspark.sql import Window
-    w = Window.partitionBy("file_name").orderBy(F.col("seq").desc())
-    ranked = preds.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
-    last = ranked.where(F.col("_r") == 1).select("file_name", flatten_leaves(parse_object(F.col("body")), spec)
-                                                  .alias("a"))
-    prev = ranked.where(F.col("_r") == 2).select("file_name", flatten_leaves(parse_object(F.col("body")), spec)
-                                                  .alias("b"))
-    j = last.join(prev, "file_name")
+    w = Window.partitionBy(*by).orderBy("seq", "body")
+    j = (preds.withColumn("pass", F.row_number().over(w)).withColumn("_before", F.lag("body").over(w))
+         .where(F.col("_before").isNotNull())
+         .select(*by, F.col("pass").cast("bigint").alias("pass"), flatten_leaves(parse_object(F.col("body")), spec).alias("a"),
+                 flatten_leaves(parse_object(F.col("_before")), spec).alias("b")))
     keys = F.array_union(F.map_keys("a"), F.map_keys("b"))
     diff = F.filter(keys, lambda k: ~(F.map_contains_key("a", k) & F.map_contains_key("b", k)
                                       & F.col("a")[k].eqNullSafe(F.col("b")[k])))
-    return j.select("file_name", F.size(keys).cast("bigint").alias("n_paths"),
+    return j.select(*by, "pass", F.size(keys).cast("bigint").alias("n_paths"),
                     F.size(diff).cast("bigint").alias("n_diff"),
                     F.try_divide(F.size(diff).cast("double"), F.size(keys)).alias("divergence"))

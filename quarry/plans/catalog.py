@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.records import empty_map, parse_object
@@ -59,7 +59,7 @@ def score_leaves(spark: SparkSession, sf: str) -> DataFrame:
 @register("score_report")
 def score_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per-record rows plus the AVERAGE row."""
-    return scoring.score_report(_scored(spark, sf))
+    return scoring.score_report(materialise(_scored(spark, sf), "record-scores"))
 
 
 @register("unmatched_predictions")
@@ -325,7 +325,6 @@ def doc_routing(spark: SparkSession, sf: str) -> DataFrame:
 @register("stratified_sample")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Deterministic hash-ranked quota per tier (the limit is the feature)."""
-    from pyspark.sql import Window
     p = corpus.profile(fx.doc_facts(spark, sf), keep=("doc_id",))
     h = F.pmod(F.col("doc_id") * F.lit(2654435761), F.lit(4294967296))
     w = Window.partitionBy("complexity_tier").orderBy(h, F.col("doc_id"))
@@ -367,12 +366,21 @@ def flat_fields(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
 
 
+def _fixture_tables() -> Column:
+    """Tables of a document by doc_id % 3: none, one, or two with a blank one between."""
+    grid = lambda head, c: F.concat(F.lit(f"| {head} |\n| "), F.col(c).cast("string"), F.lit(" |"))
+    one = lambda k, md: F.struct(F.lit(k).alias("index"), md.alias("markdown"))
+    chars, lang = grid("chars", "n_chars"), grid("lang", "lang")
+    k = F.pmod("doc_id", F.lit(3))
+    return (F.when(k == 0, F.array().cast("array<struct<index:int,markdown:string>>"))
+            .when(k == 1, F.array(one(0, chars))).otherwise(F.array(one(0, chars), one(1, F.lit("")), one(2, lang))))
+
+
 @register("document_prompts")
 def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """Extraction prompt per document (length and SHA-256 of the text)."""
+    """Extraction prompt per document with its tables (length and SHA-256 of the text)."""
     docs = fx.table(spark, sf, "documents")
-    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
-    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
+    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), _fixture_tables())
     return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
 
 
@@ -408,7 +416,8 @@ def response_parse(spark: SparkSession, sf: str) -> DataFrame:
     r = prompts.parse_responses(_responses(spark, sf))
     m = parse_object(F.col("parsed"))
     return r.select("o_orderkey", fx.order_file_name(F.col("o_orderkey")).alias("file_name"), "rule",
-                    F.size(m).cast("bigint").alias("n_keys"), m[F.lit("status")].alias("status"))
+                    F.size(m).cast("bigint").alias("n_keys"), m[F.lit("status")].alias("status"),
+                    F.sha2("raw_text", 256).alias("raw_sha"))
 
 
 @register("stub_extraction")
@@ -424,8 +433,8 @@ def stub_extraction(spark: SparkSession, sf: str) -> DataFrame:
         def model(prompt: str) -> str:
             body = prompt.split("EPD DOCUMENT:\n", 1)[-1]
             words = body.split()
-            return "```json\n" + json.dumps({"Order Status": words[0] if words else "N/A",
-                                              "n_words": str(len(words))}) + "\n```"
+            return "```json\n" + json.dumps({"Order Status": words[0] if words else "N/A", "n_words": str(len(words))},
+                                               ensure_ascii=False) + "\n```"
         return model
 
     raw = prompts.run_extractor(docs.select("doc_id", p.alias("prompt")), "prompt", "doc_id", make_model)
@@ -609,7 +618,9 @@ def retrieval_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Per label, the five vectors closest (cosine) to the label centroid."""
     e = fx.table(spark, sf, "embeddings")
     cents = chunking.centroids(e, "label", "embedding")
-    top = chunking.top_k_by_query(e, cents, "label", "embedding", "centroid", "vec_id", k=5)
+    sizes = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    cents = materialise(cents.join(sizes, "label"), "label-centroids")
+    top = chunking.top_k_by_query(e, cents, "label", "embedding", "centroid", "vec_id", rows="n", k=5)
     return top.select("label", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -632,18 +643,30 @@ def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("few_shot")
 def few_shot(spark: SparkSession, sf: str) -> DataFrame:
-    """Two example documents per document, never the document itself.
+    """Prompts with the texts of two example documents, never the document itself.
 
-    The k + 1 smallest example ids are a bounded set (size k + 1), so each
-    document picks from them without pairing against every example.
+    Examples are dealt into 16 buckets by id and each document draws from one bucket, so
+    documents see different examples. A bucket needs its first k + 1 examples only, a set
+    of bounded size whose texts are joined to every document.
     """
-    lab = fx.table(spark, sf, "labels")
-    k = 2
-    pool = lab.where(F.col("quality") == 1).select("doc_id").orderBy("doc_id").limit(k + 1)
-    pool_ids = pool.select(F.array_sort(F.collect_list("doc_id"))).scalar()
-    picks = F.slice(F.array_remove(pool_ids, F.col("doc_id")), 1, k)
-    return lab.select("doc_id", F.posexplode(picks).alias("pos", "example_id")).select(
-        "doc_id", "example_id", (F.col("pos") + 1).cast("bigint").alias("rank"))
+    k, buckets = 2, 16
+    good = fx.table(spark, sf, "labels").where(F.col("quality") == 1).select(
+        F.col("doc_id").alias("example_id"), F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"))
+    w = Window.partitionBy("bucket").orderBy("example_id")
+    pool = good.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)  # buckets * (k + 1) rows
+    docs = fx.table(spark, sf, "documents")
+    texts = docs.join(F.broadcast(pool), docs["doc_id"] == pool["example_id"]).select(
+        "bucket", F.struct("example_id", "text").alias("example"))
+    shown = texts.groupBy("bucket").agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    d = docs.withColumn("bucket", F.pmod(F.floor(F.col("doc_id") / 7), F.lit(buckets)).cast("int"))
+    picks = F.slice(F.filter("examples", lambda e: e["example_id"] != F.col("doc_id")), 1, k)
+    asked = d.join(F.broadcast(shown), "bucket", "left").withColumn(
+        "picks", F.coalesce(picks, F.array().cast("array<struct<example_id:bigint,text:string>>")))
+    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
+    shots = F.array_join(F.transform("picks", lambda e: F.concat(F.lit("EXAMPLE DOCUMENT:\n"), e["text"], F.lit("\n\n"))), "")
+    p = F.concat(shots, prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables))
+    return asked.select("doc_id", F.array_join(F.transform("picks", lambda e: e["example_id"].cast("string")), ",").alias("example_ids"),
+                        F.length(p).cast("bigint").alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
 
 
 @register("leaf_count")
@@ -738,11 +761,12 @@ def train_eval_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("chat_export")
 def chat_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat-format JSON lines, one per message, tagged with the split."""
+    """Chat-format JSON lines, one per conversation with its messages in order, tagged with the split."""
     c = fx.table(spark, sf, "conversations")
     split = F.when(F.pmod("conv_id", F.lit(100)) < 80, F.lit("train")).otherwise(F.lit("eval"))
-    return c.select(split.alias("split"), F.to_json(F.struct(
-        "conv_id", "turn", "role", F.col("text").alias("content"))).alias("line"))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return turns.select(split.alias("split"), F.to_json(F.struct("conv_id", messages.alias("messages"))).alias("line"))
 
 
 @register("schema_chunked_prompts")
@@ -765,6 +789,9 @@ def schema_chunked_prompts(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- streaming
 
 
+FILES_PER_BATCH = 64
+
+
 @register("incremental_profile")
 def incremental_profile(spark: SparkSession, sf: str) -> DataFrame:
     """ST1 + ST2: documents profiled as a resumable availableNow stream, then read back.
@@ -777,8 +804,9 @@ def incremental_profile(spark: SparkSession, sf: str) -> DataFrame:
     def transform(batch: DataFrame) -> DataFrame:
         return corpus.profile(fx.doc_facts_from(batch))
 
-    incremental.process_new(spark, sf, schema, f"{base}/checkpoint", f"{base}/out", transform,
-                            glob="documents.parquet")
+    source, glob = incremental.table_source(spark, sf, "documents.parquet")
+    incremental.process_new(spark, source, schema, f"{base}/checkpoint", f"{base}/out", transform,
+                            max_files_per_trigger=FILES_PER_BATCH, glob=glob)
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
@@ -830,8 +858,9 @@ def incremental_summary(spark: SparkSession, sf: str) -> DataFrame:
                                                F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
                                                .alias("value_total"))
 
-    incremental.append_summary(spark, sf, schema, f"{base}/checkpoint", f"{base}/ledger", summarise,
-                               glob="events.parquet")
+    source, glob = incremental.table_source(spark, sf, "events.parquet")
+    incremental.append_summary(spark, source, schema, f"{base}/checkpoint", f"{base}/ledger", summarise,
+                               max_files_per_trigger=FILES_PER_BATCH, glob=glob)
     led = spark.read.parquet(f"{base}/ledger")
     return led.groupBy("event_type").agg(F.sum("n").cast("bigint").alias("n"),
                                          F.sum("value_total").alias("value_total"))

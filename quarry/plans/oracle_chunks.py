@@ -1,8 +1,6 @@
 """DuckDB oracle SQL for cleaning, chunking, retrieval and leaf analyses."""
 
-from quarry.plans.oracle_prompts import PROMPT_SUFFIX, lit
-from quarry.operators import prompts as P
-from quarry.operators.scoring import LCA_INDICATORS, LCA_STAGES
+from quarry.plans.oracle_prompts import PROMPT_SUFFIX, lit, prompt_prefix
 from quarry.plans.oracle_scoring import SCORING_LEAVES_CTE
 
 NL = "chr(10)"
@@ -17,11 +15,6 @@ def _block(fields: tuple[str, ...]) -> str:
     return "{\n" + "\n".join(f'  "{f}": "..."' for f in fields) + "\n}\n\n"
 
 
-def _prompt_prefix(block: str) -> str:
-    return (P.PROMPT_HEAD + block + P.PROMPT_INDICATORS + ", ".join(sorted(LCA_INDICATORS))
-            + P.PROMPT_STAGES + ", ".join(LCA_STAGES) + P.PROMPT_STAGE_NOTE + P.PROMPT_DOC)
-
-
 SQL = {
     "clean_text": f"""
 WITH s AS (SELECT doc_id, replace(replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10) || 'Page 1 of 9' || chr(10)),
@@ -62,14 +55,8 @@ SELECT p_partkey, CAST(levenshtein(g, q) AS BIGINT) AS distance,
        1.0 - CAST(levenshtein(g, q) AS DOUBLE) / CAST(greatest(length(g), length(q)) AS DOUBLE) AS lev_sim,
        CAST(len(list_intersect(tg, tq)) AS DOUBLE) / CAST(len(list_distinct(list_concat(tg, tq))) AS DOUBLE) AS jaccard
 FROM t""",
-    "few_shot": """
-WITH pool AS (SELECT doc_id AS example_id FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 3),
-pairs AS (SELECT l.doc_id, p.example_id,
-            row_number() OVER (PARTITION BY l.doc_id ORDER BY p.example_id) AS rank
-          FROM labels l CROSS JOIN pool p WHERE p.example_id <> l.doc_id)
-SELECT doc_id, example_id, CAST(rank AS BIGINT) AS rank FROM pairs WHERE rank <= 2""",
-    "leaf_count": """
-SELECT o_orderkey AS orig_index, CAST(35 AS BIGINT) AS n_leaves FROM orders""",
+    "leaf_count": "WITH " + SCORING_LEAVES_CTE + """
+SELECT orig_index, CAST(count(*) AS BIGINT) AS n_leaves FROM leaf GROUP BY orig_index""",
     "true_prf": "WITH " + SCORING_LEAVES_CTE + """,
 c AS (
   SELECT category,
@@ -120,7 +107,7 @@ SELECT conv_id, turn, CASE WHEN conv_id % 100 < 80 THEN 'train' ELSE 'eval' END
        CAST(length(text) AS INTEGER) AS n_chars FROM conversations""",
     "schema_chunked_prompts": "\nUNION ALL\n".join(
         f"SELECT doc_id, CAST({g} AS BIGINT) AS field_group, "
-        f"CAST(length({lit(_prompt_prefix(_block(fs)))} || text || {lit(PROMPT_SUFFIX)}) AS INTEGER) AS prompt_chars, "
-        f"sha256({lit(_prompt_prefix(_block(fs)))} || text || {lit(PROMPT_SUFFIX)}) AS prompt_sha FROM documents"
+        f"CAST(length({lit(prompt_prefix(_block(fs)))} || text || {lit(PROMPT_SUFFIX)}) AS INTEGER) AS prompt_chars, "
+        f"sha256({lit(prompt_prefix(_block(fs)))} || text || {lit(PROMPT_SUFFIX)}) AS prompt_sha FROM documents"
         for g, fs in GROUP_BLOCKS.items()),
 }

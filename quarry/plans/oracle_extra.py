@@ -1,16 +1,13 @@
 """DuckDB oracle SQL for divergence, strict tolerance, described prompts, ST3."""
 
 from quarry.plans import oracle_scoring as OS
-from quarry.plans.oracle_prompts import PROMPT_SUFFIX, lit
-from quarry.operators import prompts as P
-from quarry.operators.scoring import LCA_INDICATORS, LCA_STAGES
+from quarry.plans.oracle_prompts import PROMPT_SUFFIX, lit, prompt_prefix
 
 DESCRIPTIONS = {"Order Status": "single-letter order state", "Order Priority": "priority class",
                 "Return Flags": "list of return flags"}
 FIELDS = ("Order Status", "Order Priority", "Return Flags")
 BLOCK = "{\n" + "\n".join(f'  "{f}": "..."  // {DESCRIPTIONS[f]}' for f in FIELDS) + "\n}\n\n"
-PREFIX = (P.PROMPT_HEAD + BLOCK + P.PROMPT_INDICATORS + ", ".join(sorted(LCA_INDICATORS)) + P.PROMPT_STAGES
-          + ", ".join(LCA_STAGES) + P.PROMPT_STAGE_NOTE + P.PROMPT_DOC)
+PREFIX = prompt_prefix(BLOCK)
 PROMPT = f"{lit(PREFIX)} || text || {lit(PROMPT_SUFFIX)}"
 
 STRICT = OS.SCORE_RECORDS_CTE.replace(
@@ -40,7 +37,7 @@ agg AS (
   FROM orders o LEFT JOIN present p ON p.k = o.o_orderkey
   WHERE o.o_orderkey % 40 = 0 AND o.o_orderkey % 50 <> 0
   GROUP BY o.o_orderkey)
-SELECT file_name, CAST(n_last + 1 - has_status AS BIGINT) AS n_paths,
+SELECT file_name, CAST(2 AS BIGINT) AS pass, CAST(n_last + 1 - has_status AS BIGINT) AS n_paths,
        CAST(n_last + 1 - has_status - status_same AS BIGINT) AS n_diff,
        CAST(n_last + 1 - has_status - status_same AS DOUBLE) / CAST(n_last + 1 - has_status AS DOUBLE) AS divergence
 FROM agg""",

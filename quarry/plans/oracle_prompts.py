@@ -1,7 +1,30 @@
 """DuckDB oracle SQL for prompt assembly and response parsing."""
 
-from quarry.operators import prompts as P
-from quarry.operators.scoring import LCA_INDICATORS, LCA_STAGES
+# The prompt's fixed wording, stated here again, so that a change of the operator shows as a difference.
+SYSTEM_PROMPT = ('You are an expert EPD data extraction assistant. Extract structured data from EPD documents and'
+    ' return valid JSON only.')
+PROMPT_HEAD = ('Extract all fields from the EPD document below.\n'
+    '\n'
+    'Return a JSON object with EXACTLY these flat string fields (use "N/A" for any field not found i'
+    'n the document):\n')
+PROMPT_INDICATORS = ('Also include these 12 nested LCA indicator objects (')
+PROMPT_STAGES = ('),\n'
+    'each containing lifecycle stage keys: ')
+PROMPT_STAGE_NOTE = ('\n'
+    '(use "N/A" for stages not reported; Unit should be the exact string from the document).\n'
+    '\n')
+PROMPT_DOC = ('EPD DOCUMENT:\n')
+PROMPT_TABLES = ('\n'
+    '\n'
+    'TABLE DATA:\n')
+PROMPT_TAIL = ('\n'
+    '\n'
+    'Respond with ONLY the JSON object, no markdown fences or explanation.')
+NO_TABLES = ('(no tables extracted)')
+INDICATORS = ('ACIDIFICATION, EUTROFICATION, FRESH WATER, GWP-BIOGENIC, GWP-FOSSIL, GWP-TOTAL, PENRE, PENRM, P'
+    'ENRT, PERE, PERM, PERT')
+STAGES = ('A1, A2, A3, A1-A3, A4, A5, A4-A5, B1, B2, B3, B4, B5, B6, B7, B1-B7, C1, C2, C3, C4, C1-C4, D, '
+    'Unit')
 
 
 def lit(s: str) -> str:
@@ -10,9 +33,14 @@ def lit(s: str) -> str:
 
 FIELDS = ("Order Status", "Order Priority", "Return Flags")
 FIELD_BLOCK = "{\n" + "\n".join(f'  "{f}": "..."' for f in FIELDS) + "\n}\n\n"
-PROMPT_PREFIX = (P.PROMPT_HEAD + FIELD_BLOCK + P.PROMPT_INDICATORS + ", ".join(sorted(LCA_INDICATORS))
-                 + P.PROMPT_STAGES + ", ".join(LCA_STAGES) + P.PROMPT_STAGE_NOTE + P.PROMPT_DOC)
-PROMPT_SUFFIX = P.PROMPT_TABLES + P.NO_TABLES + P.PROMPT_TAIL
+
+
+def prompt_prefix(block: str) -> str:
+    return PROMPT_HEAD + block + PROMPT_INDICATORS + INDICATORS + PROMPT_STAGES + STAGES + PROMPT_STAGE_NOTE + PROMPT_DOC
+
+
+PROMPT_PREFIX = prompt_prefix(FIELD_BLOCK)
+PROMPT_SUFFIX = PROMPT_TABLES + NO_TABLES + PROMPT_TAIL
 PROMPT = f"{lit(PROMPT_PREFIX)} || text || {lit(PROMPT_SUFFIX)}"
 
 RESPONSES = r"""
@@ -30,11 +58,11 @@ r AS (
       ELSE substr(body, 1, length(body) - 5) END AS raw_text
   FROM o),
 x AS (
-  SELECT k, regexp_extract(raw_text, '```(?:json)?\s*(\{[\s\S]*?\})\s*```', 1) AS fenced,
+  SELECT k, raw_text, regexp_extract(raw_text, '```(?:json)?\s*(\{[\s\S]*?\})\s*```', 1) AS fenced,
             regexp_extract(raw_text, '\{[\s\S]*\}', 0) AS braces
   FROM r),
 p AS (
-  SELECT k,
+  SELECT k, raw_text,
     CASE WHEN fenced <> '' AND json_valid(fenced) THEN 'fenced'
          WHEN braces <> '' AND json_valid(braces) THEN 'braces' ELSE 'none' END AS rule,
     CASE WHEN fenced <> '' AND json_valid(fenced) THEN fenced
@@ -48,10 +76,51 @@ SELECT f.field, (SELECT min(o_orderkey) FROM orders) AS first_index, CAST(f.pos
        CAST(f.rank AS BIGINT) AS rank
 FROM (VALUES ('Order Status', 2, 1), ('Order Priority', 3, 2), ('Return Flags', 4, 3)) f(field, pos, rank)""",
     "document_prompts": f"""
-SELECT doc_id, CAST(length({PROMPT}) AS INTEGER) AS prompt_chars, sha256({PROMPT}) AS prompt_sha FROM documents""",
+WITH t AS (SELECT doc_id, {lit(PROMPT_PREFIX)} || text || {lit(PROMPT_TABLES)} || CASE doc_id % 3
+             WHEN 0 THEN {lit(NO_TABLES)}
+             WHEN 1 THEN '| chars |' || chr(10) || '| ' || n_chars || ' |'
+             ELSE '| chars |' || chr(10) || '| ' || n_chars || ' |' || chr(10) || chr(10) || '| lang |' || chr(10) || '| ' || lang || ' |' END
+             || {lit(PROMPT_TAIL)} AS p FROM documents)
+SELECT doc_id, CAST(length(p) AS INTEGER) AS prompt_chars, sha256(p) AS prompt_sha FROM t""",
+    "chat_messages": f"""
+SELECT doc_id, '[{{"role":"system","content":' || to_json({lit(SYSTEM_PROMPT)}) || '}},{{"role":"user","content":'
+       || to_json({PROMPT}) || '}}]' AS messages FROM documents""",
+    "stub_extraction": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text || {lit(PROMPT_SUFFIX)}, '\\S+') AS w FROM documents)
+SELECT doc_id, 'fenced' AS rule, '{{"Order Status": ' || to_json(w[1]) || ', "n_words": "' || len(w) || '"}}' AS parsed FROM w""",
+    "chat_export": """
+SELECT CASE WHEN conv_id % 100 < 80 THEN 'train' ELSE 'eval' END AS split,
+       '{"conv_id":' || conv_id || ',"messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}',
+         ',' ORDER BY turn) || ']}' AS line
+FROM conversations GROUP BY conv_id""",
+    "few_shot": f"""
+WITH pool AS (SELECT doc_id AS example_id, doc_id % 16 AS bucket, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS place
+              FROM labels WHERE quality = 1),
+picked AS (SELECT d.doc_id, p.example_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY p.example_id) AS rank
+           FROM documents d JOIN pool p ON p.bucket = (d.doc_id // 7) % 16 AND p.place <= 3 AND p.example_id <> d.doc_id),
+shown AS (SELECT k.doc_id, string_agg('EXAMPLE DOCUMENT:' || chr(10) || e.text || chr(10) || chr(10), '' ORDER BY k.rank) AS shots,
+                 list(k.example_id ORDER BY k.rank) AS examples
+          FROM picked k JOIN documents e ON e.doc_id = k.example_id WHERE k.rank <= 2 GROUP BY k.doc_id),
+t AS (SELECT d.doc_id, coalesce(array_to_string(examples, ','), '') AS example_ids, coalesce(shots, '') || {PROMPT} AS p
+      FROM documents d LEFT JOIN shown USING (doc_id))
+SELECT doc_id, example_ids, CAST(length(p) AS BIGINT) AS prompt_chars, sha256(p) AS prompt_sha FROM t""",
+    "language_detect": r"""
+WITH t AS (SELECT doc_id, lang, ' ' || lower(regexp_replace(text, '[^\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents),
+g AS (SELECT doc_id, lang, substr(s, i, 3) AS gram, count(*) AS c
+      FROM (SELECT doc_id, lang, s, unnest(range(1, length(s) - 1)) AS i FROM t) GROUP BY 1, 2, 3),
+h AS (SELECT * FROM g WHERE NOT contains(gram, '  ')),
+per AS (SELECT lang, gram, sum(c) AS c FROM h WHERE doc_id % 2 = 0 GROUP BY 1, 2),
+prof AS (SELECT lang, gram, ln(CAST(c + 1 AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang) AS DOUBLE)) AS lp
+         FROM per),
+least_lp AS (SELECT lang, min(lp) AS low FROM prof GROUP BY lang),
+hit AS (SELECT h.doc_id, p.lang, sum(h.c * p.lp) AS hit, sum(h.c) AS n FROM h JOIN prof p USING (gram) GROUP BY 1, 2),
+total AS (SELECT doc_id, sum(c) AS n FROM h GROUP BY 1),
+score AS (SELECT doc_id, hit.lang, hit + (total.n - hit.n) * low AS score FROM hit JOIN total USING (doc_id) JOIN least_lp l ON l.lang = hit.lang),
+best AS (SELECT doc_id, arg_max(lang, (score, lang)) AS detected FROM score GROUP BY doc_id)
+SELECT d.doc_id, d.lang, detected FROM documents d LEFT JOIN best USING (doc_id)""",
     "response_parse": "WITH " + RESPONSES + """
 SELECT k AS o_orderkey, 'ORD-' || lpad(CAST(k AS VARCHAR), 6, '0') || '.pdf' AS file_name, rule,
        CAST(CASE WHEN parsed = '{}' THEN 0 ELSE len(json_keys(parsed)) END AS BIGINT) AS n_keys,
-       json_extract_string(parsed, '$.status') AS status
+       json_extract_string(parsed, '$.status') AS status, sha256(raw_text) AS raw_sha
 FROM p""",
 }

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.skew import materialise
 from quarry.operators import corpus, curation, prompts, scoring
 from quarry.operators.checks import expect_rows
 from quarry.session import shared_dir
@@ -62,35 +63,42 @@ def evaluate_model(spark: SparkSession, gold: DataFrame, sidecars: DataFrame,
     preds = parsed.select(F.col("key").alias("file_name"), F.lit(1).cast("bigint").alias("seq"),
                           F.col("parsed").alias("body"), "raw_text", "rule", "seconds")
     attempted = scoring.restrict_to_attempted(gold, preds)
-    records = scoring.score_records(attempted, preds.select("file_name", "seq", "body"), spec)
+    # scored once; the scores, the ledger row and the caller read the written table
+    records = materialise(scoring.score_records(attempted, preds.select("file_name", "seq", "body"), spec,
+                                                names=attempted.select("file_name")), "record-scores")
     latency = raw.select(F.sum("seconds")).scalar()
     short = prompts.short_model_name(F.lit(model_id))
     summary = scoring.summary_row(records, short, 0.0, F.coalesce(latency, F.lit(0.0)))
     if scores_path:
-        sinks.write_scores(scoring.scores_export(records, "model"), scores_path)
+        sinks.write_scores(scoring.scores_export(records, short), scores_path)
     if ledger_path:
         sinks.append_ledger(summary, ledger_path)
     return Evaluation(preds, skipped, records, summary)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system it names; other failures are raised."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def audit_corpus(docs: DataFrame, gold_names: DataFrame, out_path: str | None = None
                  ) -> tuple[DataFrame, DataFrame]:
     """Profile a corpus (the audit lifecycle): audit rows with gold match, and the summary.
 
     ``docs`` carries the per-document facts a converter reports (see
-    ``corpus.profile``). Writing appends, so a resumed run only adds new rows.
+    ``corpus.profile``). Documents already in ``out_path`` are left out before any work is
+    done on them; the rest is appended.
     """
+    spark = docs.sparkSession
+    if out_path and path_exists(spark, out_path):
+        docs = corpus.remaining(docs, spark.read.parquet(out_path).select("filename"))
     prof = corpus.profile(docs)
     matched = prof.join(corpus.match_names(prof, gold_names), "filename", "left")
     if out_path:
-        done = None
-        try:
-            done = docs.sparkSession.read.parquet(out_path).select("filename")
-        except Exception:  # first run: nothing written yet
-            done = None
-        new = matched if done is None else corpus.remaining(matched, done)
-        new.write.mode("append").parquet(out_path)
-        matched = docs.sparkSession.read.parquet(out_path)
+        matched.write.mode("append").parquet(out_path)
+        matched = spark.read.parquet(out_path)
     return matched, corpus.corpus_summary(matched)
 
 

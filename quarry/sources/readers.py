@@ -6,7 +6,7 @@ record position in its file is the only unique key (``orig_index``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.records import parse_object
@@ -27,28 +27,40 @@ def _with_name(df: DataFrame) -> DataFrame:
 
 
 def read_record_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records per file; position in the array is ``orig_index``.
+    """JSON arrays of records; ``orig_index`` is the position over all files in name order.
 
-    A whole-array file is necessarily one task; convert it once to JSON Lines
-    or Parquet (with ``orig_index``) for large inputs and use ``read_record_lines``.
+    A whole-array file is necessarily one task; convert it once with ``sinks.write_records``
+    for large inputs and use ``read_record_lines``.
     """
-    raw = spark.read.text(path, wholetext=True)
-    recs = raw.select(F.posexplode(F.from_json("value", "array<string>")).alias("orig_index", "body"))
-    return _with_name(recs.select(F.col("orig_index").cast("bigint"), "body")).select("orig_index", "file_name", "body")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+    recs = raw.select("_file", F.posexplode(F.from_json("value", "array<string>")).alias("_pos", "body"))
+    sizes = recs.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # one row per file
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    recs = recs.join(sizes.select("_file", before.alias("_before")), "_file")
+    return _with_name(recs.select((F.col("_before") + F.col("_pos")).cast("bigint").alias("orig_index"), "body")) \
+        .select("orig_index", "file_name", "body")
 
 
 def read_record_lines(spark: SparkSession, path: str, index_key: str = "_orig_index") -> DataFrame:
-    """S1 (scalable form): JSON Lines, one record per line, index taken from ``index_key``.
+    """S1 (scalable form): JSON Lines, one record per line, ``orig_index`` taken from ``index_key``.
 
-    Scoring needs a unique ``orig_index`` per record. Lines without the key get a
-    deterministic 63-bit hash of (source file, line text) instead of null, so
-    records never merge; identical lines in one file share it.
+    The index is stored by the writer (``sinks.write_records``). A line without it fails the
+    read: two equal lines could not be told apart, and records would merge.
     """
+    return _numbered_lines(spark, path, index_key, "orig_index")
+
+
+def read_prediction_lines(spark: SparkSession, path: str, seq_key: str = "_seq") -> DataFrame:
+    """Predictions as JSON Lines: ``seq, file_name, body``; the highest ``seq`` of a name wins in scoring."""
+    return _numbered_lines(spark, path, seq_key, "seq")
+
+
+def _numbered_lines(spark: SparkSession, path: str, key: str, name: str) -> DataFrame:
     raw = spark.read.text(path).where(F.trim("value") != "")
-    idx = parse_object(F.col("value"))[F.lit(index_key)].try_cast("bigint")
-    fallback = F.xxhash64(F.col("_metadata.file_path"), F.col("value")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-    recs = raw.select(F.coalesce(idx, fallback).alias("orig_index"), F.col("value").alias("body"))
-    return _with_name(recs).select("orig_index", "file_name", "body")
+    number = parse_object(F.col("value"))[F.lit(key)].try_cast("bigint")
+    missing = F.raise_error(F.concat(F.lit(f"record line without {key}: "), F.substring("value", 1, 80))).cast("bigint")
+    recs = raw.select(F.when(number.isNotNull(), number).otherwise(missing).alias(name), F.col("value").alias("body"))
+    return _with_name(recs).select(name, "file_name", "body")
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -76,15 +88,7 @@ def list_documents(spark: SparkSession, path: str, suffix: str = "pdf") -> DataF
                      F.element_at(F.split("path", "/"), -1).alias("filename"))
 
 
-def name_filter(names: str | None) -> Column | None:
-    """Predicate for a comma-separated ``only`` list (None keeps everything)."""
-    if not names:
-        return None
-    wanted = [n.strip() for n in names.split(",") if n.strip()]
-    return F.col("file_name").isin(wanted)
-
-
 def only(df: DataFrame, names: str | None, col: str = "file_name") -> DataFrame:
-    """Keep rows whose ``col`` is in the comma-separated list; pushed into the scan."""
-    pred = name_filter(names)
-    return df if pred is None else df.where(F.col(col).isin([n.strip() for n in names.split(",") if n.strip()]))
+    """Keep rows whose ``col`` is in a comma-separated list (None keeps all); pushed into the scan."""
+    wanted = [n.strip() for n in (names or "").split(",") if n.strip()]
+    return df.where(F.col(col).isin(wanted)) if wanted else df

@@ -17,6 +17,15 @@ def write_buckets(clean: DataFrame, quarantine: DataFrame, path: str) -> None:
     both.select(F.col("body").alias("value"), "bucket").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
+def write_records(records: DataFrame, path: str, number: str = "orig_index", key: str = "_orig_index") -> None:
+    """JSON Lines of record bodies, each with its number stored under ``key`` as the first field."""
+    inner = F.regexp_extract("body", r"(?s)^\s*\{(.*)$", 1)
+    rest = F.when(F.trim(inner) == "}", inner).otherwise(F.concat(F.lit(","), inner))
+    line = F.concat(F.lit('{"' + key + '":'), F.col(number).cast("string"), rest)
+    flat = F.regexp_replace(line, r"[\r\n]+", " ")  # bodies may be pretty-printed
+    records.select(flat.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """Manifest CSV with header."""
     (manifest.select("orig_idx", "bucket", "file_name", "product_name", "gwp_a1a3", "notes")

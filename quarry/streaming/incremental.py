@@ -22,6 +22,14 @@ def idempotent_append(transform: Callable[[DataFrame], DataFrame], sink: str,
     return write
 
 
+def table_source(spark: SparkSession, folder: str, name: str) -> tuple[str, str | None]:
+    """(source, glob) of a stored table that is one file ``name`` or a folder of part files."""
+    path = f"{folder.rstrip('/')}/{name}"
+    files = spark.read.parquet(path).inputFiles()
+    one_file = len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}")
+    return (folder, name) if one_file else (path, None)
+
+
 def process_new(spark: SparkSession, source: str, schema: str, checkpoint: str, sink: str,
                 transform: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
                 max_files_per_trigger: int | None = None, glob: str | None = None) -> None:
@@ -41,6 +49,6 @@ def process_new(spark: SparkSession, source: str, schema: str, checkpoint: str,
 
 def append_summary(spark: SparkSession, source: str, schema: str, checkpoint: str, ledger: str,
                    summarise: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-                   glob: str | None = None) -> None:
+                   max_files_per_trigger: int | None = None, glob: str | None = None) -> None:
     """ST3: summary rows per micro-batch appended to the ledger (replay-safe)."""
-    process_new(spark, source, schema, checkpoint, ledger, summarise, fmt, glob=glob)
+    process_new(spark, source, schema, checkpoint, ledger, summarise, fmt, max_files_per_trigger, glob)

@@ -3,8 +3,11 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import scoring
+from quarry.operators.checks import expect_rows
 from quarry.sources import readers as R
 from quarry.sources import sinks as W
 
@@ -19,6 +22,45 @@ def test_record_array_positions(spark, scratch):
     assert json.loads(df[2].body) == recs[2]
 
 
+def test_record_arrays_of_several_files_number_on(spark, scratch):
+    for name, n in (("a.json", 2), ("b.json", 3)):
+        with open(os.path.join(scratch, name), "w") as f:
+            json.dump([{"file_name": f"{name}{k}"} for k in range(n)], f)
+    got = R.read_record_array(spark, scratch).orderBy("orig_index").collect()
+    assert [(r.orig_index, r.file_name) for r in got] == [
+        (0, "a.json0"), (1, "a.json1"), (2, "b.json0"), (3, "b.json1"), (4, "b.json2")]
+
+
+def test_record_lines_keep_their_numbers(spark, scratch):
+    rows = spark.createDataFrame([(5, '{"file_name": "x.pdf",\n "A": "1"}'), (6, '{"file_name": "x.pdf",\n "A": "1"}'), (7, "{}")],
+                                 "orig_index bigint, body string")
+    W.write_records(rows, os.path.join(scratch, "lines"))
+    back = R.read_record_lines(spark, os.path.join(scratch, "lines")).orderBy("orig_index").collect()
+    assert [(r.orig_index, r.file_name) for r in back] == [(5, "x.pdf"), (6, "x.pdf"), (7, "")]
+    spark.createDataFrame([('{"file_name": "y"}',)], "value string").write.text(os.path.join(scratch, "bare"))
+    with pytest.raises(Exception, match="without _orig_index"):
+        R.read_record_lines(spark, os.path.join(scratch, "bare")).collect()
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0], [1, 2, 0]])
+def test_last_prediction_wins_by_its_number(spark, scratch, order):
+    gold = spark.createDataFrame([(0, "x.pdf", '{"file_name": "x.pdf", "Product Name": "third"}')],
+                                 "orig_index bigint, file_name string, body string")
+    names = ["first", "second", "third"]
+    preds = spark.createDataFrame([(k, '{"file_name": "x.pdf", "Product Name": "%s"}' % names[k]) for k in order], "seq bigint, body string")
+    W.write_records(preds.repartition(3), os.path.join(scratch, "p"), "seq", "_seq")
+    back = R.read_prediction_lines(spark, os.path.join(scratch, "p"))
+    assert scoring.score_records(gold, back).first().f1_metadata == 1.0
+
+
+def test_row_expectations_also_fail_on_nothing(spark):
+    assert expect_rows(spark.range(5), 5).count() == 5
+    assert expect_rows(spark.range(0), 0).count() == 0
+    for df, n in ((spark.range(0), 5), (spark.range(4), 5)):
+        with pytest.raises(Exception, match="expected 5"):
+            expect_rows(df, n).count()
+
+
 def test_buckets_round_trip_as_lines(spark, scratch):
     clean = spark.createDataFrame([(0, "a.pdf", '{"_orig_index":0,"file_name":"a.pdf"}')],
                                   "orig_index bigint, file_name string, body string")
@@ -112,12 +154,3 @@ def test_readme_usage_example(spark, scratch):
     assert got["b.pdf"].f1_overall == 0.0 and not got["b.pdf"].has_prediction
     summary = scoring.summary_row(records, "m", 0.0, 812.0).first()
     assert summary.f1_overall == 0.5 and summary.latency_s_per_record == 406.0
-
-
-def test_record_lines_without_index_stay_distinct(spark, scratch):
-    path = os.path.join(scratch, "lines")
-    os.makedirs(path)
-    with open(os.path.join(path, "a.jsonl"), "w") as f:
-        f.write('{"file_name": "x.pdf", "A": "1"}\n{"file_name": "x.pdf", "A": "2"}\n\n')
-    recs = R.read_record_lines(spark, path).collect()
-    assert len(recs) == 2 and len({r.orig_index for r in recs}) == 2 and all(r.orig_index >= 0 for r in recs)

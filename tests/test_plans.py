@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
-TOP_K = ("retrieval_topk", "stratified_sample", "pass_divergence")
+TOP_K = ("retrieval_topk", "stratified_sample")
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))

@@ -133,14 +133,17 @@ def test_hot_name_is_salted_and_scores_match(spark):
     recs = [dict(GOLD[0], **{"Product Name": f"p{i}"}) for i in range(200)] + GOLD[1:]
     gold = _gold(spark, recs)
     preds = _preds(spark, [dict(GOLD[0], **{"Product Name": "p7"}), GOLD[1]])
-    hot = [r.file_name for r in S.hot_names(gold).collect()]
+    hot = [r.file_name for r in S.hot_names(gold, floor=20).collect()]
     assert hot == ["a.pdf"]
     salted = S.score_records(gold, preds, SPEC)
     rows = {r.orig_index: r for r in salted.collect()}
     assert len(rows) == 201
     assert rows[7].f1_metadata == 1.0 and rows[8].f1_metadata < 1.0
     assert all(r.has_prediction for r in rows.values())
-    paired = S.pair_records(gold, preds)
+    paired = S.pair_records(gold, preds, floor=20)
+    more = S.pair_records(gold, preds, floor=5)
+    buckets = lambda df: df.where("file_name = 'a.pdf'").select("salt").distinct().count()
+    assert buckets(more) > buckets(paired)  # tasks grow with the name's rows
     assert paired.where("file_name = 'a.pdf'").select("salt").distinct().count() > 1
-    unsalted = S.pair_records(gold, preds, salt_buckets=1)
+    unsalted = S.pair_records(gold, preds)
     assert unsalted.count() == paired.count() == 201

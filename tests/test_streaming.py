@@ -26,3 +26,21 @@ def test_resume_equals_single_run(spark, scratch):
     again = spark.read.parquet(out).drop("batch_id").orderBy("doc_id").collect()
     expected = transform(docs).orderBy("doc_id").collect()
     assert first == expected and again == expected
+
+
+def test_table_stored_as_a_folder_over_several_batches(spark, scratch):
+    from quarry.plans import catalog
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(6).write.parquet(os.path.join(scratch, "documents.parquet"))
+    source, glob = incremental.table_source(spark, scratch, "documents.parquet")
+    assert glob is None and source.endswith("documents.parquet")
+    batches = []
+    incremental.process_new(spark, source, "doc_id bigint, n_chars bigint", os.path.join(scratch, "ck"), os.path.join(scratch, "out"),
+                            lambda b: batches.append(1) or b, max_files_per_trigger=2)
+    assert len(batches) == 3 and spark.read.parquet(os.path.join(scratch, "out")).count() == docs.count()
+    one = catalog.incremental_profile(spark, "/root/testdata/sf0.001").orderBy("filename").collect()
+    assert catalog.incremental_profile(spark, scratch).orderBy("filename").collect() == one
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(os.path.join(scratch, "events.parquet"))
+    want = catalog.incremental_summary(spark, "/root/testdata/sf0.001").orderBy("event_type").collect()
+    assert catalog.incremental_summary(spark, scratch).orderBy("event_type").collect() == want
