@@ -27,7 +27,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     discard = os.environ.get("BENCH_DISCARD", "1") == "1"  # one discarded run per query
     from quarry.plans.catalog import QUERIES
     from quarry.session import local_session

@@ -72,6 +72,18 @@ def profile(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.col("page_count"), F.col("table_count")))
 
 
+AUDIT_COLUMNS = (  # the audit row, in file order
+    "filename", "page_count", "text_length", "chars_per_page", "native_vs_scanned", "tagged", "language",
+    "docling_success", "table_count", "docling_table_text_len", "docling_text_len", "docling_seconds",
+    "complexity_tier", "gold_standard_match", "pymupdf_error", "docling_error")
+
+
+def audit_rows(docs: DataFrame, gold_names: DataFrame) -> DataFrame:
+    """M7: the whole audit row: profile, converter sizes and time, gold name match."""
+    prof = profile(docs, keep=("docling_table_text_len", "docling_text_len", "docling_seconds"))
+    return prof.join(match_names(prof, gold_names), "filename", "left").select(*AUDIT_COLUMNS)
+
+
 def corpus_summary(prof: DataFrame) -> DataFrame:
     """One pass of conditional counts; native = total - scanned (unknown counts as native)."""
     n = F.count(F.lit(1))

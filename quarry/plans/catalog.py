@@ -17,6 +17,7 @@ from quarry.functions.text import is_na, normalise_string, parse_numeric
 from quarry.operators import chunking, convert, corpus, curation, language, ledger, prompts, scoring
 from quarry.plans import fixtures as fx
 from quarry.session import shared_dir
+from quarry.sources import readers, sinks
 from quarry.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,6 +352,52 @@ def html_table_stats(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table_stats(side)
 
 
+# ---------------------------------------------------------- files and back
+
+
+@register("audit_csv")
+def audit_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + M7: the 16-column audit rows written as CSV and read back typed."""
+    path = shared_dir(spark, "audit-csv")
+    rows = corpus.audit_rows(fx.doc_facts(spark, sf), fx.audit_gold_names(spark, sf))
+    rows.write.option("header", True).csv(path)
+    return readers.read_audit(spark, path)
+
+
+@register("manifest_csv")
+def manifest_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + S3: the manifest written as CSV and read back typed."""
+    path = shared_dir(spark, "manifest-csv")
+    sinks.write_manifest(_manifest(spark, sf), path)
+    return readers.read_manifest(spark, path).withColumn("notes", F.coalesce("notes", F.lit("")))
+
+
+@register("bucket_files")
+def bucket_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 + S1: both buckets written as record lines and read back, bucket from the folder."""
+    path = shared_dir(spark, "buckets")
+    norm = _normalised(spark, sf)
+    clean, quarantine = curation.split_buckets(norm, _manifest(spark, sf))
+    parts = []
+    for bucket, rows in (("CLEAN", clean), ("QUARANTINE", quarantine)):
+        sinks.write_records(rows, f"{path}/{bucket}")
+        parts.append(readers.read_record_lines(spark, f"{path}/{bucket}").withColumn("bucket", F.lit(bucket)))
+    both = parts[0].unionByName(parts[1])
+    return both.select("orig_index", "bucket", "file_name",
+                       parse_object(F.col("body"))[F.lit("Product Name")].alias("product"))
+
+
+@register("ledger_append")
+def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs appended to one ledger, rows per model and run read back."""
+    path = shared_dir(spark, "ledger")
+    a = fx.attempts(spark, sf).withColumn("model", F.col("event_type"))
+    for run in (0, 1):
+        rows = ledger.ledger_rows(a.where(F.pmod("event_id", F.lit(2)) == run), "model", "correct", "price", "latency")
+        sinks.append_ledger(rows.withColumn("run", F.lit(run).cast("bigint")), path)
+    return spark.read.parquet(path).select("model", "run", "n_records", "cost_usd_total")
+
+
 # --------------------------------------------------------- prompts/responses
 
 

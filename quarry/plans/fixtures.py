@@ -260,6 +260,9 @@ def doc_facts_from(d: DataFrame) -> DataFrame:
         (read_ok & (F.pmod(k, F.lit(TAGGED_MOD)) == 0)).alias("tagged"),
         success.alias("docling_success"),
         F.when(success, F.pmod(F.col("n_chars"), F.lit(9))).otherwise(F.lit(0)).alias("table_count"),
+        F.when(success, F.pmod(F.col("n_chars"), F.lit(9)) * 10).otherwise(F.lit(0)).cast("int").alias("docling_table_text_len"),
+        F.when(success, F.length("text")).otherwise(F.lit(0)).cast("int").alias("docling_text_len"),
+        (F.col("n_chars") / F.lit(1024.0)).alias("docling_seconds"),
         F.when(success, F.lit("")).otherwise(F.lit("Pipeline StandardPdfPipeline failed")).alias("docling_error"),
         F.when(read_ok, F.lit("")).otherwise(F.lit("cannot open broken document")).alias("pymupdf_error"),
     )

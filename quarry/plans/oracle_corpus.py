@@ -80,6 +80,14 @@ SQL = {
     "doc_profile": W + """
 SELECT filename, page_count, text_length, chars_per_page, native_vs_scanned, tagged, language,
        docling_success, table_count, pymupdf_error, docling_error, complexity_tier FROM prof""",
+    "audit_csv": W + "," + GOLD_NAMES + """
+SELECT p.filename, page_count, text_length, chars_per_page, native_vs_scanned, tagged, language, docling_success, table_count,
+       CAST(CASE WHEN docling_success THEN d.n_chars % 9 * 10 ELSE 0 END AS INTEGER) AS docling_table_text_len,
+       CAST(CASE WHEN docling_success THEN length(d.text) ELSE 0 END AS INTEGER) AS docling_text_len,
+       d.n_chars / CAST(1024 AS DOUBLE) AS docling_seconds, complexity_tier,
+       nullif(m.gold_standard_match, '') AS gold_standard_match, nullif(pymupdf_error, '') AS pymupdf_error,
+       nullif(docling_error, '') AS docling_error
+FROM prof p JOIN documents d USING (doc_id) JOIN matched m ON m.filename = p.filename""",
     "corpus_summary": W + """
 SELECT CAST(count(*) AS BIGINT) AS n_total,
        CAST(count(*) - count_if(native_vs_scanned = 'scanned') AS BIGINT) AS n_native,

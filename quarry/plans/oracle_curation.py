@@ -99,6 +99,13 @@ SELECT CAST(k AS BIGINT) AS orig_idx, CASE WHEN {CLEAN} THEN 'CLEAN' ELSE 'QUARA
        CASE WHEN {CLEAN} THEN '' ELSE {NOTE_CASE} END AS notes,
        CASE WHEN {CLEAN} THEN NULL ELSE {REASON_CASE} END AS quarantine_reason
 FROM pt""",
+    "manifest_csv": W + f"""
+SELECT CAST(k AS INTEGER) AS orig_idx, CASE WHEN {CLEAN} THEN 'CLEAN' ELSE 'QUARANTINE' END AS bucket,
+       file_name, product AS product_name, CASE WHEN {CLEAN} THEN a1a3 ELSE 'N/A' END AS gwp_a1a3,
+       CASE WHEN {CLEAN} THEN '' ELSE {NOTE_CASE} END AS notes
+FROM pt""",
+    "bucket_files": W + f"""
+SELECT CAST(k AS BIGINT) AS orig_index, CASE WHEN {CLEAN} THEN 'CLEAN' ELSE 'QUARANTINE' END AS bucket, file_name, product FROM pt""",
     "quarantine_breakdown": W + f"""
 SELECT {NOTE_CASE} AS notes, CAST(count(*) AS BIGINT) AS n FROM pt WHERE NOT ({CLEAN}) GROUP BY 1""",
     "clean_subkeys": W + f"""
