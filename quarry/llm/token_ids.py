@@ -206,15 +206,17 @@ def token_index(spark, out: str) -> DataFrame:
             ends = lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("doc_id"), pa.array(np.diff(ends).astype("int64")),
-                 pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
+                [batch.column("file"), batch.column("row"), batch.column("doc_id"),
+                 pa.array(np.diff(ends).astype("int64")), pa.array(crc, pa.int64())],
+                names=["file", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = spark.read.parquet(out).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    read = materialise(rows.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
+    rows = spark.read.parquet(out).select(F.col("_metadata.file_name").alias("file"),
+                                          F.col("_metadata.row_index").alias("row"), "doc_id", "ids")
+    read = materialise(rows.mapInArrow(run, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
     per_file = read.groupBy("file").agg(F.sum("n_tokens").alias("_sum"))
     before = (per_file.withColumn("_before", F.coalesce(F.sum("_sum").over(
         Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum"))
-    order = Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32")
+    order = Window.partitionBy("file").orderBy("row")
     inside = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (read.withColumn("_inside", inside).join(before, "file")
             .select("doc_id", (F.col("_before") + F.col("_inside")).cast("long").alias("start"), "n_tokens", "ids_crc32"))

@@ -204,10 +204,10 @@ TEXTS = [None, "", "\x0b\x0c a\x1cb\x85c\u2028d\xa0e", "it's DON'T 'S <|endoftex
 def test_token_files_equal_whole_text_encoding(spark, scratch):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(vocabulary())
-    rows = list(enumerate(TEXTS)) + [(99, "same"), (99, "same")]
+    rows = [(None, "no id")] + list(enumerate(TEXTS)) + [(99, "same"), (99, "same")]
     out = scratch + "/ids"
     token_ids.write_token_files(docs(spark, rows).repartition(3), out, vocabulary(), end_id=1, files=4)
-    got = sorted(tuple(r) for r in token_ids.token_index(spark, out).collect())
+    got = sorted((tuple(r) for r in token_ids.token_index(spark, out).collect()), key=lambda r: r[1])
     at, want = 0, []
     for i, t in rows:
         ids = whole.encode(t or "", add_special_tokens=False).ids + [1]
