@@ -4,7 +4,7 @@ A text is cut into units: lines, and sentences inside a line, so that a passage
 the middle of a paragraph still gives equal units. A unit is normalised (case, white space)
 and hashed to 128 bits. Digests are grouped over the whole corpus; the occurrence earliest
 in rank (document id, then position) is kept, all later ones are repeats. Consecutive
-repeats form a run, and runs of at least ``min_words`` words are removed, so that common short
+repeats form a run, whatever blank lines, line ends or marks without words lie between them, and runs of at least ``min_words`` words are removed, so that common short
 sentences stay where they are. Removed spans are given as offsets into the original text.
 
 Scale: a first pass counts 64 bits of each digest (combined before the shuffle) and turns the
@@ -36,7 +36,10 @@ _SCHEMA = "hi long, lo long, doc_id long, copy long, place int, start int, end i
 
 
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit with a word: digest (hi, lo), doc_id, copy (text hash), place, start, end, words."""
+    """One row per unit with a word: digest (hi, lo), doc_id, copy (text hash), place, start, end, words.
+
+    ``place`` numbers the units with words of a text, so that neighbours differ by one.
+    """
     rows = text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("copy", F.xxhash64("text"))
@@ -56,14 +59,15 @@ def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         digests, ids, copies, places = [], [], [], []
         for batch in batches:
             for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
-                at = 0
-                for place, unit in enumerate(find(text)):
+                at = place = 0
+                for unit in find(text):
                     words = unit.lower().split()
                     if words and (len(words) > 1 or words[0] not in ".!?"):
                         digests.append(xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
                         places.append((place, at, at + len(unit), len(words)))
                         ids.append(doc)
                         copies.append(copy)
+                        place += 1
                     at += len(unit)
                 if len(digests) >= 50_000:
                     yield flush()
@@ -90,9 +94,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = (salted_join(likely, groups, ["hi", "lo"], [F.col("doc_id"), F.col("start"), F.col("copy")], "_n", total)
              .where(rank != F.col("_first")))
     doc = ["doc_id", "copy"]
-    # units with words need not be neighbours in place: marks between them count as places too
     runs = Window.partitionBy(*doc).orderBy("place")
-    gap = F.col("start") - F.lag("end").over(runs)
+    gap = F.col("place") - F.lag("place").over(runs)
     marked = later.withColumn("_new", F.when(F.coalesce(gap, F.lit(9)) > 1, 1).otherwise(0))
     numbered = marked.withColumn("_run", F.sum("_new").over(runs))
     weighed = numbered.withColumn("_run_words", F.sum("words").over(Window.partitionBy(*doc, "_run")))

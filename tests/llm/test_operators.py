@@ -263,6 +263,17 @@ def test_repeated_passage_inside_lines(spark):
     assert all(out[k]["n_removed"] == 0 and out[k]["text"] == dict(rows)[k] for k in (1, 3, 4, 5, 6))
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\r\n", "\r\n\r\n", " \n \n", "\n...\n"])
+def test_run_goes_over_blank_lines(spark, between):
+    paragraphs = [" ".join(f"{name}{k}" for k in range(25)) + "." for name in ("alpha", "beta", "gamma")]
+    passage = between.join(paragraphs)
+    rows = [(1, passage), (2, f"Own words.{between}{passage}{between}Other words."),
+            (3, between.join([paragraphs[0], "Words in between.", paragraphs[1]]))]
+    out = {r["doc_id"]: r for r in unit_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert {i: r["n_removed"] for i, r in out.items()} == {1: 0, 2: 3, 3: 0}
+    assert out[2]["removed_words"] == 75 and out[2]["text"].split() == f"Own words.{between * 4}Other words.".split()
+
+
 def test_repeats_odd_rows(spark):
     long = "One two three four five six seven eight nine ten. " * 1 + "Eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. Twenty-one two three four five six seven eight nine thirty."
     rows = [(None, long), (1, long), (2, long), (2, long)]
