@@ -164,6 +164,17 @@ def test_repeated_and_null_turns(spark):
     assert chat_trees.chosen_paths(empty).count() == 0
 
 
+def test_messages_of_equal_and_null_turns_stay(spark):
+    rows = [(1, 1, "user", "second"), (1, 1, "user", "first"), (1, 0, "user", "q"), (1, 1, "assistant", "third"),
+            (1, None, "system", "same"), (1, None, "system", "same"), (1, None, "system", "other"), (1, -5, "user", None),
+            (None, 3, "user", "a"), (None, 3, "user", "b")]
+    nodes = chat_trees.linear_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = chat_trees.format_paths(nodes, chat_trees.chosen_paths(nodes))
+    got = {r["tree"]: [t["text"] for t in r["t"]]
+           for r in out.select("tree", chat_trees.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: ["other", "same", "same", "", "q", "third", "first", "second"], None: ["a", "b"]}
+
+
 @pytest.mark.parametrize("text", ["\\", "\\l", "\\h##", "### ", "####", "</turn>", "</</turn>turn>", "\\n", "a\\s###</turn>\n"])
 def test_escape_round_trip(spark, text):
     e, u = spark.createDataFrame([(text,)], "t string").select(
