@@ -9,10 +9,13 @@ variant of each block, and looking up a window's blocks finds all items within t
 
 Candidates are then compared exactly: the window of the item's own size, at the offset found
 and, if that is near, up to two words to either side, by weighted Jaccard similarity of word shingles. A
-shingle weighs 1 / (number of items that hold it), so wording common to many items counts less.
+shingle weighs 1 / (number of different items that hold it), so wording common to many items counts
+less; items of equal words are one. A shingle that only the document has weighs as much as the
+item's shingles on average, so for an item of evenly weighted shingles the similarity is the plain one.
 
 The items of one pass are bounded (``BLOCK_ITEMS``); a larger benchmark takes several passes over
-the documents, each with its own index.
+the documents, each with its own index. Holders and size classes come from the whole benchmark,
+so hits and similarities do not depend on the passes.
 
 Defined cases: null or blank texts have no windows; null or blank items match nothing; items
 shorter than a shingle are one shingle of all their words; rows that repeat an id are judged one
@@ -23,6 +26,7 @@ tables give no hits; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import struct
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -106,13 +110,15 @@ def _block(prints: np.ndarray, first: int, bits: int) -> np.ndarray:
     return ((prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype("i8")
 
 
-def build_index(items: list[np.ndarray]) -> list[ClassIndex]:
-    """Multi-index over the word hashes of non-empty items."""
+def build_index(items: list[np.ndarray], sizes: list[int] | None = None) -> list[ClassIndex]:
+    """Multi-index over the word hashes of non-empty items; ``sizes`` are those of the whole benchmark."""
     spread = RADIUS // len(BLOCKS)
     out = []
-    classes = size_classes([len(h) for h in items])
+    classes = size_classes(sizes or [len(h) for h in items])
     for w in classes:
         own = [k for k, h in enumerate(items) if max(c for c in classes if c <= len(h)) == w]
+        if not own:
+            continue
         prints, owner, shift = [], [], []
         for k in own:
             for at in sorted({0, len(items[k]) - w}):
@@ -171,26 +177,35 @@ def shingle_marks(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype("i8")
 
 
-def weighted_similarity(a: Counter, b: Counter, weight: dict[tuple, float]) -> float:
-    """Weighted Jaccard similarity of two shingle multisets."""
-    if a.keys().isdisjoint(b):
+def shingle_key(shingle: tuple) -> int:
+    """64-bit hash of a shingle, signed like a Spark long."""
+    from xxhash import xxh3_64_digest
+    return int.from_bytes(xxh3_64_digest(struct.pack(f"<{len(shingle)}Q", *shingle)), "big", signed=True)
+
+
+def weighted_similarity(doc: Counter, item: Counter, weight: dict[tuple, float]) -> float:
+    """Weighted Jaccard similarity of two shingle multisets; what ``item`` lacks weighs its mean weight."""
+    if doc.keys().isdisjoint(item):
         return 0.0
-    both = sum(weight.get(g, 1.0) * min(n, b[g]) for g, n in a.items() if g in b)
-    total = sum(weight.get(g, 1.0) * n for g, n in a.items()) + sum(weight.get(g, 1.0) * n for g, n in b.items())
-    return both / (total - both) if total else 0.0
+    whole = sum(weight[g] * n for g, n in item.items())
+    mean = whole / item.total()
+    both = sum(weight[g] * min(n, item[g]) for g, n in doc.items() if g in item)
+    total = whole + sum((weight[g] if g in item else mean) * n for g, n in doc.items())
+    return both / (total - both)
 
 
 class _Matcher:
     """The index of one block of items, with the exact check."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], holders: dict[int, int] | None = None, sizes: list[int] | None = None):
+        """``holders``: items per shingle key, where several of the whole benchmark hold it."""
         hashed = word_hashes(pa.array(texts, pa.string()))
         self.number = [k for k, h in enumerate(hashed) if len(h)]
         self.items = [hashed[k] for k in self.number]
-        self.index = build_index(self.items)
+        self.index = build_index(self.items, sizes)
         self.shingles = [shingle_counts(h) for h in self.items]
-        held = Counter(g for s in self.shingles for g in s)
-        self.weight = {g: 1.0 / n for g, n in held.items()}
+        held = holders or {}
+        self.weight = {g: 1.0 / held.get(shingle_key(g), 1) for s in self.shingles for g in s}
         self.largest = max((c.w for c in self.index), default=0)
         self.short = np.array([len(h) < SHINGLE for h in self.items])
         self.marks = np.zeros(1 << 20, bool)  # shingles of any item, by 20 bits
@@ -256,6 +271,27 @@ class _Matcher:
         return weighted_similarity(shingle_counts(doc[at:at + len(self.items[item])]), self.shingles[item], self.weight)
 
 
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(_pass, n_words, words_key, shingle): the different shingles of every item with words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part, row, size, words, shingle = batch.slice(at, 100), [], [], [], []
+                for k, h in enumerate(word_hashes(part.column("text"))):
+                    keys = [shingle_key(g) for g in shingle_counts(h)] if len(h) else []
+                    row += [k] * len(keys)
+                    size += [len(h)] * len(keys)
+                    words += [shingle_key(tuple(h.tolist()))] * len(keys)
+                    shingle += keys
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_pass").take(row), pa.array(size, pa.int64()),
+                     pa.array(words, pa.int64()), pa.array(shingle, pa.int64())],
+                    names=["_pass", "n_words", "words_key", "shingle"])
+
+    return items.select("_pass", "text").mapInArrow(run, "_pass long, n_words long, words_key long, shingle long")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): benchmark items found in documents.
@@ -269,23 +305,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     # hashing deals items evenly; a pass holds about block_items of them
     dealt = items.withColumn("_pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
     rows = text_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    shingles = materialise(item_shingles(dealt), "benchmark-shingles")
+    sizes = sorted(r[0] for r in shingles.select("n_words").distinct().collect())
+    shared = (shingles.groupBy("shingle").agg(F.count_distinct("words_key").alias("n")).where("n > 1"))
+    shared = materialise(shingles.select("_pass", "shingle").distinct().join(shared, "shingle"), "benchmark-shared")
     out = None
     for k in range(passes):
         part = dealt.where(F.col("_pass") == k).orderBy("item_id", "text").collect()
-        hits = _one_pass(rows, [r["item_id"] for r in part], [r["text"] for r in part])
+        holders = {r["shingle"]: r["n"] for r in shared.where(F.col("_pass") == k).collect()}
+        hits = _one_pass(rows, [r["item_id"] for r in part], [r["text"] for r in part], holders, sizes)
         out = hits if out is None else out.unionByName(hits)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("neg"), "n_words")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.neg")).alias("first_word"), "b.n_words", "b.similarity")
 
 
-def _one_pass(rows: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
-    key = hash((tuple(ids), tuple(texts)))
+def _one_pass(rows: DataFrame, ids: list[int], texts: list[str], holders: dict[int, int], sizes: list[int]) -> DataFrame:
+    key = hash((tuple(ids), tuple(texts), tuple(sorted(holders.items())), tuple(sizes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker_cache("decontaminate_index", dict)
         if key not in held:
             held.clear()
-            held[key] = _Matcher(texts)
+            held[key] = _Matcher(texts, holders, sizes)
         matcher = held[key]
         for batch in batches:
             column, doc = batch.column("text"), batch.column("doc_id")

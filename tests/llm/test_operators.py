@@ -373,6 +373,27 @@ def test_leaks_found_and_clean_texts_left(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_similarity_is_plain_for_repeated_items_and_equal_over_passes(spark):
+    item = [f"w{k}x{k * 7 % 13}" for k in range(59)]
+    changed = item[:30] + ["changed"] + item[31:]
+    other = [f"o{k}y{k * 5 % 11}" for k in range(40)]
+    shared = item[:20] + [f"s{k}" for k in range(39)]  # 16 shingles in common with the item
+    bench = spark.createDataFrame(
+        [(k, " ".join(item).upper() if k % 2 else " ".join(item)) for k in range(10)]
+        + [(10, " ".join(shared)), (11, " ".join(other))], "item_id long, text string")
+    rows = [(1, " ".join(["a", "b", *changed, "c"])), (2, " ".join(shared)), (3, " ".join(other[:38]))]
+    found = [{(r["doc_id"], r["item_id"]): (r["first_word"], round(r["similarity"], 12)) for r in
+              decontaminate.find_leaks(docs(spark, rows), bench, block_items=n).collect()} for n in (5_000, 4)]
+    assert found[0] == found[1]
+    assert {k for k in found[0] if k[0] == 1} == {(1, k) for k in range(10)}
+    # 16 of 55 shingles have two holders; 5 of the others are lost, what replaces them weighs the mean
+    whole = 39 + 16 / 2
+    assert found[0][1, 0] == (2, round((whole - 5) / (whole + 5 * whole / 55), 12))
+    assert found[0][2, 10] == (0, 1.0)
+    plain = decontaminate._Matcher([" ".join(item)]).hits(pa.array([" ".join(changed)]))
+    assert plain == [(0, 0, 0, 59, pytest.approx(50 / 60))]
+
+
 def test_multi_index_finds_all_prints_within_the_radius():
     rng = np.random.default_rng(6)
     items = [rng.integers(1, 2 ** 63, 20, dtype="u8") for _ in range(30)]
