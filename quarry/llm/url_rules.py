@@ -70,7 +70,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(tokens: DataFrame, bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6,
-               min_rows: int = 20, max_tokens: int = 4) -> DataFrame:
+               min_rows: int = 20) -> DataFrame:
     """Rules (rule_id, items, support, confidence) over rows (tokens array, ``bad`` boolean).
 
     A rule needs ``min_support`` of the labelled rows, and ``min_rows`` of them, to be bad rows it fits.
@@ -84,7 +84,7 @@ def mine_rules(tokens: DataFrame, bad: str = "bad", min_support: float = 0.002,
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
     sets = materialise(model.freqItemsets, "url-itemsets")
     plain = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("items"), F.col("freq").alias("seen"))
-    marked = (sets.where(F.array_contains("items", BAD) & (F.size("items") <= max_tokens + 1))
+    marked = (sets.where(F.array_contains("items", BAD))
               .select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("hits")))
     rules = (marked.join(plain, "items")
              .select("items", (F.col("hits") / total).alias("support"), (F.col("hits") / F.col("seen")).alias("confidence"))

@@ -206,6 +206,16 @@ def test_mined_rules_are_found_and_matched(spark):
     assert {r[0] for r in out.where("verdict = 'block'").select("mined_rule").collect()} == {"path=ads"}
 
 
+def test_rule_of_five_tokens_is_kept(spark):
+    bit = lambda i, k, a, b: a if i >> k & 1 else b
+    pages = [(i, f"http://site.org/{bit(i, 0, 'a', 'x')}/{bit(i, 1, 'b', 'y')}/{bit(i, 2, 'c', 'z')}/"
+                 f"p.{bit(i, 3, 'php', 'html')}?{bit(i, 4, 'q', 'r')}=1") for i in range(800)]
+    labels = [(i, 1, int(i % 32 == 31)) for i in range(800)]
+    out = url_rules.judge_urls(spark.createDataFrame(pages, "page_id long, url string"),
+                               spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["page_id"] for r in out.where("verdict = 'block'").collect()} == set(range(31, 800, 32))
+
+
 # ------------------------------------------------------------------ tokens and packing
 
 TEXTS = [None, "", "\x0b\x0c a\x1cb\x85c\u2028d\xa0e", "it's DON'T 'S <|endoftext|>x ÉCOLE é \u0301a İSTANBUL ΣΑΣ 10000 ½ ﬁ",
