@@ -170,7 +170,44 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+OP12 = """
+WITH convs AS (
+  SELECT DISTINCT conv_id AS c, conv_id - conv_id % 5 AS base FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (  -- CRC-32 of the decimal id, bit by bit
+  SELECT c, base, (xor(list_reduce(list_prepend(4294967295::UBIGINT,
+             list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+           lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+             lambda r, z: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))),
+           4294967295::UBIGINT) % 9)::BIGINT AS h FROM convs),
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT k.c, 0 AS part, o.p, o.role, o.text FROM heads k JOIN own o ON o.c = k.base AND o.p <= k.h
+  UNION ALL SELECT k.c, 1, o.p, o.role, o.text FROM heads k JOIN own o ON o.c = k.c AND o.p > k.h),
+paths AS (
+  SELECT c, row_number() OVER w AS depth, text, list([role, text]) OVER w AS path FROM turns
+  WINDOW w AS (PARTITION BY c ORDER BY part, p)
+  UNION ALL SELECT c, 0, '', [] FROM convs),
+last AS (SELECT c, max(depth) AS n FROM paths GROUP BY c),
+nodes AS (
+  SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(text) AS text,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = n), '')) AS ends_sha256
+  FROM paths JOIN last USING (c) GROUP BY depth, path),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+sized AS (
+  SELECT a.*, coalesce(k.n, 0) AS n_children, p.conv_id AS parent_conv_id
+  FROM nodes a LEFT JOIN kids k ON k.path = a.path
+  LEFT JOIN nodes p ON a.depth > 0 AND p.depth = a.depth - 1 AND p.path = a.path[1:a.depth - 1]),
+sums AS (
+  SELECT path[1:up] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * strlen(text)) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM sized) GROUP BY 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+FROM sized JOIN sums USING (path)
+"""
+
 ORACLE_SQL = {
     "op3_secret_scan": OP3, "op4_near_dedup": OP4, "op5_unit_dedup": OP5, "op8_exact_dedup": OP8,
-    "op9_url_filter": OP9, "op10_chat_format": OP10,
+    "op9_url_filter": OP9, "op10_chat_format": OP10, "op12_prefix_trie": OP12,
 }
