@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import (
-    chat_trees, decontaminate, exact_dedup, hamming_trie, near_dup, packing, prefix_trie, secret_scan, token_ids,
-    toxicity, unit_dedup, url_rules,
+    chat_trees, decontaminate, exact_dedup, hamming_trie, near_dup, packing, prefix_trie, secret_scan,
+    token_alignment, token_ids, toxicity, unit_dedup, url_rules,
 )
 from quarry.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from quarry.llm.skew import materialise
@@ -88,6 +88,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_trees.conversation_report(formatted)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's ids by a byte-level and a piece tokenizer, links scored by corpus-wide counts."""
+    import public_tokenizers
+    return token_alignment.alignment_report(
+        table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
+        str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all rebuilt conversations: members, children, subtree totals and ends of every node."""
     return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
@@ -101,5 +109,5 @@ def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_toxicity, op3_secret_scan, op4_near_dedup, op5_unit_dedup, op6_packing,
-        op7_token_files, op8_exact_dedup, op9_url_filter, op10_chat_format, op12_prefix_trie,
-        op13_simhash_trie)}
+        op7_token_files, op8_exact_dedup, op9_url_filter, op10_chat_format, op11_token_alignment,
+        op12_prefix_trie, op13_simhash_trie)}
