@@ -85,8 +85,9 @@ def node_pairs(leaves: DataFrame, budget: int, most: int = LEAVES) -> list[tuple
     ``leaves``: distinct fp. A pair is closed when its nodes hold at most 2 * ``most`` leaves.
     """
     size = leaves.count()
-    open_ = leaves.sparkSession.range(1).select(
-        F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(size).cast("long").alias("n"))
+    zero = F.lit(0).cast("long")
+    root = leaves.sparkSession.range(1).select(zero.alias("a"), zero.alias("b"), F.lit(size).cast("long").alias("n"))
+    open_ = materialise(root, "trie-root")  # written: joins with literals would become nested loops
     closed, level = [], 0
     while True:
         if level + STEP >= 64:
