@@ -13,9 +13,8 @@ strings cannot occur after escaping.
 Defined cases: null role or text counts as empty; a node whose parent is unknown is a root;
 several nodes may share a parent (branches); repeated rows of one (tree, node) count once,
 the least (role, text) staying; null tree ids form one tree of their own; parents that form a
-cycle raise ValueError. Linear conversations: messages of equal turn all stay, ordered by role,
-then text; a row that repeats turn, role and text counts once; rows of null turn come before all
-others and each is a message.
+cycle raise ValueError. Linear conversations: every row is a message, repeated rows too; messages
+of equal turn are ordered by role, then text; rows of null turn come before all others.
 """
 
 from __future__ import annotations
@@ -46,13 +45,9 @@ def linear_nodes(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
                  text: str = "text") -> DataFrame:
     """Rows by (turn, role, text) as a tree: each message answers the one before it. Nodes count from 1."""
     w = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    again = F.lit(True)
-    for c in ("turn", "role", "text"):
-        again = again & (F.col(c) == F.lag(c).over(w))  # null for a null turn
     return (rows.select(rows[conv].alias("tree"), rows[turn].cast("long").alias("turn"),
                         F.coalesce(rows[role], F.lit("")).alias("role"), F.coalesce(rows[text], F.lit("")).alias("text"))
-            .withColumn("_new", F.when(again, 0).otherwise(1))
-            .withColumn("node", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .withColumn("node", F.row_number().over(w).cast("long"))
             .select("tree", "node", "role", "text", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
                     F.lit(0.0).alias("score")))
 

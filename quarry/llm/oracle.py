@@ -19,9 +19,9 @@ marked AS (
   SELECT *, replace(replace(replace(role, '\\', '\\s'), '##', '\\h#'), '</turn>', '\\l/turn>') AS erole,
             replace(replace(replace(text, '\\', '\\s'), '##', '\\h#'), '</turn>', '\\l/turn>') AS etext FROM rows)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(erole) + length(etext) + 4 + 1 + 8)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
