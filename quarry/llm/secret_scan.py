@@ -15,6 +15,7 @@ columns are ignored and may have any name.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,10 +47,12 @@ ENTROPY_CLASSES = (
                  r"[A-Za-z0-9+/=_-]{20,}", 20, 3.65),
 )
 # Plain words, plain numbers, hyphenated or slashed words, and placeholders are no secrets.
-ALLOWED = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z]+([/_=+-]+[A-Za-z]*)+$", r"(?i)example|sample|placeholder|xxxx",
+ALLOWED = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z][A-Za-z/_=+-]*$", r"(?i)example|sample|placeholder|xxxx",
            r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$", r"^[-=_+/]+$")
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+_MATCH = "array<struct<start:bigint,kind:int,end:bigint,value:string,part:string>>"
+BLOCK = 64
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -62,29 +65,53 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     found = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string,part:string>>")
-    walked = F.aggregate(
-        F.filter(found, lambda x: x["value"].isNotNull()),
-        F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["gap"] + F.length(x["value"])).cast("bigint").alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["pos"] + x["gap"]).cast("bigint").alias("start"), F.lit(kind).alias("kind"),
-                (acc["pos"] + x["gap"] + F.length(x["value"])).cast("bigint").alias("end"),
-                x["value"].alias("value"), x["part"].alias("part")))).alias("out")),
-        lambda acc: acc["out"])
-    kept = F.filter(walked, lambda x: F.length(x["part"]) >= least)
+    none = F.array().cast(_MATCH)
+    kept = F.filter(_placed(F.filter(found, lambda x: x["value"].isNotNull()), kind), lambda x: F.length(x["part"]) >= least)
     return F.when(text.rlike(pattern), kept).otherwise(none)
 
 
+def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _placed(found: Column, kind: int) -> Column:
+    """``found`` (gap, value, part) with positions. An array grown one by one is copied each time, so
+    positions run inside blocks of ``BLOCK`` matches, and over the blocks' totals."""
+    def length(x: Column) -> Column:
+        return (x["gap"] + F.length(x["value"])).cast("bigint")
+
+    def place(acc: Column, x: Column) -> Column:
+        start = (acc["pos"] + x["gap"]).cast("bigint")
+        end = (acc["pos"] + length(x)).cast("bigint")
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def first_places(rows: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(rows) / BLOCK).cast("int"), F.lit(1)) - 1)
+        totals = F.transform(blocks, lambda b: F.aggregate(
+            F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0).cast("bigint"), lambda acc, x: acc + length(x)))
+        return F.aggregate(
+            totals, F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
+            lambda acc: acc["out"])
+
+    def in_blocks(rows: Column) -> Column:
+        return _bind(first_places(rows), lambda places: F.flatten(F.transform(places, lambda pos, b: F.aggregate(
+            F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)), F.struct(pos.alias("pos"), F.array().cast(_MATCH).alias("out")),
+            place, lambda acc: acc["out"]))))
+
+    return _bind(found, in_blocks)
+
+
 def hot_stretch(value: Column, cls: EntropyClass) -> Column:
     """(first, last) start of the windows of ``value`` that reach the class's entropy; null if none."""
     w, size = cls.window, len(cls.alphabet)
     limit = w * (math.log2(w) - cls.bits) + 1e-9  # entropy >= bits  <=>  sum c*log2(c) <= limit
     terms = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(w + 2)])
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(cls.alphabet), ch))
-    moves = F.transform(codes, lambda c, i: F.struct(  # 1-based codes; 0: nothing leaves yet
-        c.alias("enters"), F.coalesce(F.get(codes, i - w), F.lit(0)).alias("leaves"), (i + 1 - w).alias("start")))
+    moves = _bind(codes, lambda cs: F.transform(cs, lambda c, i: F.struct(  # 1-based codes; 0: nothing leaves yet
+        c.alias("enters"), F.coalesce(F.get(cs, i - w), F.lit(0)).alias("leaves"), (i + 1 - w).alias("start"))))
 
     def step(acc: Column, x: Column) -> Column:
         c_in, c_out = F.get(acc["counts"], x["enters"]), F.get(acc["counts"], x["leaves"])

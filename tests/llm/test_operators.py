@@ -159,7 +159,7 @@ def test_repeated_and_null_turns(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, None, "system", "s")]
     nodes = chat_trees.linear_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     out = chat_trees.format_paths(nodes, chat_trees.chosen_paths(nodes)).first()["formatted"]
-    assert out == "### system\ns</turn>\n### user\na</turn>\n### assistant\nb</turn>\n"
+    assert out == "### system\ns</turn>\n### user\na</turn>\n### user\na</turn>\n### assistant\nb</turn>\n"
     empty = chat_trees.linear_nodes(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat_trees.chosen_paths(empty).count() == 0
 
@@ -464,3 +464,26 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit_severity(docs(spark, ODD), none)
     got = toxicity.score_severity(docs(spark, ODD), model)
     assert got.count() == len(ODD) and got.where("toxic").count() == 0
+
+
+# ------------------------------------------------------------------ long candidates
+
+def test_long_candidates_and_many_matches(spark):
+    import time
+    texts = ["a-" * 500_000, "k9/" * 30_000, "secret: " + "x1" * 40_000, " ".join(f"token=abc{k:06d}" for k in range(20_000)), "A" * 1_000_000]
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.secret_report(docs(spark, list(enumerate(texts)))).collect()}
+    assert time.time() - began < 120
+    assert got[0].spans == "" and got[4].spans == ""  # hyphenated words and plain words are allowed
+    assert got[2].n_assign == 1 and got[2].spans.startswith("assign:0:80008")
+    spans = got[3].spans.split(",")
+    assert got[3].n_assign == 20_000 and spans[0] == "assign:0:15" and spans[-1] == f"assign:{16 * 19_999}:{16 * 20_000 - 1}"
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 129])
+def test_match_positions_over_block_borders(spark, n):
+    text = "--".join("secret=" + "abcdef"[:6] + "é " * (k % 3) for k in range(n))
+    import re
+    want = [("assign", m.start(), m.end()) for m in re.finditer(secret_scan.PATTERNS[0][1], text)]
+    row = secret_scan.scan_secrets(docs(spark, [(1, text)])).first()
+    assert [("assign", s["start"], s["end"]) for s in row["base"]] == want
