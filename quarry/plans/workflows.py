@@ -23,6 +23,7 @@ from quarry.operators import corpus, curation, prompts, scoring
 from quarry.operators.checks import expect_rows
 from quarry.session import shared_dir
 from quarry.sources import sinks
+from quarry.streaming.incremental import read_if_there
 
 
 @dataclass
@@ -36,24 +37,25 @@ class Evaluation:
 def evaluate_model(spark: SparkSession, gold: DataFrame, sidecars: DataFrame,
                    make_model: Callable[[], Callable[[str], str]], model_id: str,
                    spec: scoring.ScoringSpec = scoring.ScoringSpec(),
-                   ledger_path: str | None = None, scores_path: str | None = None) -> Evaluation:
+                   ledger_path: str | None = None, scores_path: str | None = None,
+                   run_id: str | None = None) -> Evaluation:
     """Score a model on the gold set (the baseline-run lifecycle).
 
     ``gold``: ``orig_index, file_name, body``; ``sidecars``: ``stem, success,
     text, tables, error``. Fields for the prompt come from *all* gold records;
     only documents with a usable sidecar are attempted, and only attempted
-    gold records are scored (skips do not lower the score).
+    gold records are scored (skips do not lower the score). A run repeated under the same
+    ``run_id`` has one row in the ledger.
     """
     names = gold.select(F.col("file_name").alias("gold_name")).distinct()
     usable = corpus.usable_sidecars(corpus.resolve_stems(names, sidecars), sidecars)
     skipped = usable.where(F.col("status") != "usable")
     ff = prompts.flat_fields(gold, indicators=spec.indicators, skip=spec.skip_fields)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
-    block = ff.select(prompts.field_block(ordered)).scalar()
     todo = (usable.where(F.col("status") == "usable")
             .join(sidecars.select(F.col("stem").alias("resolved_stem"), "text", "tables"), "resolved_stem"))
-    asks = todo.select(F.col("gold_name").alias("file_name"),
-                       prompts.build_prompt(block, F.col("text"), F.col("tables")).alias("prompt"))
+    asks = prompts.with_field_block(todo, ff, "gold_name").select(
+        F.col("gold_name").alias("file_name"),
+        prompts.build_prompt(F.col("fields_block"), F.col("text"), F.col("tables")).alias("prompt"))
     raw = prompts.run_extractor(asks, "prompt", "file_name", make_model)
     # Generation is costly and not repeatable: persist before anything reads it twice.
     path = shared_dir(spark, "model-output")
@@ -72,17 +74,10 @@ def evaluate_model(spark: SparkSession, gold: DataFrame, sidecars: DataFrame,
     if scores_path:
         sinks.write_scores(scoring.scores_export(records, short), scores_path)
     if ledger_path:
-        sinks.append_ledger(summary, ledger_path)
+        sinks.append_ledger(summary, ledger_path, run_id)
     return Evaluation(preds, skipped, records, summary)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in the file system it names; other failures are raised."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def audit_corpus(docs: DataFrame, gold_names: DataFrame, out_path: str | None = None
                  ) -> tuple[DataFrame, DataFrame]:
     """Profile a corpus (the audit lifecycle): audit rows with gold match, and the summary.
@@ -92,8 +87,9 @@ def audit_corpus(docs: DataFrame, gold_names: DataFrame, out_path: str | None =
     done on them; the rest is appended.
     """
     spark = docs.sparkSession
-    if out_path and path_exists(spark, out_path):
-        docs = corpus.remaining(docs, spark.read.parquet(out_path).select("filename"))
+    done = read_if_there(spark, out_path) if out_path else None
+    if done is not None:
+        docs = corpus.remaining(docs, done.select("filename"))
     prof = corpus.profile(docs)
     matched = prof.join(corpus.match_names(prof, gold_names), "filename", "left")
     if out_path:
