@@ -1,59 +1,112 @@
-"""character-trigram language identification, trained and applied in Spark.
+"""language identification by a hashed character-trigram profile of fixed size.
 
-Profiles are relative trigram frequencies per language learned from labelled
-text; a document is scored by joining its trigram counts to the profiles and
-summing log-probabilities (with add-one smoothing), then ``max_by`` picks the
-language. Every step is a join or an aggregation over (document, trigram) —
-no per-row Python and nothing collected to the driver.
+A profile holds one whole-number score per language and trigram bucket: a million times the
+log of the bucket's add-one smoothed frequency in that language's labelled texts. Its size is
+``BUCKETS`` times the number of languages, whatever the corpus, so it travels with the task
+and a document is scored inside its own row: no explode, no shuffle, and it serves the
+micro-batches of a stream as well. Scores are whole numbers, so sums do not depend on order.
+
+Counts are taken over all labelled texts, whole, and added up per task before they are
+shuffled.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# --------------------------------------------------------------------------
+# Fixed values of the profile (shared with the SQL oracle).
+# --------------------------------------------------------------------------
+BUCKETS = 8_192
+WEIGHTS = (5_003, 2_711, 17)  # of a trigram's three code points
+SCALE = 1_000_000
+MOST_LANGUAGES = 1_000  # more distinct labels than this are not languages
+
+
+def trigram_buckets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Bucket of every trigram of each text: lower-cased, runs of other than letters one space, a space at both ends."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " ")
+    for text in letters.to_pylist():
+        words = (text or "").strip(" ")
+        if not words:
+            yield np.empty(0, "i8")
+            continue
+        c = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4").astype("i8")
+        yield (c[:-2] * WEIGHTS[0] + c[1:-1] * WEIGHTS[1] + c[2:] * WEIGHTS[2]) % BUCKETS
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """Scores per bucket (row) and language (column), languages in ascending order."""
+
+    languages: tuple[str, ...]
+    scores: np.ndarray
+
+    def best(self, texts: pa.Array) -> pa.Array:
+        """The best-scoring language of each text (of equal ones the last by name); null for a text without letters."""
+        found: list[str | None] = []
+        for buckets in trigram_buckets(texts):
+            if len(buckets) and self.languages:
+                total = np.bincount(buckets, minlength=BUCKETS) @ self.scores
+                found.append(self.languages[len(total) - 1 - int(total[::-1].argmax())])
+            else:
+                found.append(None)
+        return pa.array(found, pa.string())
+
+    def detect(self, docs: DataFrame, text_col: str = "text", name: str = "detected") -> DataFrame:
+        """``docs`` with the detected language in a further column ``name``."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, self.best(batch.column(text_col).cast(pa.string()))],
+                                                 names=[*batch.schema.names, name])
+
+        schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
+        return docs.mapInArrow(run, schema)
+
+
+def bucket_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, bucket, n): trigrams of all labelled texts per language and bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, buckets in zip(batch.column("lang").to_pylist(), trigram_buckets(batch.column("text").cast(pa.string()))):
+                if lang not in counts:
+                    counts[lang] = np.zeros(BUCKETS, "i8")
+                counts[lang] += np.bincount(buckets, minlength=BUCKETS)
+                if len(counts) > MOST_LANGUAGES:
+                    raise ValueError(f"more than {MOST_LANGUAGES} distinct languages")
+        for lang, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])],
+                                             names=["lang", "bucket", "n"])
+
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    parts = rows.where("lang is not null and text is not null").mapInArrow(run, "lang string, bucket long, n long")
+    return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def train(labelled: DataFrame, text_col: str, lang_col: str) -> LanguageModel:
+    """The model of all labelled rows; at most ``BUCKETS`` counts a language reach the driver."""
+    counts = bucket_counts(labelled, text_col, lang_col).toPandas()
+    languages = tuple(sorted(counts["lang"].unique()))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct languages")
+    table = np.zeros((BUCKETS, len(languages)), "i8")
+    column = {lang: k for k, lang in enumerate(languages)}
+    table[counts["bucket"].to_numpy("i8"), counts["lang"].map(column).to_numpy("i8")] = counts["n"].to_numpy("i8")
+    share = (table + 1) / (table.sum(axis=0) + BUCKETS)
+    return LanguageModel(languages, np.round(SCALE * np.log(share)).astype("i8"))
+
 
-from quarry.functions.skew import materialise, salted_join
-
-
-def trigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, trigram, count) over the whole lower-cased text with padded word boundaries."""
-    sample = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(text_col), r"[^\p{L}]+", " ")), F.lit(" "))
-    # Every overlapping 3-character window, found natively by a zero-width lookahead.
-    grams = F.regexp_extract_all(sample, F.lit("(?=(.{3}))"), 1)
-    ex = df.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).where(~F.col("gram").contains("  "))
-    return ex.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("c"))
-
-
-def train_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Per language, every trigram's add-one smoothed log relative frequency.
-
-    The per-language windows run over distinct trigrams, a set bounded by the
-    alphabet, not by the number of documents.
-    """
-    from pyspark.sql import Window
-    g = trigrams(labelled, id_col, text_col).join(
-        labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "id")
-    per_lang = g.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("lang")
-    return per_lang.select("lang", "gram", F.log((F.col("c") + 1) / (F.sum("c").over(w) + F.count(F.lit(1)).over(w)))
-                           .alias("lp"))
-
-
-def detect(docs: DataFrame, profiles: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Best-scoring language per document (documents with no known trigram get none)."""
-    g = trigrams(docs, id_col, text_col)
-    floor = profiles.groupBy("lang").agg(F.min("lp").alias("floor"))
-    # score = sum over the document's trigrams of count * log p (unknown -> the language floor)
-    # a trigram that most documents hold is joined over salts
-    g = materialise(g, "doc-trigrams")
-    often = g.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    known = profiles.groupBy("gram").agg(F.collect_list(F.struct("lang", "lp")).alias("by_lang"))  # one entry per language
-    known = materialise(known.join(often, "gram"), "trigram-profiles")
-    total = known.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    met = salted_join(g, known, ["gram"], [F.col("id")], "_n", total).select("id", "c", F.inline("by_lang"))
-    hits = met.groupBy("id", "lang").agg(F.sum(F.col("c") * F.col("lp")).alias("hit"),
-                                                               F.sum("c").alias("hit_c"))
-    total = g.groupBy("id").agg(F.sum("c").alias("n"))
-    scored = hits.join(total, "id").join(floor, "lang").select(
-        "id", "lang", (F.col("hit") + (F.col("n") - F.col("hit_c")) * F.col("floor")).alias("score"))
-    return scored.groupBy("id").agg(F.max_by("lang", F.struct("score", "lang")).alias("detected"))
+# Runs inside Python workers: ship this module's code by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

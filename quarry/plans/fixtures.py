@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import language
 from quarry.operators.scoring import ScoringSpec
 
 # --------------------------------------------------------------------------
@@ -243,19 +244,27 @@ def doc_file_name(doc_id: Column) -> Column:
     return F.concat(F.lit("DOC-"), F.lpad(doc_id.cast("string"), 6, "0"), F.lit(".pdf"))
 
 
-def doc_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_profile`` inputs: per document the facts a converter would report."""
-    return doc_facts_from(table(spark, sf_dir, "documents"))
+def language_model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
+    """Trigram profiles of all labelled documents."""
+    return language.train(table(spark, sf_dir, "documents"), "text", "lang")
 
 
-def doc_facts_from(d: DataFrame) -> DataFrame:
-    """``doc_facts`` over any DataFrame of ``documents`` rows (batch or micro-batch)."""
+def doc_facts(spark: SparkSession, sf_dir: str, detect: bool = True) -> DataFrame:
+    """``doc_profile`` inputs: per document the facts a converter would report, and the detected language."""
+    model = language_model(spark, sf_dir) if detect else None
+    return doc_facts_from(table(spark, sf_dir, "documents"), model)
+
+
+def doc_facts_from(d: DataFrame, model: language.LanguageModel | None = None) -> DataFrame:
+    """``doc_facts`` over any DataFrame of ``documents`` rows (batch or micro-batch); no language without a model."""
+    d = d.select("doc_id", "n_chars", "text")
+    d = d.withColumn("detected", F.lit(None).cast("string")) if model is None else model.detect(d)
     k = F.col("doc_id")
     read_ok = F.pmod(k, F.lit(READ_FAIL_MOD)) != 0
     success = F.pmod(k, F.lit(DOCLING_FAIL_MOD)) != 0
     pages = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / F.lit(PAGE_CHARS)))
     return d.select(
-        "doc_id", "n_chars", doc_file_name(k).alias("filename"), "text", F.col("lang").alias("detected_lang"),
+        "doc_id", "n_chars", doc_file_name(k).alias("filename"), "text", F.col("detected").alias("detected_lang"),
         read_ok.alias("read_ok"), F.when(read_ok, pages).otherwise(F.lit(0)).alias("page_count"),
         (read_ok & (F.pmod(k, F.lit(TAGGED_MOD)) == 0)).alias("tagged"),
         success.alias("docling_success"),

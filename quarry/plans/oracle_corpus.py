@@ -2,12 +2,33 @@
 
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
-DOCS = r"""
+# a profile of hashed trigrams per language, from all labelled documents
+LANGUAGES = r"""
+lt AS (
+  SELECT doc_id, lang, string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c
+  FROM documents WHERE text IS NOT NULL),
+lg AS (
+  SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1),
+           lambda i: (unicode(c[i]) * 5003 + unicode(c[i + 1]) * 2711 + unicode(c[i + 2]) * 17) % 8192)) AS b
+  FROM lt WHERE len(c) > 2),
+lc AS (SELECT lang, b, count(*) AS n FROM lg WHERE lang IS NOT NULL GROUP BY lang, b),
+lp AS (
+  SELECT t.lang, a.b, CAST(round(1000000 * ln(CAST(coalesce(n, 0) + 1 AS DOUBLE) / CAST(total + 8192 AS DOUBLE))) AS BIGINT) AS s
+  FROM (SELECT lang, sum(n) AS total FROM lc GROUP BY lang) t CROSS JOIN (SELECT unnest(range(8192)) AS b) a
+  LEFT JOIN lc ON lc.lang = t.lang AND lc.b = a.b),
+detected AS (
+  SELECT doc_id, arg_max(lang, (score, lang)) AS detected
+  FROM (SELECT doc_id, lp.lang, sum(k * s) AS score
+        FROM (SELECT doc_id, b, count(*) AS k FROM lg GROUP BY doc_id, b) JOIN lp USING (b) GROUP BY doc_id, lp.lang)
+  GROUP BY doc_id),
+"""
+
+DOCS = LANGUAGES + r"""
 df AS (
-  SELECT doc_id, text, lang, n_chars,
+  SELECT doc_id, text, coalesce(detected, 'unknown') AS lang, n_chars,
     'DOC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.pdf' AS filename,
     doc_id % 97 <> 0 AS read_ok, doc_id % 23 <> 0 AS success
-  FROM documents),
+  FROM documents LEFT JOIN detected USING (doc_id)),
 pr0 AS (
   SELECT doc_id, filename, success AS docling_success,
     CAST(CASE WHEN read_ok THEN greatest(1, CAST(ceil(n_chars / 1800) AS BIGINT)) ELSE 0 END AS INTEGER) AS page_count,
@@ -88,6 +109,8 @@ SELECT p.filename, page_count, text_length, chars_per_page, native_vs_scanned, t
        nullif(m.gold_standard_match, '') AS gold_standard_match, nullif(pymupdf_error, '') AS pymupdf_error,
        nullif(docling_error, '') AS docling_error
 FROM prof p JOIN documents d USING (doc_id) JOIN matched m ON m.filename = p.filename""",
+    "language_detect": "WITH " + LANGUAGES.rstrip().rstrip(",") + """
+SELECT doc_id, lang, detected FROM documents LEFT JOIN detected USING (doc_id)""",
     "corpus_summary": W + """
 SELECT CAST(count(*) AS BIGINT) AS n_total,
        CAST(count(*) - count_if(native_vs_scanned = 'scanned') AS BIGINT) AS n_native,
