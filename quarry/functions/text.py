@@ -78,12 +78,13 @@ def bind(value: Column, fn) -> Column:
 
 # Python's str.isspace() set: Java's Unicode White_Space plus \x1c-\x1f.
 _PY_WS = r"[\s\x1c-\x1f]"
+_PY_WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _ASCII_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f ]"
 
 
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, f"(?U)^{_PY_WS}+|{_PY_WS}+$", "")
+    return F.btrim(c, F.lit(_PY_WS_CHARS))
 
 
 def _fold(s: Column) -> Column:
@@ -99,16 +100,18 @@ def _fold(s: Column) -> Column:
         F.regexp_replace(F.translate(expanded, src, dst), r"[^\x00-\x7F]", ""),
     ).otherwise(s)
     collapsed = F.regexp_replace(F.lower(folded), f"{_ASCII_WS}+", " ")
-    return F.regexp_replace(collapsed, "^ | $", "")
+    return F.btrim(collapsed, F.lit(" "))
 
 
-# Printable ASCII words separated by single spaces: already in normal form
-# except for case, so the fold reduces to ``lower``.
-_CLEAN_ASCII = r"^[!-~]+( [!-~]+)*$"
+def _clean_ascii(s: Column) -> Column:
+    """Printable ASCII words separated by single spaces: already in normal form
+    except for case, so the fold reduces to ``lower``. (A pattern with a repeated group
+    would say it in one go, but Java matches such a group by recursion.)"""
+    return (s == "") | (s.rlike("^[ -~]+$") & ~s.contains("  ") & ~s.startswith(" ") & ~s.endswith(" "))
 
 
 def _normalise(s: Column) -> Column:
-    return F.when(s.rlike(_CLEAN_ASCII) | (s == ""), F.lower(s)).otherwise(_fold(s))
+    return F.when(_clean_ascii(s), F.lower(s)).otherwise(_fold(s))
 
 
 def normalise_string(c: Column, bound: bool = True) -> Column:
@@ -187,16 +190,17 @@ def truncate(c: Column, n: int) -> Column:
 def strict_json_object(c: Column) -> Column:
     """True when ``c`` is exactly one JSON object (no junk, no single quotes).
 
-    ``from_json`` alone accepts trailing junk; wrapping in ``[...]`` and asking
-    for exactly one element rejects it, as Python's ``json.loads`` does.
+    ``from_json`` alone accepts trailing junk. As the first of two members of an object,
+    ``c`` must end exactly where the second begins: anything behind it breaks the syntax,
+    ends the object too early, or shows as a further key. The second key is a digest of
+    ``c``, which ``c`` cannot hold itself. As Python's ``json.loads`` does.
     """
-    arr = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>",
-                      {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false",
-                       "allowUnquotedControlChars": "false", "mode": "PERMISSIVE"})
-    return (
-        c.rlike(r"^\s*\{") & arr.isNotNull() & (F.size(arr) == 1)
-        & F.from_json(c, "map<string,string>").isNotNull()
-    )
+    end = F.md5(c)
+    members = F.from_json(F.concat(F.lit('{"v":'), c, F.lit(',"'), end, F.lit('":1}')), "map<string,string>",
+                          {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false",
+                           "allowUnquotedControlChars": "false", "mode": "PERMISSIVE"})
+    return (c.rlike(r"^\s*\{") & members.isNotNull()
+            & F.coalesce(F.map_keys(members) == F.array(F.lit("v"), end), F.lit(False)))
 
 
 def exact_mean(x: Column, digits: int = 15) -> Column:

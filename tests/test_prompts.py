@@ -16,6 +16,11 @@ from quarry.operators import prompts as P
     ('```json\n{"a": 1,}\n``` and {"b": "2"}', "none", {}),               # both rules fail
     ("{'a': '1'}", "none", {}),                                          # single quotes rejected
     ('{"a": "1"', "none", {}),                                           # truncated
+    ('{"a": "1"}],[{"b": "2"}', "none", {}),                              # two objects in two lists
+    ('{"a": "1"},"b":{"c": "2"}', "none", {}),                            # members after the object
+    ('{"a": "1"},"end":1},{"v":{"b": "2"}', "none", {}),
+    ('{"a": "1"}}', "none", {}),
+    ('{"a": "1", "a": "2"}', "braces", {"a": "2"}),                       # the last of repeated keys wins
     ("no json here", "none", {}),
 ])
 def test_extract_json(spark, raw, rule, value):
