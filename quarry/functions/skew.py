@@ -38,6 +38,23 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def sorted_rows(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """``df`` sorted by range over written files, with ``_file`` (name), ``_row`` (in the file) and ``rank`` (from 0, over all).
+
+    No window runs over the whole table: files are counted (one row per file), and a row's
+    rank is the size of the files before its own plus its place there.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
+    before = files.select("_file", F.coalesce(F.sum("_size").over(
+        Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_file").select(  # as many rows as files
+        *df.columns, "_file", "_row", (F.col("_before") + F.col("_row")).alias("rank"))
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
     """(groups, n, q0, q1, ...): the value of rank ceil(q * n) in each group, exact at any size.
 

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.records import empty_map, parse_array, parse_object
+from quarry.functions.skew import materialise, salted_join, sorted_rows
 from quarry.functions.text import (
     MISSING_MARKER,
     NONE_MARKER,
@@ -89,9 +90,16 @@ def unmatched_predictions(gold: DataFrame, preds: DataFrame) -> DataFrame:
     return names.join(gold.select("file_name"), "file_name", "left_anti")
 
 
-def restrict_to_attempted(gold: DataFrame, attempted: DataFrame) -> DataFrame:
-    """Keep gold records whose document was attempted (skips do not count)."""
-    return gold.join(attempted.select("file_name").distinct(), "file_name", "left_semi")
+def restrict_to_attempted(gold: DataFrame, attempted: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Keep gold records whose document was attempted (skips do not count).
+
+    A name with very many gold records is joined over salts. ``names`` (one ``file_name``
+    row per gold record) defaults to the gold set's own column, as in ``pair_records``.
+    """
+    counts = (gold if names is None else names).groupBy("file_name").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = materialise(counts.join(attempted.select("file_name").distinct(), "file_name", "left_semi"), "attempted-names")
+    total = wanted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return salted_join(gold, wanted, ["file_name"], [F.col("orig_index")], "_n", total).select(*gold.columns)
 
 
 HOT_PARTS = 4096   # a name is hot when it holds more than 1/HOT_PARTS of all gold records ...
@@ -430,19 +438,45 @@ def flatten_leaves(body_map: Column, spec: ScoringSpec = ScoringSpec()) -> Colum
     return F.map_from_entries(F.flatten(F.transform(entries, expand)))
 
 
+def neighbours(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str) -> DataFrame:
+    """``by``, ``pass`` (from 1, in ``order``), ``value`` and ``_before``, the value one pass earlier.
+
+    Rows are sorted by range over files. Neighbours meet inside their file; a file's first
+    row gets the last row of the file before it (one row per file). A key with very many rows
+    spans several files, so it is never gathered.
+    """
+    keep = list(dict.fromkeys((*by, *order, value)))
+    ranked = sorted_rows(rows.select(*keep), [*by, *order], "passes-sorted")
+    inside = Window.partitionBy("_file").orderBy("_row")
+    prior = F.lag(F.struct(*by, F.col(value).alias("_value"))).over(inside)
+    lagged = ranked.withColumn("_prior", prior)
+    ends = ranked.groupBy("_file").agg(F.max_by(F.struct(*by, F.col(value).alias("_value")), "_row").alias("_last"))
+    border = ends.select("_file", F.lag("_last").over(Window.orderBy(F.length("_file"), "_file")).alias("_border"))
+    met = (lagged.join(border, "_file")
+           .withColumn("_prior", F.when(F.col("_row") == 0, F.col("_border")).otherwise(F.col("_prior"))))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col("_prior")[c])
+    first = ranked.groupBy(*by).agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    after = met.where(F.col("_prior").isNotNull() & same)
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k{i}") for i, c in enumerate(by)] + [
+        F.concat_ws("", *[F.col(c).isNull().cast("string") for c in by]).alias("_nulls")]  # null keys join too
+    names = [f"_k{i}" for i in range(len(by))] + ["_nulls"]
+    total = first.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    numbered = salted_join(after.select("*", *keys), first.select(*keys, "_first", "_n"), names, [F.col("rank")], "_n", total)
+    return numbered.select(*by, (F.col("rank") - F.col("_first") + 1).alias("pass"), value, F.col("_prior._value").alias("_before"))
+
+
 def pass_divergence(preds: DataFrame, spec: ScoringSpec = ScoringSpec(), by: tuple[str, ...] = ("file_name",)) -> DataFrame:
     """Documents extracted several times: share of leaf paths whose values differ between
     each pass and the one before it (neighbours in ``seq``, not all pairs).
 
     ``by`` names the key of a repeated extraction, such as (file_name, product). ``pass`` counts
-    from the key's second pass.
+    from the key's first pass, so the first row is pass 2.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(*by).orderBy("seq", "body")
-    j = (preds.withColumn("pass", F.row_number().over(w)).withColumn("_before", F.lag("body").over(w))
-         .where(F.col("_before").isNotNull())
-         .select(*by, F.col("pass").cast("bigint").alias("pass"), flatten_leaves(parse_object(F.col("body")), spec).alias("a"),
-                 flatten_leaves(parse_object(F.col("_before")), spec).alias("b")))
+    j = neighbours(preds, by, ("seq", "body"), "body").where(F.col("_before").isNotNull()).select(
+        *by, F.col("pass").cast("bigint").alias("pass"), flatten_leaves(parse_object(F.col("body")), spec).alias("a"),
+        flatten_leaves(parse_object(F.col("_before")), spec).alias("b"))
     keys = F.array_union(F.map_keys("a"), F.map_keys("b"))
     diff = F.filter(keys, lambda k: ~(F.map_contains_key("a", k) & F.map_contains_key("b", k)
                                       & F.col("a")[k].eqNullSafe(F.col("b")[k])))

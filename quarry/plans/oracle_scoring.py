@@ -161,7 +161,8 @@ FROM record_scores""",
 SELECT 'XTRA-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '.pdf' AS file_name
 FROM orders WHERE o_orderkey % 45 = 0""",
     "attempted_summary": "WITH " + SCORE_RECORDS_CTE + """
-SELECT CAST(count(*) AS BIGINT) AS n_records, CAST(sum(CAST(f1_overall AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_overall) AS DOUBLE) AS f1_overall,
-       CAST(sum(CAST(f1_populated AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_populated) AS DOUBLE) AS f1_populated, CAST(sum(CAST(f1_na AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_na) AS DOUBLE) AS f1_na
+SELECT CAST(count(*) AS BIGINT) AS n_records,
+       """ + ",\n       ".join(f"CAST(sum(CAST(f1_{s} AS DECIMAL(38,15))) AS DOUBLE) / CAST(count(f1_{s}) AS DOUBLE) AS f1_{s}"
+                               for s in ("overall", "populated", "na", "metadata", "lca", "list")) + """
 FROM record_scores WHERE has_prediction""",
 }

@@ -147,3 +147,36 @@ def test_hot_name_is_salted_and_scores_match(spark):
     assert paired.where("file_name = 'a.pdf'").select("salt").distinct().count() > 1
     unsalted = S.pair_records(gold, preds)
     assert unsalted.count() == paired.count() == 201
+
+
+def test_neighbours_over_file_borders(spark):
+    """Passes of one key spread over several files: each meets the pass before it, once."""
+    rows = [("hot", p, s, f"v{p}{s}") for p in ("x", None) for s in range(300)] + [("a", "x", 0, "only"), ("b", "x", 1, "q"), ("b", "x", 0, "p"),
+                                                                                 ("b", None, 5, "z"), (None, None, 1, "n1"), (None, None, 2, "n2")]
+    df = spark.createDataFrame(rows, "file_name string, product string, seq bigint, body string").repartition(4)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = S.neighbours(df, ("file_name", "product"), ("seq", "body"), "body").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        want = {("hot", p, s + 1, f"v{p}{s}", f"v{p}{s - 1}") for p in ("x", None) for s in range(1, 300)}
+        want |= {("b", "x", 2, "q", "p"), (None, None, 2, "n2", "n1")}
+        assert len(got) == len(want) and {(r.file_name, r["product"], r["pass"], r.body, r["_before"]) for r in got} == want
+
+
+def test_a_name_with_most_gold_records_takes_several_tasks(spark):
+    gold = spark.range(6000).select(F.col("id").alias("orig_index"), F.when(F.col("id") < 4000, "hot").otherwise(F.col("id").cast("string")).alias("file_name"),
+                                    F.lit("{}").alias("body"))
+    tried = spark.createDataFrame([("hot",), ("5000",), ("none",)], "file_name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = S.restrict_to_attempted(gold, tried)
+        sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4001 and max(sizes) < 3000 and kept.columns == gold.columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
