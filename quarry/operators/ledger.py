@@ -64,39 +64,77 @@ def sweep_grid(orders: Mapping[str, Sequence[int]], steps: int = 10, decay: floa
             for name, order in orders.items() for k in range(steps + 1)]
 
 
+def _chains(grid: Sequence[CascadeConfig]) -> list[list[CascadeConfig]]:
+    """The grid cut into runs of one tier order in which no threshold falls from point to point."""
+    out: list[list[CascadeConfig]] = []
+    for c in sorted(grid, key=lambda c: (c.order, c.name, c.thresholds)):
+        last = out[-1][-1] if out else None
+        if last and (last.order, last.name) == (c.order, c.name) and all(x <= y for x, y in zip(last.thresholds, c.thresholds)):
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def _accepted_spans(per_doc: DataFrame, chains: Sequence[Sequence[CascadeConfig]]) -> DataFrame:
+    """(chain, at, docs, hits, cost): what each document adds to and takes from the running sums along a chain.
+
+    A tier accepts at the points below the number of its thresholds that its confidence
+    exceeds, so the tier that a document ends in changes only at the running maxima of these
+    numbers: a few points per document, whatever the length of the chain. ``c<t>``, ``ok<t>``,
+    ``p<t>`` and ``in<t>`` are a tier's confidence, correctness, price, and whether it was tried.
+    """
+    money, zero = "decimal(20,4)", F.lit(0).cast("decimal(20,4)")
+    below = [F.when(F.col(f"in{t}"), sum((F.col(f"c{t}") > F.lit(float(c.thresholds[k]))).cast("int") for c in chain))
+             .otherwise(F.lit(0)).alias(f"b{i}_{k}") for i, chain in enumerate(chains) for k, t in enumerate(chain[0].order)]
+    staged = per_doc.select("*", *below)
+    events = []
+    for i, chain in enumerate(chains):
+        order, n = chain[0].order, len(chain)
+        for k, t in enumerate(order):
+            first = F.greatest(F.lit(0), F.lit(0), *[F.col(f"b{i}_{j}") for j in range(k)])
+            last = F.lit(True)
+            for later in order[k + 1:]:
+                last = last & ~F.col(f"in{later}")
+            end = F.when(last, F.lit(n)).otherwise(F.col(f"b{i}_{k}"))
+            cost = zero
+            for earlier in order[:k + 1]:
+                cost = (cost + F.coalesce(F.col(f"p{earlier}"), zero)).cast(money)
+            hit = F.col(f"ok{t}").cast("int")
+            here = F.col(f"in{t}") & F.col(f"ok{t}").isNotNull() & (first < end)
+            for at, sign in ((first, 1), (end, -1)):
+                events.append(F.when(here, F.struct(
+                    F.lit(i).alias("chain"), at.alias("at"), F.lit(sign).alias("docs"), (F.lit(sign) * hit).alias("hits"),
+                    (F.lit(sign) * cost).cast(money).alias("cost"))))
+    return staged.select(F.inline(F.filter(F.array(*events), lambda e: e.isNotNull())))
+
+
 def threshold_sweep(attempts: DataFrame, grid: Sequence[CascadeConfig], budget: float | None = None) -> DataFrame:
     """Cascade outcome per tier order and threshold set.
 
-    Each document is reduced once to one row with its attempt per tier; every grid point is
-    then evaluated inside that row and summed map-side, so only grid-sized rows shuffle.
+    Each document is reduced once to one row with its attempt per tier. Along the points of
+    one order it contributes only where its accepted tier changes; these differences are
+    summed map-side, and a running sum over the grid gives the outcome at every point.
     Documents lacking a tier skip it; the last tier tried accepts.
     """
     tiers = sorted({t for c in grid for t in c.order})
-    per_doc = attempts.groupBy("doc").agg(*[
+    best = attempts.groupBy("doc").agg(*[
         F.max(F.when(F.col("tier") == t, F.struct("confidence", "correct", "price"))).alias(f"t{t}") for t in tiers])
-
-    at = {t: k for k, t in enumerate(tiers)}
-    tries = F.array(*[F.col(f"t{t}") for t in tiers])
-    points_of = F.array(*[F.struct(
-        F.lit(c.name).alias("tier_order"), F.lit(c.step).alias("threshold"),
-        F.array(*[F.struct(F.lit(at[t]).alias("at"), F.lit(x).alias("least")) for t, x in zip(c.order, c.thresholds)])
-        .alias("asks")) for c in grid])
-
-    def ask(state: Column, x: Column) -> Column:
-        a = F.get(F.col("tries"), x["at"])
-        tried = F.struct((a["confidence"] > x["least"]).alias("done"), a["correct"].alias("correct"),
-                         (state["cost"] + a["price"]).cast("decimal(20,4)").alias("cost"))
-        return F.when(a.isNull() | state["done"], state).otherwise(tried)
-
-    start = F.struct(F.lit(False).alias("done"), F.lit(None).cast("boolean").alias("correct"),
-                     F.lit(0).cast("decimal(20,4)").alias("cost"))
-    each = per_doc.select(tries.alias("tries"), F.explode(points_of).alias("point"))
-    points = (each.select("point.tier_order", "point.threshold", F.aggregate("point.asks", start, ask).alias("end"))
-              .select("tier_order", "threshold", "end.correct", "end.cost").where(F.col("correct").isNotNull()))
-    out = points.groupBy("tier_order", "threshold").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_docs"),
-        (F.count_if("correct") / F.count(F.lit(1))).alias("accuracy"),
-        F.sum("cost").cast("double").alias("total_cost"))
+    per_doc = best.select(*[F.col(f"t{t}.{c}").alias(f"{short}{t}") for t in tiers
+                            for c, short in (("confidence", "c"), ("correct", "ok"), ("price", "p"))],
+                          *[F.col(f"t{t}").isNotNull().alias(f"in{t}") for t in tiers])
+    chains = _chains(grid)
+    steps = _accepted_spans(per_doc, chains).groupBy("chain", "at").agg(
+        F.sum("docs").alias("docs"), F.sum("hits").alias("hits"), F.sum("cost").alias("cost"))
+    points = F.array(*[F.struct(F.lit(k).alias("chain"), F.lit(at).alias("at"), F.lit(c.name).alias("tier_order"),
+                                F.lit(float(c.step)).alias("threshold")) for k, chain in enumerate(chains) for at, c in enumerate(chain)])
+    grid_rows = attempts.sparkSession.range(1).select(F.inline(points))
+    along = Window.partitionBy("chain").orderBy("at")  # grid-sized
+    out = (grid_rows.join(steps, ["chain", "at"], "left")
+           .select("tier_order", "threshold", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(c) for c in ("docs", "hits", "cost")])
+           .where("docs > 0")
+           .select("tier_order", "threshold", F.col("docs").cast("bigint").alias("n_docs"),
+                   (F.col("hits") / F.col("docs")).alias("accuracy"), F.col("cost").cast("double").alias("total_cost")))
     out = out.withColumn("cost_per_doc", F.col("total_cost") / F.col("n_docs"))
     if budget is not None:
         out = out.withColumn("within_budget", F.col("cost_per_doc") <= F.lit(budget))

@@ -1,7 +1,9 @@
 """Cascade rules, sweeps, exact quantiles and text cleaning on inputs that tell neighbouring rules apart."""
 
+import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.skew import exact_quantiles, salted_join
@@ -57,3 +59,46 @@ def test_cleaning_collapses_before_it_removes_markers(spark):
     text = "A\n\n\n\nPage 1 of 2\nB see Page 2 of 9 here "
     got = spark.createDataFrame([(text,)], "t string").select(chunking.clean_text(F.col("t")).alias("c")).first().c
     assert got == "A\n\n\nB see  here"
+
+
+def _brute_sweep(rows, grid):
+    """{(name, step): (docs, hits, cost)} by walking every document through every grid point."""
+    best = {}
+    for d, t, c, ok, p in rows:
+        if (d, t) not in best or (c, ok, Decimal(p)) > best[d, t]:
+            best[d, t] = (c, ok, Decimal(p))
+    out = {}
+    for g in grid:
+        docs = hits = 0
+        cost = Decimal(0)
+        for d in {r[0] for r in rows}:
+            spent, end = Decimal(0), None
+            for t, least in zip(g.order, g.thresholds):
+                if (d, t) in best:
+                    c, ok, p = best[d, t]
+                    spent, end = spent + p, ok
+                    if c > least:
+                        break
+            if end is not None:
+                docs, hits, cost = docs + 1, hits + end, cost + spent
+        if docs:
+            out[g.name, g.step] = (docs, hits / docs, float(cost))
+    return out
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.05, -0.1])
+def test_sweep_by_breakpoints_equals_every_point_walked(spark, decay):
+    rng = random.Random(5)
+    rows = [(d, t, rng.choice([0.0, 0.2, 0.25, 0.5, 0.55, 1.0, rng.random()]), rng.random() < .5, str(rng.randint(1, 9)))
+            for d in range(60) for t in rng.sample([1, 2, 3], rng.randint(0, 3)) for _ in range(rng.randint(1, 2))]
+    grid = ledger.sweep_grid({"up": (1, 2, 3), "down": (3, 2, 1), "two": (2,)}, steps=5, decay=decay)
+    falling = ledger.CascadeConfig("falls", 0.0, (1, 2), (0.5, 0.1)), ledger.CascadeConfig("falls", 1.0, (1, 2), (0.1, 0.9))
+    grid = [*grid, *falling]
+    got = {(r.tier_order, r.threshold): (r.n_docs, r.accuracy, r.total_cost) for r in ledger.threshold_sweep(attempts(spark, rows), grid).collect()}
+    want = _brute_sweep(rows, grid)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_sweep_of_no_attempts(spark):
+    assert ledger.threshold_sweep(attempts(spark, []), ledger.sweep_grid({"up": (1, 2)})).count() == 0
