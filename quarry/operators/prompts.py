@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.records import parse_object
+from quarry.functions.skew import materialise, salted_join, sorted_rows
 from quarry.functions.text import strict_json_object
 from quarry.operators.scoring import LCA_INDICATORS, LCA_STAGES, SKIP_FIELDS
 
@@ -36,6 +36,8 @@ PROMPT_DOC = "EPD DOCUMENT:\n"
 PROMPT_TABLES = "\n\nTABLE DATA:\n"
 PROMPT_TAIL = "\n\nRespond with ONLY the JSON object, no markdown fences or explanation."
 NO_TABLES = "(no tables extracted)"
+GROUP_INDICATORS = "Extract these nested LCA indicator objects from the EPD passages below ("
+NO_PASSAGES = "(no passage found)"
 FENCE_PATTERN = r"```(?:json)?\s*(\{[\s\S]*?\})\s*```"
 BRACES_PATTERN = r"\{[\s\S]*\}"
 
@@ -44,16 +46,36 @@ def flat_fields(gold: DataFrame, indicators: tuple[str, ...] = LCA_INDICATORS,
                 skip: tuple[str, ...] = SKIP_FIELDS) -> DataFrame:
     """Distinct flat field names in first-seen order (record, then key position).
 
-    One partial aggregation per field name; the final ordering runs over the
-    distinct names only (bounded by the schema width, not the data).
+    Only the keys of a body are read. One partial aggregation per field name gives its first
+    place; ranks are places in the names' range-sorted files, so no window runs over them all.
     """
-    keys = gold.select("orig_index", F.posexplode(F.map_keys(parse_object(F.col("body")))).alias("pos", "field"))
+    names = F.array_distinct(F.json_object_keys("body"))
+    keys = gold.select("orig_index", F.posexplode(names).alias("pos", "field"))
     keys = keys.where(~F.col("field").isin(list(skip) + list(indicators)))
-    first = keys.groupBy("field").agg(F.min(F.struct("orig_index", "pos")).alias("first"))
-    w = Window.orderBy(F.col("first.orig_index"), F.col("first.pos"))
-    return first.select("field", F.col("first.orig_index").alias("first_index"),
-                        F.col("first.pos").cast("bigint").alias("first_pos"),
-                        F.row_number().over(w).cast("bigint").alias("rank"))
+    first = keys.groupBy("field").agg(F.min(F.struct("orig_index", "pos")).alias("first")).select(
+        "field", F.col("first.orig_index").alias("first_index"), F.col("first.pos").cast("bigint").alias("first_pos"))
+    ranked = sorted_rows(first, ["first_index", "first_pos", "field"], "field-order")
+    return ranked.select("field", "first_index", "first_pos", (F.col("rank") + 1).alias("rank"))
+
+
+def with_value(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``one``, a table of a single row, joined by a constant.
+
+    The single row is written, so the planner knows its size; beyond what it broadcasts, the
+    row is repeated over salts and ``rows`` are dealt over them by ``key``.
+    """
+    n = rows.count()
+    single = materialise(one.select(F.lit(0).alias("_one"), "*", F.lit(n).cast("bigint").alias("_n")), "single-row")
+    return salted_join(rows.withColumn("_one", F.lit(0)), single, ["_one"], [F.col(key)], "_n", n).drop("_one", "_n")
+
+
+def with_field_block(docs: DataFrame, fields: DataFrame, key: str, descriptions: Column | None = None) -> DataFrame:
+    """``docs`` with ``fields_block``, the lines of all ``fields`` (rank, field) in order.
+
+    A prompt names every field, so the block is as long as the schema is wide.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
+    return with_value(docs, fields.agg(field_block(ordered, descriptions).alias("fields_block")), key)
 
 
 def field_block(fields: Column, descriptions: Column | None = None) -> Column:
@@ -71,6 +93,52 @@ def field_block(fields: Column, descriptions: Column | None = None) -> Column:
     return F.concat(F.lit("{\n"), F.array_join(lines, "\n"), F.lit("\n}\n\n"))
 
 
+def spread_hash(number: Column) -> Column:
+    """Whole numbers scattered over [0, 2**32) by a fixed odd factor."""
+    return F.pmod(number * F.lit(2654435761), F.lit(4294967296))
+
+
+def draw_examples(docs: DataFrame, pool: DataFrame, key: str, k: int = 2) -> DataFrame:
+    """(key, place, example): ``k`` examples of ``pool`` for every document, never itself.
+
+    The pool is put in a scattered order and ranked, however large it is. A document starts
+    at a place of its own and takes the next k + 1 ranks, round the end, of which itself drops
+    out; so it has k examples wherever the pool has so many, and all examples are used alike.
+    Ids are whole numbers, distinct in ``pool``.
+    """
+    order = [spread_hash(F.col(key)), F.col(key)]
+    ranked = materialise(sorted_rows(pool.select(key), order, "example-order").select(F.col(key).alias("example"), "rank"),
+                         "example-ranks")
+    size, total = ranked.count(), docs.count()
+    if size == 0:
+        return docs.select(key, F.lit(0).alias("place"), F.col(key).alias("example")).limit(0)
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(min(k + 1, size) - 1))).alias("place")
+    start = F.pmod(spread_hash(F.col(key) + F.lit(7)), F.lit(size))
+    wanted = docs.select(key, ahead, start.alias("_start")).select(key, "place", F.pmod(F.col("_start") + F.col("place"), F.lit(size)).alias("rank"))
+    per_rank = wanted.groupBy("rank").agg(F.count(F.lit(1)).alias("_n"))
+    met = salted_join(wanted, ranked.join(per_rank, "rank"), ["rank"], [F.col(key)], "_n", total * (k + 1))
+    # of k + 1 ranks in a row the document itself is at most one
+    mine = Window.partitionBy(key).orderBy("place")
+    return (met.where(F.col("example") != F.col(key)).withColumn("place", F.row_number().over(mine))
+            .where(F.col("place") <= k).select(key, "place", "example"))
+
+
+def example_block(docs: DataFrame, picks: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, example_ids, examples): the drawn examples' texts, in order, as one block; empty without examples.
+
+    An example that many documents have drawn is joined over salts.
+    """
+    often = picks.groupBy("example").agg(F.count(F.lit(1)).alias("_n"))
+    total = often.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    right = texts.select(F.col(key).alias("example"), F.col(text).alias("_text")).join(often, "example")
+    met = salted_join(picks, right, ["example"], [F.col(key)], "_n", total).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("place", "example", "_text"))).alias("_picks"))
+    every = docs.select(key).join(met, key, "left")
+    block = F.array_join(F.transform("_picks", lambda e: F.concat(F.lit("EXAMPLE DOCUMENT:\n"), e["_text"], F.lit("\n\n"))), "")
+    return every.select(key, F.coalesce(F.transform("_picks", lambda e: e["example"]), F.array().cast("array<bigint>")).alias("example_ids"),
+                        F.coalesce(block, F.lit("")).alias("examples"))
+
+
 def tables_block(tables: Column) -> Column:
     """Non-blank table markdown joined by blank lines; an empty list gives the placeholder."""
     md = F.filter(F.transform(tables, lambda t: t.markdown), lambda m: m.isNotNull() & (m != ""))
@@ -87,6 +155,16 @@ def build_prompt(fields_block: Column, text: Column, tables: Column,
         text, F.lit(PROMPT_TABLES), tables_block(tables), F.lit(PROMPT_TAIL))
 
 
+def build_group_prompt(kind: Column, names: Column, passages: Column, tables: Column,
+                       stages: tuple[str, ...] = LCA_STAGES) -> Column:
+    """The prompt for one group of names over its passages (``kind`` is fields or indicators)."""
+    flat = F.concat(F.lit(PROMPT_HEAD), field_block(names))
+    nested = F.concat(F.lit(GROUP_INDICATORS), F.array_join(names, ", "), F.lit(PROMPT_STAGES + ", ".join(stages) + PROMPT_STAGE_NOTE))
+    return F.concat(F.when(kind == "fields", flat).otherwise(nested), F.lit(PROMPT_DOC),
+                    F.when(passages == "", F.lit(NO_PASSAGES)).otherwise(passages),
+                    F.lit(PROMPT_TABLES), tables_block(tables), F.lit(PROMPT_TAIL))
+
+
 def chat_messages(prompt: Column) -> Column:
     """``[{role, content}]`` — system instruction then the user prompt."""
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),

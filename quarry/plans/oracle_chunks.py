@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for cleaning, chunking, retrieval and leaf analyses."""
 
-from quarry.plans.oracle_prompts import PROMPT_SUFFIX, lit, prompt_prefix
+from quarry.plans.oracle_prompts import PROMPT_DOC, PROMPT_HEAD, PROMPT_STAGE_NOTE, PROMPT_STAGES, PROMPT_SUFFIX, STAGES, lit
 from quarry.plans.oracle_scoring import SCORING_LEAVES_CTE
 
 NL = "chr(10)"
@@ -8,13 +8,30 @@ STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 CLEAN = STRIP.format(x="regexp_replace(regexp_replace(src, '\\n{3,}', chr(10) || chr(10), 'g'), "
                        "'Page \\d+ of \\d+', '', 'g')")
 
-GROUP_BLOCKS = {0: ("Order Status", "Order Priority"), 1: ("Return Flags",)}
+GROUP_TERMS = {"Order Status": "state of the order", "Order Priority": "priority class", "Return Flags": "list of return flags",
+               "QTY": "number of pieces", "PRICE": "price to be paid", "DISC": "what is taken from the price", "TAX": "tax for the sale"}
+GROUPS = {"fields-1": ("Order Status", "Order Priority"), "fields-2": ("Return Flags",),
+          "indicators-1": ("DISC", "PRICE"), "indicators-2": ("QTY", "TAX")}
 
 
 def _block(fields: tuple[str, ...]) -> str:
     return "{\n" + "\n".join(f'  "{f}": "..."' for f in fields) + "\n}\n\n"
 
 
+def _group_head(name: str, members: tuple[str, ...]) -> str:
+    if name.startswith("fields"):
+        return PROMPT_HEAD + _block(members) + PROMPT_DOC
+    return ("Extract these nested LCA indicator objects from the EPD passages below (" + ", ".join(members) + PROMPT_STAGES
+            + STAGES + PROMPT_STAGE_NOTE + PROMPT_DOC)
+
+
+def _group_row(name: str, members: tuple[str, ...]) -> str:
+    terms = sorted({w for m in members for w in (m + " " + GROUP_TERMS[m]).lower().split()})
+    return f"({lit(name)}, {lit(_group_head(name, members))}, [{', '.join(map(lit, terms))}])"
+
+
+GROUP_ROWS = ", ".join(_group_row(*item) for item in GROUPS.items())
+
 SQL = {
     "clean_text": f"""
 WITH s AS (SELECT doc_id, replace(replace(text, chr(10), chr(10) || chr(10) || chr(10) || chr(10) || 'Page 1 of 9' || chr(10)),
@@ -105,9 +122,21 @@ FROM r""",
     "train_eval_split": """
 SELECT conv_id, turn, CASE WHEN conv_id % 100 < 80 THEN 'train' ELSE 'eval' END AS split, role,
        CAST(length(text) AS INTEGER) AS n_chars FROM conversations""",
-    "schema_chunked_prompts": "\nUNION ALL\n".join(
-        f"SELECT doc_id, CAST({g} AS BIGINT) AS field_group, "
-        f"CAST(length({lit(prompt_prefix(_block(fs)))} || text || {lit(PROMPT_SUFFIX)}) AS INTEGER) AS prompt_chars, "
-        f"sha256({lit(prompt_prefix(_block(fs)))} || text || {lit(PROMPT_SUFFIX)}) AS prompt_sha FROM documents"
-        for g, fs in GROUP_BLOCKS.items()),
+    "schema_chunked_prompts": f"""
+WITH groups(field_group, head, terms) AS (VALUES {GROUP_ROWS}),
+chunks AS (SELECT doc_id, CAST(start // 850 AS BIGINT) AS chunk_idx, substr(text, start + 1, 1000) AS chunk
+           FROM (SELECT doc_id, text, unnest(range(0, length(text), 850)) AS start FROM documents WHERE length(text) > 0)),
+postings AS (SELECT doc_id, chunk_idx, term, count(*) AS tf
+             FROM (SELECT doc_id, chunk_idx, unnest(regexp_extract_all(lower(chunk), '[a-z0-9]+')) AS term FROM chunks)
+             GROUP BY doc_id, chunk_idx, term),
+scored AS (SELECT doc_id, field_group, chunk_idx, row_number() OVER (PARTITION BY doc_id, field_group
+                    ORDER BY count(*) DESC, sum(tf) DESC, chunk_idx) AS place
+           FROM postings p JOIN (SELECT field_group, unnest(terms) AS term FROM groups) g USING (term)
+           GROUP BY doc_id, field_group, chunk_idx),
+shown AS (SELECT s.doc_id, s.field_group, count(*) AS n, string_agg(chunk, chr(10) || '...' || chr(10) ORDER BY s.chunk_idx) AS passages
+          FROM scored s JOIN chunks c USING (doc_id, chunk_idx) WHERE place <= 3 GROUP BY s.doc_id, s.field_group),
+t AS (SELECT d.doc_id, g.field_group, CAST(coalesce(n, 0) AS BIGINT) AS n_chunks,
+             head || coalesce(nullif(passages, ''), '(no passage found)') || {lit(PROMPT_SUFFIX)} AS p
+      FROM documents d CROSS JOIN groups g LEFT JOIN shown s ON s.doc_id = d.doc_id AND s.field_group = g.field_group)
+SELECT doc_id, field_group, n_chunks, CAST(length(p) AS INTEGER) AS prompt_chars, sha256(p) AS prompt_sha FROM t""",
 }

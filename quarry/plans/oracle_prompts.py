@@ -94,30 +94,19 @@ SELECT CASE WHEN conv_id % 100 < 80 THEN 'train' ELSE 'eval' END AS split,
          ',' ORDER BY turn) || ']}' AS line
 FROM conversations GROUP BY conv_id""",
     "few_shot": f"""
-WITH pool AS (SELECT doc_id AS example_id, doc_id % 16 AS bucket, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS place
-              FROM labels WHERE quality = 1),
-picked AS (SELECT d.doc_id, p.example_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY p.example_id) AS rank
-           FROM documents d JOIN pool p ON p.bucket = (d.doc_id // 7) % 16 AND p.place <= 3 AND p.example_id <> d.doc_id),
-shown AS (SELECT k.doc_id, string_agg('EXAMPLE DOCUMENT:' || chr(10) || e.text || chr(10) || chr(10), '' ORDER BY k.rank) AS shots,
-                 list(k.example_id ORDER BY k.rank) AS examples
-          FROM picked k JOIN documents e ON e.doc_id = k.example_id WHERE k.rank <= 2 GROUP BY k.doc_id),
+WITH pool AS (SELECT doc_id AS example, row_number() OVER (ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) - 1 AS rank,
+                     count(*) OVER () AS n
+              FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+asked AS (SELECT d.doc_id, p.place, (((d.doc_id + 7) * 2654435761) % 4294967296 % n + p.place) % n AS rank
+          FROM documents d, (SELECT max(n) AS n FROM pool), (VALUES (0), (1), (2)) p(place) WHERE p.place < n),
+drawn AS (SELECT a.doc_id, example, row_number() OVER (PARTITION BY a.doc_id ORDER BY place) AS place
+          FROM asked a JOIN pool USING (rank) WHERE example <> a.doc_id),
+shown AS (SELECT k.doc_id, string_agg('EXAMPLE DOCUMENT:' || chr(10) || e.text || chr(10) || chr(10), '' ORDER BY k.place) AS shots,
+                 list(k.example ORDER BY k.place) AS examples
+          FROM drawn k JOIN documents e ON e.doc_id = k.example WHERE k.place <= 2 GROUP BY k.doc_id),
 t AS (SELECT d.doc_id, coalesce(array_to_string(examples, ','), '') AS example_ids, coalesce(shots, '') || {PROMPT} AS p
       FROM documents d LEFT JOIN shown USING (doc_id))
 SELECT doc_id, example_ids, CAST(length(p) AS BIGINT) AS prompt_chars, sha256(p) AS prompt_sha FROM t""",
-    "language_detect": r"""
-WITH t AS (SELECT doc_id, lang, ' ' || lower(regexp_replace(text, '[^\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents),
-g AS (SELECT doc_id, lang, substr(s, i, 3) AS gram, count(*) AS c
-      FROM (SELECT doc_id, lang, s, unnest(range(1, length(s) - 1)) AS i FROM t) GROUP BY 1, 2, 3),
-h AS (SELECT * FROM g WHERE NOT contains(gram, '  ')),
-per AS (SELECT lang, gram, sum(c) AS c FROM h WHERE doc_id % 2 = 0 GROUP BY 1, 2),
-prof AS (SELECT lang, gram, ln(CAST(c + 1 AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang) AS DOUBLE)) AS lp
-         FROM per),
-least_lp AS (SELECT lang, min(lp) AS low FROM prof GROUP BY lang),
-hit AS (SELECT h.doc_id, p.lang, sum(h.c * p.lp) AS hit, sum(h.c) AS n FROM h JOIN prof p USING (gram) GROUP BY 1, 2),
-total AS (SELECT doc_id, sum(c) AS n FROM h GROUP BY 1),
-score AS (SELECT doc_id, hit.lang, hit + (total.n - hit.n) * low AS score FROM hit JOIN total USING (doc_id) JOIN least_lp l ON l.lang = hit.lang),
-best AS (SELECT doc_id, arg_max(lang, (score, lang)) AS detected FROM score GROUP BY doc_id)
-SELECT d.doc_id, d.lang, detected FROM documents d LEFT JOIN best USING (doc_id)""",
     "response_parse": "WITH " + RESPONSES + """
 SELECT k AS o_orderkey, 'ORD-' || lpad(CAST(k AS VARCHAR), 6, '0') || '.pdf' AS file_name, rule,
        CAST(CASE WHEN parsed = '{}' THEN 0 ELSE len(json_keys(parsed)) END AS BIGINT) AS n_keys,
