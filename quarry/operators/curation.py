@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.records import RECORD_MAP, parse_object
 from quarry.functions.text import bind
-from quarry.operators.scoring import LCA_INDICATORS
+from quarry.operators.scoring import LCA_INDICATORS, LCA_STAGES
 
 # --------------------------------------------------------------------------
 # Fixed values that must equal the reference (key names are data, typos kept).
@@ -55,6 +55,7 @@ BRE_MAP = {
 EPD_INTL_MARKER = "Embodied Carbon (GWP Total)"
 BRE_MARKERS = ("GWP Total / Global Warming", "Name of Product")
 VARIANTS = ("canonical", "epd_intl", "bre")
+AGGREGATED = "AGG"  # a stage that is reported in another one
 BENIGN_SUBKEYS = ("Description", "Indicator Name")
 SHOWN_INDICATORS = ("GWP-TOTAL", "PERT", "PENRT", "FRESH WATER", "ACIDIFICATION", "EUTROFICATION")  # P27 listing
 
@@ -166,12 +167,16 @@ def split_buckets(normalised: DataFrame, man: DataFrame) -> tuple[DataFrame, Dat
     return clean, quarantine
 
 
+def _domain_rows(counts: list[tuple[str, Column]], df: DataFrame, col: str, name: str) -> DataFrame:
+    """(col, name): one conditional count per value of a fixed domain, in one pass."""
+    totals = df.agg(*[c.alias(f"c{i}") for i, (_, c) in enumerate(counts)])
+    pairs = [x for i, (value, _) in enumerate(counts) for x in (F.lit(value), F.col(f"c{i}").cast("bigint"))]
+    return totals.select(F.stack(F.lit(len(counts)), *pairs).alias(col, name))
+
+
 def count_rows_by(df: DataFrame, col: str, values: tuple[str, ...], name: str = "n") -> DataFrame:
     """Counts for a fixed domain in one pass, zero rows included."""
-    aggs = [F.count_if(F.col(col) == v).alias(f"c{i}") for i, v in enumerate(values)]
-    stacked = ", ".join(f"'{v}', c{i}" for i, v in enumerate(values))
-    return df.agg(*aggs).selectExpr(f"stack({len(values)}, {stacked}) as ({col}, {name})") \
-        .withColumn(name, F.col(name).cast("bigint"))
+    return _domain_rows([(v, F.count_if(F.col(col) == v)) for v in values], df, col, name)
 
 
 def field_presence(records: DataFrame) -> DataFrame:
@@ -187,10 +192,7 @@ def field_presence(records: DataFrame) -> DataFrame:
 def coverage(normalised: DataFrame, fields: tuple[str, ...] = LCA_INDICATORS) -> DataFrame:
     """Number of records holding each canonical field (absent -> 0)."""
     m = parse_object(F.col("body"))
-    aggs = [F.count_if(F.map_contains_key(m, F.lit(f))).alias(f"c{i}") for i, f in enumerate(fields)]
-    stacked = ", ".join(f"{json.dumps(f)}, c{i}" for i, f in enumerate(fields))
-    return normalised.agg(*aggs).selectExpr(f"stack({len(fields)}, {stacked}) as (field, n_records)") \
-        .withColumn("n_records", F.col("n_records").cast("bigint"))
+    return _domain_rows([(f, F.count_if(F.map_contains_key(m, F.lit(f)))) for f in fields], normalised, "field", "n_records")
 
 
 def contaminated_keys(m: Column, max_words: int = 6) -> Column:
@@ -224,30 +226,62 @@ def fill_ratio(normalised: DataFrame, empty_below: float = 0.25) -> DataFrame:
                      (ratio < empty_below).alias("near_empty"))
 
 
-def sum_consistency(normalised: DataFrame, rtol: float = 1e-3, atol: float = 1e-4) -> DataFrame:
-    """``A1-A3`` against ``A1 + A2 + A3`` of GWP-TOTAL."""
-    from quarry.functions.text import parse_numeric
-    g = parse_object(parse_object(F.col("body"))[F.lit("GWP-TOTAL")])
-    nums = normalised.select("orig_index", *[parse_numeric(g[F.lit(s)]).alias(n) for s, n in
-                                            (("A1", "a1"), ("A2", "a2"), ("A3", "a3"), ("A1-A3", "total"))],
-                             g[F.lit("A1-A3")].alias("total_text"))
+def indicator_objects(normalised: DataFrame, indicators: tuple[str, ...] = LCA_INDICATORS) -> DataFrame:
+    """(orig_index, indicator, stages): one row per indicator that a record reports as an object."""
+    body = normalised.select("orig_index", parse_object(F.col("body")).alias("_m"))
+    named = F.array(*[F.struct(F.lit(x).alias("indicator"), F.col("_m")[F.lit(x)].alias("_text")) for x in indicators])
+    each = body.select("orig_index", F.inline(F.filter(named, lambda e: e["_text"].isNotNull())))
+    return each.select("orig_index", "indicator", parse_object(F.col("_text")).alias("stages")).where(F.col("stages").isNotNull())
+
+
+def sum_consistency(normalised: DataFrame, rtol: float = 1e-3, atol: float = 1e-4,
+                    indicators: tuple[str, ...] = LCA_INDICATORS) -> DataFrame:
+    """``A1-A3`` against ``A1 + A2 + A3`` of every indicator that a record reports.
+
+    A stage that is absent, not reported or marked as aggregated makes the check incomplete;
+    one whose text is no number makes it unparseable.
+    """
+    from quarry.functions.text import is_na, parse_numeric
+    stages = (("A1", "a1"), ("A2", "a2"), ("A3", "a3"), ("A1-A3", "total"))
+    value = {n: F.col("stages")[F.lit(s)] for s, n in stages}
+    nums = indicator_objects(normalised, indicators).select(
+        "orig_index", "indicator", *[parse_numeric(v).alias(n) for n, v in value.items()],
+        *[(v.isNotNull() & ~is_na(v) & (v != AGGREGATED)).alias(f"has_{n}") for n, v in value.items()])
+    junk, missing = F.lit(False), F.lit(False)
+    for _, n in stages:
+        junk = junk | (F.col(f"has_{n}") & F.col(n).isNull())
+        missing = missing | F.col(n).isNull()
     parts = F.col("a1") + F.col("a2") + F.col("a3")
-    status = (F.when(F.col("total_text").isNotNull() & F.col("total").isNull(), F.lit("unparseable"))
-              .when(F.col("a1").isNull() | F.col("a2").isNull() | F.col("a3").isNull() | F.col("total").isNull(),
-                    F.lit("incomplete"))
-              .when(F.abs(parts - F.col("total")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col("total")),
-                    F.lit("consistent"))
+    status = (F.when(junk, F.lit("unparseable")).when(missing, F.lit("incomplete"))
+              .when(F.abs(parts - F.col("total")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col("total")), F.lit("consistent"))
               .otherwise(F.lit("inconsistent")))
-    return nums.select("orig_index", status.alias("status"))
+    return nums.select("orig_index", "indicator", status.alias("status"))
 
 
-NOTATION_CLASSES = ("clean", "spaced_exponent", "unparseable")
+NOTATION_CLASSES = ("clean", "spaced_exponent", "not_reported", "aggregated", "unparseable")
 
 
-def notation_classes(normalised: DataFrame, indicator: str = "GWP-TOTAL", stage: str = "A1-A3") -> DataFrame:
-    """Value classes — clean number, exponent with a space (``1.61 E-01``), other."""
-    v = parse_object(parse_object(F.col("body"))[F.lit(indicator)])[F.lit(stage)]
-    cls = (F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.lit("clean"))
-           .when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)\s+[eE]\s*[+-]?\d+$"), F.lit("spaced_exponent"))
-           .otherwise(F.lit("unparseable")))
-    return count_rows_by(normalised.select(cls.alias("class")), "class", NOTATION_CLASSES)
+def notation_class(v: Column) -> Column:
+    """Class of one value: a clean number, an exponent with a space (``1.61 E-01``), N/A, the aggregated marker, or other text."""
+    from quarry.functions.text import is_na
+    return (F.when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.lit("clean"))
+            .when(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)\s+[eE]\s*[+-]?\d+$"), F.lit("spaced_exponent"))
+            .when(is_na(v), F.lit("not_reported")).when(v == AGGREGATED, F.lit("aggregated")).otherwise(F.lit("unparseable")))
+
+
+def notation_classes(normalised: DataFrame, indicators: tuple[str, ...] = LCA_INDICATORS,
+                     stages: tuple[str, ...] = tuple(s for s in LCA_STAGES if s != "Unit")) -> DataFrame:
+    """Per indicator and stage, records by value class; ``n_missing`` counts those without the value.
+
+    All pairs of the fixed domain are returned, those that never occur with zeros.
+    """
+    each = indicator_objects(normalised, indicators).select("indicator", F.explode("stages").alias("stage", "value")).where(
+        F.col("value").isNotNull() & F.col("stage").isin(list(stages)))
+    found = each.withColumn("_class", notation_class(F.col("value"))).groupBy("indicator", "stage").agg(
+        *[F.count_if(F.col("_class") == c).alias(f"n_{c}") for c in NOTATION_CLASSES], F.count(F.lit(1)).alias("_present"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("indicator"), F.lit(s).alias("stage")) for i in indicators for s in stages])
+    domain = normalised.agg(F.count(F.lit(1)).alias("_records")).select("_records", F.inline(pairs))
+    out = domain.join(found, ["indicator", "stage"], "left")
+    counts = [F.coalesce(f"n_{c}", F.lit(0)).cast("bigint").alias(f"n_{c}") for c in NOTATION_CLASSES]
+    return out.select("indicator", "stage", *counts,
+                      (F.col("_records") - F.coalesce("_present", F.lit(0))).cast("bigint").alias("n_missing"))

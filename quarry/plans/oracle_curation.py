@@ -71,6 +71,9 @@ NOTE_CASE = ("CASE code " + " ".join(f"WHEN {c} THEN '{t.split(':')[0]}'" for c,
              + " ELSE 'UNKNOWN' END")
 INDICATORS_12 = ("GWP-TOTAL", "GWP-FOSSIL", "GWP-BIOGENIC", "FRESH WATER", "ACIDIFICATION", "EUTROFICATION",
                  "PERT", "PENRT", "PERE", "PERM", "PENRE", "PENRM")
+STAGES_21 = ("A1", "A2", "A3", "A1-A3", "A4", "A5", "A4-A5", "B1", "B2", "B3", "B4", "B5", "B6", "B7", "B1-B7",
+             "C1", "C2", "C3", "C4", "C1-C4", "D")
+NOTATIONS = ("clean", "spaced_exponent", "not_reported", "aggregated", "unparseable")
 
 W = "WITH " + PART_FACTS
 
@@ -105,7 +108,8 @@ SELECT CAST(k AS INTEGER) AS orig_idx, CASE WHEN {CLEAN} THEN 'CLEAN' ELSE 'QUAR
        CASE WHEN {CLEAN} THEN '' ELSE {NOTE_CASE} END AS notes
 FROM pt""",
     "bucket_files": W + f"""
-SELECT CAST(k AS BIGINT) AS orig_index, CASE WHEN {CLEAN} THEN 'CLEAN' ELSE 'QUARANTINE' END AS bucket, file_name, product FROM pt""",
+SELECT CAST(k AS BIGINT) AS orig_index, CASE WHEN {CLEAN} THEN 'CLEAN' ELSE 'QUARANTINE' END AS bucket, file_name, product,
+       CASE WHEN {CLEAN} THEN NULL ELSE {REASON_CASE} END AS quarantine_reason FROM pt""",
     "quarantine_breakdown": W + f"""
 SELECT {NOTE_CASE} AS notes, CAST(count(*) AS BIGINT) AS n FROM pt WHERE NOT ({CLEAN}) GROUP BY 1""",
     "clean_subkeys": W + f"""
@@ -142,15 +146,21 @@ SELECT upper(trim(operator)) AS operator, CAST(count(*) AS BIGINT) AS n FROM pf
     "standard_version": W + """
 SELECT CASE WHEN a2std THEN 'A2' ELSE 'A1' END AS version, CAST(count(*) AS BIGINT) AS n FROM pf GROUP BY 1""",
     "sum_consistency": W + """
-SELECT CAST(k AS BIGINT) AS orig_index,
+SELECT CAST(k AS BIGINT) AS orig_index, 'GWP-TOTAL' AS indicator,
   CASE WHEN spaced THEN 'unparseable' WHEN variant = 'bre' THEN 'incomplete'
        WHEN abs(((CAST(a1 AS DOUBLE) + CAST(a2 AS DOUBLE)) + CAST(a3 AS DOUBLE)) - CAST(a1a3 AS DOUBLE))
             <= CAST(1e-4 AS DOUBLE) + CAST(1e-3 AS DOUBLE) * abs(CAST(a1a3 AS DOUBLE)) THEN 'consistent'
        ELSE 'inconsistent' END AS status
-FROM pt""",
-    "sci_notation": W + """
-SELECT c.class, CAST(count(pf.k) AS BIGINT) AS n
-FROM (VALUES ('clean'), ('spaced_exponent'), ('unparseable')) c(class)
-LEFT JOIN pf ON c.class = CASE WHEN pf.spaced THEN 'spaced_exponent' ELSE 'clean' END
-GROUP BY c.class""",
+FROM pt UNION ALL SELECT CAST(k AS BIGINT), 'FRESH WATER', 'incomplete' FROM pt""",
+    "sci_notation": W + f""",
+vals AS (
+  SELECT 'GWP-TOTAL' AS indicator, s.stage, CASE WHEN s.stage = 'A1' AND variant = 'bre' THEN 'aggregated'
+           WHEN s.stage = 'A1-A3' AND spaced THEN 'spaced_exponent' ELSE 'clean' END AS class
+  FROM pt, (VALUES ('A1'), ('A2'), ('A3'), ('A1-A3')) s(stage) WHERE variant <> 'bre' OR s.stage IN ('A1', 'A1-A3')
+  UNION ALL SELECT 'FRESH WATER', 'A1-A3', 'clean' FROM pt),
+grid AS (SELECT i.indicator, s.stage FROM (VALUES {", ".join(f"('{x}')" for x in INDICATORS_12)}) i(indicator),
+                (VALUES {", ".join(f"('{x}')" for x in STAGES_21)}) s(stage))
+SELECT g.indicator, g.stage, {", ".join(f"CAST(count(*) FILTER (class = '{c}') AS BIGINT) AS n_{c}" for c in NOTATIONS)},
+       CAST((SELECT count(*) FROM part) - count(class) AS BIGINT) AS n_missing
+FROM grid g LEFT JOIN vals v ON v.indicator = g.indicator AND v.stage = g.stage GROUP BY g.indicator, g.stage""",
 }
