@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.records import empty_map, parse_object
 from quarry.functions.skew import exact_quantiles, materialise, salted_join
-from quarry.functions.text import is_na, normalise_string, parse_numeric
-from quarry.operators import chunking, convert, corpus, curation, language, ledger, prompts, scoring
+from quarry.functions.text import exact_mean, is_na, normalise_string, parse_numeric
+from quarry.operators import chunking, convert, corpus, curation, ledger, prompts, retrieval, scoring
 from quarry.plans import fixtures as fx
 from quarry.session import shared_dir
 from quarry.sources import readers, sinks
@@ -72,14 +72,12 @@ def unmatched_predictions(spark: SparkSession, sf: str) -> DataFrame:
 @register("attempted_summary")
 def attempted_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Score only gold records whose document was attempted."""
-    from pyspark.sql import functions as F
     preds = fx.pred_records(spark, sf)
-    gold = scoring.restrict_to_attempted(fx.gold_records(spark, sf), preds)
+    gold = scoring.restrict_to_attempted(fx.gold_records(spark, sf), preds, fx.gold_names(spark, sf))
     # hot-name statistics from the full key column (salting only moves work, never changes results)
     rec = scoring.score_records(gold, preds, fx.FIXTURE_SPEC, names=fx.gold_names(spark, sf))
-    from quarry.functions.text import exact_mean
     return rec.agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
-                   *[exact_mean(F.col(c)).alias(c) for c in ("f1_overall", "f1_populated", "f1_na")])
+                   *[exact_mean(F.col(f"f1_{s}")).alias(f"f1_{s}") for s in scoring.SLICES])
 
 
 # ----------------------------------------------------------------- curation
@@ -216,21 +214,21 @@ def standard_version(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("sum_consistency")
 def sum_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    """A1-A3 against A1 + A2 + A3 within tolerance."""
+    """A1-A3 against A1 + A2 + A3 within tolerance, for every indicator reported."""
     return curation.sum_consistency(_normalised(spark, sf))
 
 
 @register("sci_notation")
 def sci_notation(spark: SparkSession, sf: str) -> DataFrame:
-    """Scientific-notation sanity classes of indicator values."""
+    """Value classes of every indicator and stage."""
     return curation.notation_classes(_normalised(spark, sf))
 
 
 # ------------------------------------------------------------------- corpus
 
 
-def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.profile(fx.doc_facts(spark, sf))
+def _profile(spark: SparkSession, sf: str, detect: bool = True) -> DataFrame:
+    return corpus.profile(fx.doc_facts(spark, sf, detect))
 
 
 @register("doc_profile")
@@ -254,13 +252,13 @@ def tier_listing(spark: SparkSession, sf: str) -> DataFrame:
 @register("gold_name_match")
 def gold_name_match(spark: SparkSession, sf: str) -> DataFrame:
     """J5 + P15: exact, else normalised, gold file-name match per document."""
-    return corpus.match_names(_profile(spark, sf), fx.audit_gold_names(spark, sf))
+    return corpus.match_names(_profile(spark, sf, detect=False), fx.audit_gold_names(spark, sf))
 
 
 @register("match_counts")
 def match_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Matched and unmatched document counts."""
-    m = corpus.match_names(_profile(spark, sf), fx.audit_gold_names(spark, sf))
+    m = corpus.match_names(_profile(spark, sf, detect=False), fx.audit_gold_names(spark, sf))
     return m.agg(F.count_if(F.col("gold_standard_match") != "").cast("bigint").alias("n_matched"),
                  F.count_if(F.col("gold_standard_match") == "").cast("bigint").alias("n_unmatched"))
 
@@ -281,7 +279,7 @@ def usable_sidecars(spark: SparkSession, sf: str) -> DataFrame:
 @register("resume_remaining")
 def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
     """Documents still to process, given those a previous run finished (incl. failures)."""
-    docs = fx.doc_facts(spark, sf)
+    docs = fx.doc_facts(spark, sf, detect=False)
     done = docs.where(F.pmod("doc_id", F.lit(4)) == 0)
     return corpus.remaining(docs.select("filename"), done)
 
@@ -289,7 +287,7 @@ def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
 @register("run_outcomes")
 def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Succeeded and failed conversions."""
-    p = _profile(spark, sf)
+    p = _profile(spark, sf, detect=False)
     return p.agg(F.count_if("docling_success").cast("bigint").alias("n_ok"),
                  F.count_if(~F.col("docling_success")).cast("bigint").alias("n_failed"))
 
@@ -374,37 +372,85 @@ def manifest_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("bucket_files")
 def bucket_files(spark: SparkSession, sf: str) -> DataFrame:
-    """S6 + S1: both buckets written as record lines and read back, bucket from the folder."""
+    """S6 + N6: both buckets written and read back: bucket from the folder, the quarantine reason from the record."""
     path = shared_dir(spark, "buckets")
-    norm = _normalised(spark, sf)
-    clean, quarantine = curation.split_buckets(norm, _manifest(spark, sf))
-    parts = []
-    for bucket, rows in (("CLEAN", clean), ("QUARANTINE", quarantine)):
-        sinks.write_records(rows, f"{path}/{bucket}")
-        parts.append(readers.read_record_lines(spark, f"{path}/{bucket}").withColumn("bucket", F.lit(bucket)))
-    both = parts[0].unionByName(parts[1])
-    return both.select("orig_index", "bucket", "file_name",
-                       parse_object(F.col("body"))[F.lit("Product Name")].alias("product"))
+    sinks.write_buckets(*curation.split_buckets(_normalised(spark, sf), _manifest(spark, sf)), path)
+    both = readers.read_buckets(spark, path)
+    m = parse_object(F.col("body"))
+    return both.select("orig_index", "bucket", "file_name", m[F.lit("Product Name")].alias("product"),
+                       m[F.lit("_quarantine_reason")].alias("quarantine_reason"))
+
+
+@register("scores_csv")
+def scores_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-record scores written as CSV (rounded there only) and read back typed."""
+    path = shared_dir(spark, "scores-csv")
+    sinks.write_scores(scoring.scores_export(_scored(spark, sf), prompts.short_model_name(F.lit("org/Fixture-1B-Instruct"))), path)
+    return readers.read_scores(spark, path)
+
+
+@register("results_json")
+def results_json(spark: SparkSession, sf: str) -> DataFrame:
+    """S10 + S11: parsed responses beside their raw texts, as JSON Lines and back."""
+    path = shared_dir(spark, "results-json")
+    r = prompts.parse_responses(_responses(spark, sf))
+    sinks.write_results(r.withColumn("file_name", fx.order_file_name(F.col("o_orderkey"))), path)
+    back = readers.read_results(spark, path, "o_orderkey bigint, file_name string, raw_text string, rule string, parsed string")
+    return back.select("o_orderkey", "file_name", "rule", F.sha2("parsed", 256).alias("parsed_sha"), F.sha2("raw_text", 256).alias("raw_sha"))
+
+
+def _written_sidecars(spark: SparkSession, sf: str) -> str:
+    """Sidecar rows of all documents, written in one folder per language."""
+    path = shared_dir(spark, "sidecars")
+    docs = fx.doc_facts(spark, sf, detect=False).join(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    sinks.write_sidecars(docs.select(
+        "filename", F.col("docling_success").alias("success"), "text", F.col("page_count").cast("int").alias("page_count"),
+        F.col("docling_seconds").alias("processing_time_s"), F.col("docling_error").alias("error"), "lang"), path, "lang")
+    return path
+
+
+@register("sidecar_files")
+def sidecar_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + S5: sidecars written as JSON Lines, and those of named languages read back."""
+    side = readers.only(readers.read_sidecars(spark, _written_sidecars(spark, sf), lines=True), "de, en", "lang")
+    return side.select("filename", "lang", "success", "page_count", "processing_time_s", F.length("text").alias("text_length"), "error")
+
+
+@register("document_listing")
+def document_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Files listed by suffix in each language's folder (contents unread), with the documents they hold."""
+    path = _written_sidecars(spark, sf)
+    listed = readers.list_documents(spark, f"{path}/lang=*", "json").select("filename", (F.col("length") > 0).alias("filled"))
+    side = readers.read_sidecars(spark, path, lines=True).select("lang", F.col("_metadata.file_name").alias("file"))
+    per_file = side.groupBy("lang", "file").agg(F.count(F.lit(1)).alias("n"))
+    names = listed.groupBy("filename").agg(F.bool_and("filled").alias("filled"))
+    met = per_file.join(names, per_file["file"] == names["filename"], "left")
+    return met.groupBy("lang").agg(F.sum("n").alias("n_documents"), F.bool_and(F.coalesce("filled", F.lit(False))).alias("listed"))
 
 
 @register("ledger_append")
 def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs appended to one ledger, rows per model and run read back."""
+    """Two runs appended to one ledger, the second one twice; committed rows per model and run read back."""
     path = shared_dir(spark, "ledger")
     a = fx.attempts(spark, sf).withColumn("model", F.col("event_type"))
-    for run in (0, 1):
+    for run in (0, 1, 1):
         rows = ledger.ledger_rows(a.where(F.pmod("event_id", F.lit(2)) == run), "model", "correct", "price", "latency")
-        sinks.append_ledger(rows.withColumn("run", F.lit(run).cast("bigint")), path)
-    return spark.read.parquet(path).select("model", "run", "n_records", "cost_usd_total")
+        sinks.append_ledger(rows, path, run_id=f"run {run}")
+    led = sinks.read_ledger(spark, path)
+    return led.withColumn("run", F.split_part("run_id", F.lit(" "), F.lit(2)).cast("bigint")).drop("run_id")
 
 
 # --------------------------------------------------------- prompts/responses
 
 
-def _fixture_fields(spark: SparkSession, sf: str) -> Column:
-    ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
-    return ff.select(prompts.field_block(ordered)).scalar()
+def _asked(spark: SparkSession, sf: str, docs: DataFrame, descriptions: Column | None = None) -> DataFrame:
+    """``docs`` with ``fields_block``: the flat fields of the gold corpus."""
+    fields = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
+    return prompts.with_field_block(docs, fields, "doc_id", descriptions)
+
+
+def _no_tables() -> Column:
+    return F.array().cast("array<struct<index:int,markdown:string>>")
 
 
 @register("flat_fields")
@@ -426,17 +472,16 @@ def _fixture_tables() -> Column:
 @register("document_prompts")
 def document_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Extraction prompt per document with its tables (length and SHA-256 of the text)."""
-    docs = fx.table(spark, sf, "documents")
-    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), _fixture_tables())
+    docs = _asked(spark, sf, fx.table(spark, sf, "documents"))
+    p = prompts.build_prompt(F.col("fields_block"), F.col("text"), _fixture_tables())
     return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
 
 
 @register("chat_messages")
 def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Chat message list per document as JSON text."""
-    docs = fx.table(spark, sf, "documents")
-    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
-    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
+    docs = _asked(spark, sf, fx.table(spark, sf, "documents").select("doc_id", "text"))
+    p = prompts.build_prompt(F.col("fields_block"), F.col("text"), _no_tables())
     return docs.select("doc_id", F.to_json(prompts.chat_messages(p)).alias("messages"))
 
 
@@ -470,9 +515,8 @@ def response_parse(spark: SparkSession, sf: str) -> DataFrame:
 @register("stub_extraction")
 def stub_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """F2 + P24: a deterministic stand-in model run over document prompts, then parsed."""
-    docs = fx.table(spark, sf, "documents")
-    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
-    p = prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables)
+    docs = _asked(spark, sf, fx.table(spark, sf, "documents").select("doc_id", "text"))
+    p = prompts.build_prompt(F.col("fields_block"), F.col("text"), _no_tables())
 
     def make_model():
         import json
@@ -690,29 +734,14 @@ def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("few_shot")
 def few_shot(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts with the texts of two example documents, never the document itself.
-
-    Examples are dealt into 16 buckets by id and each document draws from one bucket, so
-    documents see different examples. A bucket needs its first k + 1 examples only, a set
-    of bounded size whose texts are joined to every document.
-    """
-    k, buckets = 2, 16
-    good = fx.table(spark, sf, "labels").where(F.col("quality") == 1).select(
-        F.col("doc_id").alias("example_id"), F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"))
-    w = Window.partitionBy("bucket").orderBy("example_id")
-    pool = good.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)  # buckets * (k + 1) rows
-    docs = fx.table(spark, sf, "documents")
-    texts = docs.join(F.broadcast(pool), docs["doc_id"] == pool["example_id"]).select(
-        "bucket", F.struct("example_id", "text").alias("example"))
-    shown = texts.groupBy("bucket").agg(F.array_sort(F.collect_list("example")).alias("examples"))
-    d = docs.withColumn("bucket", F.pmod(F.floor(F.col("doc_id") / 7), F.lit(buckets)).cast("int"))
-    picks = F.slice(F.filter("examples", lambda e: e["example_id"] != F.col("doc_id")), 1, k)
-    asked = d.join(F.broadcast(shown), "bucket", "left").withColumn(
-        "picks", F.coalesce(picks, F.array().cast("array<struct<example_id:bigint,text:string>>")))
-    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
-    shots = F.array_join(F.transform("picks", lambda e: F.concat(F.lit("EXAMPLE DOCUMENT:\n"), e["text"], F.lit("\n\n"))), "")
-    p = F.concat(shots, prompts.build_prompt(_fixture_fields(spark, sf), F.col("text"), no_tables))
-    return asked.select("doc_id", F.array_join(F.transform("picks", lambda e: e["example_id"].cast("string")), ",").alias("example_ids"),
+    """Prompts with the texts of two example documents, never the document itself."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    good = fx.table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id").distinct()
+    picks = prompts.draw_examples(docs.select("doc_id"), docs.select("doc_id").join(good, "doc_id", "left_semi"), "doc_id", k=2)
+    shown = prompts.example_block(docs.select("doc_id"), picks, docs, "doc_id", "text")
+    asked = _asked(spark, sf, docs.join(shown, "doc_id"))
+    p = F.concat(F.col("examples"), prompts.build_prompt(F.col("fields_block"), F.col("text"), _no_tables()))
+    return asked.select("doc_id", F.array_join(F.transform("example_ids", lambda e: e.cast("string")), ",").alias("example_ids"),
                         F.length(p).cast("bigint").alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
 
 
@@ -790,12 +819,9 @@ def _gold_units(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("language_detect")
 def language_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """trigram profiles learned from even documents, applied to every document."""
-    d = fx.table(spark, sf, "documents")
-    prof = language.train_profiles(d.where(F.pmod("doc_id", F.lit(2)) == 0), "doc_id", "text", "lang")
-    det = language.detect(d, prof, "doc_id", "text")
-    return d.select(F.col("doc_id").alias("id"), "lang").join(det, "id", "left").select(
-        F.col("id").alias("doc_id"), "lang", "detected")
+    """the language of every document, by trigram profiles of all labelled ones."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return fx.language_model(spark, sf).detect(d).drop("text")
 
 
 @register("train_eval_split")
@@ -816,21 +842,28 @@ def chat_export(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select(split.alias("split"), F.to_json(F.struct("conv_id", messages.alias("messages"))).alias("line"))
 
 
+GROUP_TERMS = {"Order Status": "state of the order", "Order Priority": "priority class", "Return Flags": "list of return flags",
+               "QTY": "number of pieces", "PRICE": "price to be paid", "DISC": "what is taken from the price", "TAX": "tax for the sale"}
+
+
 @register("schema_chunked_prompts")
 def schema_chunked_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat fields split into groups of two; one prompt per document and group."""
-    ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
-    grp = F.floor((F.col("rank") - 1) / 2)
-    blocks = ff.groupBy(grp.alias("g")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field).alias("fields"))
-    block_arr = blocks.select(F.array_sort(F.collect_list(F.struct(
-        F.col("g").alias("g"), prompts.field_block(F.col("fields")).alias("block"))))).scalar()
-    docs = fx.table(spark, sf, "documents")
-    ex = docs.select("doc_id", "text", F.inline(block_arr))
-    no_tables = F.array().cast("array<struct<index:int,markdown:string>>")
-    p = prompts.build_prompt(F.col("block"), F.col("text"), no_tables)
-    return ex.select("doc_id", F.col("g").cast("bigint").alias("field_group"), F.length(p).alias("prompt_chars"),
-                     F.sha2(p, 256).alias("prompt_sha"))
+    """Fields and indicators in groups of two; one prompt per document and group over its best chunks."""
+    fields = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
+    groups = retrieval.field_groups(fields, fx.FIXTURE_SPEC.indicators, 2, GROUP_TERMS)
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    shown = retrieval.group_passages(docs, groups, "doc_id", "text")
+    p = prompts.build_group_prompt(F.col("kind"), F.col("names"), F.col("passages"), _no_tables())
+    return shown.select("doc_id", "field_group", "n_chunks", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
+
+
+@register("vector_search")
+def vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors (cosine, over all labels) of every vector whose id is divisible by 50."""
+    e = fx.table(spark, sf, "embeddings")
+    index = retrieval.build_index(e, "vec_id", "embedding")
+    asked = e.where(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    return retrieval.search(asked, index, k=5).select("query", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -841,20 +874,22 @@ FILES_PER_BATCH = 64
 
 @register("incremental_profile")
 def incremental_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1 + ST2: documents profiled as a resumable availableNow stream, then read back.
+    """ST1 + ST2: documents profiled as an availableNow stream, resumable by document, then read back.
 
     Output lands in a fresh folder under the session's shared checkpoint dir.
     """
     base = shared_dir(spark, "incremental-profile")
     schema = fx.table(spark, sf, "documents").schema.simpleString()[len("struct<"):-1].replace(":", " ")
 
+    model = fx.language_model(spark, sf)
+
     def transform(batch: DataFrame) -> DataFrame:
-        return corpus.profile(fx.doc_facts_from(batch))
+        return corpus.profile(fx.doc_facts_from(batch, model))
 
     source, glob = incremental.table_source(spark, sf, "documents.parquet")
-    incremental.process_new(spark, source, schema, f"{base}/checkpoint", f"{base}/out", transform,
-                            max_files_per_trigger=FILES_PER_BATCH, glob=glob)
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    incremental.process_documents(spark, source, schema, f"{base}/checkpoint", f"{base}/out", transform,
+                                  fx.doc_file_name(F.col("doc_id")), "filename", max_files_per_trigger=FILES_PER_BATCH, glob=glob)
+    return incremental.read_documents(spark, f"{base}/out")
 
 
 # ------------------------------------------------------------ more D rows
@@ -885,12 +920,9 @@ FIELD_DESCRIPTIONS = {"Order Status": "single-letter order state", "Order Priori
 def described_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts whose field lines carry a description from a small field dimension."""
     import json as _json
-    ff = prompts.flat_fields(fx.gold_records(spark, sf), indicators=fx.FIXTURE_SPEC.indicators)
     desc = F.from_json(F.lit(_json.dumps(FIELD_DESCRIPTIONS)), "map<string,string>")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "field"))), lambda x: x.field)
-    block = ff.select(prompts.field_block(ordered, desc)).scalar()
-    docs = fx.table(spark, sf, "documents")
-    p = prompts.build_prompt(block, F.col("text"), F.array().cast("array<struct<index:int,markdown:string>>"))
+    docs = _asked(spark, sf, fx.table(spark, sf, "documents").select("doc_id", "text"), desc)
+    p = prompts.build_prompt(F.col("fields_block"), F.col("text"), _no_tables())
     return docs.select("doc_id", F.length(p).alias("prompt_chars"), F.sha2(p, 256).alias("prompt_sha"))
 
 

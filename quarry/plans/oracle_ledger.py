@@ -104,7 +104,9 @@ SELECT user_id, CAST(sum(latency) AS DOUBLE) AS total,
        CAST(sum(latency) - coalesce(sum(CASE WHEN event_type = 'view' THEN latency END), 0) AS DOUBLE) AS net
 FROM a GROUP BY user_id""",
     "ledger_append": "WITH " + ATTEMPTS + """
-SELECT event_type AS model, event_id % 2 AS run, CAST(count(*) AS BIGINT) AS n_records, CAST(sum(price) AS DOUBLE) AS cost_usd_total
+SELECT event_type AS model, CAST(event_id % 2 AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS n_records, avg(CAST(correct AS DOUBLE)) AS quality,
+       CAST(sum(price) AS DOUBLE) AS cost_usd_total, CAST(sum(price) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS cost_usd_per_record,
+       CAST(sum(latency) AS DOUBLE) AS latency_s_total, CAST(sum(latency) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS latency_s_per_record
 FROM a GROUP BY event_type, event_id % 2""",
     "run_ledger": "WITH " + ATTEMPTS + """
 SELECT lower(upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || '-7B') || '-zero-shot' AS model,

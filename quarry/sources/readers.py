@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.records import parse_object
+from quarry.functions.text import file_stem
 
 SIDECAR_SCHEMA = ("filename string, success boolean, text string, "
                   "tables array<struct<index:int,markdown:string>>, page_count int, "
@@ -18,6 +19,8 @@ AUDIT_SCHEMA = ("filename string, page_count int, text_length int, chars_per_pag
                 "native_vs_scanned string, tagged boolean, language string, docling_success boolean, "
                 "table_count int, docling_table_text_len int, docling_text_len int, docling_seconds double, "
                 "complexity_tier string, gold_standard_match string, pymupdf_error string, docling_error string")
+SCORES_SCHEMA = ("model string, file_name string, orig_index bigint, f1_overall double, f1_populated double, f1_na double, "
+                 "f1_metadata double, f1_lca double, schema_valid boolean")
 MANIFEST_SCHEMA = "orig_idx int, bucket string, file_name string, product_name string, gwp_a1a3 string, notes string"
 
 
@@ -63,10 +66,31 @@ def _numbered_lines(spark: SparkSession, path: str, key: str, name: str) -> Data
     return _with_name(recs).select(name, "file_name", "body")
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file; ``stem`` is the file name without ``.json``."""
-    df = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", True).json(path)
-    return df.withColumn("stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """Records of both buckets as ``sinks.write_buckets`` wrote them: orig_index, bucket, file_name, body."""
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    number = parse_object(F.col("value"))[F.lit("_orig_index")].try_cast("bigint")
+    return _with_name(raw.select(number.alias("orig_index"), "bucket", F.col("value").alias("body")))
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Per-record scores CSV with typed columns."""
+    return spark.read.schema(SCORES_SCHEMA).option("header", True).csv(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Per-document results as JSON Lines, schema declared."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One JSON document per file (``lines``: per line, the scalable form); ``stem`` is the name without its suffix.
+
+    The stem is that of the file, with ``lines`` that of the sidecar's own ``filename``.
+    """
+    df = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", not lines).json(path)
+    stem = file_stem(F.col("filename")) if lines else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    return df.withColumn("stem", stem)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -154,3 +154,43 @@ def test_readme_usage_example(spark, scratch):
     assert got["b.pdf"].f1_overall == 0.0 and not got["b.pdf"].has_prediction
     summary = scoring.summary_row(records, "m", 0.0, 812.0).first()
     assert summary.f1_overall == 0.5 and summary.latency_s_per_record == 406.0
+
+
+def test_a_run_written_twice_has_one_row(spark, scratch):
+    path = os.path.join(scratch, "ledger")
+    one = spark.createDataFrame([("m", 1)], "model string, n_records int")
+    two = spark.createDataFrame([("m", 2)], "model string, n_records int")
+    W.append_ledger(one, path, "run/a b")
+    W.append_ledger(one, path, "run/a b")
+    W.append_ledger(two, path, "other")
+    led = W.read_ledger(spark, path)
+    assert sorted((r.run_id, r.model, r.n_records) for r in led.collect()) == [("other", "m", 2), ("run/a b", "m", 1)]
+    W.append_ledger(two, path, "run/a b")  # corrected rows replace those of the run
+    assert {(r.run_id, r.n_records) for r in W.read_ledger(spark, path).collect()} == {("other", 2), ("run/a b", 2)}
+
+
+def test_a_run_that_died_before_its_commit_is_not_shown(spark, scratch):
+    path = os.path.join(scratch, "ledger")
+    row = spark.createDataFrame([("m", 1)], "model string, n_records int")
+    W.append_ledger(row, path, "good")
+    row.write.parquet(f"{path}/run_id=dead/attempt=1")  # rows without a commit record
+    assert [r.run_id for r in W.read_ledger(spark, path).collect()] == ["good"]
+
+
+def test_buckets_keep_the_quarantine_reason(spark, scratch):
+    from quarry.functions.records import parse_object
+    schema = "orig_index bigint, file_name string, body string"
+    clean = spark.createDataFrame([(0, "a.pdf", '{"_orig_index":0,"file_name":"a.pdf"}')], schema)
+    bad = spark.createDataFrame([(1, "b.pdf", '{"_orig_index":1,"file_name":"b.pdf","_quarantine_reason":"EMPTY: \\"x\\""}')], schema)
+    W.write_buckets(clean, bad, os.path.join(scratch, "b"))
+    back = R.read_buckets(spark, os.path.join(scratch, "b")).withColumn("why", parse_object(F.col("body"))["_quarantine_reason"])
+    assert sorted((r.orig_index, r.bucket, r.file_name, r.why) for r in back.collect()) == [
+        (0, "CLEAN", "a.pdf", None), (1, "QUARANTINE", "b.pdf", 'EMPTY: "x"')]
+
+
+def test_sidecar_lines_round_trip(spark, scratch):
+    rows = spark.createDataFrame([("a.pdf", True, "t\nx", 1, 0.5, "", "de"), ("b.pdf", False, "", 0, 1.5, "bad", "en")],
+                                 "filename string, success boolean, text string, page_count int, processing_time_s double, error string, lang string")
+    W.write_sidecars(rows, os.path.join(scratch, "s"), "lang")
+    back = R.read_sidecars(spark, os.path.join(scratch, "s"), lines=True)
+    assert sorted((r.stem, r.success, r.text, r.lang) for r in back.collect()) == [("a", True, "t\nx", "de"), ("b", False, "", "en")]
