@@ -49,3 +49,53 @@ def parse_object(c: Column) -> Column:
 def parse_array(c: Column) -> Column:
     """JSON array text -> array<string>, null when ``c`` is not an array."""
     return F.when(c.rlike(r"^\s*\["), F.from_json(c, "array<string>"))
+
+
+# ------------------------------------------------------------ typed values
+
+# A member's text does not tell a JSON number or boolean from a string that looks like one.
+# Where that matters the body is parsed once more, into VARIANT, which keeps the types.
+LOOKS_TYPED = r"^-?\d+[.eE][\d.eE+-]*$|^(true|false)$"
+LOOKS_FALSY = r"^-?0+(\.0*)?([eE][+-]?\d+)?$|^false$|^\s*\{\s*\}\s*$"
+
+
+def typed_member(body: Column, key: Column) -> Column:
+    """The member of a JSON object as VARIANT; null where there is none, or the body repeats a key."""
+    return F.try_parse_json(body).try_cast("map<string,variant>")[key]
+
+
+def float_text(d: Column) -> Column:
+    """Python's ``str()`` of a float: its digits as the JVM prints them (the shortest ones, but for some
+    values of 17 digits), an exponent below 1e-4 and from 1e16 on."""
+    def place(parts: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(F.concat(parts.whole, parts.frac), "^0+(?=.)", ""), "(?<=.)0+$", "")
+        led = F.length(F.regexp_extract(F.concat(parts.whole, parts.frac), "^0*", 0))  # leading zeros
+        exp = F.length(parts.whole) - 1 - led + F.coalesce(parts.exp, F.lit(0))
+        return bind(F.struct(digits.alias("d"), exp.alias("e"), parts.sign.alias("sign")), write)
+
+    def write(x: Column) -> Column:
+        n = F.length(x.d)
+        plain = (F.when(x.e >= n - 1, F.concat(x.d, F.repeat(F.lit("0"), x.e - n + 1), F.lit(".0")))
+                 .when(x.e >= 0, F.concat(F.substr(x.d, F.lit(1), x.e + 1), F.lit("."), F.substr(x.d, x.e + 2)))
+                 .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -x.e - 1), x.d)))
+        power = F.concat(F.when(x.e < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                         F.when(F.abs(x.e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(x.e).cast("string"))
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substr(x.d, F.lit(2)))).otherwise(F.lit(""))
+        short = F.concat(F.substr(x.d, F.lit(1), F.lit(1)), tail, power)
+        return F.concat(x.sign, F.when(x.d == "0", F.lit("0.0")).when((x.e >= -4) & (x.e < 16), plain).otherwise(short))
+
+    text = d.cast("string")
+    parts = F.struct(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"),
+                     F.regexp_extract(text, r"^-?(\d+)", 1).alias("whole"), F.regexp_extract(text, r"\.(\d+)", 1).alias("frac"),
+                     F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int").alias("exp"))
+    return (F.when(F.isnan(d), F.lit("nan")).when(d == float("inf"), F.lit("inf")).when(d == float("-inf"), F.lit("-inf"))
+            .otherwise(bind(parts, place)))
+
+
+def python_text(value: Column, text: Column) -> Column:
+    """Python's ``str()`` of a JSON scalar given as VARIANT; ``text`` for strings, nested values and null."""
+    kind = F.schema_of_variant(value)
+    number = value.try_cast("double")
+    return (F.when(kind == "BOOLEAN", F.initcap(value.cast("string")))
+            .when((kind == "DOUBLE") | (kind.startswith("DECIMAL") & text.rlike("[.eE]")), float_text(number))
+            .otherwise(text))

@@ -22,7 +22,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.records import empty_map, parse_array, parse_object
+from quarry.functions.records import (
+    LOOKS_FALSY,
+    LOOKS_TYPED,
+    empty_map,
+    parse_array,
+    parse_object,
+    python_text,
+    typed_member,
+)
 from quarry.functions.skew import materialise, salted_join, sorted_rows
 from quarry.functions.text import (
     MISSING_MARKER,
@@ -196,11 +204,29 @@ def _lookup(m: Column, key: Column) -> Column:
     return F.when(F.map_contains_key(m, key), F.coalesce(m[key], F.lit(NONE_MARKER))).otherwise(F.lit(MISSING_MARKER))
 
 
-def raw_leaves(gold_map: Column, pred_map: Column, spec: ScoringSpec = ScoringSpec()) -> Column:
+def _shown(text: Column, body: Column | None, key: Column) -> Column:
+    """A flat member as Python's ``str()`` shows it: JSON numbers and booleans by their type, where ``body`` is given."""
+    if body is None:
+        return text
+    return F.when(text.rlike(LOOKS_TYPED), python_text(typed_member(body, key), text)).otherwise(text)
+
+
+def _list_text(text: Column, body: Column | None, key: Column) -> Column:
+    """A predicted list member: what only looks like 0, false or {} is told apart by its type ("" is falsy)."""
+    if body is None:
+        return text
+    is_text = F.schema_of_variant(typed_member(body, key)) == "STRING"
+    return (F.when(text.rlike(LOOKS_FALSY), F.when(is_text, F.to_json(F.array(text))).otherwise(F.lit("")))
+            .when(text.rlike(LOOKS_TYPED), _shown(text, body, key)).otherwise(text))
+
+
+def raw_leaves(gold_map: Column, pred_map: Column, spec: ScoringSpec = ScoringSpec(), gold_body: Column | None = None,
+               pred_body: Column | None = None) -> Column:
     """N1 + P7-P9: gold-driven leaf texts (``field``, ``category``, gold, predicted).
 
     Each indicator's gold and predicted objects are parsed once (bound
-    through a one-element array), never once per stage.
+    through a one-element array), never once per stage. With the bodies, flat values whose
+    text could be a number or a boolean are shown by their JSON type.
     """
     empty = F.array().cast(f"array<{RAW_LEAF}>")
     skip_stages = list(spec.skip_stages)
@@ -222,11 +248,11 @@ def raw_leaves(gold_map: Column, pred_map: Column, spec: ScoringSpec = ScoringSp
         present = F.map_contains_key(pred_map, e.key)
         shown = F.when(present, F.coalesce(pred_map[e.key], F.lit(NONE_MARKER))).otherwise(F.lit("[]"))
         return F.array(_raw(e.key, "list", F.coalesce(e.value, F.lit(NONE_MARKER)), shown,
-                            e.value, pred_map[e.key], present))
+                            e.value, _list_text(pred_map[e.key], pred_body, e.key), present))
 
     def metadata(e: Column) -> Column:
-        return F.array(_raw(e.key, "metadata", F.coalesce(e.value, F.lit(NONE_MARKER)),
-                            _lookup(pred_map, e.key)))
+        return F.array(_raw(e.key, "metadata", F.coalesce(_shown(e.value, gold_body, e.key), F.lit(NONE_MARKER)),
+                            _shown(_lookup(pred_map, e.key), pred_body, e.key)))
 
     entries = F.filter(F.map_entries(gold_map), lambda e: ~e.key.isin(list(spec.skip_fields)))
     per_entry = F.transform(
@@ -282,9 +308,9 @@ def _paired_maps(paired: DataFrame, spec: ScoringSpec) -> DataFrame:
     return paired.select(
         "orig_index", "file_name", "salt", "has_prediction",
         parse_object(F.col("gold_body")).alias("gm"),
-        F.coalesce(parse_object(F.col("pred_body")), empty_map()).alias("pm"),
+        F.coalesce(parse_object(F.col("pred_body")), empty_map()).alias("pm"), "gold_body", "pred_body",
     ).select("orig_index", "file_name", "salt", "has_prediction",
-             schema_valid(F.col("pm"), spec).alias("schema_valid"), "gm", "pm")
+             schema_valid(F.col("pm"), spec).alias("schema_valid"), "gm", "pm", "gold_body", "pred_body")
 
 
 def typed_leaves(raw: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame:
@@ -318,7 +344,7 @@ def typed_leaves(raw: DataFrame, spec: ScoringSpec = ScoringSpec()) -> DataFrame
 def _leaf_rows(gold: DataFrame, preds: DataFrame, spec: ScoringSpec, names: DataFrame | None = None) -> DataFrame:
     maps = _paired_maps(pair_records(gold, preds, names=names), spec)
     raw = maps.select("orig_index", "file_name", "salt", "has_prediction", "schema_valid",
-                      F.inline_outer(raw_leaves(F.col("gm"), F.col("pm"), spec)))
+                      F.inline_outer(raw_leaves(F.col("gm"), F.col("pm"), spec, F.col("gold_body"), F.col("pred_body"))))
     return typed_leaves(raw, spec)
 
 
