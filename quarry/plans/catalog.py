@@ -799,13 +799,14 @@ def unit_outliers(spark: SparkSession, sf: str) -> DataFrame:
     values = F.collect_list(F.when(F.col("category") == "lca_numeric", parse_numeric(F.col("gold_value")))).alias("xs")
     # one row per record and indicator (its stages are a handful), then one per value
     nums = materialise(lv.groupBy("orig_index", "indicator").agg(units, values)
-                       .select("indicator", "unit", F.explode("xs").alias("x")), "unit-values")
-    by = ["indicator", "unit"]
-    med = exact_quantiles(nums, by, "x", [0.5]).select(*by, F.col("q0").alias("median"))
-    med = materialise(med, "unit-medians")  # one row per indicator and unit
-    dev = materialise(nums.join(med, by).withColumn("d", F.abs(F.col("x") - F.col("median"))), "unit-deviations")
-    mad = exact_quantiles(dev, by, "d", [0.5]).select(*by, F.col("q0").alias("mad"))
-    flagged = dev.join(mad, by).groupBy(*by, "median", "mad").agg(
+                       .select("orig_index", "indicator", "unit", F.posexplode("xs").alias("pos", "x")), "unit-values")
+    by, spread = ["indicator", "unit"], [F.col("orig_index"), F.col("pos")]
+    med = exact_quantiles(nums, by, "x", [0.5]).select(*by, "n", F.col("q0").alias("median"))
+    med = materialise(med, "unit-medians")  # one row per indicator and unit, each with its number of values
+    total = med.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dev = materialise(salted_join(nums, med, by, spread, "n", total).withColumn("d", F.abs(F.col("x") - F.col("median"))), "unit-deviations")
+    mad = materialise(exact_quantiles(dev, by, "d", [0.5]).select(*by, F.col("n").alias("_n"), F.col("q0").alias("mad")), "unit-mads")
+    flagged = salted_join(dev, mad, by, spread, "_n", total).groupBy(*by, "median", "mad").agg(
         F.count_if(F.col("d") > F.lit(5.0) * F.col("mad")).cast("bigint").alias("n_outliers"))
     return flagged.select(*by, "median", "mad", "n_outliers")
 
