@@ -264,16 +264,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     wanted = materialise(wanted, "near-wanted")
     rows = _rows(docs, id_col, text_col)
     some = maybe_in(rows, "doc_id", materialise(key_bitmap(wanted, "doc_id"), "near-wanted-bitmap"))
-    sets = materialise(shingle_sets(some.join(wanted, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "near-sets")
+    sets = materialise(shingle_sets(some.join(wanted, "doc_id", "left_semi"), k)
+                       .groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "near-sets")  # of a repeated id the least set
 
     union = F.col("nx") + F.col("np_") - F.col("shared")
     checked = materialise(verify(pairs, sets).withColumn("linked", _is_link(F.col("shared"), union, percent))
                           .withColumn("d", 1 - F.col("shared") / union), "near-checked")
     # rows that repeat an id may stand in several classes
-    doubled = (classes.join(full.select("hi", "lo", "doc_id").distinct(), ["hi", "lo"])
-               .where("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
-    repeats = full.groupBy("doc_id").agg(F.count_distinct("hi", "lo").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("v"))
-    extra = materialise(doubled.join(repeats, "v"), "near-repeated-ids")
+    key = F.xxhash64("hi", "lo")
+    repeats = full.groupBy("doc_id").agg(F.min(key).alias("_least"), F.max(key).alias("_most")).where("_least <> _most").select("doc_id")
+    extra = materialise(full.join(repeats, "doc_id").select("hi", "lo", F.col("doc_id").alias("v")).distinct()
+                        .join(classes.select("hi", "lo", F.col("rep").alias("u")), ["hi", "lo"])
+                        .where("u <> v").select("u", "v"), "near-repeated-ids")
     edges = checked.where("linked").select(F.col("x").alias("u"), F.col("p").alias("v")).unionByName(extra)
     first = components(edges)
     comp = first.select(F.col("node").alias("x"), "comp")
