@@ -197,7 +197,7 @@ def place_pieces(pieces: DataFrame, capacity: int, grain: int = 8, bucket_rows:
     n = pieces.count()
     buckets = max(16, -(-n // bucket_rows))
     dealt = (pieces.withColumn("_size", size)
-             .withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")))
+             .withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")))
     counts = materialise(dealt.groupBy("_size", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "pack-counts")
     histogram = {r["_size"]: r["n"] for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect()}
     if not histogram:
