@@ -9,7 +9,7 @@ theta_3, and the expected severity is the sum of these probabilities.
 
 The model is fitted on a bounded sample of labelled rows, ``SAMPLE_TOXIC`` toxic and
 ``SAMPLE_CLEAN`` others, taken by the hash of their ids; thresholds are corrected for the
-share of toxic rows among all labels. At most ``MAX_FEATURES`` features enter. Scoring reads
+share of toxic rows among all labels. All such features enter (their number is bounded by the sample). Scoring reads
 every document whole and needs no shuffle.
 
 Defined cases: null or blank texts have no features and get the base severity; labels with null
@@ -37,7 +37,6 @@ from quarry.llm.pieces import known_values, objects, split_column
 from quarry.llm.skew import materialise, text_batches, worker_cache
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
-MAX_FEATURES = 4_096
 GRADES = 3
 KNOWN_TOKENS = 100_000
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -106,10 +105,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE
     picked = (known.where("toxic > 0").orderBy(order, "doc_id").limit(toxic_rows)
               .unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(clean_rows)))
     picked = materialise(picked, "toxic-picked")  # at most toxic_rows + clean_rows rows
-    return materialise(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample"), share
+    return materialise(docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxic-sample"), share  # of a repeated id the least text
 
 
-def select_features(sample: DataFrame, limit: int = MAX_FEATURES, least: int = 3, z: float = 3.0) -> list[int]:
+def select_features(sample: DataFrame, least: int = 3, z: float = 3.0) -> list[int]:
     """Features more frequent in toxic texts: at least ``least`` of them, two-proportion z above ``z``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES, least: int = 3
     score = (p1 - p0) / F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + F.lit(1e-12))
     # a marker is also several times as frequent, not just significantly so
     top = (counts.withColumn("z", score).where((F.col("z") > z) & (p1 > 10 * p0))
-           .orderBy(F.desc("z"), "feature").limit(limit))
+           .orderBy(F.desc("z"), "feature"))
     return [r["feature"] for r in top.select("feature").collect()]
 
 
