@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.skew import materialise
+from quarry.llm.skew import key_bitmap, materialise, maybe_in, salted_join
 
 BAD = "label=bad"
 
@@ -102,21 +102,22 @@ def _most_general(rules: DataFrame) -> DataFrame:
     return rules.join(beaten, "items", "left_anti")
 
 
-def match_rules(pages: DataFrame, rules: DataFrame, tokens: DataFrame, salts: int = 64) -> DataFrame:
+def match_rules(pages: DataFrame, rules: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows of ``pages`` (_row, tokens) that some rule fits, as (_row, rule ids).
 
     ``tokens`` (token, n) holds how many URLs have each token. A rule stands in the index once,
-    under its rarest token; index entries are repeated per salt, so a token that a third of all
-    URLs share meets its rules in ``salts`` parts.
+    under its rarest token. Only tokens with an entry are looked up, and one that very many
+    URLs hold meets its entry over salts.
     """
-    filed = (rules.select("rule_id", "items", F.explode("items").alias("token")).join(tokens, "token")
-             .groupBy("rule_id", "items").agg(F.min(F.struct("n", "token")).alias("at"))
-             .select("rule_id", "items", F.col("at.token").alias("token"),
-                     F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")))
-    held = pages.select("_row", "tokens", F.explode("tokens").alias("token")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
-    return (held.join(filed, ["token", "_salt"]).where(F.size(F.array_except("items", "tokens")) == 0)
-            .select("_row", "rule_id"))
+    entries = (rules.select("rule_id", "items", F.explode("items").alias("token")).join(tokens, "token")
+               .groupBy("rule_id", "items").agg(F.min(F.struct("n", "token")).alias("at")))
+    filed = materialise(entries.groupBy(F.col("at.token").alias("token"), F.col("at.n").alias("n"))
+                        .agg(F.collect_list(F.struct("rule_id", "items")).alias("_rules")), "url-rule-index")
+    total = filed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bitmap = materialise(key_bitmap(filed, "token"), "url-rule-tokens")
+    held = maybe_in(pages.select("_row", "tokens", F.explode("tokens").alias("token")), "token", bitmap)
+    met = salted_join(held, filed, ["token"], [F.col("_row")], "n", total).select("_row", "tokens", F.inline("_rules"))
+    return met.where(F.size(F.array_except("items", "tokens")) == 0).select("_row", "rule_id")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -142,7 +143,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
             .groupBy(F.col("_row").alias("_url")).agg(F.max(F.struct("confidence", "rule_id")).alias("best"),
                                                        F.lit(1).alias("_one")))
     rule, verdict = base_rule(F.col("host"), F.col("path"))
-    found = named.join(hits, "_url", "left")
+    # a common URL meets its rule over salts; pages without a URL go round the join
+    judged = materialise(urls.where("_url is not null").select("_url", "n").join(hits.select("_url", "best"), "_url", "left"), "url-best")
+    found = salted_join(named.where("_url is not null"), judged, ["_url"], [F.col("_id")], "n",
+                        judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).drop("n")
+    none = judged.schema["best"].dataType
+    found = found.unionByName(named.where("_url is null").withColumn("best", F.lit(None).cast(none)))
     return found.select(
         F.col("_id").alias(id_col), "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
