@@ -85,8 +85,9 @@ def _accepted_spans(per_doc: DataFrame, chains: Sequence[Sequence[CascadeConfig]
     ``p<t>`` and ``in<t>`` are a tier's confidence, correctness, price, and whether it was tried.
     """
     money, zero = "decimal(20,4)", F.lit(0).cast("decimal(20,4)")
-    below = [F.when(F.col(f"in{t}"), sum((F.col(f"c{t}") > F.lit(float(c.thresholds[k]))).cast("int") for c in chain))
-             .otherwise(F.lit(0)).alias(f"b{i}_{k}") for i, chain in enumerate(chains) for k, t in enumerate(chain[0].order)]
+    # one SQL text per tier and chain: numbers and column names only
+    below = [F.expr(f"if(in{t}, " + " + ".join(f"int(c{t} > {float(c.thresholds[k])!r}D)" for c in chain) + f", 0) as b{i}_{k}")
+             for i, chain in enumerate(chains) for k, t in enumerate(chain[0].order)]
     staged = per_doc.select("*", *below)
     events = []
     for i, chain in enumerate(chains):

@@ -208,7 +208,7 @@ def _shown(text: Column, body: Column | None, key: Column) -> Column:
     """A flat member as Python's ``str()`` shows it: JSON numbers and booleans by their type, where ``body`` is given."""
     if body is None:
         return text
-    return F.when(text.rlike(LOOKS_TYPED), python_text(typed_member(body, key), text)).otherwise(text)
+    return bind(text, lambda t: F.when(t.rlike(LOOKS_TYPED), python_text(typed_member(body, key), t)).otherwise(t))
 
 
 def _list_text(text: Column, body: Column | None, key: Column) -> Column:
