@@ -96,31 +96,55 @@ FROM sets s LEFT JOIN least_one ON node = s.doc_id
 """
 
 OP5 = """
-WITH cut AS (
-  SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS place
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?]*|[.!?\\n]') AS u FROM documents)),
+WITH lines AS (
+  SELECT doc_id, line, t, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(t) - 1)::BIGINT AS pos
+  FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+cut AS (
+  SELECT doc_id, line, pos, unnest(u) AS unit, generate_subscripts(u, 1) AS k
+  FROM (SELECT *, regexp_extract_all(t, '[^.!?]+[.!?]*|[.!?]') AS u FROM lines)),
 placed AS (
-  SELECT *, (sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place))::BIGINT AS stop,
+  SELECT *, (pos + sum(length(unit)) OVER (PARTITION BY doc_id, line ORDER BY k))::BIGINT AS stop,
          regexp_extract_all(lower(unit), '\\S+') AS w FROM cut),
+sentences AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS place, stop - length(unit) AS start, stop,
+         len(w) AS words, array_to_string(w, ' ') AS norm, count(*) OVER (PARTITION BY doc_id, line) AS n
+  FROM placed WHERE len(w) > 1 OR (len(w) = 1 AND w[1] NOT IN ('.', '!', '?', '.!', '!?', '.!?'))),
+paragraphs AS (
+  SELECT doc_id, line, pos AS start, pos + length(t) AS stop, len(w) AS words, array_to_string(w, ' ') AS norm
+  FROM (SELECT *, regexp_extract_all(lower(t), '\\S+') AS w FROM lines)),
 units AS (
-  SELECT doc_id, stop - length(unit) AS start, stop, len(w) AS words, array_to_string(w, ' ') AS norm
-  FROM placed WHERE len(w) > 1 OR (len(w) = 1 AND w[1] NOT IN ('.', '!', '?'))),
+  SELECT s.doc_id, s.line, s.place, CASE WHEN alone THEN p_start ELSE s.start END AS start,
+         CASE WHEN alone THEN p_stop ELSE s.stop END AS stop, s.words, s.norm, alone AS whole
+  FROM (SELECT s.*, p.start AS p_start, p.stop AS p_stop, n = 1 AND s.norm = p.norm AS alone
+        FROM sentences s JOIN paragraphs p USING (doc_id, line)) s
+  UNION ALL
+  SELECT doc_id, line, 0, start, stop, words, norm, true FROM paragraphs p
+  WHERE EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = p.doc_id AND s.line = p.line AND (s.n > 1 OR s.norm <> p.norm))),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS r FROM units),
 repeats AS (
-  SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY doc_id ORDER BY start) <= 1 THEN 0 ELSE 1 END AS fresh
-  FROM ranked WHERE r > 1),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM repeats),
-weighed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM runs),
+  SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) <= 1 THEN 0 ELSE 1 END AS fresh
+  FROM ranked WHERE r > 1 AND place > 0),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM repeats),
+weighed AS (SELECT *, sum(stop - start) OVER (PARTITION BY doc_id, run) AS chars FROM runs),
+lost AS (
+  SELECT doc_id, start, stop, words FROM ranked WHERE r > 1 AND place = 0
+  UNION ALL
+  SELECT doc_id, start, stop, words FROM weighed w WHERE (whole OR chars >= 150)
+    AND NOT EXISTS (SELECT 1 FROM ranked p WHERE p.r > 1 AND p.place = 0 AND p.doc_id = w.doc_id AND p.line = w.line)),
 gone AS (
-  SELECT doc_id, count(*) AS n, sum(words)::BIGINT AS words, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans
-  FROM weighed WHERE run_words >= 30 GROUP BY doc_id),
-lost AS (SELECT doc_id, start, stop FROM weighed WHERE run_words >= 30),
-stays AS (
-  SELECT p.doc_id, string_agg(p.unit, '' ORDER BY p.place) AS t FROM placed p
-  LEFT JOIN lost l ON l.doc_id = p.doc_id AND l.stop = p.stop WHERE l.doc_id IS NULL GROUP BY p.doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_removed, coalesce(words, 0) AS removed_words, coalesce(spans, '') AS spans,
-       length(coalesce(t, ''))::BIGINT AS kept_chars, sha256(coalesce(t, '')) AS kept_sha256
-FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN stays USING (doc_id)
+  SELECT doc_id, count(*) AS n, sum(words)::BIGINT AS words, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans,
+         max(stop) AS last FROM lost GROUP BY doc_id),
+gaps AS (
+  SELECT l.doc_id, string_agg(substr(text, before + 1, start - before), '' ORDER BY start) AS t
+  FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM lost) l
+  JOIN documents d ON d.doc_id = l.doc_id GROUP BY l.doc_id),
+done AS (
+  SELECT d.doc_id, n, words, spans, coalesce(CASE WHEN last IS NULL THEN text ELSE t || substr(text, last + 1) END, '') AS kept
+  FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN gaps USING (doc_id))
+SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(words, 0) AS removed_words, coalesce(spans, '') AS spans,
+       length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256
+FROM done
 """
 
 OP9 = f"""

@@ -64,8 +64,9 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 1 << 26, in
     byte = F.conv(F.hex(F.substr("_bitmap", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     found = byte.bitwiseAND(F.pow(F.lit(2), spot % 8).cast("int")) != 0
     keep = F.coalesce(~found, F.lit(True)) if invert else found
-    return (df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
-            .where(keep).drop("_bucket", "_bitmap"))
+    named = bitmap.withColumnRenamed("_bucket", "_bitmap_bucket")
+    return (df.withColumn("_bitmap_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(named), "_bitmap_bucket", "left")
+            .where(keep).drop("_bitmap_bucket", "_bitmap"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

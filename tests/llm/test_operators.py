@@ -291,7 +291,8 @@ def test_run_goes_over_blank_lines(spark, between):
     rows = [(1, passage), (2, f"Own words.{between}{passage}{between}Other words."),
             (3, between.join([paragraphs[0], "Words in between.", paragraphs[1]]))]
     out = {r["doc_id"]: r for r in unit_dedup.remove_repeats(docs(spark, rows)).collect()}
-    assert {i: r["n_removed"] for i, r in out.items()} == {1: 0, 2: 3, 3: 0}
+    assert {i: r["n_removed"] for i, r in out.items()} == {1: 0, 2: 3, 3: 2}  # repeated paragraphs, however short
+    assert out[3]["text"].split() == f"{between}Words in between.{between}".split()
     assert out[2]["removed_words"] == 75 and out[2]["text"].split() == f"Own words.{between * 4}Other words.".split()
 
 
@@ -299,10 +300,58 @@ def test_repeats_odd_rows(spark):
     long = "One two three four five six seven eight nine ten. " * 1 + "Eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. Twenty-one two three four five six seven eight nine thirty."
     rows = [(None, long), (1, long), (2, long), (2, long)]
     got = sorted(((r["doc_id"], r["n_removed"]) for r in unit_dedup.repeat_report(docs(spark, rows)).collect()), key=str)
-    assert got == [(1, 0), (2, 3), (2, 3), (None, 3)]
+    assert got == [(1, 0), (2, 1), (2, 1), (None, 1)]  # one whole line of three sentences
     assert unit_dedup.repeat_report(docs(spark, [])).count() == 0
 
 
+def test_short_paragraphs_and_texts_without_blanks(spark):
+    paragraph = " ".join(f"word{k}" for k in range(25)) + "."
+    chinese = "这是一个没有空格的句子" * 3
+    rows = [(1, f"First own.\n{paragraph}"), (2, f"{paragraph}\nSecond own."), (3, f"Third own.\n\n{paragraph.upper()}  \nTail."),
+            (4, chinese + "\n自己的"), (5, "开头\n" + chinese), (6, "Same line"), (7, "same  LINE"), (8, "Same line and more"), (9, "!!!\n...\n")]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in unit_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got[2] == (1, "\nSecond own.") and got[3] == (1, "Third own.\n\n\nTail.") and got[5] == (1, "开头\n") and got[7] == (1, "")
+    assert all(got[k] == (0, dict(rows)[k]) for k in (1, 4, 6, 8, 9))
+
+
+def test_columns_named_like_the_added_ones_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a line", "x", 5, "b"), (2, "a line", "y", 6, "c")], "doc_id long, text string, spans string, n_removed int, _bucket string")
+    out = unit_dedup.remove_repeats(df)
+    assert sorted(out.columns) == ["_bucket", "doc_id", "n_removed", "removed_words", "spans", "text"]
+    assert {(r["doc_id"], r["n_removed"], r["_bucket"]) for r in out.collect()} == {(1, 0, "b"), (2, 1, "c")}
+
+
+def _brute_repeats(rows, min_chars=150):
+    """{doc: ordered spans} by plain loops over ``text_units``."""
+    units = [(norm, doc, start, line, place, end, whole) for doc, text in rows
+             for norm, line, place, start, end, _, whole in unit_dedup.text_units(text)]
+    first = {}
+    for norm, doc, start, *_ in units:
+        first[norm] = min(first.get(norm, (doc, start)), (doc, start))
+    out = {}
+    for doc, _ in rows:
+        later = [u for u in units if u[1] == doc and first[u[0]] != (doc, u[2])]
+        lines = [u for u in later if u[4] < 0]
+        runs = []
+        for u in sorted((u for u in later if u[4] >= 0), key=lambda u: u[4]):
+            if runs and u[4] - runs[-1][-1][4] == 1:
+                runs[-1].append(u)
+            else:
+                runs.append([u])
+        covered = {u[3] for u in lines}
+        kept = [u for run in runs for u in run if u[3] not in covered and (u[6] or sum(x[5] - x[2] for x in run) >= min_chars)]
+        out[doc] = sorted((u[2], u[5]) for u in lines + kept)
+    return out
+
+
+def test_removed_spans_equal_plain_loops(spark):
+    rng = random.Random(12)
+    sentences = [" ".join(rng.choices("one two three four five six seven".split(), k=rng.randint(1, 9))) + rng.choice([".", "!", ""]) for _ in range(25)]
+    rows = [(d, "\n".join(" ".join(rng.choices(sentences, k=rng.randint(0, 4))) for _ in range(rng.randint(1, 6)))) for d in range(60)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] or []] for r in unit_dedup.remove_repeats(docs(spark, rows), min_chars=60).collect()}
+    assert got == _brute_repeats(rows, 60)
+
+
 # ------------------------------------------------------------------ near copies
 
 def brute_components(rows, k, percent):
