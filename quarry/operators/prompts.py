@@ -39,6 +39,7 @@ NO_TABLES = "(no tables extracted)"
 GROUP_INDICATORS = "Extract these nested LCA indicator objects from the EPD passages below ("
 NO_PASSAGES = "(no passage found)"
 FENCE_PATTERN = r"```(?:json)?\s*(\{[\s\S]*?\})\s*```"
+MOST_SALTS, ROWS_PER_SALT = 4_096, 500
 BRACES_PATTERN = r"\{[\s\S]*\}"
 
 
@@ -59,14 +60,15 @@ def flat_fields(gold: DataFrame, indicators: tuple[str, ...] = LCA_INDICATORS,
 
 
 def with_value(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``one``, a table of a single row, joined by a constant.
+    """``rows`` with the columns of ``one``, a table of a single row.
 
-    The single row is written, so the planner knows its size; beyond what it broadcasts, the
-    row is repeated over salts and ``rows`` are dealt over them by ``key``.
+    The row is repeated over salts, one per share of ``rows``, which are dealt over them by
+    ``key``. It is written, so the planner knows its size and may broadcast it instead.
     """
-    n = rows.count()
-    single = materialise(one.select(F.lit(0).alias("_one"), "*", F.lit(n).cast("bigint").alias("_n")), "single-row")
-    return salted_join(rows.withColumn("_one", F.lit(0)), single, ["_one"], [F.col(key)], "_n", n).drop("_one", "_n")
+    salts = max(1, min(MOST_SALTS, rows.count() // ROWS_PER_SALT))
+    copies = materialise(one.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")), "single-row")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    return dealt.join(copies, "_salt").drop("_salt")
 
 
 def with_field_block(docs: DataFrame, fields: DataFrame, key: str, descriptions: Column | None = None) -> DataFrame:
