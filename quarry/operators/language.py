@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 # --------------------------------------------------------------------------
 # Fixed values of the profile (shared with the SQL oracle).
 # --------------------------------------------------------------------------
-BUCKETS = 8_192
+BUCKETS = 8_192  # a power of two
 WEIGHTS = (5_003, 2_711, 17)  # of a trigram's three code points
 SCALE = 1_000_000
 MOST_LANGUAGES = 1_000  # more distinct labels than this are not languages
@@ -41,8 +41,9 @@ def trigram_buckets(texts: pa.Array) -> Iterator[np.ndarray]:
         if not words:
             yield np.empty(0, "i8")
             continue
-        c = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4").astype("i8")
-        yield (c[:-2] * WEIGHTS[0] + c[1:-1] * WEIGHTS[1] + c[2:] * WEIGHTS[2]) % BUCKETS
+        c = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4")
+        a, b, d = (np.uint32(w) for w in WEIGHTS)  # 32-bit overflow leaves the remainder by a power of two as it is
+        yield ((c[:-2] * a + c[1:-1] * b + c[2:] * d) & np.uint32(BUCKETS - 1)).astype("i8")
 
 
 @dataclass(frozen=True)
