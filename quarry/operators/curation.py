@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.records import RECORD_MAP, parse_object
+from quarry.functions.skew import dealt
 from quarry.functions.text import bind
 from quarry.operators.scoring import LCA_INDICATORS, LCA_STAGES
 
@@ -128,23 +129,24 @@ def manifest(normalised: DataFrame, decisions: DataFrame, clean_ids: DataFrame)
     ``decisions``: ``orig_index, reason``; ``clean_ids``: ``orig_index``.
     Both grow with the data, so the join strategy is left to AQE's runtime
     size check instead of a forced broadcast. An index in neither set is
-    quarantined with reason ``UNKNOWN``.
+    quarantined with reason ``UNKNOWN``. Bodies stay out of the joins: only the few
+    texts taken from them are shuffled and sorted.
     """
     m = parse_object(F.col("body"))
-    joined = (normalised.join(clean_ids.select("orig_index", F.lit(True).alias("is_clean")), "orig_index", "left")
-              .join(decisions.select("orig_index", "reason"), "orig_index", "left"))
-    clean = F.coalesce(F.col("is_clean"), F.lit(False))
     gwp = parse_object(m[F.lit("GWP-TOTAL")])
     a1a3 = F.coalesce(F.when(F.map_contains_key(gwp, F.lit("A1-A3")), F.coalesce(gwp[F.lit("A1-A3")], F.lit("None"))),
                       F.lit("N/A"))
+    product = F.when(F.map_contains_key(m, F.lit("Product Name")), F.coalesce(m[F.lit("Product Name")], F.lit(""))).otherwise(F.lit(""))
+    shown = normalised.select("orig_index", "file_name", product.alias("product_name"), a1a3.alias("a1a3"))
+    joined = (shown.join(clean_ids.select("orig_index", F.lit(True).alias("is_clean")), "orig_index", "left")
+              .join(decisions.select("orig_index", "reason"), "orig_index", "left"))
+    clean = F.coalesce(F.col("is_clean"), F.lit(False))
     reason = F.coalesce(F.col("reason"), F.lit("UNKNOWN"))
     return joined.select(
         F.col("orig_index").alias("orig_idx"),
         F.when(clean, F.lit("CLEAN")).otherwise(F.lit("QUARANTINE")).alias("bucket"),
-        "file_name",
-        F.when(F.map_contains_key(m, F.lit("Product Name")), F.coalesce(m[F.lit("Product Name")], F.lit("")))
-        .otherwise(F.lit("")).alias("product_name"),
-        F.when(clean, a1a3).otherwise(F.lit("N/A")).alias("gwp_a1a3"),
+        "file_name", "product_name",
+        F.when(clean, F.col("a1a3")).otherwise(F.lit("N/A")).alias("gwp_a1a3"),
         F.when(clean, F.lit("")).otherwise(F.split_part(reason, F.lit(":"), F.lit(1))).alias("notes"),
         F.when(clean, F.lit(None).cast("string")).otherwise(reason).alias("quarantine_reason"),
     )
@@ -152,8 +154,10 @@ def manifest(normalised: DataFrame, decisions: DataFrame, clean_ids: DataFrame)
 
 def split_buckets(normalised: DataFrame, man: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S6 inputs: clean records (benign sub-keys stripped, ``_orig_index`` added)
-    and quarantine records (kept whole, plus ``_quarantine_reason``)."""
-    j = normalised.join(man.select(F.col("orig_idx").alias("orig_index"), "bucket", "quarantine_reason"),
+    and quarantine records (kept whole, plus ``_quarantine_reason``).
+
+    Bodies are dealt by their number, so a task sorts a bounded number of them."""
+    j = dealt(normalised, "orig_index").join(man.select(F.col("orig_idx").alias("orig_index"), "bucket", "quarantine_reason"),
                         "orig_index")
     m = parse_object(F.col("body"))
     idx = F.struct(F.lit("_orig_index").alias("key"), F.col("orig_index").cast("string").alias("value"))
