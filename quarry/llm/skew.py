@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.skew import materialise as materialise
 from quarry.functions.skew import salted_join as salted_join
+from quarry.functions.skew import text_batches as text_batches
 
 
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
@@ -31,19 +32,6 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return getattr(holder, name)
 
 
-def text_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``rows`` rows where they would be larger.
-
-    Rows here are whole documents; at the default of 10,000 a batch and its copies in the
-    executor and the Python worker take hundreds of MB. The session setting stays changed,
-    because the plan runs after this call.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-    return df
-
-
 def key_bitmap(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     """(bucket, bitmap): a set of hashed keys in at most ``bits`` bits (8 MB), for ``maybe_in``."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
