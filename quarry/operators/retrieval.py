@@ -203,11 +203,14 @@ def field_groups(fields: DataFrame, indicators: Sequence[str], size: int = 2, de
 
 
 def term_postings(chunks: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """(term, key, chunk_idx, tf): where the groups' terms occur. ``chunks``: key, chunk_idx, chunk."""
-    vocabulary = groups.agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_vocabulary"))
-    known = with_value(chunks.select(key, "chunk_idx", words(F.col("chunk")).alias("_words")), vocabulary, key)
-    hits = F.filter("_words", lambda w: F.array_contains("_vocabulary", w))
-    return (known.select(key, "chunk_idx", F.explode(hits).alias("term"))
+    """(term, key, chunk_idx, tf): where the groups' terms occur. ``chunks``: key, chunk_idx, chunk.
+
+    Each word is looked up once in the hashed vocabulary, which is as long as the schema is
+    wide, so the work on a word does not grow with the number of terms.
+    """
+    vocabulary = groups.select(F.explode("terms").alias("term")).distinct()
+    said = chunks.select(key, "chunk_idx", F.explode(words(F.col("chunk"))).alias("term"))
+    return (said.join(F.broadcast(vocabulary), "term", "left_semi")
             .groupBy("term", key, "chunk_idx").agg(F.count(F.lit(1)).alias("tf")))
 
 
